@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .packing import pack
+from .simhash import near_duplicates
 from .token_files import token_index, write_token_files
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(spark, write_token_files(read(spark, sf_dir, "documents")))
 
@@ -18,7 +23,7 @@ def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_token_files, op7_best_two_fit)}
+    return {f.__name__: f for f in (op2_simhash, op6_token_files, op7_best_two_fit)}
 
 
 def oracle_sql() -> dict[str, str]:
