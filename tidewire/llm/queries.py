@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read
+from .decontaminate import locate
 from .packing import pack
 from .simhash import near_duplicates
 from .token_files import token_index, write_token_files
@@ -22,8 +24,14 @@ def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = locate(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["item_id"], s["start"], s["end"], s["edits"])), ",")
+    return found.select("doc_id", (F.size("spans") > 0).alias("contaminated"), F.size("spans").alias("n_spans"), F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item_id"]))).alias("item_ids"), spans.alias("spans"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash, op6_token_files, op7_best_two_fit)}
+    return {f.__name__: f for f in (op2_simhash, op6_token_files, op7_best_two_fit, op8_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
