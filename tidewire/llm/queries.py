@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import secrets
 from .common import read
 from .decontaminate import locate
 from .packing import pack
@@ -16,6 +17,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.summary(secrets.find(read(spark, sf_dir, "documents")))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(spark, write_token_files(read(spark, sf_dir, "documents")))
 
@@ -31,7 +36,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash, op6_token_files, op7_best_two_fit, op8_decontaminate)}
+    return {f.__name__: f for f in (op2_simhash, op4_secrets, op6_token_files, op7_best_two_fit, op8_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
