@@ -5,14 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets
-from .common import read
+from . import quality, secrets, toxicity
+from .common import fold, read
 from .decontaminate import locate
 from .packing import pack
 from .simhash import near_duplicates
 from .token_files import token_index, write_token_files
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    weights = toxicity.fit(docs, labels, ~held_out)
+    return toxicity.score(docs, weights).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("sentences").alias("n_offending"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    weights = quality.fit(docs, labels, ~held_out)
+    return quality.score(docs, weights).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -36,7 +50,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash, op4_secrets, op6_token_files, op7_best_two_fit, op8_decontaminate)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op4_secrets, op5_quality, op6_token_files, op7_best_two_fit, op8_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
