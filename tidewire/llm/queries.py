@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secrets, toxicity
+from . import line_rules, pii, quality, secrets, toxicity
 from .common import fold, read
 from .decontaminate import locate
 from .packing import pack
@@ -31,6 +31,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.judge(read(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.summary(secrets.find(read(spark, sf_dir, "documents")))
 
@@ -49,9 +53,13 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("spans") > 0).alias("contaminated"), F.size("spans").alias("n_spans"), F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item_id"]))).alias("item_ids"), spans.alias("spans"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(pii.find(read(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op4_secrets, op5_quality, op6_token_files, op7_best_two_fit, op8_decontaminate)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_line_rules, op4_secrets, op5_quality, op6_token_files, op7_best_two_fit, op8_decontaminate, op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_rules": line_rules.SQL}
