@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_rules, pii, quality, secrets, toxicity
+from . import language_model, line_rules, pii, quality, secrets, toxicity
 from .common import fold, read
 from .decontaminate import locate
 from .packing import pack
@@ -57,8 +57,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(pii.find(read(spark, sf_dir, "documents")))
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(read(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 1)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_line_rules, op4_secrets, op5_quality, op6_token_files, op7_best_two_fit, op8_decontaminate, op9_pii)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_line_rules, op4_secrets, op5_quality, op6_token_files, op7_best_two_fit, op8_decontaminate, op9_pii, op10_language_model)}
 
 
 def oracle_sql() -> dict[str, str]:
