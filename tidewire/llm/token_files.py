@@ -20,25 +20,22 @@ def _batches(path: str, end_id: int, step: int = 1 << 21):
     def run(batches):
         from pyspark import TaskContext
 
-        shard, done = TaskContext.get().partitionId(), 0
-        end, tokenizer = np.array([end_id], "<u4").tobytes(), held(path)
+        shard, done, tokenizer = TaskContext.get().partitionId(), 0, held(path)
         for batch in batches:
             data, offsets = buffer_of(batch.column(1))
             for i, j in slices(offsets, step):
-                ids = [x + end for x in tokenizer.encode([data[offsets[k] : offsets[k + 1]].tobytes() for k in range(i, j)])]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                bounds = np.concatenate([[0], np.cumsum(n)])
+                ids, at = tokenizer.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], end_id)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
                         pa.array(np.full(j - i, shard, np.int32)),
-                        pa.array(done + bounds[:-1]),
-                        pa.array(n.astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<u4").view(np.int32))),
+                        pa.array(done + at[:-1]),
+                        pa.array(np.diff(at).astype(np.int32)),
+                        pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.view(np.int32))),
                     ],
                     ["doc_id", "shard", "shard_start", "n_tokens", "token_ids"],
                 )
-                done += int(bounds[-1])
+                done += len(ids)
 
     return run
 
@@ -80,8 +77,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 def _checksums(batches):
     for batch in batches:
         lists = batch.column(3)
-        ids, at = lists.values.to_numpy().astype("<u4"), lists.offsets.to_numpy()
-        crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])]
+        ids, at = memoryview(lists.values.to_numpy().astype("<i4", copy=False)).cast("B"), 4 * lists.offsets.to_numpy().astype(np.int64)
+        crc = [zlib.crc32(ids[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.array(crc, np.int64))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 

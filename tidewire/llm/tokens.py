@@ -6,6 +6,10 @@ import os
 
 import numpy as np
 
+from .common import Hasher, lowered, words_of
+
+_SIGNS = rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
+_TAIL = frozenset(_SIGNS)
 _HELD: dict[str, "ChunkTokenizer"] = {}
 
 
@@ -24,43 +28,92 @@ class ChunkTokenizer:
     token's string, which is matched before lower-casing; it is encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 850_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.ids = Tokenizer.from_file(path), most, {}
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        plain: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        vocabulary = self.tokenizer.get_vocab()
+        self.packed = [i.to_bytes(4, "little") for i in range(max(vocabulary.values()) + 1)]
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+
+    def _each(self, chunks: list[bytes]) -> None:
+        """Ids of chunks, by the plainest way that is exact for each kind.
+
+        ASCII letters are one pre-token: the model alone gives the ids. Other letters need the
+        normaliser, and are encoded many at a time; as each is one pre-token, its ids end with
+        the only one that ends a word. The rest go through the whole tokenizer one by one.
+        """
+        letters, rest, packed, tokenize = [], [], self.packed, self.model.tokenize
         for c in chunks:
-            core = c.rstrip(b".,;:!?")
-            if core and core != c and core[-1:].isalnum():
-                plain[core] = plain[c[len(core) :]] = b""
+            if c.isalpha():
+                self.ids[c] = b"".join([packed[t.id] for t in tokenize(c.decode())])
+            else:
+                (letters if c.decode("utf-8", "replace").isalpha() else rest).append(c)
+        for i in range(0, len(letters), 512):
+            part = letters[i : i + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part):
+                for c, a, b in zip(part, [0, *cuts[:-1].tolist()], cuts.tolist()):
+                    self.ids[c] = ids[a:b].tobytes()
             else:
-                plain[c] = b""
-        new = [c for c in plain if c not in self.ids]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)):
+                rest += part
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
+            for c, e in zip(part, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)):
                 self.ids[c] = np.array(e.ids, "<u4").tobytes()
-        for c in chunks:
-            if c not in self.ids:
-                core = c.rstrip(b".,;:!?")
-                self.ids[c] = self.ids[core] + self.ids[c[len(core) :]]
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each UTF-8 text."""
-        split = [None if b"<|" in t else t.lower().split() for t in texts]
+    def _learn(self, chunks: list[bytes]) -> None:
+        plain, joint = set(), []
+        for c in chunks:
+            core = c if c[-1] not in _TAIL else c.rstrip(_SIGNS)
+            if core is not c and core[-1:].isalnum():
+                tail = c[len(core) :]
+                plain.add(core)
+                plain.add(tail)
+                joint.append((c, core, tail))
+            else:
+                plain.add(c)
+        self._each(list(plain - self.ids.keys()))
+        for c, core, tail in joint:
+            self.ids[c] = self.ids[core] + self.ids[tail]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows of a UTF-8 buffer, each closed by ``end_id``, and where each row's begin.
+
+        Chunks are told apart by 64-bit hashes within the buffer, so each distinct one is looked
+        up once.
+        """
+        low = lowered(data)
+        starts, ends, bounds = words_of(low, offsets)
+        _, first, chunk = np.unique(Hasher(low)(starts, ends), return_index=True, return_inverse=True)
+        text = low.tobytes()
+        distinct = [text[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
         if len(self.ids) > self.most:
             self.ids.clear()
-        new = {c for s in split if s for c in s if c not in self.ids}
-        if new:
-            self._learn(list(new))
-        get = self.ids.__getitem__
-        return [
-            b"".join(map(get, s)) if s is not None else np.array(self.tokenizer.encode(t.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
-            for t, s in zip(texts, split)
-        ]
+        if new := [c for c in distinct if c not in self.ids]:
+            self._learn(new)
+        known = [self.ids[c] for c in distinct]
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        place = np.cumsum(size) - size
+        n = size[chunk]
+        before = np.concatenate([[0], np.cumsum(n)])
+        at = before[bounds]
+        # one further place a row, for the end id
+        row = np.repeat(np.arange(len(bounds) - 1), np.diff(at))
+        ids = np.full(int(before[-1]) + len(bounds) - 1, end_id, np.uint32)
+        flat = np.frombuffer(b"".join(known), "<u4")
+        ids[np.arange(before[-1]) + row] = flat[np.arange(before[-1]) + np.repeat(place[chunk] - before[:-1], n)]
+        at = at + np.arange(len(at))
+        marked = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C)) if len(data) > 1 else ()
+        for k in np.unique(np.searchsorted(offsets, marked, side="right") - 1)[::-1].tolist() if len(marked) else ():
+            whole = self.tokenizer.encode(data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids
+            ids = np.concatenate([ids[: at[k]], np.array(whole, np.uint32), ids[at[k + 1] - 1 :]])
+            at[k + 1 :] += len(whole) + 1 - (at[k + 1] - at[k])
+        return ids, at
 
 
 def held(path: str) -> ChunkTokenizer:
