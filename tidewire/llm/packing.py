@@ -81,21 +81,20 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 
 def _pieces(path: str, end_id: int, capacity: int, step: int = 1 << 21):
     def run(batches):
-        end, tokenizer, width = np.array([end_id], "<u4").tobytes(), held(path), 4 * capacity
+        tokenizer = held(path)
         for batch in batches:
             data, offsets = buffer_of(batch.column(1))
             for i, j in slices(offsets, step):
-                row, piece, start, length, crc = [], [], [], [], []
-                for k, ids in enumerate(tokenizer.encode([data[offsets[k] : offsets[k + 1]].tobytes() for k in range(i, j)])):
-                    ids += end
-                    for p, at in enumerate(range(0, len(ids), width)):
-                        part = ids[at : at + width]
-                        row.append(i + k)
-                        piece.append(p)
-                        start.append(at // 4)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                ids, at = tokenizer.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], end_id)
+                size = np.diff(at)
+                n = -(-size // capacity)
+                row = np.repeat(np.arange(j - i), n)
+                piece = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * capacity
+                length = np.minimum(size[row] - start, capacity)
+                raw, begin = memoryview(ids.astype("<u4", copy=False)).cast("B"), 4 * (at[row] + start)
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(begin.tolist(), (begin + 4 * length).tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i + row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
