@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,6 +88,11 @@ def as_packets(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- looking
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once however often it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def stack() -> Column:
     """Layer labels, outermost first, joined by colons."""
     return F.array_join(F.transform("layers", lambda x: x["protocol_label"]), ":")

@@ -6,24 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import printable
-from ..model import decoded, first_field, first_layer
+from ..model import bind, decoded, first_field, first_layer
 from .project import endpoints
 
 
 def stream_key() -> Column:
     """TCP by ``stream_id``; else UDP, else SCTP, by both ends in order; else null."""
-    tcp, ends = first_layer("TCP"), endpoints()
-    number = first_field(tcp, "stream_id")["num"]
 
-    def tuple_(name: str) -> Column:
-        layer = first_layer(name)
-        end = lambda a, p: F.struct(ends[a].alias("a"), first_field(layer, p)["num"].cast("int").alias("p"))
-        one, two = end("src", "src_port"), end("dst", "dst_port")
-        low, high = F.least(one, two), F.greatest(one, two)
-        text = F.concat(F.lit(name.lower() + ":"), low["a"], F.lit(":"), low["p"].cast("string"), F.lit("-"), high["a"], F.lit(":"), high["p"].cast("string"))
-        return F.when(layer.isNotNull(), text)
+    def of(name: str, ends: Column) -> Column:
+        def key(layer: Column) -> Column:
+            return bind(ordered_ends(ends, layer), lambda o: F.when(layer.isNotNull(), F.concat(F.lit(name.lower() + ":"), o["low"]["a"], F.lit(":"), o["low"]["p"].cast("string"), F.lit("-"), o["high"]["a"], F.lit(":"), o["high"]["p"].cast("string"))))
 
-    return F.coalesce(F.when(number.isNotNull(), F.concat(F.lit("tcp:"), number.cast("string"))), tuple_("UDP"), tuple_("SCTP"))
+        return bind(first_layer(name), key)
+
+    number = first_field(first_layer("TCP"), "stream_id")["num"].cast("string")
+    return F.coalesce(F.concat(F.lit("tcp:"), number), bind(endpoints(), lambda e: F.coalesce(of("UDP", e), of("SCTP", e))))
+
+
+def ordered_ends(ends: Column, layer: Column) -> Column:
+    """Both ``a, p`` (address, port) ends of a flow, the lower first."""
+    end = lambda a, p: F.struct(ends[a].alias("a"), first_field(layer, p)["num"].cast("int").alias("p"))
+    both = F.array(end("src", "src_port"), end("dst", "dst_port"))
+    return bind(F.sort_array(both), lambda s: F.struct(F.get(s, 0).alias("low"), F.get(s, 1).alias("high")))
 
 
 def with_stream(packets: DataFrame) -> DataFrame:
@@ -56,8 +60,7 @@ def first_stream_ids(packets: DataFrame) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    ends, layer = endpoints(), first_layer("TCP")
-    end = lambda a, p: F.struct(ends[a].alias("a"), first_field(layer, p)["num"].cast("int").alias("p"))
-    rows = decoded(packets).where(layer.isNotNull()).select("capture_id", "number", F.struct(F.least(end("src", "src_port"), end("dst", "dst_port")).alias("low"), F.greatest(end("src", "src_port"), end("dst", "dst_port")).alias("high")).alias("key"))
+    tcp = decoded(packets).withColumn("_l", first_layer("TCP")).where("_l is not null")
+    rows = tcp.select("capture_id", "number", ordered_ends(endpoints(), F.col("_l")).alias("key"))
     flows = rows.groupBy("capture_id", "key").agg(F.min("number").alias("first"))
     return flows.select("capture_id", "key", (F.row_number().over(Window.partitionBy("capture_id").orderBy("first")) - 1).alias("stream_id"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import iso_time, media_type
-from ..model import all_fields, first_field, first_layer, label_text, raw_text, stack
+from ..model import all_fields, bind, first_field, first_layer, label_text, raw_text, stack
 
 
 def endpoints() -> Column:
@@ -18,20 +18,18 @@ def endpoints() -> Column:
     """
 
     def pair(layer: Column) -> Column:
-        src, dst = first_field(layer, "src")["str"], first_field(layer, "dst")["str"]
-        return F.when(src.isNotNull() & dst.isNotNull(), F.struct(src.alias("src"), dst.alias("dst")))
+        both = F.struct(first_field(layer, "src")["str"].alias("src"), first_field(layer, "dst")["str"].alias("dst"))
+        return bind(both, lambda e: F.when(e["src"].isNotNull() & e["dst"].isNotNull(), e))
 
-    four, six = first_layer("IPv4"), first_layer("IPv6")
-    return F.when(four.isNotNull(), pair(four)).when(six.isNotNull(), pair(six))
+    return bind(first_layer("IPv4"), lambda four: F.when(four.isNotNull(), pair(four)).otherwise(bind(first_layer("IPv6"), pair)))
 
 
 def transport() -> Column:
     """``transport, src_port, dst_port`` of UDP, else TCP; both ports must be there."""
 
     def tuple_(name: str) -> Column:
-        layer = first_layer(name)
-        src, dst = (first_field(layer, p)["num"].cast("int") for p in ("src_port", "dst_port"))
-        return F.when(src.isNotNull() & dst.isNotNull(), F.struct(F.lit(name.lower()).alias("transport"), src.alias("src_port"), dst.alias("dst_port")))
+        flow = lambda x: F.struct(F.lit(name.lower()).alias("transport"), *(first_field(x, p)["num"].cast("int").alias(p) for p in ("src_port", "dst_port")))
+        return bind(bind(first_layer(name), flow), lambda t: F.when(t["src_port"].isNotNull() & t["dst_port"].isNotNull(), t))
 
     return F.coalesce(tuple_("UDP"), tuple_("TCP"))
 
@@ -95,36 +93,52 @@ def _short(f: Column) -> Column:
 
 def info() -> Column:
     """One line on a packet: by the first protocol with a rule, else labels or fields of the top layer."""
-    dns, http, top = first_layer("DNS"), first_layer("HTTP"), F.element_at("layers", -1)
-    qr = first_field(dns, "qr")
-    way = F.when(qr["num"] == 0, "Query").when(qr["num"] == 1, "Response").otherwise("")
-    asked = F.size(F.filter(dns["fields"], lambda f: F.startswith(f["path"], F.lit("questions.")))) > 0
-    of_dns = F.when(qr.isNotNull(), F.when(asked, F.concat(way, F.lit(" "), F.coalesce(first_field(dns, "questions.name")["str"], F.lit("?")))).otherwise(way))
-    method, uri, code = (first_field(http, p) for p in ("method", "uri", "status_code"))
-    media = media_type(_header(http, "Content-Type"))
-    of_http = F.coalesce(
-        F.concat(method["str"], F.lit(" "), uri["str"]),
-        F.concat(code["num"].cast("string"), F.coalesce(F.concat(F.lit(" "), first_field(http, "reason_phrase")["str"]), F.lit("")), F.coalesce(F.concat(F.lit(" ("), media, F.lit(")")), F.lit(""))),
-    )
-    tcp, sctp = first_layer("TCP"), first_layer("SCTP")
-    flags = first_field(tcp, "flags")["name"]
-    of_tcp = F.when(top["protocol"] == "TCP", F.concat(_ports(tcp), F.coalesce(F.concat(F.lit(" ["), flags, F.lit("]")), F.lit(""))))
-    of_udp = F.when(top["protocol"] == "UDP", _ports(first_layer("UDP")))
-    chunks = F.filter(F.transform(all_fields(sctp, "chunks.type"), lambda f: f["name"]), lambda n: n.isNotNull())
-    of_sctp = F.when(top["protocol"] == "SCTP", F.concat(_ports(sctp), F.when(F.size(chunks) > 0, F.concat(F.lit(" ["), F.array_join(chunks, ", "), F.lit("]"))).otherwise(F.lit(""))))
-    gtp, diameter, tls = first_layer("GTPv2-C"), first_layer("Diameter"), first_layer("TLS")
-    message, cause = first_field(gtp, "message_type")["name"], first_field(gtp, "ies.value.cause_value")
-    of_gtp = F.when(F.contains(message, F.lit("Response")) & cause.isNotNull(), F.concat(message, F.lit(" ("), label_text(cause), F.lit(")"))).otherwise(message)
-    command, result = first_field(diameter, "command_code")["name"], diameter_result(diameter)
-    answer = F.coalesce(first_field(diameter, "is_request")["num"] != 1, F.lit(True))
-    of_diameter = F.when(answer & result.isNotNull(), F.concat(command, F.lit(" ("), result, F.lit(")"))).otherwise(command)
-    content, handshake = first_field(tls, "content_type")["name"], first_field(tls, "handshake_type")["name"]
-    of_tls = F.concat(content, F.coalesce(F.concat(F.lit(", "), handshake), F.lit("")))
-    outer = F.filter(top["fields"], lambda f: ~F.contains(f["path"], F.lit(".")))
-    labels = F.filter(F.transform(outer, lambda f: f["name"]), lambda n: n.isNotNull() & ~n.isin("", "Unknown"))
-    plain = F.filter(F.transform(F.slice(F.filter(outer, lambda f: f["name"].isNull()), 1, 3), lambda f: F.concat(f["path"], F.lit("="), F.when(_short(f) != "", _short(f)))), lambda x: x.isNotNull())
-    of_top = F.when(F.size(labels) > 0, F.array_join(labels, " ")).when(F.size(plain) > 0, F.array_join(plain, " "))
-    return F.coalesce(of_dns, of_http, of_tcp, of_udp, of_sctp, of_gtp, of_diameter, of_tls, of_top, F.lit(""))
+
+    def of_dns(dns: Column) -> Column:
+        qr = first_field(dns, "qr")
+        way = F.when(qr["num"] == 0, "Query").when(qr["num"] == 1, "Response").otherwise("")
+        asked = F.exists(dns["fields"], lambda f: F.startswith(f["path"], F.lit("questions.")))
+        return F.when(qr.isNotNull(), F.when(asked, F.concat(way, F.lit(" "), F.coalesce(first_field(dns, "questions.name")["str"], F.lit("?")))).otherwise(way))
+
+    def of_http(http: Column) -> Column:
+        media = media_type(_header(http, "Content-Type"))
+        request = F.concat(first_field(http, "method")["str"], F.lit(" "), first_field(http, "uri")["str"])
+        reason = F.coalesce(F.concat(F.lit(" "), first_field(http, "reason_phrase")["str"]), F.lit(""))
+        return F.coalesce(request, F.concat(first_field(http, "status_code")["num"].cast("string"), reason, F.coalesce(F.concat(F.lit(" ("), media, F.lit(")")), F.lit(""))))
+
+    def bracketed(text: Column) -> Column:
+        return F.coalesce(F.concat(F.lit(" ["), text, F.lit("]")), F.lit(""))
+
+    def of_sctp(sctp: Column) -> Column:
+        chunks = F.filter(F.transform(all_fields(sctp, "chunks.type"), lambda f: f["name"]), lambda n: n.isNotNull())
+        return F.concat(_ports(sctp), bind(chunks, lambda c: bracketed(F.when(F.size(c) > 0, F.array_join(c, ", ")))))
+
+    def of_gtp(gtp: Column) -> Column:
+        message, cause = first_field(gtp, "message_type")["name"], label_text(first_field(gtp, "ies.value.cause_value"))
+        return F.when(F.contains(message, F.lit("Response")) & cause.isNotNull(), F.concat(message, F.lit(" ("), cause, F.lit(")"))).otherwise(message)
+
+    def of_diameter(x: Column) -> Column:
+        command, answer = first_field(x, "command_code")["name"], F.coalesce(first_field(x, "is_request")["num"] != 1, F.lit(True))
+        return bind(diameter_result(x), lambda result: F.when(answer & result.isNotNull(), F.concat(command, F.lit(" ("), result, F.lit(")"))).otherwise(command))
+
+    def of_tls(tls: Column) -> Column:
+        return F.concat(first_field(tls, "content_type")["name"], F.coalesce(F.concat(F.lit(", "), first_field(tls, "handshake_type")["name"]), F.lit("")))
+
+    def of_top(top: Column) -> Column:
+        outer = F.filter(top["fields"], lambda f: ~F.contains(f["path"], F.lit(".")))
+        labels = F.filter(F.transform(outer, lambda f: f["name"]), lambda n: n.isNotNull() & ~n.isin("", "Unknown"))
+        short = lambda f: bind(_short(f), lambda v: F.concat(f["path"], F.lit("="), F.when(v != "", v)))
+        plain = F.filter(F.transform(F.slice(F.filter(outer, lambda f: f["name"].isNull()), 1, 3), short), lambda x: x.isNotNull())
+        pick = lambda found, other: bind(found, lambda a: F.when(F.size(a) > 0, F.array_join(a, " ")).otherwise(other))
+        return pick(labels, pick(plain, F.lit("")))
+
+    def by_top(top: Column) -> Column:
+        flags = lambda tcp: F.concat(_ports(tcp), bracketed(first_field(tcp, "flags")["name"]))
+        name = top["protocol"]
+        flow = F.when(name == "TCP", bind(first_layer("TCP"), flags)).when(name == "UDP", bind(first_layer("UDP"), _ports)).when(name == "SCTP", bind(first_layer("SCTP"), of_sctp))
+        return F.coalesce(flow, bind(first_layer("GTPv2-C"), of_gtp), bind(first_layer("Diameter"), of_diameter), bind(first_layer("TLS"), of_tls), of_top(top))
+
+    return F.coalesce(bind(first_layer("DNS"), of_dns), bind(first_layer("HTTP"), of_http), bind(F.get("layers", F.size("layers") - 1), by_top), F.lit(""))
 
 
 def diameter_result(layer: Column) -> Column:
