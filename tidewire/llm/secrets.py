@@ -215,18 +215,19 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
 
     Rows are matched to their spans by a hash of id and text, so repeated ids stay apart.
     """
-    key = F.xxhash64("doc_id", text_of())
-    rows = docs.withColumn("_row", key)
-    found = find(rows.select(F.col("_row").alias("doc_id"), "text").distinct(), **options).where(F.size("spans") > 0).select(F.col("doc_id").alias("_row"), "spans").dropDuplicates(["_row"])
+    row, marks = "_secret_row", "_secret_spans"
+    rows = docs.withColumn(row, F.xxhash64("doc_id", text_of()))
+    found = find(rows.select(F.col(row).alias("doc_id"), "text").distinct(), **options).where(F.size("spans") > 0).select(F.col("doc_id").alias(row), F.col("spans").alias(marks)).dropDuplicates([row])
 
     def cut(state, span):
         gap = F.greatest(span["start"] - state["at"], F.lit(0))
         piece = F.concat(F.substring("text", state["at"] + 1, gap), F.when(span["start"] >= state["at"], F.lit(mark)).otherwise(F.lit("")))
         return F.struct(F.concat(state["text"], piece).alias("text"), F.greatest(state["at"], span["end"]).alias("at"))
 
-    in_order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    in_order = F.array_sort(F.transform(marks, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
     text = F.aggregate(in_order, F.struct(F.lit("").alias("text"), F.lit(0).alias("at")), cut, lambda s: F.concat(s["text"], F.substring("text", s["at"] + 1, F.length("text"))))
-    joined = rows.join(found, "_row", "left").withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(text))
+    plain = F.col(marks).isNull()
+    joined = rows.join(found, row, "left").withColumn("text", F.when(plain, F.col("text")).otherwise(text))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        joined = joined.withColumn("n_chars", F.when(plain, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return joined.select(*docs.columns)
