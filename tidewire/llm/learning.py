@@ -62,7 +62,7 @@ def _shard(sent, learn, turn: int):
     return run
 
 
-def mix(sample: DataFrame, start: list[np.ndarray], learn: Callable[[list[np.ndarray], np.ndarray, pa.Array, int], list[np.ndarray]], rounds: int, gain: float = 0.5) -> list[np.ndarray]:
+def mix(sample: DataFrame, start: list[np.ndarray], learn: Callable[[list[np.ndarray], np.ndarray, pa.Array, int], list[np.ndarray]], rounds: int, gain: float = 0.25) -> list[np.ndarray]:
     """Iterative parameter mixing: every round, each shard learns on from the joint state.
 
     The joint state moves by ``gain`` times the sum of what the shards' states moved: 1 is as if

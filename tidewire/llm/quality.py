@@ -71,7 +71,7 @@ def _learn(state, label, text: pa.Array, turn: int):
     return [z, n]
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, *, label: str = "quality", most: int = 16_000, rounds: int = 6) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, *, label: str = "quality", most: int = 16_000, rounds: int = 8) -> np.ndarray:
     """Weights of the features and, last, the intercept.
 
     At most ``most`` labelled documents are learnt from (see ``labelled_sample``); labels are
