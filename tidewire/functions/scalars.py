@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def normalised_name(name: Column) -> Column:
@@ -32,7 +33,7 @@ def mac_text(raw: Column, offset: Column | int) -> Column:
     return F.when(F.octet_length(raw) >= offset + 6, F.regexp_replace(F.lower(F.hex(F.substring(raw, offset + 1, F.lit(6)))), "(..)(?!$)", "$1:"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ipv6_text(raw: pd.Series) -> pd.Series:
     """Sixteen bytes in the shortest usual form."""
     from ipaddress import IPv6Address
