@@ -336,7 +336,7 @@ def document(packets: DataFrame, protocols: Iterable[str] | None = None, n: int
     from .correlate import dns_pairs
 
     wanted = None if protocols is None else {normalised(p) for p in protocols}
-    listing = lambda df, name, order: df.agg(F.sort_array(F.collect_list(F.struct(*order, F.struct(*df.columns).alias("_row")))).alias("_s")).select(F.transform("_s", lambda s: s["_row"]).alias(name))
+    listing = lambda df, name, order: df.agg(F.sort_array(F.collect_list(F.struct(*order, F.struct(*(c for c in df.columns if c[0] != "_")).alias("_row")))).alias("_s")).select(F.transform("_s", lambda s: s["_row"]).alias(name))
     out = overview(packets)
     parts = [listing(protocol_counts(packets).withColumn("_c", -F.col("count")).select("_c", "name", "count"), "protocols", ["_c", "name"])]
     parts.append(listing(frequencies(packets, wanted, n), "tables", ["protocol", "metric", "group", "name"]))
