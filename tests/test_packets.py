@@ -258,3 +258,20 @@ def test_live_equals_batch(spark, mixed, tmp_path):
 
 def test_schema_is_the_contract(mixed):
     assert [f.name for f in mixed.schema] == [f.name for f in PACKETS]
+
+
+def test_live_dns_pairs(spark, tmp_path):
+    from tidewire.streaming import live
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = [(1, 1_000_000, 0, 7), (2, 2_000_000, 0, 7), (3, 3_500_000, 1, 7), (4, 3_600_000, 1, 7), (5, 4_000_000, 0, 8), (6, 40_000_000, 1, 8), (7, 41_000_000, 0, 9), (8, 41_250_000, 1, 9)]
+    df = spark.createDataFrame(rows, "number long, ts_us long, qr int, id int")
+    ask, mine, theirs = F.col("qr") == 0, F.lit("10.0.0.1"), F.lit("10.9.9.9")
+    ends = layer(0, "IPv4", field("src", "ipv4addr", F.when(ask, mine).otherwise(theirs)), field("dst", "ipv4addr", F.when(ask, theirs).otherwise(mine)))
+    udp = layer(1, "UDP", field("src_port", "u16", F.when(ask, 999).otherwise(53)), field("dst_port", "u16", F.when(ask, 53).otherwise(999)))
+    packets = as_packets(df.select(F.lit("c").alias("capture_id"), "number", "ts_us", F.array(ends, udp, layer(2, "DNS", field("qr", "u8", F.col("qr")), field("id", "u16", F.col("id")))).alias("layers")))
+    packets.coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = live.live_dns_pairs(live.tail(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("pairs").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r.query_number, r.response_number, r.rtt) for r in spark.table("pairs").collect()) == [(1, 3, 2.5), (7, 8, 0.25)]
