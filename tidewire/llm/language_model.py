@@ -231,7 +231,7 @@ def _block_sums(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(meta["doc_ids"], pa.int64()), "held_out": pa.array(meta["held"], pa.bool_()), "n_tokens": pa.array(meta["lengths"], pa.int64()), "n_known": pa.array(known), "base": pa.array(base), "score": pa.array(score)})
 
 
-def score(docs: DataFrame, held_out: Column, *, prior: float = 200.0, block_tokens: int = 1 << 21, shard_tokens: int = 1 << 21) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, *, prior: float = 200.0, block_tokens: int = 1 << 20, shard_tokens: int = 3 << 19) -> DataFrame:
     """Scores every whole text under the model of those that are not ``held_out``.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``. Tokens are
