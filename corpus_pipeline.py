@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import decontaminate, packing, quality, secrets, simhash
+from tidewire.llm import decontaminate, near_copies, packing, quality, secrets
 from tidewire.llm.common import fold, materialise, read
 
 
@@ -20,8 +20,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate component."""
-    return simhash.keep_one(docs)
+    """Keeps the smallest id of each component of texts with a 5-word Jaccard similarity of 0.8 or more."""
+    return near_copies.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

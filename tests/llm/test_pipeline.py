@@ -68,3 +68,38 @@ def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_drops_near_copies(spark):
+    from test_operators import WORD
+
+    rows = []
+    for k in range(40):  # copies with a few words changed, around the limit
+        words = prose(150, 500 + k).split()
+        rows += [(1000 * k, " ".join(words))]
+        for n in (1, 2, 3, 4):
+            other = list(words)
+            for at in range(n):
+                other[20 + 25 * at] = f"changed{k}"
+            rows.append((1000 * k + n, " ".join(other)))
+    words = prose(120, 900).split()
+    rows += [(90_000 + k, " ".join(words[:60] + [f"x{k}"] + words[60:])) for k in range(300)] + [(95_001, None), (95_002, ""), (95_003, "two words")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := WORD.findall(t or "")) else set() for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            both = len(sets[a] & sets[b])
+            if a // 1000 == b // 1000 and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    want = {i for i in ids if root(i) == i}
+    assert want <= got and len(got - want) <= 0.02 * (len(ids) - len(want)), (len(want), len(got))
