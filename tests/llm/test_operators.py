@@ -325,6 +325,16 @@ def test_pii_bootstraps_a_context(spark):
     assert got[50] == "context:13:24" and got[51] == ""
 
 
+def test_pii_finds_all_candidates_and_bootstraps_on(spark):
+    rows = [(k, f"w{k} reach me at: {k}user@mail.org n{k}") for k in range(60)]
+    rows += [(100 + k, f"v{k} at: AB{k + 10}3456-77 m{k} and ref: AB{k + 10}3456-77 p{k}") for k in range(12)]
+    short = ["12-34-56", "1234abcd-12ab-34cd-56ef-1234567890ab", "ID-12345"]
+    rows += [(200 + k, f"at: {x} q{k}") for k, x in enumerate(short)] + [(300, "ref: QQ777777-1 z")]
+    got = {r.doc_id: r.spans for r in pii.summary(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert [got[200 + k] for k in range(3)] == [f"context:4:{4 + len(x)}" for x in short]
+    assert got[300] == "context:5:15"
+
+
 # ---------------------------------------------------------------- op 1, op 5
 
 

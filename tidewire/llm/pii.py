@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +24,7 @@ PATTERNS = {
 _HINT = {"email": "@", "phone": "+", "ip": ".", "card": None}
 
 #: Something like an identifier: up to four letters, then digits and letters, single separators.
-CANDIDATE = r"(?<![A-Za-z0-9@._-])[A-Za-z]{0,4}[0-9](?:[-./]?[A-Za-z0-9]){5,30}+(?![A-Za-z0-9@])"
+CANDIDATE = r"(?<![A-Za-z0-9@._-])(?:[A-Za-z]{1,4}[-./]?)?[0-9](?:[-./]?[A-Za-z0-9]){4,}+(?![A-Za-z0-9@])"
 
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
@@ -102,7 +103,7 @@ def _contexts(text: Column, spans: Column, reach: int = 48) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document: its base spans by kind, and candidates that touch none of them."""
     text = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    found = text.select("row", "doc_id", "text", F.concat(*base_spans(F.col("text")).values()).alias("base"), F.when(F.col("text").rlike("[0-9]{3}"), matches(F.col("text"), CANDIDATE, "context")).otherwise(F.array().cast(_SPAN)).alias("others"))
+    found = text.select("row", "doc_id", "text", F.concat(*base_spans(F.col("text")).values()).alias("base"), F.when(F.col("text").rlike("[0-9]"), matches(F.col("text"), CANDIDATE, "context")).otherwise(F.array().cast(_SPAN)).alias("others"))
     free = lambda c: (F.length(digits(c["value"])) >= 5) & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     return found.select("row", "doc_id", _contexts(F.col("text"), F.col("base")).alias("base"), _contexts(F.col("text"), F.filter("others", free)).alias("others"))
 
@@ -112,17 +113,23 @@ def trusted(scanned: DataFrame, *, rounds: int = 3, least: float = 0.75, seeds:
 
     Patterns and instances (distinct values) form a graph. Seeds, the base matches, have score 1.
     Each round a pattern scores the mean of its instances, shrunk by one doubtful one, and an
-    unseen instance the best of its patterns, if that one has ``seeds`` distinct seeds.
+    unseen instance the best of its patterns, if that one has ``seeds`` distinct seeds; instances
+    that score ``least`` or more are seeds of later rounds. After ``rounds``, further ones follow
+    until none adds a pattern.
     Instances and patterns are distinct before they meet, so copies of a document count once.
     """
     spans = scanned.select(F.explode(F.concat(F.transform("base", lambda s: s.withField("seed", F.lit(1.0))), F.transform("others", lambda s: s.withField("seed", F.lit(0.0))))).alias("s"))
     edges = materialise(spans.select(F.col("s.instance").alias("instance"), F.col("s.seed").alias("seed"), F.explode("s.patterns").alias("pattern")).groupBy("instance", "pattern").agg(F.max("seed").alias("seed")), "pii-graph")
-    scores = None
-    for _ in range(rounds):
+    scores = before = None
+    for done in itertools.count(1):
         known = edges if scores is None else edges.join(scores, "instance", "left")
         value = F.col("seed") if scores is None else F.greatest("seed", F.coalesce("score", F.lit(0.0)))
-        patterns = known.groupBy("pattern").agg((F.sum(value) / (F.count("*") + 1)).alias("trust"), F.sum("seed").alias("n_seeds"))
+        patterns = known.groupBy("pattern").agg((F.sum(value) / (F.count("*") + 1)).alias("trust"), F.sum((value >= least).cast("int")).alias("n_seeds"))
         patterns = materialise(patterns.where(F.col("n_seeds") >= seeds), "pii-patterns")
+        after = tuple(patterns.agg(F.count("*"), F.count_if(F.col("trust") >= least)).first())
+        if done >= rounds and after == before:
+            break
+        before = after
         scores = materialise(edges.where("seed = 0").join(patterns, "pattern").groupBy("instance").agg(F.max("trust").alias("score")), "pii-instances")
     return patterns.where(F.col("trust") >= least).select("pattern")
 
