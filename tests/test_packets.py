@@ -275,3 +275,12 @@ def test_live_dns_pairs(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.query_number, r.response_number, r.rtt) for r in spark.table("pairs").collect()) == [(1, 3, 2.5), (7, 8, 0.25)]
+
+
+def test_all_captures_have_their_tcp_streams(spark):
+    from tidewire.plans import registry
+
+    events = spark.read.parquet("/root/testdata/sf0.01/events.parquet").where("event_type in ('click', 'view')")
+    want = {(f"c{r.c}", r.user_id): r["count"] for r in events.groupBy(F.expr("event_id div 2048").alias("c"), "user_id").count().collect()}
+    got = {(r.capture_id, r.stream_id): r.packets for r in registry.queries()["a04_tcp_streams_all"](spark, "/root/testdata/sf0.01").collect()}
+    assert got == want and len({c for c, _ in want}) > 1

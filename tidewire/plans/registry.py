@@ -160,6 +160,11 @@ _add(
     _select("""SELECT user_id AS stream_id, arg_min(src, event_id) AS src, CAST(arg_min(sport, event_id) AS BIGINT) AS src_port, arg_min(dst, event_id) AS dst, CAST(arg_min(dport, event_id) AS BIGINT) AS dst_port, count(*) AS packets, CAST(sum(original_length) AS BIGINT) AS bytes,
  round((max(ts_us) - min(ts_us)) / 1e6, 3) AS duration_secs FROM pk WHERE transport = 'tcp' AND event_id < 2048 GROUP BY 1"""),
 )(lambda p: stats.tcp_streams(p.where(F.col("capture_id") == "c0"), None).withColumn("src_port", F.col("src_port").cast("long")).withColumn("dst_port", F.col("dst_port").cast("long")))
+_add(
+    "a04_tcp_streams_all",
+    _select("""SELECT capture_id, user_id AS stream_id, arg_min(src, event_id) AS src, CAST(arg_min(sport, event_id) AS BIGINT) AS src_port, arg_min(dst, event_id) AS dst, CAST(arg_min(dport, event_id) AS BIGINT) AS dst_port, count(*) AS packets, CAST(sum(original_length) AS BIGINT) AS bytes,
+ round((max(ts_us) - min(ts_us)) / 1e6, 3) AS duration_secs FROM pk WHERE transport = 'tcp' GROUP BY 1, 2"""),
+)(lambda p: stats.tcp_streams(p, None, by=["capture_id"]).withColumn("src_port", F.col("src_port").cast("long")).withColumn("dst_port", F.col("dst_port").cast("long")))
 _RTT = """q AS (SELECT *, sum(CASE WHEN event_id % 2 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY capture_id, user_id % 16 ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM pk WHERE event_type = 'purchase'),
 pairs AS (SELECT capture_id, min(CASE WHEN event_id % 2 = 0 THEN number END) AS query_number, max(CASE WHEN event_id % 2 = 1 THEN number END) AS response_number,
  (max(CASE WHEN event_id % 2 = 1 THEN ts_us END) - arg_min(ts_us, CASE WHEN event_id % 2 = 0 THEN number END)) / 1e6 AS rtt FROM q GROUP BY capture_id, user_id % 16, coalesce(g, 0)
