@@ -30,7 +30,7 @@ def _fingerprints(size: int, step: int = 1 << 21):
 
     def run(batches):
         for batch in batches:
-            data, offsets = buffer_of(batch.column(1))
+            data, offsets = buffer_of(batch.column(-1))
             out = []
             for i, j in slices(offsets, step):
                 base = offsets[i]
@@ -53,14 +53,15 @@ def _fingerprints(size: int, step: int = 1 << 21):
                     else:
                         h = [digest(text[first[a] : last[b - 1]], 42)] if n else []
                     out.append(simhash64(np.array(h, np.uint64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(out, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.array(out, np.uint64).view(np.int64))], [*batch.schema.names[:-1], "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed long."""
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    """``doc_id, fp``: the fingerprint as a signed long; a column ``row_key`` goes along."""
+    keys = [F.col(c).cast("long") for c in ("doc_id", "row_key") if c in docs.columns]
+    return docs.select(*keys, text_of().alias("text")).mapInArrow(_fingerprints(shingle), "".join(f"{c} long, " for c in ("doc_id", "row_key") if c in docs.columns) + "fp long")
 
 
 # ---------------------------------------------------------------- anchors
@@ -247,19 +248,25 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, most_bits: int = 3) ->
     a row each; a null ``doc_id`` is never the smallest of a component, which is null only if all
     its ids are. Further columns are ignored; an empty table gives no rows.
     """
-    marks = materialise(fingerprints(docs, shingle), "fingerprints")
-    nodes = materialise(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = materialise(components(near_links(nodes.select("fp"), most_bits)), "components")
-    placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    marks, roots = _classes(docs, shingle, most_bits)
+    placed = marks.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     multi = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = placed.join(multi, "root").select("fp", "component_id")
     return marks.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component (all its own columns).
+def _classes(docs: DataFrame, shingle: int, most_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows, and ``fp, root`` of those that are linked to another."""
+    marks = materialise(fingerprints(docs, shingle), "fingerprints")
+    nodes = materialise(marks.select("fp").distinct(), "distinct-fingerprints")
+    roots = materialise(components(near_links(nodes, most_bits)).withColumnRenamed("node", "fp"), "components")
+    return marks, roots
 
-    Rows without an id stay where no row of their component has one.
-    """
-    first = near_duplicates(docs.select("doc_id", "text"), **options).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(first, docs.doc_id.eqNullSafe(first.kept_id), "left_semi").select(*docs.columns)
+
+def keep_one(docs: DataFrame, *, shingle: int = 3, most_bits: int = 3) -> DataFrame:
+    """One row of ``docs`` for each component, chosen as in ``near_copies.keep_one``."""
+    from .near_copies import first_rows, row_key
+
+    marks, roots = _classes(docs.select("doc_id", "text", row_key().alias("row_key")), shingle, most_bits)
+    placed = marks.join(roots, "fp", "left").select("doc_id", "row_key", F.coalesce("root", "fp").alias("root"))
+    return first_rows(docs, placed)
