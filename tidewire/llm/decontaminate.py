@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 from .common import buffer_of, lowered, materialise, mixed, slices, text_of
 
 Q = 8
+#: Places of items that are looked at together.
+HITS = 1 << 20
 SPAN = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("edits", T.IntegerType())]))
 _SPACES = np.array([9, 10, 11, 12, 13], np.uint32)
 
@@ -32,6 +35,45 @@ def _grams(codes: np.ndarray, q: int) -> np.ndarray:
     return mixed(h)
 
 
+class ShortItems:
+    """Whole items that are too short for windows, found as they are, between word borders."""
+
+    def __init__(self):
+        self.ids: dict[str, list[int]] = {}
+        self.automaton = None
+
+    def __getstate__(self) -> dict:
+        return {"ids": self.ids, "automaton": None}  # made again where it is used
+
+    def add(self, item_id: int, codes: np.ndarray) -> None:
+        text = " ".join(codes.astype("<u4").tobytes().decode("utf-32-le", "replace").split(" ")).strip()
+        text = " ".join(x for x in text.split(" ") if x)
+        if any(map(str.isalnum, text)):
+            self.ids.setdefault(text, []).append(item_id)
+
+    def find(self, codes: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        """Row, item, start and end in the row, and edits (none), of each occurrence."""
+        if not self.ids:
+            return []
+        if self.automaton is None:
+            self.automaton = ahocorasick.Automaton()
+            for text in self.ids:
+                self.automaton.add_word(text, text)
+            self.automaton.make_automaton()
+        found: list[tuple[int, int, int, int, int]] = []
+        for row, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+            part = codes[a:b]
+            # of several spaces in a row the first counts
+            places = np.flatnonzero((part != 32) | np.concatenate([[True], part[:-1] != 32]))
+            text = part[places].astype("<u4").tobytes().decode("utf-32-le", "replace")
+            for end, item in self.automaton.iter(text):
+                start = end - len(item) + 1
+                inner = (item[0].isalnum() and start and text[start - 1].isalnum()) or (item[-1].isalnum() and end + 1 < len(text) and text[end + 1].isalnum())
+                if not inner:
+                    found += [(row, k, int(places[start]), int(places[end]) + 1, 0) for k in self.ids[item]]
+        return [tuple(np.array(x) for x in zip(*found))] if found else []
+
+
 class Probe:
     """Windows of the items, their edit budgets, and an index of their q-grams.
 
@@ -44,9 +86,11 @@ class Probe:
     def __init__(self, items: list[tuple[int, str]], window: int, rate: float, least: int, q: int = Q):
         self.q, self.codes, item, budget, at = q, [], [], [], []
         hashes, unit, place = [], [], []
+        self.short = ShortItems()
         for item_id, text in items:
             codes = _code_points(np.frombuffer((text or "").encode(), np.uint8))
             if len(codes) < least:
+                self.short.add(item_id, codes)
                 continue
             starts = list(range(0, max(1, len(codes) - window + 1), window // 2))
             if starts[-1] + window < len(codes):
@@ -84,6 +128,22 @@ class Probe:
         ok = key < len(self.keys)
         ok[ok] = self.keys[key[ok]] == h[pos][ok]
         pos, key = pos[ok], key[ok]
+        # a hit stands for every place of its q-gram in the items; some of them at a time
+        cost = np.cumsum(self.first[key + 1] - self.first[key])
+        done, i = [], 0
+        while i < len(pos):
+            j = max(i + 1, int(np.searchsorted(cost, (cost[i - 1] if i else 0) + HITS, side="right")))
+            done.append(self._bands(pos[i:j], key[i:j], at, gap))
+            i = j
+            if sum(len(x[0]) for x in done) > HITS:
+                done = [_summed(done)]
+        where, row, count = _summed(done) if done else (np.zeros(0, np.int64),) * 3
+        keep = count >= self.needed[where >> 40]
+        where, row = where[keep], row[keep]
+        return row, where >> 40, ((where & ((1 << 40) - 1)) << self.shift) - gap - row * gap - at[row]
+
+    def _bands(self, pos: np.ndarray, key: np.ndarray, at: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Window and band as one number, document row and q-grams of each band hit."""
         n = self.first[key + 1] - self.first[key]
         entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[key], n)
         pos = np.repeat(pos, n)
@@ -95,11 +155,16 @@ class Probe:
         low = (diagonal & ((1 << self.shift) - 1)) < 2 * self.drift + 1
         band = np.concatenate([band, band[low] - 1])
         unit, row = np.concatenate([unit, unit[low]]), np.concatenate([row, row[low]])
-        where = unit.astype(np.int64) << 40 | band
-        where, head, count = np.unique(where, return_index=True, return_counts=True)
-        keep = count >= self.needed[where >> 40]
-        where, row = where[keep], row[head[keep]]
-        return row, where >> 40, ((where & ((1 << 40) - 1)) << self.shift) - gap - row * gap - at[row]
+        where, head, count = np.unique(unit.astype(np.int64) << 40 | band, return_index=True, return_counts=True)
+        return where, row[head], count
+
+
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if len(parts) == 1:
+        return parts[0]
+    where, row, count = (np.concatenate(x) for x in zip(*parts))
+    where, head, place = np.unique(where, return_index=True, return_inverse=True)
+    return where, row[head], np.bincount(place, count, len(where)).astype(np.int64)
 
 
 def _align(patterns: np.ndarray, codes: np.ndarray, low: np.ndarray, begin: np.ndarray, end: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +234,8 @@ def _scan(handle, text_at: int, carry: list[int], schema: pa.Schema, old_at: int
                 part = data[offsets[i] : offsets[j]]
                 chars = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
                 at = chars[offsets[i : j + 1] - offsets[i]]
-                spans = _merged(_verified(probe, _code_points(part), at) if len(probe.codes) else [], j - i)
+                codes = _code_points(part)
+                spans = _merged((_verified(probe, codes, at) if len(probe.codes) else []) + probe.short.find(codes, at), j - i)
                 if old_at is not None:
                     spans = [(a or []) + b for a, b in zip(batch.column(old_at).slice(i, j - i).to_pylist(), spans)]
                 columns = [batch.column(k).slice(i, j - i) for k in carry]
@@ -187,8 +253,14 @@ def locate(docs: DataFrame, benchmark: DataFrame, *, carry: list[str] | None = N
     q-gram index (some 40 bytes a code point) is sent to the executors; each block passes over
     the documents in turn.
 
-    Null or empty text and null items: no spans. Items under ``least`` code points are too short
-    to tell and match nothing. Equal items each give a span. A column ``spans`` of ``docs`` is
+    An item of under ``least`` code points matches as a whole and without edits, between word
+    borders, runs of white space being one space; one without a letter or digit matches nothing.
+    Part of a longer item is sure to be found if it holds a whole window, so from
+    ``3 * window / 2`` code points on, and never if it is much shorter than one.
+
+    Null or empty text and null items: no spans. Equal items each give a span, overlapping matches
+    of one item in a text are one span. A very long text is worked on as a whole, with memory that
+    grows with its length, and with the number of its regions that look like an item's. A column ``spans`` of ``docs`` is
     replaced; further columns are carried as they are. An empty table on either side is no error.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -213,5 +285,8 @@ def locate(docs: DataFrame, benchmark: DataFrame, *, carry: list[str] | None = N
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without any span, with their own columns."""
+    """The rows of ``docs`` without any span, with their own columns; as ``locate`` for odd rows.
+
+    Null and empty texts stay, and so does each of several equal rows.
+    """
     return locate(docs, benchmark, **options).where(F.size("spans") == 0).select(*docs.columns)
