@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,7 @@ ENCODINGS = {
     "digits": "0123456789",
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "abcdefghijklmnopqrstuvwxyz0123456789",
     "BASE36": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
@@ -54,8 +57,10 @@ ENCODINGS = {
 _SYMBOLS = {name: {c: i for i, c in enumerate(alphabet)} for name, alphabet in ENCODINGS.items()}
 _SETS = {name: frozenset(alphabet) for name, alphabet in ENCODINGS.items()}
 
-#: A candidate: a long run of encoding characters with a digit in it. Words of prose have none.
+#: A candidate: a long run of encoding characters.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: What a run is cut at that is of no alphabet as a whole.
+_PARTS = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9]{16,}")
 
 
 def infer(token: str) -> str | None:
@@ -115,18 +120,33 @@ def stratum(n: int) -> int:
 
 
 def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str, float]]:
-    """Start, end, encoding and p-value of each candidate that no base span touches."""
+    """Start, end, encoding and p-value of each candidate that no base span touches.
+
+    A run that mixes the signs of two alphabets is cut at ``-`` and ``_``, and its parts are
+    tested. ``taken`` is by start; the least end before each place and the next start decide.
+    """
     out = []
-    for m in CANDIDATE.finditer(text):
-        token = m.group()
-        if not any(c.isdigit() for c in token) or any(s < m.end() and m.start() < e for s, e, _ in taken):
-            continue
+    starts = [s for s, _, _ in taken]
+    ends = list(accumulate((e for _, e, _ in taken), max))
+
+    def test(start: int, token: str) -> None:
+        end = start + len(token)
+        k = bisect_left(starts, end)  # spans that begin before the token's end
+        if k and ends[k - 1] > start:
+            return
         # one kind of character in runs (a word, then a number) is a name, not a key
         changes = sum(a.isdigit() != b.isdigit() or a.isupper() != b.isupper() for a, b in zip(token, token[1:]))
         if changes * 8 < len(token) and not token.isdigit():
-            continue
+            return
         if tested := battery(token):
-            out.append((m.start(), m.end(), *tested))
+            out.append((start, end, *tested))
+        elif len(token) >= 16 and infer(token) is None:
+            for m in _PARTS.finditer(token):
+                if m.end() - m.start() < len(token):
+                    test(start + m.start(), m.group())
+
+    for m in CANDIDATE.finditer(text):
+        test(m.start(), m.group())
     return out
 
 
@@ -168,29 +188,41 @@ def thresholds(counts: list[tuple[str, int, int, int]], share: float) -> dict[tu
     return out
 
 
+def _cell(length: Column, p: Column) -> tuple[Column, Column]:
+    return sum((length >= n).cast("int") for n in LENGTHS), F.least(F.floor(p * BINS), F.lit(BINS - 1)).cast("int")
+
+
+def _accepted(tested: DataFrame, share: float) -> dict[tuple[str, int], int]:
+    """The lowest accepted bin of each stratum, from rows ``t`` of all documents' candidates.
+
+    Encodings x lengths x bins numbers reach the driver, whatever the corpus.
+    """
+    length, cell = _cell(F.col("t.end") - F.col("t.start"), F.col("t.p"))
+    rows = tested.groupBy(F.col("t.encoding").alias("encoding"), length.alias("length"), cell.alias("cell")).count().collect()
+    return thresholds([(r.encoding, r.length, r.cell, r["count"]) for r in rows], share)
+
+
 def find(docs: DataFrame, *, share: float = 0.1, floor: float = 0.001) -> DataFrame:
     """``doc_id, base, spans``: the fixed patterns' matches, and those with the method's added.
 
     Candidates pass the battery if their p-value is over ``floor`` and in an accepted bin of
-    their stratum; the bins are counted over all documents (encodings x lengths x bins numbers,
-    whatever the corpus), so false discoveries are controlled where they arise, among tokens of
-    like length. Offsets are code points, ends exclusive. Kinds: assign, access, hex, random.
+    their stratum; the bins are counted over all documents, so false discoveries are controlled
+    where they arise, among tokens of like length. Offsets are code points, ends exclusive.
+    Kinds: assign, access, hex, random.
 
     Null or empty text: no spans. Repeated and null ids keep a row each; further columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows. Spans of two kinds at one place are both kept. A very
+    long text takes time in proportion to its length.
     """
     scanned = materialise(docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(_scan, f"doc_id long, base {SPANS}, tested {CANDIDATES}"), "secret-scan")
-    length = sum((F.col("t.end") - F.col("t.start") >= n).cast("int") for n in LENGTHS)
-    cell = F.least(F.floor(F.col("t.p") * BINS), F.lit(BINS - 1)).cast("int")
-    rows = scanned.select(F.explode("tested").alias("t")).groupBy(F.col("t.encoding").alias("encoding"), length.alias("length"), cell.alias("cell")).count().collect()
-    accepted = thresholds([(r.encoding, r.length, r.cell, r["count"]) for r in rows], share)
+    accepted = _accepted(scanned.select(F.explode("tested").alias("t")), share)
 
     def passes(t):
-        size = sum((t["end"] - t["start"] >= n).cast("int") for n in LENGTHS)
+        size, cell = _cell(t["end"] - t["start"], t["p"])
         least = F.lit(BINS)
         for (encoding, stratum_), low in accepted.items():
             least = F.when((t["encoding"] == encoding) & (size == stratum_), F.lit(low)).otherwise(least)
-        return (t["p"] > floor) & (F.floor(t["p"] * BINS) >= least)
+        return (t["p"] > floor) & (cell >= least)
 
     if not accepted:
         return scanned.select("doc_id", "base", F.col("base").alias("spans"))
@@ -210,24 +242,43 @@ def summary(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *map(count, KINDS), F.sha2(ordered(F.col("base")).cast("binary"), 256).alias("base_sha256"), ordered(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
+def _masked(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """Every span as ``mark``; overlapping ones as one."""
+    out, at = [], 0
+    for start, end in sorted(spans):
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame, mark: str = "[SECRET]", *, share: float = 0.1, floor: float = 0.001) -> DataFrame:
     """``docs`` with every span of its texts replaced by ``mark``; ``n_chars``, if there, follows.
 
-    Rows are matched to their spans by a hash of id and text, so repeated ids stay apart.
+    Two passes over the documents, without a shuffle of texts: the first counts the candidates'
+    strata, the second finds the spans again and masks them in place.
+
+    Null texts stay null. Every row stays, with its own columns, also where rows or ids repeat.
+    Spans that overlap become one mark. Columns may have any names.
     """
-    row, marks = "_secret_row", "_secret_spans"
-    rows = docs.withColumn(row, F.xxhash64("doc_id", text_of()))
-    found = find(rows.select(F.col(row).alias("doc_id"), "text").distinct(), **options).where(F.size("spans") > 0).select(F.col("doc_id").alias(row), F.col("spans").alias(marks)).dropDuplicates([row])
-
-    def cut(state, span):
-        gap = F.greatest(span["start"] - state["at"], F.lit(0))
-        piece = F.concat(F.substring("text", state["at"] + 1, gap), F.when(span["start"] >= state["at"], F.lit(mark)).otherwise(F.lit("")))
-        return F.struct(F.concat(state["text"], piece).alias("text"), F.greatest(state["at"], span["end"]).alias("at"))
-
-    in_order = F.array_sort(F.transform(marks, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    text = F.aggregate(in_order, F.struct(F.lit("").alias("text"), F.lit(0).alias("at")), cut, lambda s: F.concat(s["text"], F.substring("text", s["at"] + 1, F.length("text"))))
-    plain = F.col(marks).isNull()
-    joined = rows.join(found, row, "left").withColumn("text", F.when(plain, F.col("text")).otherwise(text))
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(plain, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return joined.select(*docs.columns)
+    tested = docs.select(F.lit(None).cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(_scan, f"doc_id long, base {SPANS}, tested {CANDIDATES}")
+    accepted = _accepted(tested.select(F.explode("tested").alias("t")), share)
+    at, counted = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def spans_in(text: str) -> list[tuple[int, int]]:
+        base = base_spans(text)
+        added = [(s, e) for s, e, encoding, p in candidates(text, base) if p > floor and min(BINS - 1, int(p * BINS)) >= accepted.get((encoding, stratum(e - s)), BINS)]
+        return [(s, e) for s, e, _ in base] + added
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            new = {k: _masked(t, spans, mark) for k, t in enumerate(texts) if t and (spans := spans_in(t))}
+            columns = list(batch.columns)
+            if new:
+                columns[at] = pa.array([new.get(k, t) for k, t in enumerate(texts)], columns[at].type)
+            if new and counted is not None:
+                columns[counted] = pa.array([len(new[k]) if k in new else n for k, n in enumerate(columns[counted].to_pylist())], columns[counted].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
