@@ -101,9 +101,10 @@ def _pieces(path: str, end_id: int, capacity: int, step: int = 1 << 21):
 
 def _packed(capacity: int):
     def run(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.repeat(np.arange(len(table)), table.column("copies").to_numpy())))
         bins, places = best_two_fit(table.column("length").to_numpy(), capacity)
         shard = table.column("shard")[0].as_py() if len(table) else 0
-        return table.drop_columns(["shard"]).append_column("sequence_id", pa.array(bins + (shard << 40))).append_column("offset", pa.array(places))
+        return table.drop_columns(["shard", "copies"]).append_column("sequence_id", pa.array(bins + (shard << 40))).append_column("offset", pa.array(places))
 
     return run
 
@@ -111,14 +112,21 @@ def _packed(capacity: int):
 def pack(docs: DataFrame, *, capacity: int = 2048, vocabulary: str | None = None, end_id: int = 0, rows_per_shard: int = 8192) -> DataFrame:
     """Packs every document's ids, cut only where longer than ``capacity``.
 
-    Pieces (lengths and checksums, no ids) are dealt evenly by a hash of document and piece to
-    shards of about ``rows_per_shard`` documents, so every shard sees the same mix of lengths and
-    wastes at most about one sequence; no key can be hot. Shards are packed independently.
+    Pieces (lengths and checksums, no ids) are dealt evenly by a hash to shards of about
+    ``rows_per_shard`` documents, so every shard sees the same mix of lengths and wastes at most
+    about one sequence. Equal pieces of one id travel as one with a count, and go to many shards
+    where there are many of them, so no key can be hot. Shards are packed independently.
 
     Null or empty text: a piece of the end id alone. Null and repeated ``doc_id`` are kept as
-    rows of their own. Further columns are ignored. An empty table gives no rows.
+    rows of their own. A very long text is as many pieces as it fills. Of pieces of one length
+    any may be taken first. Further columns are ignored. An empty table gives no rows.
     """
     shards = max(1, -(-docs.count() // rows_per_shard))
     pieces = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(vocabulary or word_vocabulary(), end_id, capacity), PIECE)
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("long")
-    return pieces.withColumn("shard", shard).groupBy("shard").applyInArrow(_packed(capacity), PIECE + ", sequence_id long, offset long")
+    names = pieces.columns
+    most = max(1, rows_per_shard // 8)
+    counted = pieces.groupBy(*names).agg(F.count("*").alias("n"))
+    part = F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / most).cast("int")))
+    dealt = counted.select(*names, "n", part.alias("part")).withColumn("copies", F.least(F.lit(most), F.col("n") - F.col("part") * most))
+    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "part"), F.lit(shards)).cast("long")
+    return dealt.select(*names, "copies", shard.alias("shard")).groupBy("shard").applyInArrow(_packed(capacity), PIECE + ", sequence_id long, offset long")
