@@ -10,9 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import buffer_of, shared_folder, slices
+from .common import buffer_of, materialise, shared_folder, slices
 from .tokens import held, word_vocabulary
 
+#: Shards whose token counts are summed together.
+BLOCK = 1000
+#: Rows of 16 bytes that are sent to all executors at most; beyond that a join shuffles.
+MOST_SENT = 1_000_000
 SCHEMA = "doc_id long, shard int, shard_start long, n_tokens int, token_ids array<int>"
 
 
@@ -40,22 +44,27 @@ def _batches(path: str, end_id: int, step: int = 1 << 21):
     return run
 
 
-def write_token_files(docs: DataFrame, path: str | None = None, *, vocabulary: str | None = None, end_id: int = 2, rows_per_shard: int = 8192, row_group_bytes: int = 16 << 20, page_rows: int = 512) -> str:
+def write_token_files(docs: DataFrame, path: str | None = None, *, vocabulary: str | None = None, end_id: int = 2, shard_bytes: int = 24 << 20, row_group_bytes: int = 16 << 20, page_rows: int = 512) -> str:
     """Writes one token list per document, in ascending ``doc_id`` order, and returns the folder.
 
-    Documents are dealt to range shards by id and sorted; each shard is one file with the columns
-    ``doc_id, shard, shard_start, n_tokens, token_ids``. Ids keep a dictionary (a few hot tokens
-    make most of a text); the ascending numbers are delta encoded. Row groups have a byte bound,
-    pages a row bound, and the writer adds column and offset indexes, so a reader can take the
-    metadata alone or the pages of a few documents.
+    Documents are dealt to range shards of about ``shard_bytes`` of text by id, then by a hash of
+    the text, so many rows of one id need not share a shard, and sorted; each shard is one file
+    with the columns ``doc_id, shard, shard_start, n_tokens, token_ids``. Ids keep a dictionary (a
+    few hot tokens make most of a text); the ascending numbers are delta encoded. Row groups have
+    a byte bound, pages a row bound, and the writer adds column and offset indexes, so a reader
+    can take the metadata alone (``read_lengths``) or the pages of a few documents
+    (``read_tokens``).
 
     Null or empty text: a list with the end id only. Null ``doc_id`` sorts first. Repeated ids
-    are kept, next to each other. Further columns are ignored. An empty table gives no rows.
+    are kept, next to each other, in the order of their texts' hashes. A very long text is one
+    list. Further columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     path = path or f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
-    shards = max(spark.sparkContext.defaultParallelism, -(-docs.count() // rows_per_shard))
-    docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id").mapInArrow(_batches(vocabulary or word_vocabulary(), end_id), SCHEMA).write.options(
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(spark.sparkContext.defaultParallelism, -(-size // shard_bytes))
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie"))
+    rows.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text").mapInArrow(_batches(vocabulary or word_vocabulary(), end_id), SCHEMA).write.options(
         **{
             "compression": "zstd",
             "parquet.block.size": str(row_group_bytes),
@@ -74,6 +83,16 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
+def read_lengths(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id, shard, shard_start, n_tokens``: the columns of ids are not read."""
+    return read_token_files(spark, path).drop("token_ids")
+
+
+def read_tokens(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """The lists of documents ``first`` to ``last``: files and pages whose ids lie apart are passed over."""
+    return read_token_files(spark, path).where(F.col("doc_id").between(first, last))
+
+
 def _checksums(batches):
     for batch in batches:
         lists = batch.column(3)
@@ -85,9 +104,15 @@ def _checksums(batches):
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """Per document: its place among all ids and a checksum of its ids, read from the files.
 
-    A shard's first place is the sum of the shards before it; that table has one row per shard.
+    A shard's first place is the sum of the shards before it: of whole blocks of ``BLOCK`` shards,
+    then of those of its own block. The lengths are read by themselves for that.
     """
     files = read_token_files(spark, path)
-    totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    first = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("first"))
-    return files.join(F.broadcast(first), "shard").select("doc_id", (F.col("first") + F.col("shard_start")).alias("start"), F.col("n_tokens").cast("long"), "token_ids").mapInArrow(_checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("block", F.floor(F.col("shard") / BLOCK))
+    blocks = totals.groupBy("block").agg(F.sum("n").alias("of_block"))
+    before = blocks.select("block", (F.sum("of_block").over(Window.orderBy("block")) - F.col("of_block")).alias("before"))
+    inside = F.sum("n").over(Window.partitionBy("block").orderBy("shard")) - F.col("n")
+    first = totals.withColumn("inside", inside).join(before, "block").select("shard", (F.col("before") + F.col("inside")).alias("first"))
+    first = materialise(first, "shard-starts")
+    first = F.broadcast(first) if first.count() <= MOST_SENT else first
+    return files.join(first, "shard").select("doc_id", (F.col("first") + F.col("shard_start")).alias("start"), F.col("n_tokens").cast("long"), "token_ids").mapInArrow(_checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
