@@ -174,6 +174,26 @@ def test_secrets(docs, empty):
     assert "AKIA" not in text and text.count("[SECRET]") >= 3
 
 
+def test_letters_only_and_mixed_runs():
+    r = random.Random(7)
+    letters, base64 = ("".join(r.choice(secrets.ENCODINGS[k]) for _ in range(40)) for k in ("letters", "base64"))
+    text = f"a {letters} b path-to_{base64} c getElementByIdentifierName"
+    found = {text[s:e]: (name, p) for s, e, name, p in secrets.candidates(text, [])}
+    assert found[letters][0] == "letters" and base64 in found
+    taken = [(0, 5, "hex"), (2, 3, "hex")]
+    assert letters not in {text[s:e] for s, e, *_ in secrets.candidates(text, taken)}
+
+
+def test_many_secrets_in_one_text(spark):
+    import time
+
+    text = 'token="abcdefghijkl" ' * 100_000
+    began = time.time()
+    assert len(secrets.base_spans(text)) == 100_000
+    clean = secrets.redact(spark.createDataFrame([(1, text), (1, text), (2, None)], "doc_id long, text string")).collect()
+    assert [None if r.text is None else r.text.count("[SECRET]") for r in clean] == [100_000, 100_000, None] and time.time() - began < 60
+
+
 def test_battery_tells_random_from_plain():
     r = random.Random(1)
     alphabet = secrets.ENCODINGS["base62"]
@@ -193,7 +213,7 @@ def test_thresholds_hold_the_share():
 
 
 def test_token_files_round_trip(spark, docs, empty):
-    path = token_files.write_token_files(docs, rows_per_shard=10)
+    path = token_files.write_token_files(docs, shard_bytes=2000)
     tokenizer = held(word_vocabulary()).tokenizer
     want = sorted(((i, tokenizer.encode(t or "", add_special_tokens=False).ids + [2]) for i, t in texts()), key=lambda x: (x[0] is not None, x[0] or 0))
     files = [(r.doc_id, list(r.token_ids)) for r in token_files.read_token_files(spark, path).orderBy("shard", "shard_start").collect()]
@@ -206,12 +226,79 @@ def test_token_files_round_trip(spark, docs, empty):
     assert token_files.token_index(spark, token_files.write_token_files(empty)).count() == 0
 
 
+def scanned_rows(df) -> int:
+    """Rows that the file scan of a collected DataFrame gave."""
+    df._jdf.collectToPython()
+    plan = df._jdf.queryExecution().executedPlan()
+    return plan.collectLeaves().head().metrics().apply("numOutputRows").value()
+
+
+def test_selective_reads(spark):
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some words of"), F.col("id").cast("string")).alias("text"))
+    path = token_files.write_token_files(rows, page_rows=64)
+    few = token_files.read_tokens(spark, path, 100, 110)
+    assert sorted(r.doc_id for r in few.collect()) == list(range(100, 111))
+    assert scanned_rows(few) <= 256  # some pages of 64 rows, not 6000
+    lengths = token_files.read_lengths(spark, path)
+    assert "token_ids" not in lengths._jdf.queryExecution().executedPlan().toString() and lengths.count() == 6000
+
+
+def test_words_that_polynomials_confuse(spark):
+    """The Thue-Morse word of 1024 letters and its complement are two words."""
+    one = "a"
+    while len(one) < 1024:
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, one), (2, other), (3, f"{one} {one}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    tokenizer = held(word_vocabulary()).tokenizer
+    ids = {i: np.array(tokenizer.encode(t, add_special_tokens=False).ids + [2], "<u4") for i, t in rows}
+    got = {r.doc_id: r.ids_crc32 for r in token_files.token_index(spark, token_files.write_token_files(df)).collect()}
+    assert got == {i: zlib.crc32(x.tobytes()) for i, x in ids.items()}
+    assert {(r.doc_id, r.piece): r.length for r in packing.pack(df).collect()} == {(i, 0): len(x) for i, x in ids.items()}
+    got = {r.doc_id: (r.n_tokens, r.n_known) for r in language_model.score(df, F.col("doc_id") == 2).collect()}
+    assert got == {1: (2, 2), 2: (2, 1), 3: (3, 3)}
+
+
+def test_many_rows_in_a_batch(spark):
+    """Documents of a block keep their places above 65,536 rows in one Arrow batch."""
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "100000")
+    try:
+        rows = spark.range(0, 70_000, 1, 1).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("w"), F.col("id") % 5)).alias("text"))
+        got = language_model.score(rows, F.lit(False))
+        assert got.where((F.col("n_tokens") == 1) != (F.col("doc_id") % 7 == 0)).count() == 0 and got.select("doc_id").distinct().count() == 70_000
+        index = token_files.token_index(spark, token_files.write_token_files(rows))
+        assert index.where((F.col("n_tokens") == 1) != (F.col("doc_id") % 7 == 0)).count() == 0 and index.count() == 70_000
+    finally:
+        spark.conf.set(limit, before)
+
+
+def test_equal_rows_are_spread(spark):
+    df = spark.range(50_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("a few words").alias("text"))
+    got = packing.pack(df, capacity=64, rows_per_shard=1000)
+    assert got.count() == 50_000 and got.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 64").count() == 0
+    assert got.select((F.col("sequence_id") / 2**40).cast("int")).distinct().count() > 20
+
+
+def test_keep_one_of_repeated_rows(spark):
+    from tidewire.llm import near_copies
+
+    text = prose(60, 1)
+    rows = [(1, text, "en"), (1, text, "de"), (2, text, "en"), (3, prose(60, 2), "en"), (3, prose(60, 3), "en"), (None, prose(60, 4), "en"), (None, prose(60, 4), "en"), (None, None, "en"), (7, "", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for kept in (simhash.keep_one(df), near_copies.keep_one(df)):
+        assert kept.columns == df.columns
+        assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(1, text), (3, prose(60, 2)), (3, prose(60, 3)), (0, prose(60, 4)), (7, "")])
+
+
 def test_token_files_have_indexes_and_encodings(spark, docs):
     import glob
 
     import pyarrow.parquet as pq
 
-    path = token_files.write_token_files(docs, rows_per_shard=1000)
+    path = token_files.write_token_files(docs)
     meta = pq.ParquetFile(glob.glob(path.removeprefix("file://") + "/*.parquet")[0]).metadata.row_group(0)
     columns = {meta.column(k).path_in_schema.split(".")[0]: meta.column(k) for k in range(meta.num_columns)}
     assert any("DICTIONARY" in e for e in columns["token_ids"].encodings) and any("DELTA" in e for e in columns["shard_start"].encodings)
@@ -266,6 +353,20 @@ def test_decontamination(spark, docs, empty):
     assert 300 not in {r.doc_id for r in decontaminate.clean(docs, bench).collect()}
 
 
+def test_short_items_match_whole(spark):
+    items = spark.createDataFrame([(1, "Ab, cd ef!"), (2, "q"), (3, "..."), (4, "cd")], "item_id long, text string")
+    rows = [(1, "x ab,  cd EF! y"), (2, "xab, cd ef!"), (3, "q..."), (4, "aq qa"), (5, None), (6, "cdx cd")]
+    got = {r.doc_id: [(s.item_id, s.start, s.end) for s in r.spans] for r in decontaminate.locate(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == {1: [(1, 2, 13), (4, 7, 9)], 2: [(4, 5, 7)], 3: [(2, 0, 1)], 4: [], 5: [], 6: [(4, 4, 6)]}
+
+
+def test_runs_of_one_character(spark):
+    items = spark.createDataFrame([(1, f"{prose(8, 1)} {'-' * 60} {prose(8, 2)}")], "item_id long, text string")
+    rows = [(1, "-" * 200_000), (2, f"{prose(8, 1)} {'-' * 60} {prose(8, 2)}")]
+    got = {r.doc_id: len(r.spans) for r in decontaminate.locate(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == {1: 0, 2: 1}
+
+
 def test_edit_budget_against_full_alignment():
     r = random.Random(4)
     window = "".join(r.choice("abcdefgh ") for _ in range(96))

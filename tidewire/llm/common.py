@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,10 +42,21 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
 
     Cuts lineage: the table survives the loss of any executor.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return stored(df, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}", **options)
+
+
+def stored(df: DataFrame, path: str, **options: str) -> DataFrame:
     df.write.options(**{"compression": "zstd", **options}).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.shared_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Removes the files of a table made by ``materialise``, once nothing will read it again."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.shared_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -81,13 +93,14 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int):
-    """Row ranges of about ``most`` bytes each (a longer row is a range of its own)."""
+def slices(offsets: np.ndarray, most: int, most_rows: int = 1 << 14):
+    """Row ranges of about ``most`` bytes each (a longer row is a range of its own) and ``most_rows`` at most."""
     n, i = len(offsets) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
+        j = min(j, n, i + most_rows)
+        yield i, j
+        i = j
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -111,12 +124,6 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-_SEED = np.random.default_rng(20240229)
-_BYTE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_UNBASE = pow(_BASE, -1, 2**64)
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective mixing of 64-bit values."""
     x = x.astype(np.uint64, copy=True)
@@ -126,23 +133,52 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    p = np.full(n, base, np.uint64)
-    p[0] = 1
-    return np.multiply.accumulate(p)
+#: Spans up to this many bytes are hashed side by side, 8 bytes a step; longer ones by XXH64.
+SHORT = 64
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
 
-class Hasher:
-    """64-bit polynomial hashes of any spans of a byte buffer."""
+class Spans:
+    """Hashes and compares any spans of a byte buffer by 8-byte words."""
 
     def __init__(self, data: np.ndarray):
-        n = len(data) + 1
-        self.back = _powers(_UNBASE, n)
-        self.sums = np.zeros(n, np.uint64)
-        np.cumsum(_BYTE[data] * _powers(_BASE, n)[:-1], out=self.sums[1:])
-
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[ends] - self.sums[starts]) * self.back[starts] + (ends - starts).astype(np.uint64))
+        self.data = np.concatenate([data, np.zeros(8, np.uint8)])
+        self.words = np.ndarray((len(data) + 1,), "<u8", self.data, 0, (1,))
+
+    def _word(self, starts: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The next 8 bytes, those past the end as zeros."""
+        return self.words[starts] & _KEEP[np.minimum(left, 8)]
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """64-bit hashes; every step mixes all bits, so no shape of text collides by rule."""
+        length = ends - starts
+        out = mixed(self._word(starts, length) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        at = np.flatnonzero((length > 8) & (length <= SHORT))
+        step = 8
+        while len(at):
+            out[at] = mixed(out[at] * np.uint64(0x2545F4914F6CDD1D) ^ self._word(starts[at] + step, length[at] - step))
+            step += 8
+            at = at[length[at] > step]
+        for k in np.flatnonzero(length > SHORT).tolist():
+            out[k] = xxhash.xxh64_intdigest(self.data[starts[k] : ends[k]], 77)
+        return out
+
+    __call__ = hashes
+
+    def equal(self, starts: np.ndarray, ends: np.ndarray, others: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+        """Whether each span has the bytes of the other one."""
+        length = ends - starts
+        same = length == other_ends - others
+        at, step = np.flatnonzero(same), 0
+        while len(at):
+            small = at[length[at] <= SHORT]
+            same[small] &= self._word(starts[small] + step, length[small] - step) == self._word(others[small] + step, length[small] - step)
+            if not step:
+                for k in at[length[at] > SHORT].tolist():
+                    same[k] = np.array_equal(self.data[starts[k] : ends[k]], self.data[others[k] : other_ends[k]])
+            step += 8
+            at = small[length[small] > step]
+        return same
 
 
 def keys_of(hashes: np.ndarray, salt: int, bits: int) -> np.ndarray:

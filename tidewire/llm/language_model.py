@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, buffer_of, lowered, materialise, mixed, slices, text_of, words_of
+from .common import Spans, buffer_of, lowered, materialise, mixed, slices, text_of, words_of
 from .elias_fano import KEY_BITS, Trie
 
 _MASK = np.uint64((1 << 62) - 1)
@@ -22,7 +22,7 @@ def _keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n = len(bounds) - 1
     at = bounds + np.arange(n + 1)
     keys = np.full(len(starts) + n, END, np.uint64)
-    keys[np.arange(len(starts)) + np.repeat(np.arange(n), np.diff(bounds))] = (Hasher(low)(starts, ends) & _MASK) | np.uint64(4)
+    keys[np.arange(len(starts)) + np.repeat(np.arange(n), np.diff(bounds))] = (Spans(low)(starts, ends) & _MASK) | np.uint64(4)
     return keys, at
 
 
@@ -243,7 +243,8 @@ def score(docs: DataFrame, held_out: Column, *, prior: float = 200.0, block_toke
     one sum for each document. Nothing but the hot words' table (at most four a shard) reaches
     the driver.
 
-    Words are told apart by 62-bit hashes, contexts under a word by 40 bits.
+    Words are told apart by 62-bit hashes, contexts under a word by 40 bits: a shard has at most
+    some 1.5 million contexts of one word, so about one pair of them may merge with another.
 
     Null or empty text: the end alone. No training text: known is 0 and the chances are even.
     Repeated and null ids keep a row each; further columns are ignored; an empty table gives no

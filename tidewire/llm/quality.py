@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, buffer_of, keys_of, lowered, mixed, slices, text_of
+from .common import Spans, buffer_of, keys_of, lowered, mixed, slices, text_of
 from .learning import Leader, labelled_sample, mix
 
 BITS = 18
@@ -42,7 +42,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     starts, ends, bounds = pieces_of(data, offsets)
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    h = Hasher(lowered(data))(starts, ends)
+    h = Spans(lowered(data))(starts, ends)
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     pair = np.flatnonzero(row[1:] == row[:-1])
     joint = np.where(h[pair] == h[pair + 1], np.uint64(1), mixed(h[pair]) + h[pair + 1])

@@ -6,7 +6,7 @@ import os
 
 import numpy as np
 
-from .common import Hasher, lowered, words_of
+from .common import Spans, lowered, words_of
 
 _SIGNS = rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 _TAIL = frozenset(_SIGNS)
@@ -84,12 +84,16 @@ class ChunkTokenizer:
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a UTF-8 buffer, each closed by ``end_id``, and where each row's begin.
 
-        Chunks are told apart by 64-bit hashes within the buffer, so each distinct one is looked
-        up once.
+        Chunks are grouped by 64-bit hashes within the buffer, so each distinct one is looked up
+        once. Those whose bytes are not those of their group's first are groups of their own.
         """
         low = lowered(data)
         starts, ends, bounds = words_of(low, offsets)
-        _, first, chunk = np.unique(Hasher(low)(starts, ends), return_index=True, return_inverse=True)
+        spans = Spans(low)
+        _, first, chunk = np.unique(spans.hashes(starts, ends), return_index=True, return_inverse=True)
+        if len(odd := np.flatnonzero(~spans.equal(starts, ends, starts[first][chunk], ends[first][chunk]))):
+            chunk[odd] = len(first) + np.arange(len(odd))
+            first = np.concatenate([first, odd])
         text = low.tobytes()
         distinct = [text[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
         if len(self.ids) > self.most:

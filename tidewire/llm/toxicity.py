@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, buffer_of, keys_of, lowered, slices, text_of
+from .common import Spans, buffer_of, keys_of, lowered, slices, text_of
 from .learning import Leader, labelled_sample, mix
 from .quality import _CLASS, pieces_of
 
@@ -38,7 +38,7 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     new[1:] = (part[1:] != part[:-1]) | (row[1:] != row[:-1])
     sentence = np.cumsum(new) - 1
     head = np.flatnonzero(new)
-    hasher = Hasher(lowered(data))
+    hasher = Spans(lowered(data))
     keys, of = [keys_of(hasher(starts, ends), 1, BITS)], [sentence]
     for n in PREFIXES:
         long = ends - starts > n
