@@ -93,22 +93,24 @@ ANCHORS = TABLES << 17
 _PLACES = np.stack([np.random.default_rng(k).permutation(BITS)[: CODE_BITS + FREE] for k in range(TABLES)])
 #: What of the fingerprint goes along to the anchors, and how many of its bits may differ there.
 CARRIED, CARRIED_BITS = 2, 36
+#: The tables of the first round, which joins most of every large group by few pairs a node.
+FIRST_TABLES = 8
 #: Leaders of a hot anchor.
 LEADERS = 64
 
 
-def anchors_of(fps: np.ndarray, leader: np.ndarray) -> np.ndarray:
-    """Anchor of each row in each table."""
+def anchors_of(fps: np.ndarray, leader: np.ndarray, tables: int = TABLES) -> np.ndarray:
+    """Anchor of each row in each of the first tables."""
     bits = np.unpackbits(np.ascontiguousarray(fps).astype("<i8").view(np.uint8), axis=1, bitorder="little").astype(np.float32)
-    out = np.empty((len(fps), TABLES), np.int32)
-    for t, places in enumerate(_PLACES):
+    out = np.empty((len(fps), tables), np.int32)
+    for t, places in enumerate(_PLACES[:tables]):
         word = (bits[:, places[:CODE_BITS]] @ (2.0 ** np.arange(CODE_BITS, dtype=np.float32))).astype(np.int64)
         free = (bits[:, places[CODE_BITS:]] @ (2.0 ** np.arange(FREE, dtype=np.float32))).astype(np.int64)
         out[:, t] = (t << 17) | ((word ^ leader[_syndromes(word)]) >> 11 << FREE) | free
     return out
 
 
-def _anchor_rows(only, step: int = 1 << 12):
+def _anchor_rows(only, tables: int, step: int = 1 << 12):
     """A row for each node and table; ``only``: at the anchors whose bit is set."""
 
     def run(batches):
@@ -118,8 +120,8 @@ def _anchor_rows(only, step: int = 1 << 12):
             cols = [c.to_numpy() for c in batch.columns]
             for i in range(0, len(cols[0]), step):
                 part = [c[i : i + step] for c in cols]
-                anchor = anchors_of(np.stack(part[2:], axis=1), leader).ravel()
-                row = np.repeat(np.arange(len(part[0])), TABLES)
+                anchor = anchors_of(np.stack(part[2:], axis=1), leader, tables).ravel()
+                row = np.repeat(np.arange(len(part[0])), tables)
                 if wanted is not None:
                     keep = wanted[anchor]
                     anchor, row = anchor[keep], row[keep]
@@ -128,8 +130,8 @@ def _anchor_rows(only, step: int = 1 << 12):
     return run
 
 
-def _anchor_rows_of(nodes: DataFrame, only=None) -> DataFrame:
-    return nodes.select("node", "comp", *LANES).mapInArrow(_anchor_rows(only), "anchor int, node long, comp long, " + ", ".join(f"{f} long" for f in LANES[:CARRIED]))
+def _anchor_rows_of(nodes: DataFrame, only=None, tables: int = TABLES) -> DataFrame:
+    return nodes.select("node", "comp", *LANES).mapInArrow(_anchor_rows(only, tables), "anchor int, node long, comp long, " + ", ".join(f"{f} long" for f in LANES[:CARRIED]))
 
 
 def _compare(rows: dict, low: int, high: int, budget: int = 1 << 20):
@@ -210,17 +212,17 @@ def _pairs(rows: DataFrame, low: int, high: int) -> DataFrame:
     return dealt.mapInArrow(_candidates(low, high), "u long, v long, more boolean").distinct()
 
 
-def _first_pairs(nodes: DataFrame, most_homes: int) -> DataFrame:
-    """Each node with the first near one of each of its anchors.
+def _first_pairs(nodes: DataFrame, tables: int, most_homes: int) -> DataFrame:
+    """Each node with the first near one of each of its anchors, where that is of another component.
 
     The loads of anchors are taken from an eighth of the nodes, to deal rows out: a hot anchor's
     nodes go to blocks by hash, with some leaders that are in all blocks. What blocks keep apart
     is for the next round, so a hot anchor is always marked. Loads never decide what is found.
     """
     part = nodes.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(8)) == 0)
-    load = _anchor_rows_of(part).groupBy("anchor").agg((8 * F.count("*")).alias("load")).where(F.col("load") > most_homes)
+    load = _anchor_rows_of(part, None, tables).groupBy("anchor").agg((8 * F.count("*")).alias("load")).where(F.col("load") > most_homes)
     hot = materialise(load, "hot-anchors")
-    rows = _anchor_rows_of(nodes)
+    rows = _anchor_rows_of(nodes, None, tables)
     if hot.isEmpty():
         return _pairs(rows.withColumns({"block": F.lit(0), "home": F.lit(True)}), 0, 1)
     rows = rows.join(hot, "anchor", "left")
@@ -310,19 +312,33 @@ def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     return links
 
 
+def _joined_roots(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``node, root`` with further links: these join whole components, so only roots are looked at."""
+    if roots is None:
+        return materialise(components(links), "components")
+    of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    ends = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v"))
+    upper = materialise(components(ends).select(F.col("node").alias("root"), F.col("root").alias("top")), "components")
+    moved = roots.join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    alone = upper.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
+    return materialise(moved.unionByName(alone), "components")
+
+
 def classes(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, most_bits: int = 60, most_homes: int = 4096) -> DataFrame:
     """``doc_id, row_key, root``: a row for each row of ``docs``, with its component."""
     spark = docs.sparkSession
     marks = materialise(sketches(docs, shingle), "sketches")
     nodes = materialise(marks.groupBy("node").agg(F.min_by("row_key", F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("row_key"), *(F.min(c).alias(c) for c in LANES)), "distinct-sketches")
-    found, roots, only = None, None, None
-    for low, high in ((0, 1), (0, 16), (16, 1 << 62)):
+    roots = only = None
+    for tables, low, high in ((FIRST_TABLES, 0, 1), (TABLES, 0, 1), (None, 0, 16), (None, 16, 1 << 62)):
         placed = nodes.withColumn("comp", F.col("node")) if roots is None else nodes.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-        pairs = _first_pairs(placed, most_homes) if only is None else _further_pairs(placed, only, low, high, most_homes)
+        pairs = _first_pairs(placed, tables, most_homes) if tables else _further_pairs(placed, only, low, high, most_homes)
         pairs = materialise(pairs, "pairs")
         links = _similar(pairs.where(~F.col("more")).select("u", "v"), nodes, docs, shingle, least, most_bits)
-        found = links if found is None else found.unionByName(links)
-        roots = materialise(components(found), "components")
+        roots = _joined_roots(roots, links)
+        if tables == FIRST_TABLES:  # the next round looks at all anchors anyway
+            discard(pairs)
+            continue
         marked = bitmap(pairs.where("more").select(F.col("u").alias("n")), ANCHORS.bit_length() - 1)
         discard(pairs)
         if not marked.any():
@@ -336,9 +352,9 @@ def near_copies(docs: DataFrame, **options) -> DataFrame:
 
     Texts with the same shingle set are one node from the start. Nodes that share an anchor in one
     of 64 tables and differ in at most ``most_bits`` of 256 bits are candidates; their shingle sets
-    decide. First each node is tested with one near node an anchor; then, at the anchors where
-    that left some apart, with the others that are not in its component yet, in two rounds. So a
-    large group of near copies is joined without all its pairs, and every candidate is tested or
+    decide. First each node is tested with one near node an anchor, in a few of the tables and
+    then, where that is of another component, in all; then, at the anchors where that left some
+    apart, with the others that are not in its component yet, in two rounds. So a large group of near copies is joined without all its pairs, and every candidate is tested or
     joined. Candidates are probable, not certain: at a similarity of 0.8 a pair shares no anchor
     with a chance of 3 %, at 0.87 of 0.01 %.
 
