@@ -1,27 +1,72 @@
-"""Code tables, and Columns that look codes up in them."""
+"""Code tables, as constants and as a DataFrame to join with."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Sequence
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # The names of protocol codes, as their standards and the output contract have them.
 NGAP_PDU = {0: "initiatingMessage", 1: "successfulOutcome", 2: "unsuccessfulOutcome"}
-NGAP_PROCEDURE = dict(
-    enumerate(
-        "AMFConfigurationUpdate AMFStatusIndication CellTrafficTrace DeactivateTrace DownlinkNASTransport DownlinkNonUEAssociatedNRPPaTransport "
-        "DownlinkRANConfigurationTransfer DownlinkRANStatusTransfer DownlinkUEAssociatedNRPPaTransport ErrorIndication HandoverCancel HandoverNotification "
-        "HandoverPreparation HandoverResourceAllocation InitialContextSetup InitialUEMessage LocationReportingControl LocationReportingFailureIndication "
-        "LocationReport NASNonDeliveryIndication NGReset NGSetup OverloadStart OverloadStop Paging PathSwitchRequest PDUSessionResourceModify "
-        "PDUSessionResourceModifyIndication PDUSessionResourceRelease PDUSessionResourceSetup PDUSessionResourceNotify PrivateMessage PWSCancel "
-        "PWSFailureIndication PWSRestartIndication RANConfigurationUpdate RerouteNASRequest RRCInactiveTransitionReport TraceFailureIndication TraceStart "
-        "UEContextModification UEContextRelease UEContextReleaseRequest UERadioCapabilityCheck UERadioCapabilityInfoIndication UETNLABindingRelease "
-        "UplinkNASTransport UplinkNonUEAssociatedNRPPaTransport UplinkRANConfigurationTransfer UplinkRANStatusTransfer UplinkUEAssociatedNRPPaTransport "
-        "WriteReplaceWarning SecondaryRATDataUsageReport".split()
-    )
-)
+NGAP_PROCEDURE = {
+    0: "AMFConfigurationUpdate",
+    1: "AMFStatusIndication",
+    2: "CellTrafficTrace",
+    3: "DeactivateTrace",
+    4: "DownlinkNASTransport",
+    5: "DownlinkNonUEAssociatedNRPPaTransport",
+    6: "DownlinkRANConfigurationTransfer",
+    7: "DownlinkRANStatusTransfer",
+    8: "DownlinkUEAssociatedNRPPaTransport",
+    9: "ErrorIndication",
+    10: "HandoverCancel",
+    11: "HandoverNotification",
+    12: "HandoverPreparation",
+    13: "HandoverResourceAllocation",
+    14: "InitialContextSetup",
+    15: "InitialUEMessage",
+    16: "LocationReportingControl",
+    17: "LocationReportingFailureIndication",
+    18: "LocationReport",
+    19: "NASNonDeliveryIndication",
+    20: "NGReset",
+    21: "NGSetup",
+    22: "OverloadStart",
+    23: "OverloadStop",
+    24: "Paging",
+    25: "PathSwitchRequest",
+    26: "PDUSessionResourceModify",
+    27: "PDUSessionResourceModifyIndication",
+    28: "PDUSessionResourceRelease",
+    29: "PDUSessionResourceSetup",
+    30: "PDUSessionResourceNotify",
+    31: "PrivateMessage",
+    32: "PWSCancel",
+    33: "PWSFailureIndication",
+    34: "PWSRestartIndication",
+    35: "RANConfigurationUpdate",
+    36: "RerouteNASRequest",
+    37: "RRCInactiveTransitionReport",
+    38: "TraceFailureIndication",
+    39: "TraceStart",
+    40: "UEContextModification",
+    41: "UEContextRelease",
+    42: "UEContextReleaseRequest",
+    43: "UERadioCapabilityCheck",
+    44: "UERadioCapabilityInfoIndication",
+    45: "UETNLABindingRelease",
+    46: "UplinkNASTransport",
+    47: "UplinkNonUEAssociatedNRPPaTransport",
+    48: "UplinkRANConfigurationTransfer",
+    49: "UplinkRANStatusTransfer",
+    50: "UplinkUEAssociatedNRPPaTransport",
+    51: "WriteReplaceWarning",
+    52: "SecondaryRATDataUsageReport",
+}
 NAS_DISCRIMINATOR = {0x2E: "5GS session management", 0x7E: "5GS mobility management"}
 NAS_MM = {
     0x41: "Registration request",
@@ -79,12 +124,35 @@ STUN_METHOD = {1: "Binding"}
 RTP_PAYLOAD = {0: "PCMU", 3: "GSM", 4: "G723", 8: "PCMA", 9: "G722", 18: "G729", 26: "JPEG", 31: "H261", 32: "MPV", 33: "MP2T", 34: "H263"}
 
 
-def look_up(code: Column, table: Mapping[int, str], other: Column | str = "Unknown") -> Column:
-    """The code's name, else ``other``; null for a null code. The tables are constants of the plan."""
-    names = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
-    return F.when(code.isNotNull(), F.coalesce(F.try_element_at(names, code.cast("int")), F.lit(other) if isinstance(other, str) else other))
+#: The tables by the names that the statistics use.
+TABLES: dict[str, dict[int, str]] = {
+    "ngap_pdu": NGAP_PDU,
+    "ngap_procedure": NGAP_PROCEDURE,
+    "nas_discriminator": NAS_DISCRIMINATOR,
+    "nas_mm": NAS_MM,
+    "nas_sm": NAS_SM,
+    "igmp_type": IGMP_TYPE,
+    "igmp_version": IGMP_VERSION,
+    "lldp_tlv": LLDP_TLV,
+    "stun_class": STUN_CLASS,
+    "stun_method": STUN_METHOD,
+    "rtp_payload": RTP_PAYLOAD,
+}
+
+
+def constant(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:
+    """A small table that is part of the plan."""
+    schema = StructType.fromDDL(ddl)
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return spark.createDataFrame(pa.table([pa.array(c, t.type) for c, t in zip(columns, to_arrow_schema(schema))], names=schema.names), schema)
+
+
+def code_rows(spark: SparkSession) -> DataFrame:
+    """``table, code, label``."""
+    return constant(spark, [(name, code, label) for name, codes in TABLES.items() for code, label in codes.items()], "table string, code long, label string")
 
 
-def rtp_payload(code: Column) -> Column:
-    text = code.cast("int").cast("string")
-    return look_up(code, RTP_PAYLOAD, F.when(code.between(96, 127), F.concat(F.lit("Dynamic("), text, F.lit(")"))).otherwise(F.concat(F.lit("PT("), text, F.lit(")"))))
+def rtp_other(code: Column) -> Column:
+    """The name of a payload type that the table lacks."""
+    text = code.cast("string")
+    return F.when(code.between(96, 127), F.concat(F.lit("Dynamic("), text, F.lit(")"))).otherwise(F.concat(F.lit("PT("), text, F.lit(")")))

@@ -49,7 +49,8 @@ def _holds(f: Column, op: str, text: str) -> Column:
         if (value := _number(text, kind)) is not None:
             cases = cases.when(f["kind"] == kind, compare(f["num"], F.lit(value).cast("decimal(20,0)")))
     if op in ("=", "!="):
-        cases = cases.when(f["kind"].isin("str", "bytes"), compare(F.lower(f["str"]), F.lit(text.lower())))
+        # bytes without a text form compare to nothing
+        cases = cases.when(f["kind"] == "str", compare(F.lower(f["str"]), F.lit(text.lower())))
         for kind in ("ipv4addr", "ipv6addr", "macaddr"):
             if (value := _address(text, kind)) is not None:
                 cases = cases.when(f["kind"] == kind, compare(f["str"], F.lit(value)))

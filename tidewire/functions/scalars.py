@@ -63,7 +63,3 @@ def iso_time(ts_us: Column) -> Column:
 
 def media_type(content_type: Column) -> Column:
     return F.trim(F.split_part(content_type, F.lit(";"), F.lit(1)))
-
-
-def round_ms(seconds: Column) -> Column:
-    return F.round(seconds, 3)

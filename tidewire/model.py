@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ FIELD = T.StructType(
         T.StructField("num", T.DecimalType(20, 0)),
         T.StructField("str", T.StringType()),
         T.StructField("name", T.StringType()),
+        # how many of the places in ``elem`` belong to each step of the path; null: one a step, outer ones first
+        T.StructField("depth", T.ArrayType(T.IntegerType())),
     ]
 )
 LAYER = T.StructType(
@@ -44,8 +47,17 @@ PACKETS = T.StructType(
         T.StructField("decode_error", T.StringType()),
         T.StructField("raw", T.BinaryType()),
         T.StructField("layers", T.ArrayType(LAYER)),
+        # what most operators ask for, as plain columns beside the layers
+        T.StructField("src", T.StringType()),
+        T.StructField("dst", T.StringType()),
+        T.StructField("transport", T.StringType()),
+        T.StructField("src_port", T.IntegerType()),
+        T.StructField("dst_port", T.IntegerType()),
+        T.StructField("stream_id", T.LongType()),
+        T.StructField("payload", T.BinaryType()),
     ]
 )
+FLOW = ("src", "dst", "transport", "src_port", "dst_port", "stream_id")
 
 
 def normalised(name: str) -> str:
@@ -67,6 +79,7 @@ def field(path: str, kind: str, value: Column, name: Column | None = None, elem:
         (value.cast("decimal(20,0)") if number else F.lit(None).cast("decimal(20,0)")).alias("num"),
         (F.lit(None).cast("string") if number else value.cast("string")).alias("str"),
         (F.lit(None).cast("string") if name is None else name).alias("name"),
+        F.lit(None).cast("array<int>").alias("depth"),
     )
     return F.when(value.isNotNull(), item)
 
@@ -79,12 +92,24 @@ def layer(idx: int, protocol: str, *fields: Column, label: str | None = None) ->
 
 
 def as_packets(df: DataFrame) -> DataFrame:
-    """``df`` with all packet columns, in order; those it lacks are null, ``stack`` follows the layers."""
+    """``df`` with all packet columns, in order.
+
+    Those that it lacks are null, but for ``stack`` and the flow columns, which follow the layers.
+    """
     if "layers" in df.columns and "stack" not in df.columns:
         df = df.withColumn("stack", stack())
+    if "layers" in df.columns and not set(FLOW) <= set(df.columns):
+        df = with_flow_columns(df)
     return df.select(*(F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in PACKETS))
 
 
+def with_flow_columns(df: DataFrame) -> DataFrame:
+    """Adds or replaces ``src, dst, transport, src_port, dst_port, stream_id`` from the layers."""
+    kept = [F.col(c) for c in df.columns if c not in FLOW]
+    found = df.select(*kept, endpoints().alias("_e"), transport().alias("_t"), first_field(first_layer("TCP"), "stream_id")["num"].cast("long").alias("stream_id"))
+    return found.select(*kept, "_e.src", "_e.dst", "_t.transport", "_t.src_port", "_t.dst_port", "stream_id")
+
+
 # ---------------------------------------------------------------- looking
 
 
@@ -98,6 +123,13 @@ def stack() -> Column:
     return F.array_join(F.transform("layers", lambda x: x["protocol_label"]), ":")
 
 
+def holds(*protocols: str) -> Column:
+    """Whether a packet has a layer of one of exactly these names; cheaper than looking inside layers."""
+    names = F.col("layers.protocol")
+    found = [F.array_contains(names, p) for p in protocols]
+    return F.coalesce(reduce(lambda a, b: a | b, found), F.lit(False))
+
+
 def first_layer(protocol: str, layers: Column | str = "layers") -> Column:
     """The first layer of exactly that name, or null."""
     return F.get(F.filter(layers, lambda x: x["protocol"] == protocol), 0)
@@ -111,6 +143,29 @@ def all_fields(layer_: Column, path: str) -> Column:
     return F.filter(layer_["fields"], lambda f: f["path"] == path)
 
 
+def endpoints() -> Column:
+    """``src, dst`` of the first IPv4 layer, else the first IPv6 layer, else null.
+
+    An IPv4 layer that lacks an address gives null; IPv6 is not looked at then.
+    """
+
+    def pair(layer: Column) -> Column:
+        both = F.struct(first_field(layer, "src")["str"].alias("src"), first_field(layer, "dst")["str"].alias("dst"))
+        return bind(both, lambda e: F.when(e["src"].isNotNull() & e["dst"].isNotNull(), e))
+
+    return bind(first_layer("IPv4"), lambda four: F.when(four.isNotNull(), pair(four)).otherwise(bind(first_layer("IPv6"), pair)))
+
+
+def transport() -> Column:
+    """``transport, src_port, dst_port`` of UDP, else TCP; both ports must be there."""
+
+    def tuple_(name: str) -> Column:
+        flow = lambda x: F.struct(F.lit(name.lower()).alias("transport"), *(first_field(x, p)["num"].cast("int").alias(p) for p in ("src_port", "dst_port")))
+        return bind(bind(first_layer(name), flow), lambda t: F.when(t["src_port"].isNotNull() & t["dst_port"].isNotNull(), t))
+
+    return F.coalesce(tuple_("UDP"), tuple_("TCP"))
+
+
 def raw_text(f: Column) -> Column:
     return F.coalesce(f["str"], f["num"].cast("string"))
 
@@ -133,3 +188,18 @@ def decoded(packets: DataFrame) -> DataFrame:
 def warnings(packets: DataFrame) -> DataFrame:
     """Packets that could not be decoded, with the reason."""
     return packets.where(F.col("decode_error").isNotNull()).select("capture_id", "number", "decode_error")
+
+
+# ---------------------------------------------------------------- published schemas
+
+#: A record as it is written; the fields of a layer are an object whose keys its protocol has.
+RECORD = "number long, timestamp string, length long, original_length long, stack string, layers array<struct<protocol string, fields variant>>, raw_bytes string"
+#: What the statistics return.
+STATISTICS = {
+    "overview": "total_packets long, start_time double, end_time double, duration_secs double",
+    "protocols": "name string, count long",
+    "top_talkers": "src string, dst string, packets long, bytes long",
+    "tcp_streams": "capture_id string, stream_id long, src string, src_port int, dst string, dst_port int, packets long, bytes long, duration_secs double",
+    "tables": "protocol string, metric string, group string, name string, count long",
+    "response_time": "count long, min double, max double, mean double, median double, p95 double, p99 double",
+}

@@ -2,68 +2,101 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import decoded, first_field, first_layer
+from ..model import decoded, first_field, first_layer, holds
 from .project import with_flow
-from .select import ordinal
+from .select import BUCKET
 
 TIMEOUT_S, TICK = 30.0, 1000
 
 
 def dns_messages(packets: DataFrame) -> DataFrame:
     """DNS messages with direction, id and flow."""
-    dns = first_layer("DNS")
-    rows = with_flow(decoded(packets)).withColumn("_dns", dns).where("_dns is not null")
-    return rows.select("capture_id", "number", "ts_us", first_field(F.col("_dns"), "qr")["num"].cast("int").alias("qr"), first_field(F.col("_dns"), "id")["num"].cast("int").alias("id"), "src", "dst", "transport", "src_port", "dst_port")
+    rows = decoded(with_flow(packets)).where(holds("DNS")).withColumn("_dns", first_layer("DNS"))
+    value = lambda path: first_field(F.col("_dns"), path)["num"].cast("int").alias(path)
+    return rows.select("capture_id", "number", "ts_us", value("qr"), value("id"), "src", "dst", "transport", "src_port", "dst_port")
 
 
-def _ticks(rows: DataFrame, tick: int) -> DataFrame:
-    """Adds the latest time of a tick before each message, without and with its own.
+def _ticked(rows: DataFrame, tick: int, bucket: int) -> DataFrame:
+    """Adds the latest time of a tick before each message and with its own, and whether it is one.
 
-    Every ``tick``-th message with a time is one. There is a table row per ``tick`` messages.
+    Every ``tick``-th message of a capture with a time is a tick. Messages are ranked in buckets
+    of ``number``; what came before a bucket is one row a bucket: the count of messages, then the
+    latest tick time.
     """
-    numbered = ordinal(rows, "_nth")
-    own = numbered.where(F.col("_nth") % tick == 0).select("capture_id", (F.col("_nth") / tick).cast("long").alias("_k"), F.col("ts_us").alias("_t"))
-    until = own.select("capture_id", "_k", F.max("_t").over(Window.partitionBy("capture_id").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)).alias("_t"))
-    before, with_own = until.select("capture_id", F.col("_k").alias("_kb"), F.col("_t").alias("tick_before")), until.select("capture_id", F.col("_k").alias("_kw"), F.col("_t").alias("tick_with"))
-    keyed = numbered.withColumn("_kb", F.floor((F.col("_nth") - 1) / tick)).withColumn("_kw", F.floor(F.col("_nth") / tick))
-    return keyed.join(before, ["capture_id", "_kb"], "left").join(with_own, ["capture_id", "_kw"], "left").withColumn("is_tick", (F.col("_nth") % tick == 0) & F.col("ts_us").isNotNull()).drop("_kb", "_kw", "_nth")
+    rows = rows.withColumn("_b", F.floor(F.col("number") / bucket))
+    within, captures = Window.partitionBy("capture_id", "_b").orderBy("number"), Window.partitionBy("capture_id").orderBy("_b")
+    sizes = rows.groupBy("capture_id", "_b").agg(F.count("*").alias("_n"))
+    before = sizes.select("capture_id", "_b", (F.sum("_n").over(captures) - F.col("_n")).alias("_before"))
+    ranked = rows.withColumn("_rank", F.row_number().over(within)).join(before, ["capture_id", "_b"])
+    nth = F.col("_before") + F.col("_rank")
+    marked = ranked.withColumn("_tick", F.when(nth % tick == 0, F.col("ts_us"))).withColumn("_own", F.max("_tick").over(within))
+    ticks = ranked.where((nth % tick == 0) & F.col("ts_us").isNotNull()).groupBy("capture_id", "_b").agg(F.max("ts_us").alias("_t"))
+    carried = sizes.select("capture_id", "_b").join(ticks, ["capture_id", "_b"], "left").select("capture_id", "_b", F.max("_t").over(captures.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    out = marked.join(carried, ["capture_id", "_b"])
+    with_own = F.greatest("_carried", "_own")
+    return out.select(*rows.columns, F.greatest("_carried", F.max("_tick").over(within.rowsBetween(Window.unboundedPreceding, -1))).alias("tick_before"), with_own.alias("tick_with"), F.col("_tick").isNotNull().alias("is_tick"))
 
 
-def dns_pairs(packets: DataFrame, tick: int = TICK, timeout_s: float = TIMEOUT_S) -> DataFrame:
+def _purged(waiting: Column, tick_time: Column, limit: int, nothing: Column) -> Column:
+    """Nothing, where a tick since the query came shows that it has waited too long."""
+    late = (tick_time - waiting["ts_us"] >= limit) & F.coalesce(tick_time > waiting["seen"], F.lit(True))
+    return F.when(tick_time.isNotNull() & late, nothing).otherwise(waiting)
+
+
+def dns_pairs(packets: DataFrame, tick: int = TICK, timeout_s: float = TIMEOUT_S, bucket: int = BUCKET) -> DataFrame:
     """``capture_id, query_number, response_number, rtt`` of answered queries.
 
     The key is the flow (turned round for responses) and the id. The first pending query of a
     key stands until a response takes it; later queries are dropped, as are later responses and
-    negative times. At each ``tick``-th message, queries that have waited ``timeout_s`` go. Per
-    key the messages are folded in order; a key belongs to one flow of one capture.
+    negative times. At each ``tick``-th message, queries that have waited ``timeout_s`` go.
+
+    A response leaves nothing pending, so a key falls into turns that each end with a response;
+    and between two ticks only a turn's first query can matter. Messages are therefore ordered
+    only within buckets of ``number``, cut to such queries and the responses after one, and put
+    to their turns by the counts of responses before each bucket. What is then folded, turn by
+    turn, has at most one query for each tick: a flow that holds most of a capture is never one
+    group.
     """
-    rows = _ticks(dns_messages(packets).where("qr is not null and id is not null"), tick).where("ts_us is not null and src is not null and transport is not null")
+    rows = _ticked(dns_messages(packets).where("qr is not null and id is not null"), tick, bucket).where("ts_us is not null and src is not null and transport is not null")
     ask = F.col("qr") == 0
     end = lambda a, p: F.struct(F.col(a).alias("a"), F.col(p).alias("p"))
+    key = ["capture_id", "transport", "id", "client", "server"]
     keyed = rows.select(
-        "capture_id", "transport", "id", F.when(ask, end("src", "src_port")).otherwise(end("dst", "dst_port")).alias("client"), F.when(ask, end("dst", "dst_port")).otherwise(end("src", "src_port")).alias("server"),
-        F.struct("number", ask.alias("ask"), "ts_us", "tick_before", "tick_with", "is_tick").alias("m"),
+        "capture_id", "_b", "transport", "id", F.when(ask, end("src", "src_port")).otherwise(end("dst", "dst_port")).alias("client"), F.when(ask, end("dst", "dst_port")).otherwise(end("src", "src_port")).alias("server"),
+        "number", ask.alias("ask"), "ts_us", "tick_before", "tick_with", "is_tick",
     )
-    limit = int(timeout_s * 1e6)
-    nothing = F.lit(None).cast("struct<number:bigint,ts_us:bigint>")
-    found = "array<struct<query_number:bigint,response_number:bigint,rtt:double>>"
+    inside = Window.partitionBy(*key, "_b").orderBy("number")
+    last_ask, last_tick = F.lag("ask").over(inside), F.lag("tick_with").over(inside)
+    answers = F.sum((~F.col("ask")).cast("int")).over(inside)
+    # the first query of a turn between two ticks, and any tick; every response that may end a turn
+    first = last_ask.isNull() | ~last_ask | F.col("is_tick") | ~last_tick.eqNullSafe(F.col("tick_with"))
+    numbered = keyed.withColumn("_answers", answers).withColumn("_keep", F.when(F.col("ask"), first).otherwise(F.coalesce(last_ask, F.lit(True))))
+    answered = numbered.groupBy(*key, "_b").agg(F.max("_answers").alias("_n"))
+    before = answered.select(*key, "_b", (F.sum("_n").over(Window.partitionBy(*key).orderBy("_b")) - F.col("_n")).alias("_turns"))
+    return _folded(numbered.where("_keep").join(before, [*key, "_b"]), key, int(timeout_s * 1e6))
+
 
-    def purged(waiting, tick_time):
-        return F.when(tick_time.isNotNull() & (tick_time - waiting["ts_us"] >= limit), nothing).otherwise(waiting)
+def _folded(rows: DataFrame, key: list[str], limit: int) -> DataFrame:
+    """Puts the kept messages to their turns and folds each."""
+    turn = F.col("_turns") + F.col("_answers") - (~F.col("ask")).cast("int")
+    message = F.struct("number", "ask", "ts_us", "tick_before", "tick_with", "is_tick")
+    grouped = rows.select(*key, turn.alias("turn"), message.alias("m")).groupBy(*key, "turn").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    nothing = F.lit(None).cast("struct<number:bigint,ts_us:bigint,seen:bigint>")
+    none_found = F.lit(None).cast("struct<query_number:bigint,response_number:bigint,rtt:double>")
 
     def step(state, m):
         waiting = state["waiting"]
-        left = purged(waiting, m["tick_with"])
+        left = _purged(waiting, m["tick_with"], limit, nothing)
         rtt = (m["ts_us"] - left["ts_us"]) / 1e6
         pair = F.struct(left["number"].alias("query_number"), m["number"].alias("response_number"), rtt.alias("rtt"))
-        answered = F.when(left.isNotNull() & (rtt >= 0), F.concat(state["pairs"], F.array(pair))).otherwise(state["pairs"])
-        kept = F.coalesce(purged(waiting, m["tick_before"]), F.struct(m["number"].alias("number"), m["ts_us"].alias("ts_us")))
-        asked = F.when(m["is_tick"], purged(kept, m["ts_us"])).otherwise(kept)
-        return F.struct(F.when(m["ask"], asked).otherwise(nothing).alias("waiting"), F.when(m["ask"], state["pairs"]).otherwise(answered).alias("pairs"))
+        kept = F.coalesce(_purged(waiting, m["tick_before"], limit, nothing), F.struct(m["number"].alias("number"), m["ts_us"].alias("ts_us"), m["tick_with"].alias("seen")))
+        asked = F.when(m["is_tick"] & (m["ts_us"] - kept["ts_us"] >= limit), nothing).otherwise(kept)
+        return F.struct(F.when(m["ask"], asked).otherwise(nothing).alias("waiting"), F.when(~m["ask"] & left.isNotNull() & (rtt >= 0), pair).otherwise(state["pair"]).alias("pair"))
 
-    grouped = keyed.groupBy("capture_id", "transport", "id", "client", "server").agg(F.array_sort(F.collect_list("m")).alias("m"))
-    folded = grouped.select("capture_id", F.explode(F.aggregate("m", F.struct(nothing.alias("waiting"), F.array().cast(found).alias("pairs")), step, lambda s: s["pairs"])).alias("p"))
+    # a turn's one response is its last message
+    ended = grouped.where(~F.element_at("m", -1)["ask"] & (F.size("m") > 1))
+    folded = ended.select("capture_id", F.aggregate("m", F.struct(nothing.alias("waiting"), none_found.alias("pair")), step, lambda s: s["pair"]).alias("p")).where("p is not null")
     return folded.select("capture_id", "p.query_number", "p.response_number", "p.rtt")

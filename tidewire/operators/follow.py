@@ -6,28 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import printable
-from ..model import bind, decoded, first_field, first_layer
-from .project import endpoints
+from ..model import bind, decoded, first_field, first_layer, holds
+from .project import with_flow
+from .select import ordinal
 
 
 def stream_key() -> Column:
-    """TCP by ``stream_id``; else UDP, else SCTP, by both ends in order; else null."""
+    """TCP by ``stream_id``; else UDP, else SCTP, by both ends in order; else null.
 
-    def of(name: str, ends: Column) -> Column:
-        def key(layer: Column) -> Column:
-            return bind(ordered_ends(ends, layer), lambda o: F.when(layer.isNotNull(), F.concat(F.lit(name.lower() + ":"), o["low"]["a"], F.lit(":"), o["low"]["p"].cast("string"), F.lit("-"), o["high"]["a"], F.lit(":"), o["high"]["p"].cast("string"))))
+    A missing port counts as 0 and a missing address as empty.
+    """
+
+    def of(name: str, sp: Column, dp: Column) -> Column:
+        a, b = end("src", sp), end("dst", dp)
+        text = lambda low, high: F.concat(F.lit(name + ":"), low["a"], F.lit(":"), low["p"].cast("string"), F.lit("-"), high["a"], F.lit(":"), high["p"].cast("string"))
+        return F.when(a <= b, text(a, b)).otherwise(text(b, a))
 
-        return bind(first_layer(name), key)
+    def of_layer(name: str) -> Column:
+        port = lambda x, p: first_field(x, p)["num"].cast("int")
+        return bind(first_layer(name), lambda x: F.when(x.isNotNull(), of(name.lower(), port(x, "src_port"), port(x, "dst_port"))))
 
-    number = first_field(first_layer("TCP"), "stream_id")["num"].cast("string")
-    return F.coalesce(F.concat(F.lit("tcp:"), number), bind(endpoints(), lambda e: F.coalesce(of("UDP", e), of("SCTP", e))))
+    by_layers = F.coalesce(of_layer("UDP"), of_layer("SCTP"))
+    plain = F.when(F.col("transport") == "udp", of("udp", F.col("src_port"), F.col("dst_port"))).when(holds("UDP", "SCTP"), by_layers)
+    return F.coalesce(F.concat(F.lit("tcp:"), F.col("stream_id").cast("string")), plain)
 
 
-def ordered_ends(ends: Column, layer: Column) -> Column:
-    """Both ``a, p`` (address, port) ends of a flow, the lower first."""
-    end = lambda a, p: F.struct(ends[a].alias("a"), first_field(layer, p)["num"].cast("int").alias("p"))
-    both = F.array(end("src", "src_port"), end("dst", "dst_port"))
-    return bind(F.sort_array(both), lambda s: F.struct(F.get(s, 0).alias("low"), F.get(s, 1).alias("high")))
+def end(address: str, port: Column) -> Column:
+    return F.struct(F.coalesce(F.col(address), F.lit("")).alias("a"), F.coalesce(port, F.lit(0)).alias("p"))
 
 
 def with_stream(packets: DataFrame) -> DataFrame:
@@ -35,12 +40,13 @@ def with_stream(packets: DataFrame) -> DataFrame:
 
     The first source is a partial aggregate joined back, so a giant stream is not sorted in one task.
     """
-    keyed = decoded(packets).withColumn("stream_key", stream_key()).withColumn("_src", endpoints()["src"]).where("stream_key is not null")
-    first = keyed.groupBy("capture_id", "stream_key").agg(F.min_by("_src", "number").alias("_client"))
-    return keyed.join(first, ["capture_id", "stream_key"]).withColumn("from_client", F.col("_src").eqNullSafe(F.col("_client"))).select(*packets.columns, "stream_key", "from_client")
+    keyed = decoded(with_flow(packets)).withColumn("stream_key", stream_key()).where("stream_key is not null")
+    first = keyed.groupBy("capture_id", "stream_key").agg(F.min_by("src", "number").alias("_client"))
+    return keyed.join(first, ["capture_id", "stream_key"]).withColumn("from_client", F.col("src").eqNullSafe(F.col("_client"))).select(*packets.columns, "stream_key", "from_client")
 
 
 def follow(packets: DataFrame, key: str, capture_id: str | None = None) -> DataFrame:
+    """The packets of one stream, in one capture or in each."""
     rows = packets if capture_id is None else packets.where(F.col("capture_id") == capture_id)
     return with_stream(rows).where(F.col("stream_key") == key)
 
@@ -53,14 +59,37 @@ def payload_lines(streams: DataFrame, payload: str = "payload") -> DataFrame:
     return rows.withColumn("line", F.regexp_replace("line", r"\r$", ""))
 
 
-def first_stream_ids(packets: DataFrame) -> DataFrame:
-    """``capture_id, key, stream_id``: TCP flows numbered from 0 by their first packet.
+def first_stream_ids(packets: DataFrame, bucket: int = 1 << 16) -> DataFrame:
+    """``capture_id, low, high, stream_id``: TCP flows numbered from 0 by their first packet.
 
-    For packets decoded here, which carry no ids. One row per flow is ranked, by capture.
+    A flow is both ends in order. One row per flow is ranked, within buckets of the first number.
     """
-    from pyspark.sql import Window
+    low, high = _ends()
+    rows = decoded(packets).where(holds("TCP") & (F.col("transport") == "tcp")).select("capture_id", "number", low.alias("low"), high.alias("high"))
+    flows = rows.groupBy("capture_id", "low", "high").agg(F.min("number").alias("number"))
+    return ordinal(flows, "stream_id", bucket).select("capture_id", "low", "high", (F.col("stream_id") - 1).alias("stream_id"))
+
+
+def _ends() -> tuple[Column, Column]:
+    a, b = end("src", F.col("src_port")), end("dst", F.col("dst_port"))
+    return F.least(a, b), F.greatest(a, b)
 
-    tcp = decoded(packets).withColumn("_l", first_layer("TCP")).where("_l is not null")
-    rows = tcp.select("capture_id", "number", ordered_ends(endpoints(), F.col("_l")).alias("key"))
-    flows = rows.groupBy("capture_id", "key").agg(F.min("number").alias("first"))
-    return flows.select("capture_id", "key", (F.row_number().over(Window.partitionBy("capture_id").orderBy("first")) - 1).alias("stream_id"))
+
+def with_stream_ids(packets: DataFrame) -> DataFrame:
+    """Packets whose TCP layers have a ``stream_id``: given where there is none, as decoding does not know it.
+
+    The id is a plain column and the last field of each packet's TCP layer.
+    """
+    low, high = _ends()
+    ids = first_stream_ids(packets).select("capture_id", F.col("low").alias("_low"), F.col("high").alias("_high"), F.col("stream_id").alias("_id"))
+    keyed = packets.withColumn("_low", F.when(F.col("transport") == "tcp", low)).withColumn("_high", F.when(F.col("transport") == "tcp", high))
+    rows = keyed.join(ids, ["capture_id", "_low", "_high"], "left")
+    number = F.when(holds("TCP"), F.coalesce("stream_id", "_id"))
+
+    def numbered(x: Column) -> Column:
+        item = F.struct(F.size(x["fields"]).alias("pos"), F.lit("stream_id").alias("path"), F.array().cast("array<int>").alias("elem"), F.lit("u32").alias("kind"), F.col("_id").cast("decimal(20,0)").alias("num"), F.lit(None).cast("string").alias("str"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("array<int>").alias("depth"))
+        return x.withField("fields", F.array_append(x["fields"], item))
+
+    add = F.col("_id").isNotNull() & F.col("stream_id").isNull()
+    layers = F.when(add, F.transform("layers", lambda x: F.when(x["protocol"] == "TCP", numbered(x)).otherwise(x))).otherwise(F.col("layers"))
+    return rows.withColumn("layers", layers).withColumn("stream_id", number).select(*packets.columns)

@@ -8,60 +8,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import iso_time, media_type
-from ..model import all_fields, bind, first_field, first_layer, label_text, raw_text, stack
-
-
-def endpoints() -> Column:
-    """``src, dst`` of the first IPv4 layer, else the first IPv6 layer, else null.
-
-    An IPv4 layer that lacks an address gives null; IPv6 is not looked at then.
-    """
-
-    def pair(layer: Column) -> Column:
-        both = F.struct(first_field(layer, "src")["str"].alias("src"), first_field(layer, "dst")["str"].alias("dst"))
-        return bind(both, lambda e: F.when(e["src"].isNotNull() & e["dst"].isNotNull(), e))
-
-    return bind(first_layer("IPv4"), lambda four: F.when(four.isNotNull(), pair(four)).otherwise(bind(first_layer("IPv6"), pair)))
-
-
-def transport() -> Column:
-    """``transport, src_port, dst_port`` of UDP, else TCP; both ports must be there."""
-
-    def tuple_(name: str) -> Column:
-        flow = lambda x: F.struct(F.lit(name.lower()).alias("transport"), *(first_field(x, p)["num"].cast("int").alias(p) for p in ("src_port", "dst_port")))
-        return bind(bind(first_layer(name), flow), lambda t: F.when(t["src_port"].isNotNull() & t["dst_port"].isNotNull(), t))
-
-    return F.coalesce(tuple_("UDP"), tuple_("TCP"))
+from ..model import FLOW, all_fields, bind, first_field, first_layer, label_text, stack, with_flow_columns
 
 
 def with_flow(packets: DataFrame) -> DataFrame:
-    """Adds ``src, dst, transport, src_port, dst_port``."""
-    return packets.withColumn("_e", endpoints()).withColumn("_t", transport()).select(*packets.columns, "_e.src", "_e.dst", "_t.transport", "_t.src_port", "_t.dst_port")
+    """Makes sure of ``src, dst, transport, src_port, dst_port``: plain columns of a packet table."""
+    return packets if set(FLOW) <= set(packets.columns) else with_flow_columns(packets)
 
 
 # ---------------------------------------------------------------- times
 
 
-def relative_time(ts_us: str = "ts_us") -> Column:
-    """Seconds since the capture's first packet."""
-    w = Window.partitionBy("capture_id").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
-    return F.round((F.col(ts_us) - F.first(ts_us).over(w)) / 1e6, 6)
-
-
-def delta_time(ts_us: str = "ts_us") -> Column:
-    """Seconds since the packet before; 0 for the first."""
-    w = Window.partitionBy("capture_id").orderBy("number")
-    return F.round((F.col(ts_us) - F.coalesce(F.lag(ts_us).over(w), F.col(ts_us))) / 1e6, 6)
-
-
 def with_relative_time(packets: DataFrame, name: str = "relative_s") -> DataFrame:
-    """As ``relative_time``, by a join with one row a capture: a huge capture is not sorted in one task."""
+    """Seconds since the capture's first packet: a join with one row a capture, so a huge one is not sorted in one task."""
     first = packets.groupBy("capture_id").agg(F.min_by("ts_us", "number").alias("_first"))
     return packets.join(first, "capture_id").withColumn(name, F.round((F.col("ts_us") - F.col("_first")) / 1e6, 6)).drop("_first")
 
 
 def with_delta_time(packets: DataFrame, name: str = "delta_s", bucket: int = 1 << 16) -> DataFrame:
-    """As ``delta_time``, ranked in buckets of ``number``; each bucket's first row looks at the last before it."""
+    """Seconds since the packet before (0 for the first), in buckets of ``number``; a bucket's first row looks at the last before it."""
     keyed = packets.withColumn("_b", F.floor(F.col("number") / bucket))
     last = keyed.groupBy("capture_id", "_b").agg(F.max_by("ts_us", "number").alias("_last"))
     edge = last.select("capture_id", "_b", F.lag("_last").over(Window.partitionBy("capture_id").orderBy("_b")).alias("_edge"))
@@ -151,15 +116,16 @@ def summarise(packets: DataFrame, time: str = "absolute") -> DataFrame:
     """One display row per packet; ``time``: absolute, relative or delta."""
     if time not in ("absolute", "relative", "delta"):
         raise ValueError(f"unknown time format {time!r}")
+    packets = with_flow(packets)
     rows = with_relative_time(packets, "_t") if time == "relative" else with_delta_time(packets, "_t") if time == "delta" else packets
     shown = iso_time(F.col("ts_us")) if time == "absolute" else F.format_string("%.6f", F.col("_t"))
-    mac, ends, bad = first_layer("Ethernet"), endpoints(), F.col("decode_error").isNotNull()
+    mac, bad = first_layer("Ethernet"), F.col("decode_error").isNotNull()
     return rows.select(
         "capture_id",
         "number",
         shown.alias("time"),
-        F.coalesce(ends["src"], first_field(mac, "src")["str"], F.lit("")).alias("source"),
-        F.coalesce(ends["dst"], first_field(mac, "dst")["str"], F.lit("")).alias("destination"),
+        F.coalesce("src", first_field(mac, "src")["str"], F.lit("")).alias("source"),
+        F.coalesce("dst", first_field(mac, "dst")["str"], F.lit("")).alias("destination"),
         F.when(bad, "???").otherwise(F.coalesce(F.element_at("layers", -1)["protocol_label"], F.lit(""))).alias("protocol"),
         F.col("length"),
         F.when(bad, "dissection error").otherwise(info()).alias("info"),
@@ -259,6 +225,3 @@ DEFAULT_FIELDS = {
 
 def with_stack(packets: DataFrame) -> DataFrame:
     return packets.withColumn("stack", stack())
-
-
-__all__ = ["endpoints", "transport", "with_flow", "relative_time", "delta_time", "with_relative_time", "with_delta_time", "info", "summarise", "visible_fields", "check_pattern", "with_stack", "raw_text"]

@@ -17,7 +17,7 @@ def ordinal(df: DataFrame, name: str = "ordinal", bucket: int = BUCKET) -> DataF
     sum of the counts of those before it, a table of one row per ``bucket`` packets.
     """
     keyed = df.withColumn("_bucket", F.floor(F.col("number") / bucket))
-    counts = keyed.groupBy("capture_id", "_bucket").agg(F.count("*").alias("_n"))
+    counts = keyed.groupBy("capture_id", "_bucket").agg(F.count("number").alias("_n"))
     before = counts.select("capture_id", "_bucket", (F.sum("_n").over(Window.partitionBy("capture_id").orderBy("_bucket")) - F.col("_n")).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("capture_id", "_bucket").orderBy("number"))
     return keyed.withColumn("_rank", inside).join(before, ["capture_id", "_bucket"]).withColumn(name, F.col("_before") + F.col("_rank")).select(*df.columns, name)
@@ -36,19 +36,42 @@ def in_order(df: DataFrame) -> DataFrame:
     return df.orderBy("capture_id", "number")
 
 
+def overall_ordinal(df: DataFrame, name: str = "ordinal", bucket: int = BUCKET) -> DataFrame:
+    """Adds each row's 1-based place among all rows, by ``capture_id``, then ``number``; a row a capture is summed up."""
+    sizes = df.groupBy("capture_id").agg(F.count("*").alias("_n"))
+    before = sizes.select("capture_id", (F.sum("_n").over(Window.orderBy("capture_id")) - F.col("_n")).alias("_before"))
+    return ordinal(df, "_inside", bucket).join(before, "capture_id").withColumn(name, F.col("_before") + F.col("_inside")).select(*df.columns, name)
+
+
+#: Rows that a sorted limit may hold in each task; pages beyond it are cut by ordinal.
+HELD = 100_000
+
+
 def page(df: DataFrame, *, sample: int = 1, offset: int = 0, count: int | None = 1000) -> DataFrame:
-    """Sample, then skip, then limit, in packet order; ``count=None`` is no limit."""
+    """Sample, then skip, then limit, in packet order; ``count=None`` is no limit.
+
+    A page near the start is a limit on the sorted rows. One that begins far down, or has no end,
+    is a range of the rows' ordinals, so that no task holds all rows before it.
+    """
     if offset < 0 or (count is not None and count < 0):
         raise ValueError("offset and count are not negative")
-    rows = in_order(sample_every(df, sample))
-    rows = rows.offset(offset) if offset else rows
-    return rows if count is None else rows.limit(count)
+    rows = sample_every(df, sample)
+    if count is not None and offset + count <= HELD:
+        rows = in_order(rows)
+        return (rows.offset(offset) if offset else rows).limit(count)
+    if offset or count is not None:
+        rows = overall_ordinal(rows, "_place").where((F.col("_place") > offset) & (F.lit(True) if count is None else F.col("_place") <= offset + count)).drop("_place")
+    return in_order(rows)
+
+
+def truncated(df: DataFrame, *, sample: int = 1, offset: int = 0, count: int = 1000) -> DataFrame:
+    """One row ``truncated``: whether a page's limit leaves rows out (not if it is met exactly)."""
+    return page(df, sample=sample, offset=offset + count, count=1).agg((F.count("*") > 0).alias("truncated"))
 
 
 def page_with_more(df: DataFrame, *, sample: int = 1, offset: int = 0, count: int = 1000) -> tuple[DataFrame, bool]:
-    """A page, and whether rows were left out by the limit (not if it is met exactly)."""
-    more = page(df, sample=sample, offset=offset + count, count=1).count() > 0
-    return page(df, sample=sample, offset=offset, count=count), more
+    """A page, and ``truncated`` as a value, for which a job runs now."""
+    return page(df, sample=sample, offset=offset, count=count), truncated(df, sample=sample, offset=offset, count=count).first()[0]
 
 
 def top_n(df: DataFrame, n: int | None = 10, within: Sequence[str] = (), by: Sequence[Column] = ()) -> DataFrame:

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import labels
 from ..functions.scalars import utf8_lossy
-from ..model import all_fields, decoded, first_field, first_layer, label_text, normalised, raw_text
-from .project import diameter_result, endpoints
+from ..model import FIELD, all_fields, bind, decoded, first_field, first_layer, holds, label_text, normalised, raw_text
+from .project import diameter_result, with_flow
 from .select import top_n
 
 # ---------------------------------------------------------------- overview
@@ -32,34 +33,44 @@ def protocol_counts(packets: DataFrame) -> DataFrame:
 
 
 def top_talkers(packets: DataFrame, n: int | None = 10) -> DataFrame:
-    flows = decoded(packets).select(endpoints().alias("e"), "original_length").where("e is not null")
-    sums = flows.groupBy("e.src", "e.dst").agg(F.count("*").alias("packets"), F.sum("original_length").alias("bytes"))
+    flows = decoded(with_flow(packets)).select("src", "dst", "original_length").where("src is not null and dst is not null")
+    sums = flows.groupBy("src", "dst").agg(F.count("*").alias("packets"), F.sum("original_length").alias("bytes"))
     return top_n(sums, n, by=[F.desc("bytes"), F.desc("packets"), F.asc("src"), F.asc("dst")])
 
 
+def tcp_ports() -> tuple[Column, Column]:
+    """Ports of the first TCP layer; the plain columns have them unless the packet's flow is UDP or lacks one."""
+    port = lambda p: F.when(F.col("transport") == "tcp", F.col(p)).otherwise(first_field(first_layer("TCP"), p)["num"].cast("int"))
+    return port("src_port"), port("dst_port")
+
+
 def tcp_streams(packets: DataFrame, n: int | None = 10, by: Iterable[str] = ()) -> DataFrame:
-    """Sums per TCP stream. Endpoints are the first packet's, or the first known ones after it.
+    """Sums per TCP stream, for each value of ``by`` (``capture_id``, where ids are a capture's own).
 
-    Addresses and ports fill up independently; ports are both taken from the first packet with a
-    source port. All are partial aggregates, so one giant stream is no hot spot.
+    Addresses are those of the first packet that has both. Ports are read from each packet until
+    one has a source port; what that one lacks is of the last one before it that has it. All are
+    partial aggregates, so one giant stream is no hot spot.
     """
-    tcp = first_layer("TCP")
-    port = lambda p: first_field(tcp, p)["num"].cast("int")
-    rows = decoded(packets).select(*by, "number", "ts_us", "original_length", first_field(tcp, "stream_id")["num"].cast("long").alias("stream_id"), endpoints().alias("e"), port("src_port").alias("sp"), port("dst_port").alias("dp")).where("stream_id is not null")
-    with_ip = F.when(F.col("e").isNotNull(), F.col("number"))
-    with_port = F.when(F.coalesce("sp", F.lit(0)) != 0, F.col("number"))
+    by = list(by)
+    sp, dp = tcp_ports()
+    rows = decoded(with_flow(packets)).where("stream_id is not null").select(*by, "stream_id", "number", "ts_us", "original_length", "src", "dst", sp.alias("sp"), dp.alias("dp"))
+    known = F.coalesce("sp", F.lit(0)) != 0
     sums = rows.groupBy(*by, "stream_id").agg(
-        F.min_by("e", with_ip).alias("e"),
-        F.min_by(F.struct("sp", "dp"), with_port).alias("p"),
-        F.max_by("dp", F.when(F.col("dp") != 0, -F.col("number"))).alias("any_dp"),
+        F.min_by(F.struct("src", "dst"), F.when(F.col("src").isNotNull() & F.col("dst").isNotNull(), F.col("number"))).alias("e"),
+        F.min_by(F.struct("number", "sp", "dp"), F.when(known, F.col("number"))).alias("p"),
         F.count("*").alias("packets"),
         F.sum("original_length").alias("bytes"),
         F.coalesce(F.round((F.max("ts_us") - F.min("ts_us")) / 1e6, 3), F.lit(0.0)).alias("duration_secs"),
     )
-    shaped = sums.select(
-        *by, "stream_id", F.coalesce("e.src", F.lit("unknown")).alias("src"), F.coalesce("p.sp", F.lit(0)).alias("src_port"), F.coalesce("e.dst", F.lit("unknown")).alias("dst"), F.coalesce("p.dp", "any_dp", F.lit(0)).alias("dst_port"), "packets", "bytes", "duration_secs"
+    # packets without a source port are few: their target ports are put beside the sums
+    vague = rows.where(~known & F.col("dp").isNotNull()).select(*by, "stream_id", "number", F.col("dp").alias("late_dp"))
+    same = reduce(lambda x, y: x & y, (F.col(f"v.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*by, "stream_id"]))
+    early = vague.alias("v").join(sums.select(*by, "stream_id", F.col("p.number").alias("until")).alias("s"), same).where("until is null or number < until")
+    early = early.groupBy(*(F.col(f"v.{c}").alias(c) for c in [*by, "stream_id"])).agg(F.max_by("late_dp", "number").alias("late_dp"))
+    shaped = sums.join(early, [*by, "stream_id"], "left").select(
+        *by, "stream_id", F.coalesce("e.src", F.lit("unknown")).alias("src"), F.coalesce("p.sp", F.lit(0)).alias("src_port"), F.coalesce("e.dst", F.lit("unknown")).alias("dst"), F.coalesce("p.dp", "late_dp", F.lit(0)).alias("dst_port"), "packets", "bytes", "duration_secs"
     )
-    return top_n(shaped, n, by=[F.desc("bytes"), F.asc("stream_id")])
+    return top_n(shaped, n, by=[F.desc("bytes"), F.asc("stream_id"), *map(F.asc, by)])
 
 
 # ---------------------------------------------------------------- frequency tables
@@ -67,258 +78,325 @@ def tcp_streams(packets: DataFrame, n: int | None = 10, by: Iterable[str] = ())
 
 @dataclass(frozen=True)
 class Metric:
-    """Names that a message gives to one frequency table; ``group`` splits it."""
+    """One frequency table: what to do with the values at ``path``.
 
-    name: str
-    values: Callable[[Column], Column]
-    group: Callable[[Column], Column] | None = None
+    ``how``: label (display label, else value), raw (value; ``arg``: only of that kind, not
+    empty), string (its text alone), prefix (label, else ``arg`` and the number), code (name in the code table ``arg``, else
+    ``other``), rtp, hex, text (bytes as text, not empty), service (names that begin with ``_``),
+    grouped (a part's value under its label). ``role``: only of messages in that role.
+    ``every``: all values at the path, not the first alone.
+    """
 
+    metric: str
+    path: str
+    how: str = "raw"
+    arg: str | None = None
+    role: str | None = None
+    every: bool = False
+    other: str = "Unknown"
 
-def _one(value: Column) -> Column:
-    return F.array_compact(F.array(value))
 
+def total(metric: str, role: str | None = None) -> Metric:
+    return Metric(metric, MESSAGE, "total", role=role)
 
-def label(path: str) -> Callable[[Column], Column]:
-    return lambda x: _one(label_text(first_field(x, path)))
 
+@dataclass(frozen=True)
+class Protocol:
+    """``layers``: names of which the first that a packet has counts. ``role`` sorts messages;
+    ``parts`` makes values that no single field has: path, and name or (name, group) texts."""
 
-def raw(path: str, kind: str | None = None) -> Callable[[Column], Column]:
-    def of(x: Column) -> Column:
-        f = first_field(x, path)
-        text = raw_text(f)
-        return _one(F.when((f["kind"] == kind) & (text != ""), text) if kind else text)
+    layers: tuple[str, ...]
+    metrics: tuple[Metric, ...]
+    role: Callable[[Column], Column] | None = None
+    parts: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
 
-    return of
 
+#: The path of a value that each message has once.
+MESSAGE = "@message"
 
-def coded(path: str, name: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda x: _one(name(first_field(x, path)["num"]))
 
+def _number(x: Column, path: str) -> Column:
+    return first_field(x, path)["num"]
 
-def table(codes: dict[int, str], other: str = "Unknown") -> Callable[[Column], Column]:
-    return lambda code: labels.look_up(code, codes, other)
 
+def _split(condition: Callable[[Column], Column], yes: str, no: str) -> Callable[[Column], Column]:
+    return lambda x: F.when(F.coalesce(condition(x), F.lit(False)), F.lit(yes)).otherwise(F.lit(no))
 
-def every(path: str, name: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda x: F.array_compact(F.transform(all_fields(x, path), name))
 
+def _dns_role(x: Column) -> Column:
+    known = _number(x, "qr").isNotNull() & _number(x, "id").isNotNull()
+    return F.when(known, F.when(_number(x, "qr") == 0, F.lit("query")).otherwise(F.lit("response")))
 
-def when(condition: Callable[[Column], Column], values: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda x: F.when(F.coalesce(condition(x), F.lit(False)), values(x)).otherwise(F.array().cast("array<string>"))
 
+def _http_role(x: Column) -> Column:
+    return F.when(first_field(x, "method").isNotNull(), F.lit("request")).when(first_field(x, "status_code").isNotNull(), F.lit("response"))
 
-def total(name: str, condition: Callable[[Column], Column] | None = None) -> Metric:
-    here = lambda x: F.array(F.lit("")).cast("array<string>")
-    return Metric(name, when(condition, here) if condition else here)
 
+def _nas_role(x: Column) -> Column:
+    code = _number(x, "extended_protocol_discriminator")
+    return F.when(code == 0x7E, F.lit("mm")).when(code == 0x2E, F.lit("sm"))
 
-def _number(path: str, value: int) -> Callable[[Column], Column]:
-    return lambda x: first_field(x, path)["num"] == value
 
+def _sibling(x: Column, f: Column, path: str) -> Column:
+    """The field at ``path`` in the same array element as ``f``."""
+    return F.get(F.filter(x["fields"], lambda g: (g["path"] == path) & (F.get(g["elem"], 0) == F.get(f["elem"], 0))), 0)
 
-def _absent(path: str) -> Callable[[Column], Column]:
-    return lambda x: first_field(x, path).isNull()
 
+def _of_elements(type_path: str, code: int, value: Callable[[Column, Column], Column]) -> Callable[[Column], Column]:
+    return lambda x: F.transform(F.filter(all_fields(x, type_path), lambda f: f["num"] == code), lambda f: value(x, f))
 
-def _present(path: str) -> Callable[[Column], Column]:
-    return lambda x: first_field(x, path).isNotNull()
 
+def _text_of_bytes(f: Column) -> Column:
+    text = F.when(f["kind"] == "bytes", utf8_lossy(f["str"])).otherwise(f["str"])
+    return F.when(text != "", text)
 
-def _both(*conditions: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda x: reduce(lambda a, b: a & b, (F.coalesce(c(x), F.lit(False)) for c in conditions))
 
+def _system_names(x: Column) -> Column:
+    return _of_elements("tlvs.type", 5, lambda x, f: bind(F.trim(_text_of_bytes(_sibling(x, f, "tlvs.value"))), lambda t: F.when(t != "", t)))(x)
 
-def _not(condition: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda x: ~F.coalesce(condition(x), F.lit(False))
 
+def _plmn(x: Column) -> Column:
+    return _of_elements("ies.type", 83, lambda x, f: F.concat(_sibling(x, f, "ies.value.mcc")["str"], F.lit("-"), _sibling(x, f, "ies.value.mnc")["str"]))(x)
 
-def _sibling(x: Column, f: Column, path: str) -> Column:
-    """The field at ``path`` in the same array element as ``f``."""
-    return F.get(F.filter(x["fields"], lambda g: (g["path"] == path) & (F.get(g["elem"], 0) == F.get(f["elem"], 0))), 0)
 
+def _causes(x: Column) -> Column:
+    message = F.coalesce(label_text(first_field(x, "message_type")), F.lit("Unknown"))
+    return _of_elements("ies.type", 2, lambda x, f: F.struct(label_text(_sibling(x, f, "ies.value.cause_value")).alias("name"), message.alias("group")))(x)
 
-def _of_elements(type_path: str, code: int, value: Callable[[Column, Column], Column]) -> Callable[[Column], Column]:
-    return lambda x: F.array_compact(F.transform(F.filter(all_fields(x, type_path), lambda f: f["num"] == code), lambda f: value(x, f)))
 
+def _port_pair(x: Column) -> Column:
+    return F.array(F.concat(raw_text(first_field(x, "src_port")), F.lit(":"), raw_text(first_field(x, "dst_port"))))
 
-def _fallback(prefix: str) -> Callable[[Column], Column]:
-    return lambda f: F.coalesce(f["name"], F.concat(F.lit(prefix), f["num"].cast("string")))
 
+def _simple(layer: str, count: str, *metrics: Metric) -> Protocol:
+    return Protocol((layer,), (total(count), *metrics))
 
-def _text_of_bytes(f: Column) -> Column:
-    text = F.when(f["kind"] == "bytes", utf8_lossy(f["str"])).otherwise(f["str"])
-    return F.when(text != "", text)
 
+def _labels(**paths: str) -> tuple[Metric, ...]:
+    return tuple(Metric(f"{name}_distribution", path, "label") for name, path in paths.items())
 
-_packets, _messages = total("total_packets"), total("total_messages")
-_dns = _both(_present("qr"), _present("id"))
-_query, _response = _both(_dns, _number("qr", 0)), _both(_dns, _not(_number("qr", 0)))
-_mdns_response = _number("qr", 1)
-_sip_response = _number("is_response", 1)
-_pair = lambda x: F.concat(raw_text(first_field(x, "src_port")), F.lit(":"), raw_text(first_field(x, "dst_port")))
 
-#: Protocol argument, layer names (the first that a packet has counts), metrics.
-SPEC: dict[str, tuple[tuple[str, ...], list[Metric]]] = {
-    "dns": (
+SPEC: dict[str, Protocol] = {
+    "dns": Protocol(
         ("DNS",),
-        [
-            total("total_queries", _query),
-            total("total_responses", _response),
-            Metric("top_query_names", when(_query, every("questions.name", lambda f: f["str"]))),
-            Metric("query_type_distribution", when(_query, every("questions.type", _fallback("TYPE")))),
-            Metric("rcode_distribution", when(_response, lambda x: _one(_fallback("RCODE")(first_field(x, "rcode"))))),
-        ],
+        (
+            total("total_queries", "query"),
+            total("total_responses", "response"),
+            Metric("top_query_names", "questions.name", "string", role="query", every=True),
+            Metric("query_type_distribution", "questions.type", "prefix", "TYPE", "query", True),
+            Metric("rcode_distribution", "rcode", "prefix", "RCODE", "response"),
+        ),
+        _dns_role,
     ),
-    "mdns": (
+    "mdns": Protocol(
         ("mDNS",),
-        [
-            _packets,
-            total("total_queries", _not(_mdns_response)),
-            total("total_responses", _mdns_response),
-            Metric("top_query_names", every("questions.name", lambda f: f["str"])),
-            Metric("query_type_distribution", every("questions.type", _fallback("TYPE"))),
-            Metric("service_distribution", every("questions.name", lambda f: F.when(F.startswith(f["str"], F.lit("_")), f["str"]))),
-        ],
+        (
+            total("total_packets"),
+            total("total_queries", "query"),
+            total("total_responses", "response"),
+            Metric("top_query_names", "questions.name", "string", every=True),
+            Metric("query_type_distribution", "questions.type", "prefix", "TYPE", every=True),
+            Metric("service_distribution", "questions.name", "service", every=True),
+        ),
+        _split(lambda x: _number(x, "qr") == 1, "response", "query"),
     ),
-    "http": (
+    "http": Protocol(
         ("HTTP",),
-        [
-            total("total_requests", _present("method")),
-            total("total_responses", _both(_absent("method"), _present("status_code"))),
-            Metric("method_distribution", raw("method")),
-            Metric("status_code_distribution", when(_absent("method"), raw("status_code"))),
-            Metric("top_uris", when(_present("method"), raw("uri"))),
-        ],
-    ),
-    "http2": (("HTTP2",), [total("total_frames"), Metric("frame_type_distribution", label("frame_type")), Metric("error_code_distribution", label("error_code")), Metric("top_stream_ids", raw("stream_id"))]),
-    "tls": (
-        ("TLS",),
-        [total("total_records"), Metric("content_type_distribution", label("content_type")), Metric("version_distribution", label("version")), Metric("top_server_names", every("extensions.server_name", _text_of_bytes))],
+        (
+            total("total_requests", "request"),
+            total("total_responses", "response"),
+            Metric("method_distribution", "method"),
+            Metric("status_code_distribution", "status_code", role="response"),
+            Metric("top_uris", "uri", role="request"),
+        ),
+        _http_role,
     ),
-    "sip": (
+    "http2": _simple("HTTP2", "total_frames", *_labels(frame_type="frame_type", error_code="error_code"), Metric("top_stream_ids", "stream_id")),
+    "tls": _simple("TLS", "total_records", *_labels(content_type="content_type", version="version"), Metric("top_server_names", "extensions.server_name", "text", every=True)),
+    "sip": Protocol(
         ("SIP",),
-        [
-            total("total_requests", _not(_sip_response)),
-            total("total_responses", _sip_response),
-            Metric("method_distribution", when(_not(_sip_response), raw("method"))),
-            Metric("status_code_distribution", when(_sip_response, raw("status_code"))),
-        ],
+        (
+            total("total_requests", "request"),
+            total("total_responses", "response"),
+            Metric("method_distribution", "method", role="request"),
+            Metric("status_code_distribution", "status_code", role="response"),
+        ),
+        _split(lambda x: _number(x, "is_response") == 1, "response", "request"),
     ),
-    "diameter": (
+    "diameter": Protocol(
         ("Diameter",),
-        [
-            _messages,
-            total("total_requests", _number("is_request", 1)),
-            total("total_answers", _not(_number("is_request", 1))),
-            Metric("command_code_distribution", label("command_code")),
-            Metric("application_id_distribution", label("application_id")),
-            Metric("result_code_distribution", lambda x: _one(diameter_result(x))),
-        ],
+        (
+            total("total_messages"),
+            total("total_requests", "request"),
+            total("total_answers", "answer"),
+            *_labels(command_code="command_code", application_id="application_id"),
+            Metric("result_code_distribution", "@result", every=True),
+        ),
+        _split(lambda x: _number(x, "is_request") == 1, "request", "answer"),
+        {"@result": lambda x: F.array(diameter_result(x))},
     ),
-    "gtpv1u": (("GTPv1-U",), [_packets, Metric("message_type_distribution", label("message_type")), Metric("top_teids", raw("teid"))]),
-    "gtpv2c": (
+    "gtpv1u": _simple("GTPv1-U", "total_packets", *_labels(message_type="message_type"), Metric("top_teids", "teid")),
+    "gtpv2c": Protocol(
         ("GTPv2-C",),
-        [
-            _messages,
-            Metric("message_type_distribution", label("message_type")),
-            Metric("unique_imsi_count", _of_elements("ies.type", 1, lambda x, f: _sibling(x, f, "ies.value")["str"])),
-            Metric("unique_teid_count", raw("teid")),
-            Metric("cause_per_message_type", _of_elements("ies.type", 2, lambda x, f: label_text(_sibling(x, f, "ies.value.cause_value"))), lambda x: F.coalesce(label_text(first_field(x, "message_type")), F.lit("Unknown"))),
-            Metric("plmn_distribution", _of_elements("ies.type", 83, lambda x, f: F.concat(_sibling(x, f, "ies.value.mcc")["str"], F.lit("-"), _sibling(x, f, "ies.value.mnc")["str"]))),
-        ],
+        (
+            total("total_messages"),
+            *_labels(message_type="message_type"),
+            Metric("unique_imsi_count", "@imsi", every=True),
+            Metric("unique_teid_count", "teid"),
+            Metric("cause_per_message_type", "@cause", "grouped", every=True),
+            Metric("plmn_distribution", "@plmn", every=True),
+        ),
+        None,
+        {"@imsi": _of_elements("ies.type", 1, lambda x, f: _sibling(x, f, "ies.value")["str"]), "@cause": _causes, "@plmn": _plmn},
     ),
-    "pfcp": (("PFCP",), [_messages, Metric("message_type_distribution", label("message_type"))]),
-    "ngap": (("NGAP",), [_messages, Metric("pdu_type_distribution", coded("pdu_type", table(labels.NGAP_PDU))), Metric("procedure_code_distribution", coded("procedure_code", table(labels.NGAP_PROCEDURE)))]),
-    "nas5g": (
+    "pfcp": _simple("PFCP", "total_messages", *_labels(message_type="message_type")),
+    "ngap": _simple("NGAP", "total_messages", Metric("pdu_type_distribution", "pdu_type", "code", "ngap_pdu"), Metric("procedure_code_distribution", "procedure_code", "code", "ngap_procedure")),
+    "nas5g": Protocol(
         ("NAS-5G",),
-        [
-            _messages,
-            Metric("epd_distribution", coded("extended_protocol_discriminator", table(labels.NAS_DISCRIMINATOR))),
-            Metric("mm_message_type_distribution", when(_number("extended_protocol_discriminator", 0x7E), coded("message_type", table(labels.NAS_MM)))),
-            Metric("sm_message_type_distribution", when(_number("extended_protocol_discriminator", 0x2E), coded("message_type", table(labels.NAS_SM)))),
-        ],
-    ),
-    "radius": (("RADIUS",), [_packets, Metric("code_distribution", label("code"))]),
-    "dhcp": (
-        ("DHCP",),
-        [_packets, Metric("message_type_distribution", label("dhcp_message_type")), Metric("top_hostnames", lambda x: _one(_text_of_bytes(first_field(x, "hostname")))), Metric("top_requested_ips", raw("requested_ip", "ipv4addr"))],
+        (
+            total("total_messages"),
+            Metric("epd_distribution", "extended_protocol_discriminator", "code", "nas_discriminator"),
+            Metric("mm_message_type_distribution", "message_type", "code", "nas_mm", "mm"),
+            Metric("sm_message_type_distribution", "message_type", "code", "nas_sm", "sm"),
+        ),
+        _nas_role,
     ),
-    "dhcpv6": (("DHCPv6",), [_packets, Metric("msg_type_distribution", label("msg_type"))]),
-    "rtp": (("RTP",), [_packets, Metric("payload_type_distribution", coded("payload_type", labels.rtp_payload)), Metric("ssrc_distribution", coded("ssrc", lambda n: F.concat(F.lit("0x"), F.lpad(F.hex(n.cast("long")), 8, "0"))))]),
-    "stun": (("STUN",), [_messages, Metric("class_distribution", coded("message_class", table(labels.STUN_CLASS))), Metric("method_distribution", coded("message_method", table(labels.STUN_METHOD)))]),
-    "icmp": (("ICMP",), [_packets, Metric("type_distribution", label("type")), Metric("code_distribution", label("code"))]),
-    "icmpv6": (("ICMPv6",), [_packets, Metric("type_distribution", label("type")), Metric("code_distribution", label("code"))]),
-    "arp": (("ARP",), [_packets, Metric("oper_distribution", label("oper")), Metric("top_spa", raw("spa", "ipv4addr")), Metric("top_sha", raw("sha"))]),
-    "igmp": (
-        ("IGMP",),
-        [
-            _packets,
-            Metric("type_distribution", coded("type", table(labels.IGMP_TYPE))),
-            Metric("version_distribution", coded("type", table(labels.IGMP_VERSION, "Other"))),
-            Metric("top_group_addresses", lambda x: F.concat(raw("group_address")(x), every("group_records.multicast_address", raw_text)(x))),
-        ],
+    "radius": _simple("RADIUS", "total_packets", *_labels(code="code")),
+    "dhcp": _simple("DHCP", "total_packets", *_labels(message_type="dhcp_message_type"), Metric("top_hostnames", "hostname", "text"), Metric("top_requested_ips", "requested_ip", "raw", "ipv4addr")),
+    "dhcpv6": _simple("DHCPv6", "total_packets", *_labels(msg_type="msg_type")),
+    "rtp": _simple("RTP", "total_packets", Metric("payload_type_distribution", "payload_type", "rtp", "rtp_payload"), Metric("ssrc_distribution", "ssrc", "hex")),
+    "stun": _simple("STUN", "total_messages", Metric("class_distribution", "message_class", "code", "stun_class"), Metric("method_distribution", "message_method", "code", "stun_method")),
+    "icmp": _simple("ICMP", "total_packets", *_labels(type="type", code="code")),
+    "icmpv6": _simple("ICMPv6", "total_packets", *_labels(type="type", code="code")),
+    "arp": _simple("ARP", "total_packets", *_labels(oper="oper"), Metric("top_spa", "spa", "raw", "ipv4addr"), Metric("top_sha", "sha", "text")),
+    "igmp": _simple(
+        "IGMP",
+        "total_packets",
+        Metric("type_distribution", "type", "code", "igmp_type"),
+        Metric("version_distribution", "type", "code", "igmp_version", other="Other"),
+        Metric("top_group_addresses", "group_address"),
+        Metric("top_group_addresses", "group_records.multicast_address", every=True),
     ),
-    "lldp": (
+    "lldp": Protocol(
         ("LLDP",),
-        [
-            _packets,
-            Metric("tlv_type_distribution", every("tlvs.type", lambda f: labels.look_up(f["num"], labels.LLDP_TLV, "Reserved"))),
-            Metric("top_system_names", _of_elements("tlvs.type", 5, lambda x, f: F.when(F.trim(_text_of_bytes(_sibling(x, f, "tlvs.value"))) != "", F.trim(_text_of_bytes(_sibling(x, f, "tlvs.value")))))),
-        ],
+        (total("total_packets"), Metric("tlv_type_distribution", "tlvs.type", "code", "lldp_tlv", every=True, other="Reserved"), Metric("top_system_names", "@system", every=True)),
+        None,
+        {"@system": _system_names},
     ),
-    "ntp": (("NTP",), [_packets, Metric("mode_distribution", label("mode")), Metric("stratum_distribution", label("stratum")), Metric("version_distribution", raw("version"))]),
-    "bgp": (("BGP",), [_messages, Metric("message_type_distribution", label("type"))]),
-    "ospf": (("OSPFv2", "OSPFv3"), [_packets, Metric("packet_type_distribution", label("msg_type")), Metric("version_distribution", lambda x: F.array(F.lower(F.substring(x["protocol"], 5, 2))))]),
-    "sctp": (("SCTP",), [_packets, Metric("top_src_ports", raw("src_port")), Metric("top_dst_ports", raw("dst_port")), Metric("top_port_pairs", lambda x: _one(_pair(x)))]),
-    "vxlan": (("VXLAN",), [_packets, Metric("top_vnis", raw("vni"))]),
-    "geneve": (("GENEVE",), [_packets, Metric("protocol_type_distribution", label("protocol_type")), Metric("top_vnis", raw("vni"))]),
-    "gre": (("GRE",), [_packets, Metric("protocol_type_distribution", label("protocol_type")), Metric("top_keys", raw("key"))]),
+    "ntp": _simple("NTP", "total_packets", *_labels(mode="mode", stratum="stratum"), Metric("version_distribution", "version")),
+    "bgp": _simple("BGP", "total_messages", *_labels(message_type="type")),
+    "ospf": Protocol(
+        ("OSPFv2", "OSPFv3"),
+        (total("total_packets"), *_labels(packet_type="msg_type"), Metric("version_distribution", "@version", every=True)),
+        None,
+        {"@version": lambda x: F.array(F.lower(F.substring(x["protocol"], 5, 2)))},
+    ),
+    "sctp": Protocol(("SCTP",), (total("total_packets"), Metric("top_src_ports", "src_port"), Metric("top_dst_ports", "dst_port"), Metric("top_port_pairs", "@pair", every=True)), None, {"@pair": _port_pair}),
+    "vxlan": _simple("VXLAN", "total_packets", Metric("top_vnis", "vni")),
+    "geneve": _simple("GENEVE", "total_packets", *_labels(protocol_type="protocol_type"), Metric("top_vnis", "vni")),
+    "gre": _simple("GRE", "total_packets", *_labels(protocol_type="protocol_type"), Metric("top_keys", "key")),
 }
 
 #: Metrics that count distinct names instead of listing them.
 DISTINCT = ("unique_imsi_count", "unique_teid_count")
 
 
-def messages(packets: DataFrame, protocols: Iterable[str] | None = None) -> DataFrame:
-    """One row ``protocol, message`` per packet and protocol that it holds; unknown ones are ignored."""
-    chosen = [k for k in SPEC if protocols is None or k in {normalised(p) for p in protocols}]
-    if not chosen:
-        return packets.select(F.lit("").alias("protocol"), F.get("layers", 0).alias("message")).limit(0)
-    names = F.col("layers.protocol")
-    found = []
-    for key in chosen:
-        layer_names = SPEC[key][0]
-        at = F.coalesce(*(F.nullif(F.array_position(names, n).cast("int"), F.lit(0)) for n in layer_names))
-        found.append(F.when(at.isNotNull(), F.struct(F.lit(key).alias("protocol"), F.get("layers", at - 1).alias("message"))))
-    rows = decoded(packets).select(F.explode(F.array_compact(F.array(*found))).alias("m"))
-    return rows.select("m.protocol", "m.message")
+def _chosen(protocols: Iterable[str] | None) -> list[str]:
+    wanted = None if protocols is None else {normalised(p) for p in protocols}
+    return [k for k in SPEC if wanted is None or k in wanted]
+
+
+def _messages(packets: DataFrame, keys: list[str]) -> DataFrame:
+    """``key, message``: of each packet the first layer of each protocol's name."""
+    first_names = {name: (key, SPEC[key].layers[:k]) for key in keys for k, name in enumerate(SPEC[key].layers)}
+    rows = decoded(packets).where(holds(*first_names)).select(F.col("layers.protocol").alias("names"), F.posexplode("layers").alias("at", "message"))
+    name = F.col("message.protocol")
+    first = F.array_position("names", name) == F.col("at") + 1
+    for own, (_, better) in first_names.items():
+        if better:  # a packet's message of another name counts instead
+            first = first & ~((name == own) & F.arrays_overlap("names", F.array(*map(F.lit, better))))
+    key = F.create_map(*(F.lit(x) for own, (k, _) in first_names.items() for x in (own, k)))
+    return rows.where(name.isin(*first_names) & first).select(F.try_element_at(key, name).alias("key"), "message")
+
+
+def _part(path: str) -> Callable[[Column], Column]:
+    def of(value: Column) -> Column:
+        null = lambda kind: F.lit(None).cast(kind)
+        return F.struct(F.lit(0).alias("pos"), F.lit(path).alias("path"), null("array<int>").alias("elem"), null("string").alias("kind"), null("decimal(20,0)").alias("num"), value["name"].alias("str"), value["group"].alias("name"), null("array<int>").alias("depth"))
+
+    return of
+
+
+def _values(messages: DataFrame, keys: list[str]) -> DataFrame:
+    """``key, role, path, first, f``: every field of every message, and the parts that no field has."""
+    x, key = F.col("message"), F.col("key")
+    kind = T.ArrayType(FIELD)
+    role, parts = F.when(F.lit(False), ""), F.when(F.lit(False), F.array().cast(kind))
+    for k in keys:
+        if SPEC[k].role:
+            role = role.when(key == k, SPEC[k].role(x))
+        made = []
+        for path, values in SPEC[k].parts.items():
+            named = values(x) if path == "@cause" else F.transform(values(x), lambda v: F.struct(v.alias("name"), F.lit(None).cast("string").alias("group")))
+            made.append(F.transform(named, _part(path)).cast(kind))
+        if made:
+            parts = parts.when(key == k, F.concat(*made))
+    parts = parts.otherwise(F.array().cast(kind))
+    one = F.array(_part(MESSAGE)(F.struct(F.lit("").alias("name"), F.lit(None).cast("string").alias("group")))).cast(kind)
+    rows = messages.select("key", role.alias("role"), F.concat(one, parts, x["fields"]).alias("fields"))
+    rows = rows.select("key", "role", F.col("fields.path").alias("paths"), F.posexplode("fields").alias("at", "f"))
+    return rows.select("key", "role", F.col("f.path").alias("path"), (F.array_position("paths", F.col("f.path")) == F.col("at") + 1).alias("first"), "f")
+
+
+def name_counts(packets: DataFrame, protocols: Iterable[str] | None = None) -> DataFrame:
+    """``protocol, metric, group, name, count`` of every name, uncut; also over a stream.
+
+    Every value of every message meets the rows of ``SPEC`` by protocol and path, and those of
+    the code tables by code; both are constants and are sent to the executors. Counts are partial
+    before the shuffle, so a name that most packets have is no hot spot.
+    """
+    spark, keys = packets.sparkSession, _chosen(protocols)
+    rows = [(k, m.path, m.metric, m.how, m.arg, m.role, m.every, m.other) for k in keys for m in SPEC[k].metrics]
+    spec = F.broadcast(labels.constant(spark, rows, "key string, path string, metric string, how string, arg string, wanted string, every boolean, other string"))
+    codes = F.broadcast(labels.code_rows(spark))
+    if not keys:
+        return spec.limit(0).select(F.col("key").alias("protocol"), "metric", F.lit(None).cast("string").alias("group"), F.lit(None).cast("string").alias("name"), F.lit(0).cast("long").alias("count"))
+    met = _values(_messages(packets, keys), keys).join(spec, ["key", "path"]).where((F.col("wanted").isNull() | (F.col("wanted") == F.col("role"))) & (F.col("every") | F.col("first")))
+    number = F.col("f.num").cast("long")
+    met = met.withColumn("code", F.when(F.col("how").isin("code", "rtp"), number)).join(codes.withColumnRenamed("table", "arg"), ["arg", "code"], "left")
+    f, how = F.col("f"), F.col("how")
+    value, text = raw_text(f), _text_of_bytes(f)
+    name = (
+        F.when(how == "label", label_text(f))
+        .when(how == "prefix", F.coalesce(f["name"], F.concat("arg", f["num"].cast("string"))))
+        .when(how == "code", F.when(number.isNotNull(), F.coalesce("label", "other")))
+        .when(how == "rtp", F.when(number.isNotNull(), F.coalesce("label", labels.rtp_other(number))))
+        .when(how == "hex", F.concat(F.lit("0x"), F.lpad(F.hex(number), 8, "0")))
+        .when(how == "text", text)
+        .when(how == "service", F.when(F.startswith(f["str"], F.lit("_")), f["str"]))
+        .when(how == "raw", F.when(F.col("arg").isNull() | ((f["kind"] == F.col("arg")) & (value != "")), value))
+        .otherwise(f["str"])
+    )
+    named = met.select(F.col("key").alias("protocol"), "metric", F.when(how == "grouped", f["name"]).alias("group"), name.alias("name")).where("name is not null")
+    return named.groupBy("protocol", "metric", "group", "name").count()
 
 
 def frequencies(packets: DataFrame, protocols: Iterable[str] | None = None, n: int | None = 10) -> DataFrame:
     """``protocol, metric, group, name, count`` of all requested tables, in one shuffle.
 
     Totals and distinct counts have a null name. Each list is cut to its first ``n`` names by
-    falling count, then name. Counts are partial before the shuffle, so a name that most packets
-    have is no hot spot.
+    falling count, then name. Unknown protocols are ignored.
     """
-    rows = messages(packets, protocols)
-    x, cases = F.col("message"), F.when(F.lit(False), F.array().cast("array<struct<metric:string,group:string,name:string>>"))
-    wanted = [k for k in SPEC if protocols is None or k in {normalised(p) for p in protocols}]
-    for key in wanted:
-        parts = []
-        for m in SPEC[key][1]:
-            group = m.group(x) if m.group else F.lit(None).cast("string")
-            parts.append(F.transform(m.values(x).cast("array<string>"), _entry(m.name, group)))
-        cases = cases.when(F.col("protocol") == key, F.concat(*parts))
-    counts = rows.select("protocol", F.explode(cases).alias("e")).groupBy("protocol", "e.metric", "e.group", "e.name").count()
+    keys, counts = _chosen(protocols), name_counts(packets, protocols)
     single = F.col("metric").isin(*DISTINCT)
-    unique = counts.where(single).groupBy("protocol", "metric").agg(F.count("*").alias("count")).select("protocol", "metric", F.lit(None).cast("string").alias("group"), F.lit(None).cast("string").alias("name"), "count")
-    listed = counts.where(~single).withColumn("name", F.when(~F.startswith("metric", F.lit("total_")), F.col("name")))
-    return top_n(listed, n, within=("protocol", "metric", "group")).unionByName(unique)
-
-
-def _entry(name: str, group: Column):
-    return lambda v: F.struct(F.lit(name).alias("metric"), group.alias("group"), v.alias("name"))
+    # conditions on the counts, not on their keys: so both parts read one shuffle
+    listed = top_n(counts, n, within=("protocol", "metric", "group")).withColumn("count", F.when(~single, F.col("count"))).where("count is not null")
+    listed = listed.withColumn("name", F.when(~F.startswith("metric", F.lit("total_")), F.col("name")))
+    if not any(m.metric in DISTINCT for k in keys for m in SPEC[k].metrics):
+        return listed
+    unique = counts.groupBy("protocol", "metric").agg(F.count("count").alias("n")).withColumn("count", F.when(single, F.col("n"))).where("count is not null")
+    none = F.lit(None).cast("string")
+    return listed.unionByName(unique.select("protocol", "metric", none.alias("group"), none.alias("name"), "count"))
 
 
 # ---------------------------------------------------------------- times, document
@@ -345,7 +423,7 @@ def document(packets: DataFrame, protocols: Iterable[str] | None = None, n: int
     if talkers:
         parts.append(listing(top_talkers(packets, n).withColumn("_b", -F.col("bytes")).select("_b", "src", "dst", "packets", "bytes"), "top_talkers", ["_b", "src", "dst"]))
     if streams and (wanted is None or "tcp" in wanted):
-        parts.append(listing(tcp_streams(packets, n).withColumn("_b", -F.col("bytes")).select("_b", "stream_id", "src", "src_port", "dst", "dst_port", "packets", "bytes", "duration_secs"), "tcp_streams", ["_b", "stream_id"]))
+        parts.append(listing(tcp_streams(packets, n, ["capture_id"]).withColumn("_b", -F.col("bytes")).select("_b", "stream_id", "capture_id", "src", "src_port", "dst", "dst_port", "packets", "bytes", "duration_secs"), "tcp_streams", ["_b", "stream_id", "capture_id"]))
     for part in parts:  # one row each
         name = part.columns[0]
         out = out.join(part.select(F.when(F.size(name) > 0, F.col(name)).alias(name)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import as_packets, field, layer
+from ..sources.store import once
 
 #: Packets per capture in the view of ``events``.
 CAPTURE = 2048
@@ -16,6 +17,16 @@ def _text(*parts: object) -> Column:
 
 
 def event_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packet table of ``events``."""
+    return once(spark, "events", sf_dir, lambda: build_event_packets(spark, sf_dir))
+
+
+def signalling_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packet table of ``lineitem``."""
+    return once(spark, "lineitem", sf_dir, lambda: build_signalling_packets(spark, sf_dir))
+
+
+def build_event_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as packets: clicks are HTTP, views TLS, purchases DNS, signups DHCP, errors ICMP."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     k, user, n, kind = F.col("k"), F.col("user_id"), F.col("event_id"), F.col("event_type")
@@ -87,7 +98,7 @@ SIGNALLING: dict[str, list[tuple[str, str, str, str | None]]] = {
 BASE_SQL = f"SELECT l_partkey % 8 AS a, l_suppkey % 16 AS b, (l_orderkey + l_linenumber) % {len(SIGNALLING)} AS p FROM lineitem"
 
 
-def signalling_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_signalling_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` as packets of the other protocols, one message each."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     rows = items.select(F.expr("l_partkey % 8").alias("a"), F.expr("l_suppkey % 16").alias("b"), F.expr(f"(l_orderkey + l_linenumber) % {len(SIGNALLING)}").alias("p"), "l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions.labels import IGMP_TYPE, IGMP_VERSION, LLDP_TLV, NAS_DISCRIMINATOR, NAS_MM, NAS_SM, NGAP_PDU, NGAP_PROCEDURE, RTP_PAYLOAD, STUN_CLASS, STUN_METHOD
 from ..functions.scalars import iso_time
-from ..model import decoded, flat_fields, warnings
+from ..model import decoded, endpoints, flat_fields, transport, warnings
 from ..operators import catalog, correlate, follow, project, select, stats
+from ..sources import records
+from ..sources.store import shared_folder
 from .captures import BASE_SQL, CAPTURE, SIGNALLING, event_packets, signalling_packets
 
 _FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -85,32 +88,46 @@ _predicate("p15_number_list", lambda: P.number_in(P.parse_numbers("1,5,10-20")),
 _add("f01_stack", _select("SELECT capture_id, number, stack FROM pk"))(lambda p: p.select("capture_id", "number", "stack"))
 
 
-@_add("f02_visible_fields", _select("SELECT capture_id, number, CAST(CASE WHEN transport = 'tcp' THEN 1 WHEN transport = 'udp' THEN 2 ELSE 0 END AS BIGINT) AS ports_shown, CAST(ttl AS BIGINT) AS ttl FROM pk"))
+def _shown(layer: str) -> Column:
+    """Paths of a layer's fields, in order, with their labels' names."""
+    named = F.transform(project.first_layer(layer)["fields"], lambda f: F.concat(f["path"], F.when(f["name"].isNotNull(), F.lit("+name")).otherwise(F.lit(""))))
+    return F.coalesce(F.array_join(named, " "), F.lit("-"))
+
+
+@_add(
+    "f02_visible_fields",
+    _select("""SELECT capture_id, number, CASE WHEN transport = 'tcp' THEN 'src_port' ELSE '-' END AS tcp, CASE WHEN transport = 'udp' THEN 'src_port dst_port' ELSE '-' END AS udp, 'ttl dst' AS ipv4,
+ CASE WHEN event_type = 'view' THEN CASE WHEN sni IS NULL THEN 'content_type+name' ELSE 'content_type+name extensions.server_name' END ELSE '-' END AS tls FROM pk"""),
+)
 def _visible(packets: DataFrame) -> DataFrame:
-    shown = project.visible_fields(packets, {"TCP": ["src*"], "IPv4": ["ttl", "*st"]})
-    ports = F.size(F.filter(F.flatten(F.transform(F.filter("layers", lambda x: x["protocol"].isin("TCP", "UDP")), lambda x: x["fields"])), lambda f: F.endswith(f["path"], F.lit("_port"))))
-    return shown.select("capture_id", "number", ports.cast("long").alias("ports_shown"), project.first_field(project.first_layer("IPv4"), "ttl")["num"].cast("long").alias("ttl"))
+    shown = project.visible_fields(packets, {"TCP": ["src*"], "IPv4": ["ttl", "*st"], "TLS": ["content*", "ext*"]})
+    return shown.select("capture_id", "number", *(_shown(x).alias(x.lower()) for x in ("TCP", "UDP", "IPv4", "TLS")))
 
 
-@_add("f03_nested_visibility", _select("SELECT capture_id, number, CAST(1 AS BIGINT) AS question_fields FROM pk WHERE event_type = 'purchase'"))
+@_add("f03_nested_visibility", _select("SELECT capture_id, number, 'id questions.name' AS some, 'rcode questions.name questions.type' || CASE WHEN k % 3 = 0 THEN '+name' ELSE '' END AS whole, 'id' AS none FROM pk WHERE event_type = 'purchase'"))
 def _nested(packets: DataFrame) -> DataFrame:
-    shown = project.visible_fields(packets.where(P.has_layer("dns")), {"DNS": ["id", "questions", "questions.na*"]})
-    return shown.select("capture_id", "number", F.size(F.filter(project.first_layer("DNS")["fields"], lambda f: F.startswith(f["path"], F.lit("questions.")))).cast("long").alias("question_fields"))
+    dns = packets.where(P.has_layer("dns"))
+    of = lambda config, name: project.visible_fields(dns, {"DNS": config}).select("capture_id", "number", _shown("DNS").alias(name))
+    return of(["id", "questions", "questions.na*"], "some").join(of(["rcode", "questions"], "whole"), ["capture_id", "number"]).join(of(["id"], "none"), ["capture_id", "number"])
 
 
-@_add("f04_default_fields", _select("SELECT capture_id, number, CAST(CASE WHEN event_type IN ('click', 'view') THEN 4 WHEN event_type IN ('purchase', 'signup') THEN 2 ELSE 0 END AS BIGINT) AS shown FROM pk"))
+@_add(
+    "f04_default_fields",
+    _select("""SELECT capture_id, number, 'src dst ethertype' AS ethernet, 'ttl src dst' AS ipv4, CASE WHEN transport = 'tcp' THEN 'src_port dst_port stream_id flags+name' ELSE '-' END AS tcp,
+ CASE WHEN event_type = 'purchase' THEN 'id qr rcode questions.name questions.type' ELSE '-' END AS dns FROM pk"""),
+)
 def _defaults(packets: DataFrame) -> DataFrame:
     shown = project.visible_fields(packets, project.DEFAULT_FIELDS)
-    return shown.select("capture_id", "number", F.coalesce(F.size(F.coalesce(project.first_layer("TCP"), project.first_layer("UDP"))["fields"]), F.lit(0)).cast("long").alias("shown"))
+    return shown.select("capture_id", "number", *(_shown(x).alias(x.lower()) for x in ("Ethernet", "IPv4", "TCP", "DNS")))
 
 
 _add("f06_labels", _select("SELECT capture_id, number, CASE WHEN k % 3 = 0 THEN 'A' ELSE CAST(1 + k % 3 AS VARCHAR) END AS question_type FROM pk WHERE event_type = 'purchase'"))(
     lambda p: p.where(P.has_layer("dns")).select("capture_id", "number", project.label_text(project.first_field(project.first_layer("DNS"), "questions.type")).alias("question_type"))
 )
 _add("f07_iso_time", _select("SELECT capture_id, number, strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S.%fZ') AS time FROM pk"))(lambda p: p.select("capture_id", "number", iso_time(F.col("ts_us")).alias("time")))
-_add("f08_endpoints", _select("SELECT capture_id, number, src, dst FROM pk"))(lambda p: p.select("capture_id", "number", project.endpoints().alias("e")).select("capture_id", "number", "e.src", "e.dst"))
+_add("f08_endpoints", _select("SELECT capture_id, number, src, dst FROM pk"))(lambda p: p.select("capture_id", "number", endpoints().alias("e")).select("capture_id", "number", "e.src", "e.dst"))
 _add("f09_transport", _select("SELECT capture_id, number, transport, CAST(sport AS BIGINT) AS src_port, CAST(dport AS BIGINT) AS dst_port FROM pk WHERE transport IS NOT NULL"))(
-    lambda p: project.with_flow(p).where("transport is not null").select("capture_id", "number", "transport", F.col("src_port").cast("long"), F.col("dst_port").cast("long"))
+    lambda p: p.select("capture_id", "number", transport().alias("t")).where("t is not null").select("capture_id", "number", "t.transport", F.col("t.src_port").cast("long").alias("src_port"), F.col("t.dst_port").cast("long").alias("dst_port"))
 )
 _add(
     "f10_summary",
@@ -139,12 +156,7 @@ _add("l03_page", _select("SELECT capture_id, number FROM (SELECT *, row_number()
 )
 
 
-@_add("l04_truncated", _select("SELECT count(*) > 1000 AS truncated FROM pk WHERE transport = 'tcp'"))
-def _truncated(packets: DataFrame) -> DataFrame:
-    rows = packets.where(P.has_layer("tcp")).select("capture_id", "number")
-    return select.in_order(rows).limit(1001).agg((F.count("*") > 1000).alias("truncated"))
-
-
+_add("l04_truncated", _select("SELECT count(*) > 1000 AS truncated FROM pk WHERE transport = 'tcp'"))(lambda p: select.truncated(p.where(P.has_layer("tcp")), count=1000))
 _add("l05_top_n", _select("SELECT stack, dst AS name, count FROM (SELECT *, row_number() OVER (PARTITION BY stack ORDER BY count DESC, dst) AS r FROM (SELECT stack, dst, count(*) AS count FROM pk GROUP BY 1, 2)) WHERE r <= 3"))(
     lambda p: select.top_n(project.with_flow(p).groupBy("stack", F.col("dst").alias("name")).count(), 3, within=("stack",))
 )
@@ -155,16 +167,16 @@ _add("l06_in_order", _select("SELECT capture_id, number FROM pk WHERE event_type
 _add("a01_overview", _select("SELECT capture_id, count(*) AS total_packets, min(ts_us) / 1e6 AS start_time, max(ts_us) / 1e6 AS end_time, round((max(ts_us) - min(ts_us)) / 1e6, 3) AS duration_secs FROM pk GROUP BY 1"))(lambda p: stats.overview(p, ["capture_id"]))
 _add("a02_protocol_counts", _select("SELECT name, count(*) AS count FROM (SELECT unnest(string_split(stack, ':')) AS name FROM pk) GROUP BY 1"))(stats.protocol_counts)
 _add("a03_top_talkers", _select("SELECT src, dst, count(*) AS packets, CAST(sum(original_length) AS BIGINT) AS bytes FROM pk GROUP BY 1, 2 ORDER BY bytes DESC, packets DESC, src, dst LIMIT 10"))(stats.top_talkers)
-_add(
-    "a04_tcp_streams",
-    _select("""SELECT user_id AS stream_id, arg_min(src, event_id) AS src, CAST(arg_min(sport, event_id) AS BIGINT) AS src_port, arg_min(dst, event_id) AS dst, CAST(arg_min(dport, event_id) AS BIGINT) AS dst_port, count(*) AS packets, CAST(sum(original_length) AS BIGINT) AS bytes,
- round((max(ts_us) - min(ts_us)) / 1e6, 3) AS duration_secs FROM pk WHERE transport = 'tcp' AND event_id < 2048 GROUP BY 1"""),
-)(lambda p: stats.tcp_streams(p.where(F.col("capture_id") == "c0"), None).withColumn("src_port", F.col("src_port").cast("long")).withColumn("dst_port", F.col("dst_port").cast("long")))
-_add(
-    "a04_tcp_streams_all",
-    _select("""SELECT capture_id, user_id AS stream_id, arg_min(src, event_id) AS src, CAST(arg_min(sport, event_id) AS BIGINT) AS src_port, arg_min(dst, event_id) AS dst, CAST(arg_min(dport, event_id) AS BIGINT) AS dst_port, count(*) AS packets, CAST(sum(original_length) AS BIGINT) AS bytes,
- round((max(ts_us) - min(ts_us)) / 1e6, 3) AS duration_secs FROM pk WHERE transport = 'tcp' GROUP BY 1, 2"""),
-)(lambda p: stats.tcp_streams(p, None, by=["capture_id"]).withColumn("src_port", F.col("src_port").cast("long")).withColumn("dst_port", F.col("dst_port").cast("long")))
+_STREAM_SQL = _select("""SELECT capture_id, user_id AS stream_id, arg_min(src, event_id) AS src, CAST(arg_min(sport, event_id) AS BIGINT) AS src_port, arg_min(dst, event_id) AS dst, CAST(arg_min(dport, event_id) AS BIGINT) AS dst_port, count(*) AS packets, CAST(sum(original_length) AS BIGINT) AS bytes,
+ round((max(ts_us) - min(ts_us)) / 1e6, 3) AS duration_secs FROM pk WHERE transport = 'tcp' GROUP BY 1, 2""")
+
+
+@_add("a04_tcp_streams_all", _STREAM_SQL)
+@_add("a04_tcp_streams", _STREAM_SQL)
+def _tcp_streams(packets: DataFrame) -> DataFrame:
+    return stats.tcp_streams(packets, None, by=["capture_id"]).withColumn("src_port", F.col("src_port").cast("long")).withColumn("dst_port", F.col("dst_port").cast("long"))
+
+
 _RTT = """q AS (SELECT *, sum(CASE WHEN event_id % 2 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY capture_id, user_id % 16 ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM pk WHERE event_type = 'purchase'),
 pairs AS (SELECT capture_id, min(CASE WHEN event_id % 2 = 0 THEN number END) AS query_number, max(CASE WHEN event_id % 2 = 1 THEN number END) AS response_number,
  (max(CASE WHEN event_id % 2 = 1 THEN ts_us END) - arg_min(ts_us, CASE WHEN event_id % 2 = 0 THEN number END)) / 1e6 AS rtt FROM q GROUP BY capture_id, user_id % 16, coalesce(g, 0)
@@ -320,7 +332,20 @@ _add("c01_protocols", _select("SELECT DISTINCT unnest(string_split(stack, ':'))
 _add("c02_fields", _select("SELECT * FROM (VALUES ('http.method', 'HTTP', 'method', 'str', true), ('http.uri', 'HTTP', 'uri', 'str', true), ('http.status_code', 'HTTP', 'status_code', 'u16', true), ('http.reason_phrase', 'HTTP', 'reason_phrase', 'str', true)) t(qualified_name, protocol, path, kind, optional)"))(
     lambda p: catalog.fields(p, "http")
 )
-_add("c04_field_paths", None)(catalog.field_paths)
+_PATHS = {
+    "true": "ethernet.src ethernet.dst ethernet.ethertype ipv4.ttl ipv4.src ipv4.dst",
+    "event_type = 'click'": "tcp.src_port tcp.dst_port tcp.stream_id tcp.flags",
+    "event_type = 'view'": "tcp.src_port tcp.dst_port tcp.stream_id tcp.flags tls.content_type tls.version",
+    "event_type = 'click' AND k % 8 <> 0": "http.method http.uri",
+    "event_type = 'click' AND k % 8 = 0": "http.status_code http.reason_phrase",
+    "sni IS NOT NULL": "tls.extensions.server_name",
+    "event_type = 'purchase'": "udp.src_port udp.dst_port dns.id dns.qr dns.rcode dns.questions.name dns.questions.type",
+    "event_type = 'signup'": "udp.src_port udp.dst_port dhcp.dhcp_message_type",
+    "event_type = 'signup' AND k % 2 = 0": "dhcp.hostname",
+    "event_type = 'signup' AND k % 3 = 0": "dhcp.requested_ip",
+    "event_type = 'error'": "icmp.type icmp.code",
+}
+_add("c04_field_paths", _select(" UNION ".join(f"SELECT DISTINCT unnest(string_split('{paths}', ' ')) AS path FROM pk WHERE {where}" for where, paths in _PATHS.items())))(catalog.field_paths)
 _add("c05_field_values", _select("SELECT DISTINCT CAST(1 + k % 3 AS VARCHAR) AS value FROM pk WHERE event_type = 'purchase' "))(lambda p: catalog.field_values(p, "dns.questions.type"))
 _add("s09_warnings", _select("SELECT capture_id, number, 'no dissector' AS decode_error FROM pk WHERE event_type = 'error'"))(
     lambda p: warnings(p.withColumn("decode_error", F.when(P.has_layer("icmp"), F.lit("no dissector"))))
@@ -328,3 +353,55 @@ _add("s09_warnings", _select("SELECT capture_id, number, 'no dissector' AS decod
 _add("s01_flat_fields", _select("SELECT 'TCP' AS protocol, 'dst_port' AS path, CAST(dport AS BIGINT) AS num, count(*) AS count FROM pk WHERE transport = 'tcp' GROUP BY dport"))(
     lambda p: flat_fields(decoded(p)).where("protocol = 'TCP' and path = 'dst_port'").groupBy("protocol", "path", F.col("num").cast("long").alias("num")).count()
 )
+
+# ---------------------------------------------------------------- records
+
+
+def _json(*parts: str) -> str:
+    """Members of a JSON object, each with its comma, joined in SQL; those that are null are left out."""
+    return "concat_ws(',', " + ", ".join(parts) + ")"
+
+
+def _member(key: str, value: str, text: bool = True) -> str:
+    return f"""'"{key}":"' || {value} || '"'""" if text else f"""'"{key}":' || CAST({value} AS VARCHAR)"""
+
+
+def _object(protocol: str, members: str) -> str:
+    return f"""'{{"protocol":"{protocol}","fields":{{' || {members} || '}}}}'"""
+
+
+_LAST = f"""CASE event_type
+ WHEN 'click' THEN {_object("HTTP", _json("CASE WHEN k % 8 <> 0 THEN " + _member("method", "CASE WHEN k % 2 = 0 THEN 'GET' ELSE 'POST' END") + " END", "CASE WHEN k % 8 <> 0 THEN " + _member("uri", "'/p/' || CAST(k AS VARCHAR)") + " END", "CASE WHEN k % 8 = 0 THEN " + _member("status_code", "200 + k", False) + " END", "CASE WHEN k % 8 = 0 THEN " + _member("reason_phrase", "'OK'") + " END"))}
+ WHEN 'view' THEN {_object("TLS", _json(_member("content_type", "20 + k % 4", False), _member("content_type_name", "CASE k % 4 WHEN 0 THEN 'change_cipher_spec' WHEN 1 THEN 'alert' WHEN 2 THEN 'handshake' ELSE 'application_data' END"), _member("version", "771", False), _member("version_name", "'TLS 1.2'"), "'\"extensions\":[{\"server_name\":\"' || sni || '\"}]'"))}
+ WHEN 'purchase' THEN {_object("DNS", _json(_member("id", "user_id % 16", False), _member("qr", "event_id % 2", False), _member("rcode", "k % 4", False), "'\"questions\":[{\"name\":\"n' || CAST(k % 32 AS VARCHAR) || '.example.com\",\"type\":' || CAST(1 + k % 3 AS VARCHAR) || CASE WHEN k % 3 = 0 THEN ',\"type_name\":\"A\"' ELSE '' END || '}]'"))}
+ WHEN 'signup' THEN {_object("DHCP", _json(_member("dhcp_message_type", "1 + k % 8", False), "CASE WHEN k % 2 = 0 THEN " + _member("hostname", "'host' || CAST(k % 10 AS VARCHAR)") + " END", "CASE WHEN k % 3 = 0 THEN " + _member("requested_ip", "'10.9.0.' || CAST(k AS VARCHAR)") + " END"))}
+ ELSE {_object("ICMP", _json(_member("type", "k % 8", False), "CASE WHEN k % 8 = 0 THEN " + _member("type_name", "'Echo Reply'") + " END", _member("code", "k % 4", False)))} END"""
+_LAYERS = ", ".join(
+    [
+        _object("Ethernet", _json(_member("src", "'02:00:00:00:00:' || lower(lpad(to_hex(user_id % 256), 2, '0'))"), _member("dst", "'02:00:00:00:01:01'"), _member("ethertype", "2048", False))),
+        _object("IPv4", _json(_member("ttl", "ttl", False), _member("src", "src"), _member("dst", "dst"))),
+        "CASE WHEN transport = 'tcp' THEN " + _object("TCP", _json(_member("src_port", "sport", False), _member("dst_port", "dport", False), _member("stream_id", "user_id", False), _member("flags", "16 + 8 * (k % 2)", False), _member("flags_name", "CASE WHEN k % 2 = 1 THEN 'PSH,ACK' ELSE 'ACK' END"))) + " END",
+        "CASE WHEN transport = 'udp' THEN " + _object("UDP", _json(_member("src_port", "sport", False), _member("dst_port", "dport", False))) + " END",
+        _LAST,
+    ]
+)
+_add(
+    "s05_records",
+    _select(f"""SELECT '{{"number":' || CAST(number AS VARCHAR) || ',"timestamp":"' || strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S.%fZ') || '","length":' || CAST(length AS VARCHAR) || ',"original_length":' || CAST(original_length AS VARCHAR) || ',"stack":"' || stack || '","layers":[' || concat_ws(',', {_LAYERS}) || ']}}' AS value FROM pk"""),
+)(records.to_records)
+
+
+@_add("s01_records", _select("SELECT protocol, path, kind, count(*) AS count, CAST(sum(num) AS BIGINT) AS total FROM (" + " UNION ALL ".join(
+    f"SELECT '{protocol}' AS protocol, '{path}' AS path, '{kind}' AS kind, {num} AS num FROM pk WHERE {where}"
+    for protocol, path, kind, num, where in (
+        ("Ethernet", "ethertype", "u16", "2048", "true"), ("IPv4", "ttl", "u8", "ttl", "true"), ("IPv4", "src", "ipv4addr", "NULL", "true"), ("TCP", "dst_port", "u16", "dport", "transport = 'tcp'"),
+        ("TCP", "stream_id", "u32", "user_id", "transport = 'tcp'"), ("DNS", "questions.type", "u16", "1 + k % 3", "event_type = 'purchase'"), ("TLS", "extensions.server_name", "str", "NULL", "sni IS NOT NULL"), ("ICMP", "code", "u8", "k % 4", "event_type = 'error'"),
+    )) + ") GROUP BY 1, 2, 3"))
+def _records_back(packets: DataFrame) -> DataFrame:
+    """Writes all packets as records, reads them again and counts fields by kind."""
+    spark = packets.sparkSession
+    path = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    records.write_records(packets, path)
+    kinds = [(r.protocol, r.path, r.kind) for r in catalog.fields(packets).collect()]
+    wanted = F.concat_ws(".", "proto_norm", "path").isin("ethernet.ethertype", "ipv4.ttl", "ipv4.src", "tcp.dst_port", "tcp.stream_id", "dns.questions.type", "tls.extensions.server_name", "icmp.code")
+    return flat_fields(records.read_records(spark, path, kinds)).where(wanted).groupBy("protocol", "path", "kind").agg(F.count("*").alias("count"), F.sum("num").cast("long").alias("total"))

@@ -1,75 +1,52 @@
-"""Capture files as a Spark data source: reading in ranges, and writing parts that join in order."""
+"""Capture files: a distributed index of their headers, reading in ranges, and exports that join in order."""
 
 from __future__ import annotations
 
 import glob
 import os
+import shutil
 import struct
+import time
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
+from .store import shared_folder
+
 SCHEMA = "capture_id string, number long, ts_us long, length int, original_length int, link_type int, raw binary"
+_ARROW = pa.schema([("capture_id", pa.string()), ("number", pa.int64()), ("ts_us", pa.int64()), ("length", pa.int32()), ("original_length", pa.int32()), ("link_type", pa.int32()), ("raw", pa.binary())])
 
 # The magic numbers of capture files with micro- and nanosecond times, and of the
 # blocks of the newer format.
 MICRO, NANO, SECTION, INTERFACE, ENHANCED, SIMPLE = 0xA1B2C3D4, 0xA1B23C4D, 0x0A0D0D0A, 1, 6, 3
+BYTE_ORDER = 0x1A2B3C4D
 
 
 @dataclass
-class Span(InputPartition):
-    """Packets of one file from a byte on: the first's number, and how many bytes to read."""
+class State:
+    """What a reader knows at some place of a file."""
 
-    path: str
-    start: int
-    end: int
-    first: int
-    order: str
-    link: int
-    nano: bool
     blocks: bool
-    links: tuple
-
-
-def _classic(f, start: int, end: int, order: str, skip: bool) -> Iterator[tuple[int, int, int, int, int, bytes]]:
-    """Offset, seconds, fraction, lengths and bytes of each packet; ``skip`` seeks over the bytes."""
-    f.seek(start)
-    while f.tell() < end:
-        at = f.tell()
-        head = f.read(16)
-        if not head:
-            return
-        if len(head) < 16:
-            raise ValueError("the capture ends within a packet header")
-        seconds, fraction, kept, size = struct.unpack(order + "IIII", head)
-        if skip:
-            f.seek(kept, 1)
-            yield at, seconds, fraction, kept, size, b""
-        else:
-            data = f.read(kept)
-            if len(data) < kept:
-                raise ValueError("the capture ends within a packet")
-            yield at, seconds, fraction, kept, size, data
-
-
-def _blocks(f, start: int, end: int, order: str) -> Iterator[tuple[int, int, bytes]]:
-    f.seek(start)
-    while f.tell() < end:
-        at = f.tell()
-        head = f.read(8)
-        if len(head) < 8:
-            return
-        kind, size = struct.unpack(order + "II", head)
-        body = f.read(size - 8)
-        if len(body) < size - 8:
-            raise ValueError("the capture ends within a block")
-        yield at, kind, body[:-4]
-
-
-def _interface(body: bytes, order: str) -> tuple[int, int]:
-    """Link type, and time units per second."""
-    link, unit, at = struct.unpack(order + "H", body[:2])[0], 1_000_000, 8
+    order: str
+    nano: bool = False
+    #: Link type, time units a second and kept bytes (0: all) of each interface; a classic file has one.
+    links: list = field(default_factory=list)
+
+
+def _need(f, n: int, what: str) -> bytes:
+    data = f.read(n)
+    if len(data) < n:
+        raise ValueError(f"{f.name}: the capture ends within {what}")
+    return data
+
+
+def _interface(body: bytes, order: str) -> tuple[int, int, int]:
+    link, keep, unit, at = *struct.unpack(order + "H2xI", body[:8]), 1_000_000, 8
     while at + 4 <= len(body):
         code, n = struct.unpack(order + "HH", body[at : at + 4])
         if code == 0:
@@ -78,51 +55,173 @@ def _interface(body: bytes, order: str) -> tuple[int, int]:
             exponent = body[at + 4]
             unit = 2 ** (exponent & 127) if exponent & 128 else 10**exponent
         at += 4 + (n + 3) // 4 * 4
-    return link, unit
+    return link, unit, keep
+
+
+def _opened(f) -> State:
+    """Reads what a file begins with, up to its first packet header or block."""
+    magic = _need(f, 4, "its header")
+    if struct.unpack("<I", magic)[0] == SECTION:
+        f.seek(0)
+        return State(True, "<")
+    order = next((o for o in "<>" if struct.unpack(o + "I", magic)[0] in (MICRO, NANO)), None)
+    if order is None:
+        raise ValueError(f"{f.name}: not a capture file")
+    head = _need(f, 20, "its header")
+    return State(False, order, struct.unpack(order + "I", magic)[0] == NANO, [(struct.unpack(order + "I", head[16:])[0] & 0xFFFF, 0, 0)])
+
+
+def _packets(f, state: State, end: int, bodies: bool) -> Iterator[tuple[int, tuple | None]]:
+    """Place of each packet and, with ``bodies``, its time, original length, link type and bytes.
+
+    Without ``bodies`` only headers are read; sections and interfaces change ``state`` as they come.
+    """
+    while (at := f.tell()) < end:
+        if not state.blocks:
+            seconds, fraction, kept, size = struct.unpack(state.order + "IIII", _need(f, 16, "a packet header"))
+            if bodies:
+                yield at, (seconds * 1_000_000 + (fraction // 1000 if state.nano else fraction), size, state.links[0][0], _need(f, kept, "a packet"))
+            else:
+                yield at, None
+                f.seek(at + 16 + kept)
+            continue
+        head = _need(f, 8, "a block header")
+        if struct.unpack("<I", head[:4])[0] == SECTION:
+            # its byte order counts for its own length already; interfaces are numbered anew
+            state.order = "<" if struct.unpack("<I", _need(f, 4, "a section"))[0] == BYTE_ORDER else ">"
+            state.links = []
+        kind, size = struct.unpack(state.order + "II", head)
+        if size < 12 or size % 4:
+            raise ValueError(f"{f.name}: a block of {size} bytes")
+        f.seek(at + 8)
+        if kind == INTERFACE:
+            state.links.append(_interface(_need(f, size - 8, "a block")[:-4], state.order))
+        elif kind in (ENHANCED, SIMPLE) and bodies:
+            body = _need(f, size - 8, "a block")[:-4]
+            if kind == ENHANCED:
+                index, high, low, kept, original = struct.unpack(state.order + "IIIII", body[:20])
+                (link, unit, _), ticks, data = state.links[index], high << 32 | low, body[20 : 20 + kept]
+            else:
+                (original,) = struct.unpack(state.order + "I", body[:4])
+                (link, unit, most), ticks = state.links[0], 0
+                data = body[4 : 4 + min(original, most or original)]
+            yield at, (ticks * 1_000_000 // unit, original, link, data)
+        elif kind in (ENHANCED, SIMPLE):
+            yield at, None
+        f.seek(at + size)
+
+
+# ---------------------------------------------------------------- index
+
+INDEX = "path string, start long, end long, first long, count long, blocks boolean, order string, nano boolean, links array<array<long>>"
+_INDEX = pa.schema([("path", pa.string()), *((k, pa.int64()) for k in ("start", "end", "first", "count")), ("blocks", pa.bool_()), ("order", pa.string()), ("nano", pa.bool_()), ("links", pa.list_(pa.list_(pa.int64())))])
+
+
+def _index_of(path: str, target: int) -> list[dict]:
+    """Ranges of about ``target`` bytes of one file, from a pass over its headers."""
+    size, out = os.path.getsize(path), []
+    with open(path, "rb") as f:
+        state = _opened(f)
+        begin, first, n = f.tell(), 1, 0
+        known = lambda: {"blocks": state.blocks, "order": state.order, "nano": state.nano, "links": [list(x) for x in state.links]}
+        there = known()
 
+        def close(end: int) -> None:
+            out.append({"path": path, "start": begin, "end": end, "first": first, "count": n - first + 1, **there})
 
-def spans_of(path: str, target: int) -> list[Span]:
-    """Reads headers only and cuts a file about every ``target`` bytes."""
-    size = os.path.getsize(path)
-    with open(path, "rb") as f:
-        magic = f.read(4)
-        if len(magic) < 4:
-            raise ValueError(f"{path}: not a capture file")
-        if struct.unpack("<I", magic)[0] == SECTION:
-            order = "<" if struct.unpack("<I", f.read(8)[4:])[0] == 0x1A2B3C4D else ">"
-            f.seek(0)
-            links, spans, n, begin, first = [], [], 0, 0, 1
-            for at, kind, body in _blocks(f, 0, size, order):
-                if kind == INTERFACE:
-                    links.append(_interface(body, order))
-                if kind in (ENHANCED, SIMPLE):
-                    if at - begin >= target:
-                        spans.append((begin, at, first))
-                        begin, first = at, n + 1
-                    n += 1
-            spans.append((begin, size, first))
-            return [Span(path, a, b, k, order, 0, False, True, tuple(links)) for a, b, k in spans]
-        order = next((o for o in "<>" if struct.unpack(o + "I", magic)[0] in (MICRO, NANO)), None)
-        head = f.read(20)
-        if order is None or len(head) < 20:
-            raise ValueError(f"{path}: not a capture file")
-        nano, link = struct.unpack(order + "I", magic)[0] == NANO, struct.unpack(order + "I", head[16:])[0]
-        spans, n, begin, first = [], 0, 24, 1
-        for at, *_ in _classic(f, 24, size, order, True):
+        for at, _ in _packets(f, state, size, False):
             if at - begin >= target:
-                spans.append((begin, at, first))
-                begin, first = at, n + 1
+                close(at)
+                begin, first, there = at, n + 1, known()
             n += 1
-        spans.append((begin, size, first))
-    return [Span(path, a, b, k, order, link, nano, False, ()) for a, b, k in spans]
+        if f.tell() > size:
+            raise ValueError(f"{path}: the capture ends within a packet")
+        close(size)
+    return out
+
+
+def files_of(path: str) -> list[str]:
+    path = path.removeprefix("file://")
+    found = glob.glob(f"{path}/*") if os.path.isdir(path) else glob.glob(path)
+    return sorted(f for f in found if os.path.isfile(f)) or [path]
+
+
+def capture_index(spark: SparkSession, path: str, range_bytes: int = 64 << 20) -> DataFrame:
+    """One row for each range of about ``range_bytes``: where it is and its first packet's number.
+
+    One task a file reads the headers and seeks over the packets; the driver only lists the files.
+    """
+    files = files_of(path)
+    rows = spark.createDataFrame(pa.table({"path": files}), "path string").repartition(min(len(files), 10_000), "path")
+
+    def run(batches):
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_pylist(_index_of(name, range_bytes), _INDEX)
+
+    return rows.mapInArrow(run, INDEX)
+
+
+def _read_range(r: dict, low: int, high: int | None, most: int = 4096, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    name, number, rows, size = os.path.basename(r["path"]), r["first"], [], 0
+    with open(r["path"], "rb") as f:
+        f.seek(r["start"])
+        state = State(r["blocks"], r["order"], r["nano"], [tuple(x) for x in r["links"]])
+        for _, (us, original, link, data) in _packets(f, state, r["end"], True):
+            if high is not None and number > high:
+                break
+            if number >= low:
+                rows.append((name, number, us, len(data), original, link, data))
+                size += len(data)
+            number += 1
+            if len(rows) >= most or size >= most_bytes:
+                yield _batch(rows)
+                rows, size = [], 0
+    if rows:
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _ARROW)], schema=_ARROW)
+
+
+def read_capture(spark: SparkSession, path: str, rangeBytes: int = 64 << 20, numbers: tuple[int, int | None] = (1, None)) -> DataFrame:
+    """Packet metadata and bytes of capture files in a folder that all machines see.
+
+    Two jobs: the index, written to the shared folder, and the reading of its ranges, a task each.
+    ``numbers`` (first, last) passes over the ranges outside.
+    """
+    register(spark)
+    path_ = f"{shared_folder(spark)}/capture-index-{uuid.uuid4().hex}"
+    capture_index(spark, path, int(rangeBytes)).write.parquet(path_)
+    low, high = numbers
+    index = spark.read.schema(INDEX).parquet(path_).where((F.col("first") + F.col("count") > low) & (F.lit(True) if high is None else F.col("first") <= high) & (F.col("count") > 0))
+    n = index.count()
+    if not n:
+        return spark.createDataFrame([], SCHEMA)
+    spread = index.repartitionByRange(n, "path", "start") if n > 1 else index
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield from _read_range(r, low, high)
+
+    return spread.mapInArrow(run, SCHEMA)
+
+
+# ---------------------------------------------------------------- data source
+
+
+@dataclass
+class Whole(InputPartition):
+    path: str
 
 
 class CaptureReader(DataSourceReader):
+    """One task a file; ``read_capture`` also cuts files. Ranges of ``number`` end a file early."""
+
     def __init__(self, options: dict):
-        path = options["path"].removeprefix("file://")
-        self.files = sorted(glob.glob(f"{path}/*") if os.path.isdir(path) else glob.glob(path)) or [path]
-        self.target = int(options.get("rangeBytes", 64 << 20))
-        self.low, self.high = 1, None
+        self.files, self.low, self.high = files_of(options["path"]), 1, None
 
     def pushFilters(self, filters):
         """Takes ranges of ``number``; Spark still checks them, so the reader may return more."""
@@ -134,66 +233,65 @@ class CaptureReader(DataSourceReader):
                     self.high = f.value if self.high is None else min(self.high, f.value)
             yield f
 
-    def partitions(self) -> list[Span]:
-        found = [s for path in self.files for s in spans_of(path, self.target)]
-        after = {(a.path, a.first): b.first for a, b in zip(found, found[1:]) if a.path == b.path}
-        return [s for s in found if (self.high is None or s.first <= self.high) and after.get((s.path, s.first), self.low + 1) > self.low]
-
-    def read(self, span: Span):
-        name, number = os.path.basename(span.path), span.first
-        with open(span.path, "rb") as f:
-            if not span.blocks:
-                for _, seconds, fraction, kept, size, data in _classic(f, span.start, span.end, span.order, False):
-                    if self.high is not None and number > self.high:
-                        return
-                    if number >= self.low:
-                        yield name, number, seconds * 1_000_000 + (fraction // 1000 if span.nano else fraction), kept, size, span.link, data
-                    number += 1
-                return
-            for _, kind, body in _blocks(f, span.start, span.end, span.order):
-                if kind not in (ENHANCED, SIMPLE):
-                    continue
-                if self.high is not None and number > self.high:
-                    return
-                if kind == ENHANCED:
-                    index, high, low, kept, size = struct.unpack(span.order + "IIIII", body[:20])
-                    link, unit = span.links[index]
-                    ticks, data = high << 32 | low, body[20 : 20 + kept]
-                else:
-                    size = struct.unpack(span.order + "I", body[:4])[0]
-                    (link, unit), ticks, data = span.links[0], 0, body[4 : 4 + size]
-                if number >= self.low:
-                    yield name, number, ticks * 1_000_000 // unit, len(data), size, link, data
-                number += 1
+    def partitions(self) -> list[Whole]:
+        return [Whole(f) for f in self.files]
+
+    def read(self, part: Whole):
+        with open(part.path, "rb") as f:
+            state = _opened(f)
+            whole = {"path": part.path, "start": f.tell(), "end": os.path.getsize(part.path), "first": 1, "blocks": state.blocks, "order": state.order, "nano": state.nano, "links": state.links}
+        yield from _read_range(whole, self.low, self.high)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    parts: list[str]
 
 
 class CaptureWriter(DataSourceWriter):
-    """Each task writes one part, a capture file of its own, named by its first packet."""
+    """Each task writes a part for each link type, a capture file of its own.
+
+    Parts are made in a folder of the job's own and only moved, under names that no other export
+    has, when the whole job is done; a job that fails leaves nothing. Names sort by job, then by
+    task, so the parts of an ordered export follow each other.
+    """
 
     def __init__(self, options: dict, overwrite: bool):
-        self.folder = options["path"].removeprefix("file://")
-        os.makedirs(self.folder, exist_ok=True)
-        if overwrite:
-            for old in glob.glob(f"{self.folder}/part-*.pcap"):
-                os.unlink(old)
+        self.folder, self.overwrite = options["path"].removeprefix("file://"), overwrite
+        self.job = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        self.temporary = f"{self.folder}/.job-{self.job}"
 
-    def write(self, rows) -> WriterCommitMessage:
+    def write(self, rows) -> Written:
         from pyspark import TaskContext
 
-        out, temporary = None, f"{self.folder}/.part-{TaskContext.get().partitionId():05d}-{TaskContext.get().taskAttemptId()}"
+        task, out, paths = TaskContext.get(), {}, []
+        os.makedirs(self.temporary, exist_ok=True)
         try:
             for row in rows:
-                if out is None:
-                    out, name = open(temporary, "wb"), f"part-{TaskContext.get().partitionId():05d}.pcap"
-                    out.write(struct.pack("<IHHiIII", MICRO, 2, 4, 0, 0, 262144, 1 if row["link_type"] is None else row["link_type"]))
+                link = 1 if row["link_type"] is None else row["link_type"]
+                if link not in out:
+                    paths.append(f"{task.partitionId():06d}-{len(paths)}-link{link}-{task.taskAttemptId()}")
+                    out[link] = open(f"{self.temporary}/{paths[-1]}", "wb")
+                    out[link].write(struct.pack("<IHHiIII", MICRO, 2, 4, 0, 0, 262144, link))
                 data, us = bytes(row["raw"] or b""), row["ts_us"] or 0
-                out.write(struct.pack("<IIII", us // 1_000_000, us % 1_000_000, len(data), row["original_length"] or len(data)) + data)
+                out[link].write(struct.pack("<IIII", us // 1_000_000, us % 1_000_000, len(data), row["original_length"] or len(data)) + data)
         finally:
-            if out is not None:
-                out.close()
-        if out is not None:
-            os.replace(temporary, f"{self.folder}/{name}")
-        return WriterCommitMessage()
+            for f in out.values():
+                f.close()
+        return Written(paths)
+
+    def commit(self, messages) -> None:
+        os.makedirs(self.folder, exist_ok=True)
+        old = glob.glob(f"{self.folder}/part-*.pcap") if self.overwrite else []
+        for message in messages:
+            for part in message.parts if message else ():
+                os.rename(f"{self.temporary}/{part}", f"{self.folder}/part-{self.job}-{part}.pcap")
+        for path in old:
+            os.unlink(path)
+        shutil.rmtree(self.temporary, ignore_errors=True)
+
+    def abort(self, messages) -> None:
+        shutil.rmtree(self.temporary, ignore_errors=True)
 
 
 class CaptureSource(DataSource):
@@ -213,19 +311,17 @@ class CaptureSource(DataSource):
         return CaptureWriter(self.options, overwrite)
 
 
-def register(spark) -> None:
+def register(spark: SparkSession) -> None:
     """Makes the format known, and lets Spark push ranges of ``number`` into Python sources."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(CaptureSource)
 
 
-def read_capture(spark, path: str, **options):
-    """Packet metadata and bytes; ranges of ``number`` are pushed down."""
-    register(spark)
-    return spark.read.format("capture").options(**options).load(path)
-
+def write_capture(packets: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Exports packets with their bytes, dealt by number so that the parts follow each other.
 
-def write_capture(packets, path: str) -> None:
-    """Exports packets with their bytes, dealt by number so that the parts follow each other."""
+    Without ``overwrite`` the folder's earlier exports stay.
+    """
     register(packets.sparkSession)
-    packets.select("capture_id", "number", "ts_us", "length", "original_length", "link_type", "raw").repartitionByRange("capture_id", "number").sortWithinPartitions("capture_id", "number").write.format("capture").mode("append").save(path)
+    rows = packets.select("capture_id", "number", "ts_us", "length", "original_length", "link_type", "raw")
+    rows.repartitionByRange("capture_id", "number").sortWithinPartitions("capture_id", "number").write.format("capture").mode("overwrite" if overwrite else "append").save(path)

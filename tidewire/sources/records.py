@@ -17,31 +17,46 @@ EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
 def _flatten(layer: dict, kinds: dict[tuple[str, str], str]) -> list[dict]:
-    """A layer's fields in their order; ``X_name`` right after ``X`` is X's label."""
+    """A layer's fields in their order; ``X_name`` right after ``X`` is X's label.
+
+    Each value keeps its places in lists and how many of them belong to each step of its path, so
+    lists of lists and lists within objects keep their shape. An empty list or object is a field
+    of that kind without a value; JSON nulls are left out.
+    """
     out: list[dict] = []
     protocol = normalised(layer["protocol"])
 
-    def value(path: str, elem: list[int], x: object) -> None:
+    def item(path: list[str], depth: list[int], elem: list[int], kind: str, num: int | None, text: str | None) -> None:
+        out.append({"pos": len(out), "path": ".".join(path), "elem": elem, "kind": kind, "num": num, "str": text, "name": None, "depth": depth})
+
+    def value(path: list[str], depth: list[int], elem: list[int], x: object) -> None:
         if isinstance(x, dict):
+            if not x and path:
+                item(path, depth, elem, "object", None, None)
             for k, v in x.items():
-                inner(f"{path}.{k}" if path else k, elem, v)
+                inner([*path, k], [*depth, 0], elem, v)
         elif isinstance(x, list):
+            if not x:
+                item(path, depth, elem, "array", None, None)
             for i, v in enumerate(x):
-                value(path, [*elem, i], v)
+                value(path, [*depth[:-1], depth[-1] + 1], [*elem, i], v)
+        elif isinstance(x, bool):
+            item(path, depth, elem, "bool", None, "true" if x else "false")
+        elif isinstance(x, int) and -(2**31) <= x < 2**64:
+            item(path, depth, elem, kinds.get((protocol, ".".join(path))) or ("u64" if x >= 0 else "i32"), x, None)
+        elif isinstance(x, int | float):
+            item(path, depth, elem, "number", None, json.dumps(x))
         elif x is not None:
-            known = kinds.get((protocol, path))
-            number = isinstance(x, int) and not isinstance(x, bool)
-            kind = known or ("u64" if number and x >= 0 else "i32" if number else "str")
-            out.append({"pos": len(out), "path": path, "elem": elem, "kind": kind, "num": x if number else None, "str": None if number else str(x), "name": None})
+            item(path, depth, elem, kinds.get((protocol, ".".join(path))) or "str", None, x)
 
-    def inner(path: str, elem: list[int], x: object) -> None:
+    def inner(path: list[str], depth: list[int], elem: list[int], x: object) -> None:
         last = out[-1] if out else None
-        if last and path == last["path"] + "_name" and elem == last["elem"] and isinstance(x, str):
+        if last and isinstance(x, str) and last["kind"] not in ("object", "array") and ".".join(path) == last["path"] + "_name" and elem == last["elem"] and depth == last["depth"]:
             last["name"] = x
         else:
-            value(path, elem, x)
+            value(path, depth, elem, x)
 
-    value("", [], layer.get("fields") or {})
+    value([], [], [], layer.get("fields") or {})
     return out
 
 
@@ -86,28 +101,55 @@ def read_records(spark: SparkSession, path: str, catalog: list[tuple[str, str, s
     return lines.mapInArrow(run, PACKETS)
 
 
+def _put(top: dict, steps: list[str], depth: list[int], elem: list[int], value: object) -> dict:
+    """Puts a value to its place and returns the object around it. Places that are left out stay null."""
+    here, places = top, iter(elem)
+    for k, (step, levels) in enumerate(zip(steps, depth)):
+        last = k == len(steps) - 1
+        if not levels:
+            if last:
+                here[step] = value
+                return here
+            here = here.setdefault(step, {})
+            continue
+        held = here.setdefault(step, [])
+        for level in range(levels):
+            at, inmost = next(places), level == levels - 1
+            held.extend([None] * (at + 1 - len(held)))
+            if last and inmost:
+                held[at] = value
+                return here
+            if held[at] is None:
+                held[at] = {} if inmost else []
+            held = held[at]
+        here = held
+    return here
+
+
 def _nested(fields: list[dict]) -> dict:
     """Objects and lists rebuilt from paths and places, labels after their fields."""
     top: dict = {}
     for f in fields or []:
-        steps, places, here = f["path"].split("."), list(f["elem"] or []), top
-        value = int(f["num"]) if f["num"] is not None else f["str"]
-        for k, step in enumerate(steps[:-1]):
-            if places:
-                held = here.setdefault(step, [])
-                at = places.pop(0)
-                while len(held) <= at:
-                    held.append({})
-                here = held[at]
-            else:
-                here = here.setdefault(step, {})
-        if places:
-            held = here.setdefault(steps[-1], [])
-            held.append(value)
-        elif value is not None:
-            here[steps[-1]] = value
+        steps, elem = f["path"].split("."), list(f["elem"] or [])
+        depth = f["depth"]
+        if depth is None:
+            depth = [1] * min(len(elem), len(steps)) + [0] * (len(steps) - len(elem))
+            depth[-1] += max(0, len(elem) - len(steps))
+        empty = {"object": {}, "array": []}.get(f["kind"])
+        if f["num"] is not None:
+            value: object = int(f["num"])
+        elif f["kind"] in ("bool", "number") and f["str"] is not None:
+            value = json.loads(f["str"])
+        else:
+            value = empty if empty is not None else f["str"]
+        if value is not None:
+            around = _put(top, steps, depth, elem, value)
+        else:  # a label by itself
+            around = top
+            for step in steps[:-1]:
+                around = around.setdefault(step, {})
         if f["name"] is not None:
-            here[steps[-1] + "_name"] = f["name"]
+            around[steps[-1] + "_name"] = f["name"]
     return top
 
 

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..model import PACKETS, decoded, first_field, first_layer
+from ..model import PACKETS, decoded
 from ..operators.correlate import dns_messages
-from ..operators.project import endpoints
+from ..operators.stats import name_counts, tcp_ports
 
 
 def tail(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
@@ -33,14 +33,27 @@ def live_protocols(packets: DataFrame) -> DataFrame:
 
 
 def live_talkers(packets: DataFrame) -> DataFrame:
-    return decoded(packets).select(endpoints().alias("e"), "original_length").where("e is not null").groupBy("e.src", "e.dst").agg(F.count("*").alias("packets"), F.sum("original_length").alias("bytes"))
+    return decoded(packets).where("src is not null and dst is not null").groupBy("src", "dst").agg(F.count("*").alias("packets"), F.sum("original_length").alias("bytes"))
+
+
+def live_frequencies(packets: DataFrame, protocols: Iterable[str] | None = None) -> DataFrame:
+    """Running counts of all names of the frequency tables; readers rank them as they like."""
+    return name_counts(packets, protocols)
 
 
 def live_streams(packets: DataFrame) -> DataFrame:
-    """Running sums per TCP stream; the endpoints are those of its first packet."""
-    tcp = first_layer("TCP")
-    rows = decoded(packets).select("capture_id", "number", "ts_us", "original_length", first_field(tcp, "stream_id")["num"].cast("long").alias("stream_id"), endpoints().alias("e")).where("stream_id is not null")
-    return rows.groupBy("capture_id", "stream_id").agg(F.min_by("e", F.when(F.col("e").isNotNull(), F.col("number"))).alias("ends"), F.count("*").alias("packets"), F.sum("original_length").alias("bytes"), ((F.max("ts_us") - F.min("ts_us")) / 1e6).alias("duration_secs"))
+    """Running sums per TCP stream: addresses of the first packet that has both, ports of the first with a source port."""
+    sp, dp = tcp_ports()
+    rows = decoded(packets).where("stream_id is not null").select("capture_id", "stream_id", "number", "ts_us", "original_length", "src", "dst", sp.alias("sp"), dp.alias("dp"))
+    known = F.coalesce("sp", F.lit(0)) != 0
+    sums = rows.groupBy("capture_id", "stream_id").agg(
+        F.min_by(F.struct("src", "dst"), F.when(F.col("src").isNotNull() & F.col("dst").isNotNull(), F.col("number"))).alias("e"),
+        F.min_by(F.struct("sp", "dp"), F.when(known, F.col("number"))).alias("p"),
+        F.count("*").alias("packets"),
+        F.sum("original_length").alias("bytes"),
+        F.coalesce(F.round((F.max("ts_us") - F.min("ts_us")) / 1e6, 3), F.lit(0.0)).alias("duration_secs"),
+    )
+    return sums.select("capture_id", "stream_id", F.coalesce("e.src", F.lit("unknown")).alias("src"), F.coalesce("p.sp", F.lit(0)).alias("src_port"), F.coalesce("e.dst", F.lit("unknown")).alias("dst"), F.coalesce("p.dp", F.lit(0)).alias("dst_port"), "packets", "bytes", "duration_secs")
 
 
 class _Pairing(StatefulProcessor):
