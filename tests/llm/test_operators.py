@@ -151,6 +151,17 @@ def test_shared_lines_deplete(spark):
     assert not any(got[k] for k in range(25)) and got[50] and got[51] and got[52]
 
 
+def test_clean_removes_shared_lines(spark):
+    shared = "Shared  Line of SIX small words"
+    rows = [(k, f"{prose(60, k).replace(chr(10), ' ')}\n{shared if k % 2 else shared.lower()}\n\nlast {k}", "h", 0) for k in range(25)] + [(50, prose(80, 50), "h", 7), (50, prose(80, 50), "h", 7), (60, "short", "h", 5), (70, None, "h", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    got = line_rules.clean(docs)
+    assert got.columns == docs.columns
+    want = [(i, t.replace("\n" + (shared if i % 2 else shared.lower()), ""), "h") for i, t, _, _ in rows[:25]] + [(50, prose(80, 50), "h")] * 2
+    assert sorted((r.doc_id, r.text, r.source) for r in got.collect()) == sorted(want)
+    assert all(r.n_chars == (7 if r.doc_id == 50 else len(r.text)) for r in got.collect())
+
+
 # ---------------------------------------------------------------- op 4
 
 
@@ -419,6 +430,34 @@ def test_pii_base(spark, docs, empty):
     assert pii.find(empty).count() == 0
 
 
+def test_pii_many_matches_in_one_text(spark):
+    import time
+
+    text = "a@b.cd 1.2.3.4 id: 123-456-7 " * 20_000
+    began = time.time()
+    got = pii.summary(pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert got.n_email == got.n_ip == 20_000 and time.time() - began < 60
+    assert got.base_sha256 == hashlib.sha256(brute_pii(text).encode()).hexdigest()
+
+
+def test_pii_candidates_apart_from_base(spark):
+    r = random.Random(12)
+    rows = []
+    for k in range(60):
+        taken = [(s, s + r.randrange(1, 12)) for s in (r.randrange(0, 200) for _ in range(r.randrange(0, 30)))]
+        spans, at = [], 0
+        while at < 200:
+            at += r.randrange(0, 9)
+            spans.append((at, at + r.randrange(1, 8)))
+            at = spans[-1][1]
+        rows.append((k, spans[: r.randrange(0, len(spans))], taken))
+    kind = pii._SPAN
+    item = lambda s: {"kind": "k", "start": s[0], "end": s[1], "value": "", "left": "", "right": ""}
+    df = spark.createDataFrame([(k, [item(s) for s in a], [item(s) for s in b]) for k, a, b in rows], f"k int, spans {kind}, taken {kind}")
+    got = {r.k: [(s.start, s.end) for s in r.free] for r in df.select("k", pii.apart(F.col("spans"), F.col("taken")).alias("free")).collect()}
+    assert got == {k: [s for s in a if not any(x < s[1] and s[0] < y for x, y in b)] for k, a, b in rows}
+
+
 def test_pii_bootstraps_a_context(spark):
     rows = [(k, f"{prose(20, k)} reach me at: {k}user@mail.org now {prose(10, k)}") for k in range(8)]
     rows += [(50, "reach me at: AB123456-77 now"), (51, f"the lot AB999456-77 {prose(5, 1)}")]

@@ -59,13 +59,16 @@ def repeated_words(grams: Column, few: int = 64) -> Column:
     return bind(grams, count).cast("long")
 
 
-def counts(docs: DataFrame, host: str = "source") -> DataFrame:
+def normal(line: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")))
+
+
+def counts(docs: DataFrame, host: str = "source", row: Column | None = None) -> DataFrame:
     """One row per document: its counts, and its distinct normalised lines with their words."""
-    text = docs.select(F.col("doc_id").cast("long"), (F.coalesce(F.col(host).cast("string"), F.lit("")) if host in docs.columns else F.lit("")).alias("host"), F.coalesce("text", F.lit("")).alias("text"))
+    text = docs.select((F.monotonically_increasing_id() if row is None else row).alias("row"), F.col("doc_id").cast("long"), (F.coalesce(F.col(host).cast("string"), F.lit("")) if host in docs.columns else F.lit("")).alias("host"), F.coalesce("text", F.lit("")).alias("text"))
     lines = text.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).withColumn("lines", F.filter(F.split("text", "\n", -1), lambda x: bare(x) != ""))
-    normal = lambda x: F.lower(F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")))
     kept = lines.select(
-        F.monotonically_increasing_id().alias("row"),
+        "row",
         "doc_id",
         "host",
         F.xxhash64("text").alias("content"),
@@ -89,17 +92,50 @@ def judge(docs: DataFrame, *, host: str = "source", most_docs: int = 20, deplete
     rules: fewer than ``least_words`` words, or over ``most_repeated`` of them in repeated windows.
 
     Counts of a line are partial before they are shuffled, so a line of every document is no hot
-    spot; removal joins on host and line, which Spark's skew join may split. Null or empty text
+    spot; removal joins on host and line, which Spark's skew join may split. The lines of one text
+    are distinct by their exact text, and a very long text has one list of them. Null or empty text
     has no words and fails. A null host is a host of its own. Repeated and null ids keep a row
     each; further columns are ignored; an empty table gives no rows.
     """
-    marks = materialise(counts(docs, host), "line-counts")
+    judged, _ = _judged(counts(docs, host), most_docs, depleted, least_words, most_repeated)
+    return judged.drop("row")
+
+
+def _judged(counted: DataFrame, most_docs: int, depleted: float, least_words: int, most_repeated: float) -> tuple[DataFrame, DataFrame]:
+    """The verdicts, by row, and the lines ``row, line`` (hashes) that are removed."""
+    marks = materialise(counted, "line-counts")
     held = marks.select("row", "host", "content", F.explode("lines").alias("l")).select("row", "host", "content", "l.line", "l.words")
     shared = held.select("host", "line", "content").distinct().groupBy("host", "line").count().where(F.col("count") > most_docs).select("host", "line")
-    removed = held.select("row", "host", "line", "words").join(shared, ["host", "line"]).groupBy("row").agg(F.sum("words").cast("long").alias("n_removed_words"))
+    gone = held.select("row", "host", "line", "words").join(shared, ["host", "line"])
+    removed = gone.groupBy("row").agg(F.sum("words").cast("long").alias("n_removed_words"))
     base_failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     judged = marks.drop("lines").join(removed, "row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0))).withColumn("base_failed", base_failed)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("n_removed_words") <= depleted * F.col("n_words"))).alias("kept"), "n_removed_words")
+    kept = (~F.col("base_failed") & (F.col("n_removed_words") <= depleted * F.col("n_words"))).alias("kept")
+    return judged.select("row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept, "n_removed_words"), gone.select("row", "line")
+
+
+def clean(docs: DataFrame, *, host: str = "source", most_docs: int = 20, depleted: float = 0.5, least_words: int = 50, most_repeated: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with its removed lines gone from their texts; ``n_chars``, if there, follows.
+
+    Only texts that lose lines are taken apart: their lines are rows, those removed are joined
+    away, the others joined up again in order. Lines without a word stay. Every kept row keeps
+    its own columns, also where ids or rows repeat; an empty table gives no rows.
+    """
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias("row"), *(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names))), "line-rows")
+    as_docs = rows.select("row", *(F.col(n).alias(c) for c, n in zip(docs.columns, names) if c in ("doc_id", "text", host)))
+    judged, removed = _judged(counts(as_docs, host, F.col("row")), most_docs, depleted, least_words, most_repeated)
+    kept, text = judged.where("kept").select("row"), names[docs.columns.index("text")]
+    losing = removed.select("row").distinct()
+    lines = rows.select("row", F.col(text).alias("text")).join(losing, "row", "left_semi").select("row", F.posexplode(F.split("text", "\n", -1)).alias("at", "text"))
+    lines = lines.withColumn("line", F.when(bare(F.col("text")) != "", F.xxhash64(normal(F.col("text"))))).join(removed.distinct(), ["row", "line"], "left_anti")
+    rebuilt = lines.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("s")).select("row", F.array_join(F.transform("s", lambda x: x["text"]), "\n").alias("rebuilt"))
+    changed = losing.withColumn("changed", F.lit(True))
+    out = rows.join(kept, "row", "left_semi").join(changed, "row", "left").join(rebuilt, "row", "left").withColumn(text, F.when(F.col("changed"), F.coalesce("rebuilt", F.lit(""))).otherwise(F.col(text)))
+    if "n_chars" in docs.columns:
+        n = names[docs.columns.index("n_chars")]
+        out = out.withColumn(n, F.when(F.col("changed"), F.length(text)).otherwise(F.col(n)).cast(docs.schema["n_chars"].dataType))
+    return out.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names)))
 
 
 SQL = r"""

@@ -26,33 +26,69 @@ _HINT = {"email": "@", "phone": "+", "ip": ".", "card": None}
 #: Something like an identifier: up to four letters, then digits and letters, single separators.
 CANDIDATE = r"(?<![A-Za-z0-9@._-])(?:[A-Za-z]{1,4}[-./]?)?[0-9](?:[-./]?[A-Za-z0-9]){4,}+(?![A-Za-z0-9@])"
 
-_SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
+#: A span with its text and up to ``REACH`` characters on either side, in lower case.
+_ITEM = "struct<kind:string,start:int,end:int,value:string,left:string,right:string>"
+_SPAN = f"array<{_ITEM}>"
+REACH, RUN = 48, 256
+
+
+def walk(items: Column, zero: Column, emit, after, kind: str) -> Column:
+    """``emit(state, item)`` of each item, where the state goes from item to item by ``after``.
+
+    Appending to an array copies it, so results are gathered in runs of ``RUN`` and the runs are
+    joined at the end: time stays close to linear in the number of items.
+    """
+
+    def run(part: Column, state: Column) -> Column:
+        step = lambda s, x: F.struct(F.concat(s["out"], F.array(emit(s["at"], x))).alias("out"), after(s["at"], x).alias("at"))
+        return F.aggregate(part, F.struct(F.array().cast(f"array<{kind}>").alias("out"), state.alias("at")), step)
+
+    def join(state: Column, first: Column) -> Column:
+        return bind(run(F.slice(items, first, RUN), state["at"]), lambda v: F.struct(F.concat(state["out"], F.array(v["out"])).alias("out"), v["at"].alias("at")))
+
+    start = F.struct(F.array().cast(f"array<array<{kind}>>").alias("out"), zero.alias("at"))
+    return F.when(F.size(items) == 0, F.array().cast(f"array<{kind}>")).otherwise(F.flatten(F.aggregate(F.sequence(F.lit(1), F.size(items), F.lit(RUN)), start, join, lambda s: s["out"])))
 
 
 def matches(text: Column, pattern: str, kind: str) -> Column:
-    """Leftmost non-overlapping matches as ``kind, start, end, value``, in code points.
+    """Leftmost non-overlapping matches with their places, in code points, and their surroundings.
 
-    What lies between the matches gives their places.
+    What lies between the matches gives both; a text is never looked into by position, which would
+    cost its length each time. Surroundings end at the second match before or after.
     """
+    none = F.lit("")
+    side = lambda values, i: F.coalesce(F.get(values, i), none)
 
     def place(found: Column) -> Column:
-        gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-
-        def walk(g: Column) -> Column:
-            def add(state: Column, i: Column) -> Column:
-                value = F.get(found, i)
-                start = state["at"] + F.get(g, i)
-                end = start + F.length(value)
-                item = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), value.alias("value"))
-                return F.struct(F.concat(state["spans"], F.array(item)).alias("spans"), end.alias("at"))
+        def spans(gaps: Column) -> Column:
+            def emit(at: Column, i: Column) -> Column:
+                value, start = F.get(found, i), at + F.length(F.get(gaps, i))
+                left = F.right(F.concat(F.right(side(gaps, i - 1), F.lit(REACH)), side(found, i - 1), F.get(gaps, i)), F.lit(REACH))
+                right = F.left(F.concat(side(gaps, i + 1), side(found, i + 1), F.left(side(gaps, i + 2), F.lit(REACH))), F.lit(REACH))
+                return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), F.lower(left).alias("left"), F.lower(right).alias("right"))
 
-            return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), F.struct(F.array().cast(_SPAN).alias("spans"), F.lit(0).alias("at")), add, lambda s: s["spans"])
+            return walk(F.sequence(F.lit(0), F.size(found) - 1), F.lit(0), emit, lambda at, i: at + F.length(F.get(gaps, i)) + F.length(F.get(found, i)), _ITEM)
 
-        return F.when(F.size(found) == 0, F.array().cast(_SPAN)).otherwise(bind(gaps, walk))
+        return F.when(F.size(found) == 0, F.array().cast(_SPAN)).otherwise(bind(F.split(text, pattern, -1), spans))
 
     return bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
 
 
+def apart(spans: Column, taken: Column) -> Column:
+    """The ``spans`` (disjoint) that touch none of ``taken``: one pass over both, in order of their starts."""
+    tag = lambda own: lambda s: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["end"].alias("end"), s.alias("span"))
+    both = F.array_sort(F.concat(F.transform(taken, tag(False)), F.transform(spans, tag(True))), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["own"] == b["own"], 0).when(a["own"], 1).otherwise(-1))
+
+    def free(sorted_: Column) -> Column:
+        # what begins next among the taken lies right behind: other spans end before
+        ahead = lambda i: F.coalesce(~F.get(sorted_, i + 1)["own"] & (F.get(sorted_, i + 1)["start"] < F.get(sorted_, i)["end"]), F.lit(False))
+        emit = lambda at, i: bind(F.get(sorted_, i), lambda x: F.when(x["own"] & (at <= x["start"]) & ~ahead(i), x["span"]))
+        after = lambda at, i: bind(F.get(sorted_, i), lambda x: F.when(x["own"], at).otherwise(F.greatest(at, x["end"])))
+        return F.array_compact(walk(F.sequence(F.lit(0), F.size(sorted_) - 1), F.lit(0), emit, after, _ITEM))
+
+    return F.when((F.size(spans) == 0) | (F.size(taken) == 0), spans).otherwise(bind(both, free))
+
+
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -80,16 +116,14 @@ def base_spans(text: Column) -> dict[str, Column]:
     return out
 
 
-def _contexts(text: Column, spans: Column, reach: int = 48) -> Column:
+def _contexts(spans: Column) -> Column:
     """Spans with their lexical patterns: the two words before and the one after, and a cue.
 
     A cue is a word before that ends with a sign such as ``:``, which may stand by itself.
     """
 
     def one(s: Column) -> Column:
-        from_ = F.greatest(s["start"] - reach, F.lit(0))
-        left = F.lower(F.substring(text, from_ + 1, s["start"] - from_))
-        right = F.lower(F.substring(text, s["end"] + 1, F.lit(reach)))
+        left, right = s["left"], s["right"]
         two = F.regexp_extract(left, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 0)
         after = F.regexp_extract(right, r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1)
         cue = F.regexp_extract(left, r"([^\x20\x09-\x0D]*[^\x20\x09-\x0D0-9][:=#])[\x20\x09-\x0D]*$", 1)
@@ -104,8 +138,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per document: its base spans by kind, and candidates that touch none of them."""
     text = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     found = text.select("row", "doc_id", "text", F.concat(*base_spans(F.col("text")).values()).alias("base"), F.when(F.col("text").rlike("[0-9]"), matches(F.col("text"), CANDIDATE, "context")).otherwise(F.array().cast(_SPAN)).alias("others"))
-    free = lambda c: (F.length(digits(c["value"])) >= 5) & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    return found.select("row", "doc_id", _contexts(F.col("text"), F.col("base")).alias("base"), _contexts(F.col("text"), F.filter("others", free)).alias("others"))
+    found = found.withColumn("others", apart(F.filter("others", lambda c: F.length(digits(c["value"])) >= 5), F.col("base")))
+    return found.select("row", "doc_id", _contexts(F.col("base")).alias("base"), _contexts(F.col("others")).alias("others"))
 
 
 def trusted(scanned: DataFrame, *, rounds: int = 3, least: float = 0.75, seeds: int = 3) -> DataFrame:
@@ -141,7 +175,8 @@ def find(docs: DataFrame, **options) -> DataFrame:
     base span. Offsets are code points, ends exclusive.
 
     Null or empty text: no spans. Repeated and null ids keep a row each; further columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows. Spans of two kinds at one place are both kept. A long
+    text takes time in proportion to its length and the number of its matches.
     """
     scanned = materialise(scan(docs), "pii-scan")
     fields = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
