@@ -83,5 +83,5 @@ def mix(sample: DataFrame, start: list[np.ndarray], learn: Callable[[list[np.nda
         flat = before + gain * sum(np.frombuffer(r["state"], "<f4") - before for r in got)
         cuts = np.cumsum([len(x) for x in state])[:-1]
         state = [x.astype(np.float32) for x in np.split(flat, cuts)]
-        sent.unpersist()
+        sent.destroy()
     return state

@@ -134,8 +134,8 @@ def _anchor_rows_of(nodes: DataFrame, only=None, tables: int = TABLES) -> DataFr
     return nodes.select("node", "comp", *LANES).mapInArrow(_anchor_rows(only, tables), "anchor int, node long, comp long, " + ", ".join(f"{f} long" for f in LANES[:CARRIED]))
 
 
-def _compare(rows: dict, low: int, high: int, budget: int = 1 << 20):
-    """Pairs of a home and any row of its key; each home's near rows number ``low`` up to ``high``.
+def _compare(rows: dict, most: int, budget: int = 1 << 20):
+    """Pairs of a home and any row of its key; each home's first ``most`` near rows.
 
     Adds to ``seen`` how many near rows each home has met so far. An anchor is marked where pairs
     of unlike components are left.
@@ -166,10 +166,10 @@ def _compare(rows: dict, low: int, high: int, budget: int = 1 << 20):
             place = seen[a] + np.arange(len(a)) - np.repeat(first, runs)
             seen[a[first]] += runs
             unlike = comp[a] != comp[b]
-            use = unlike & (place >= low) & (place < high)
+            use = unlike & (place < most)
             us.append(rows["node"][a[use]])
             vs.append(rows["node"][b[use]])
-            more.append(np.unique(rows["anchor"][a[unlike & (place >= high)]]))
+            more.append(np.unique(rows["anchor"][a[unlike & (place >= most)]]))
         i = j
     left = np.unique(np.concatenate(more)) if more else np.zeros(0, np.int64)
     u, v = np.concatenate([*us, left]), np.concatenate([*vs, left])
@@ -177,7 +177,7 @@ def _compare(rows: dict, low: int, high: int, budget: int = 1 << 20):
     return pa.RecordBatch.from_arrays([pa.array(np.where(flag, u, np.minimum(u, v))), pa.array(np.where(flag, v, np.maximum(u, v))), pa.array(flag)], ["u", "v", "more"])
 
 
-def _candidates(low: int, high: int, most_rows: int = 1 << 18):
+def _candidates(most: int, most_rows: int = 1 << 18):
     """Over rows sorted by anchor, block and home first; a long group's homes stay while it streams."""
 
     def run(batches):
@@ -194,22 +194,22 @@ def _candidates(low: int, high: int, most_rows: int = 1 << 18):
                 rows = {k: [np.concatenate([p, q]) for p, q in zip(rest[k], x)] if k == "fps" else np.concatenate([rest[k], x]) for k, x in rows.items()}
             start = int(np.searchsorted(rows["key"], rows["key"][-1]))
             if start:
-                yield _compare(pick(rows, slice(0, start)), low, high)
+                yield _compare(pick(rows, slice(0, start)), most)
             rest = pick(rows, slice(start, None))
             if len(rest["key"]) > most_rows and not rest["home"][-1]:
-                yield _compare(rest, low, high)
+                yield _compare(rest, most)
                 rest = pick(rest, rest["home"])
                 rest["old"] = np.ones(len(rest["key"]), bool)
         if rest is not None:
-            yield _compare(rest, low, high)
+            yield _compare(rest, most)
 
     return run
 
 
-def _pairs(rows: DataFrame, low: int, high: int) -> DataFrame:
+def _pairs(rows: DataFrame, most: int) -> DataFrame:
     """``u, v, more`` of rows ``anchor, block, home, node, comp`` and the carried fingerprint."""
     dealt = rows.select("anchor", "block", "home", "node", "comp", *LANES[:CARRIED]).repartition("anchor", "block").sortWithinPartitions("anchor", "block", F.desc("home"), "node")
-    return dealt.mapInArrow(_candidates(low, high), "u long, v long, more boolean").distinct()
+    return dealt.mapInArrow(_candidates(most), "u long, v long, more boolean").distinct()
 
 
 def _first_pairs(nodes: DataFrame, tables: int, most_homes: int) -> DataFrame:
@@ -224,18 +224,18 @@ def _first_pairs(nodes: DataFrame, tables: int, most_homes: int) -> DataFrame:
     hot = materialise(load, "hot-anchors")
     rows = _anchor_rows_of(nodes, None, tables)
     if hot.isEmpty():
-        return _pairs(rows.withColumns({"block": F.lit(0), "home": F.lit(True)}), 0, 1)
+        return _pairs(rows.withColumns({"block": F.lit(0), "home": F.lit(True)}), 1)
     rows = rows.join(hot, "anchor", "left")
     blocks = F.coalesce(F.ceil(F.col("load") / most_homes).cast("int"), F.lit(1))
     leads = F.pmod(F.xxhash64("node", F.lit(5)), F.col("load")) < LEADERS
     own = F.pmod(F.xxhash64("node", F.lit(4)), blocks).cast("int")
     rows = rows.withColumn("home", F.lit(True)).withColumn("block", F.explode(F.when(leads, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))))
     marks = hot.select(F.col("anchor").cast("long").alias("u"), F.col("anchor").cast("long").alias("v"), F.lit(True).alias("more"))
-    return _pairs(rows, 0, 1).unionByName(marks).distinct()
+    return _pairs(rows, 1).unionByName(marks).distinct()
 
 
-def _further_pairs(nodes: DataFrame, only, low: int, high: int, most_homes: int) -> DataFrame:
-    """Near pairs of unlike components at the marked anchors.
+def _further_pairs(nodes: DataFrame, only, most_homes: int) -> DataFrame:
+    """All near pairs of unlike components at the marked anchors.
 
     At each anchor the rows of its most common component are no homes: their pairs with others
     are found from the others. The homes are split into blocks of ``most_homes``, and every
@@ -248,7 +248,7 @@ def _further_pairs(nodes: DataFrame, only, low: int, high: int, most_homes: int)
     blocks = F.ceil(F.col("others") / most_homes).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(4)), blocks).cast("int")
     rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("home", (F.col("comp") != F.col("common")) & (F.col("block") == own))
-    return _pairs(rows, low, high)
+    return _pairs(rows, 1 << 62)
 
 
 # ---------------------------------------------------------------- deciding
@@ -299,6 +299,8 @@ def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     apart = sum(F.bit_count(F.col(f"u_{f}").bitwiseXOR(F.col(f"v_{f}"))) for f in LANES)
     close = pairs.join(nodes.select(*left), F.col("u") == F.col("u_node")).join(nodes.select(*right), F.col("v") == F.col("v_node")).where(apart <= most_bits).select("u", "v")
     close = materialise(close, "candidates")
+    if close.isEmpty():
+        return close
     held = close.select(F.col("u").alias("node")).unionByName(close.select(F.col("v").alias("node"))).distinct()
     wanted = materialise(nodes.select("node", "row_key").join(held, "node", "left_semi"), "wanted")
     sent = spark.sparkContext.broadcast(bitmap(wanted.select(F.col("row_key").bitwiseAND(F.lit((1 << 26) - 1)).alias("n")), 26))
@@ -308,7 +310,7 @@ def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     links = materialise(full.select("u", "v", "a", "b").mapInArrow(_verify(shingle, least), "u long, v long"), "links")
     for table in (close, wanted, texts):
         discard(table)
-    sent.unpersist()
+    sent.destroy()
     return links
 
 
@@ -316,6 +318,8 @@ def _joined_roots(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     """``node, root`` with further links: these join whole components, so only roots are looked at."""
     if roots is None:
         return materialise(components(links), "components")
+    if links.isEmpty():
+        return roots
     of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
     ends = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v"))
     upper = materialise(components(ends).select(F.col("node").alias("root"), F.col("root").alias("top")), "components")
@@ -330,20 +334,20 @@ def classes(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, most_bits:
     marks = materialise(sketches(docs, shingle), "sketches")
     nodes = materialise(marks.groupBy("node").agg(F.min_by("row_key", F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("row_key"), *(F.min(c).alias(c) for c in LANES)), "distinct-sketches")
     roots = only = None
-    for tables, low, high in ((FIRST_TABLES, 0, 1), (TABLES, 0, 1), (None, 0, 16), (None, 16, 1 << 62)):
+    for tables in (FIRST_TABLES, TABLES, None):
         placed = nodes.withColumn("comp", F.col("node")) if roots is None else nodes.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-        pairs = _first_pairs(placed, tables, most_homes) if tables else _further_pairs(placed, only, low, high, most_homes)
+        pairs = _first_pairs(placed, tables, most_homes) if tables else _further_pairs(placed, only, most_homes)
         pairs = materialise(pairs, "pairs")
         links = _similar(pairs.where(~F.col("more")).select("u", "v"), nodes, docs, shingle, least, most_bits)
         roots = _joined_roots(roots, links)
-        if tables == FIRST_TABLES:  # the next round looks at all anchors anyway
-            discard(pairs)
-            continue
-        marked = bitmap(pairs.where("more").select(F.col("u").alias("n")), ANCHORS.bit_length() - 1)
+        if tables == TABLES:  # before that, all anchors are looked at again anyway
+            marked = bitmap(pairs.where("more").select(F.col("u").alias("n")), ANCHORS.bit_length() - 1)
+            if not marked.any():
+                break
+            only = spark.sparkContext.broadcast(marked)
         discard(pairs)
-        if not marked.any():
-            break
-        only = spark.sparkContext.broadcast(marked)
+    if only is not None:
+        only.destroy()
     return marks.join(roots, "node", "left").select("doc_id", "row_key", F.coalesce("root", "node").alias("root"))
 
 
@@ -354,7 +358,7 @@ def near_copies(docs: DataFrame, **options) -> DataFrame:
     of 64 tables and differ in at most ``most_bits`` of 256 bits are candidates; their shingle sets
     decide. First each node is tested with one near node an anchor, in a few of the tables and
     then, where that is of another component, in all; then, at the anchors where that left some
-    apart, with the others that are not in its component yet, in two rounds. So a large group of near copies is joined without all its pairs, and every candidate is tested or
+    apart, with all others that are not in its component yet. So a large group of near copies is joined without all its pairs, and every candidate is tested or
     joined. Candidates are probable, not certain: at a similarity of 0.8 a pair shares no anchor
     with a chance of 3 %, at 0.87 of 0.01 %.
 
