@@ -1,5 +1,6 @@
 """Capture files, decoding, predicates, records, correlation and streams on small captures."""
 
+import json
 import random
 import struct
 
@@ -284,3 +285,198 @@ def test_all_captures_have_their_tcp_streams(spark):
     want = {(f"c{r.c}", r.user_id): r["count"] for r in events.groupBy(F.expr("event_id div 2048").alias("c"), "user_id").count().collect()}
     got = {(r.capture_id, r.stream_id): r.packets for r in registry.queries()["a04_tcp_streams_all"](spark, "/root/testdata/sf0.01").collect()}
     assert got == want and len({c for c, _ in want}) > 1
+
+
+# ---------------------------------------------------------------- captures, end to end
+
+
+def test_exports_never_overwrite(spark, mixed, tmp_path):
+    out = str(tmp_path / "out")
+    captures.write_capture(mixed.where("number = 1"), out)
+    captures.write_capture(mixed.where("number = 2"), out)
+    assert sorted(bytes(r.raw) for r in captures.read_capture(spark, out).collect()) == sorted(MIXED[:2])
+    with pytest.raises(Exception):  # a task that fails leaves no part and no folder of its own
+        captures.write_capture(mixed.withColumn("ts_us", F.when(F.col("number") < 4, F.col("ts_us")).otherwise(F.lit(-(1 << 60)))), out)
+    assert captures.read_capture(spark, out).count() == 2 and len(list((tmp_path / "out").iterdir())) == 2
+    captures.write_capture(mixed.withColumn("link_type", F.when(F.col("number") == 5, F.lit(101)).otherwise(F.lit(1))), out, overwrite=True)
+    assert sorted((r.link_type, bytes(r.raw)) for r in captures.read_capture(spark, out).collect()) == sorted([(1, x) for x in MIXED[:4]] + [(101, MIXED[4])])
+
+
+def block(order, kind, body):
+    return struct.pack(order + "II", kind, 12 + len(body)) + body + struct.pack(order + "I", 12 + len(body))
+
+
+def test_sections_and_torn_files(spark, tmp_path):
+    data, n = b"", 0
+    for order, links in (("<", (1,)), (">", (101, 1))):  # the second section has another byte order and other interfaces
+        data += block(order, captures.SECTION, struct.pack(order + "IHHq", captures.BYTE_ORDER, 1, 0, -1))
+        for link in links:
+            data += block(order, captures.INTERFACE, struct.pack(order + "HHI", link, 0, 65535))
+        for k in range(50):
+            n += 1
+            data += block(order, captures.ENHANCED, struct.pack(order + "IIIII", len(links) - 1, 0, n * 1000, 54, 54) + MIXED[0][:54] + b"\0\0")
+            data += block(order, 5, b"\0" * 8)  # statistics are passed over
+    (tmp_path / "two.pcapng").write_bytes(data)
+    got = captures.read_capture(spark, str(tmp_path / "two.pcapng"), rangeBytes=700)
+    assert got.rdd.getNumPartitions() > 10
+    assert sorted((r.number, r.ts_us, r.link_type) for r in got.collect()) == [(k, k * 1000, 1) for k in range(1, 101)]
+    assert [r.number for r in captures.read_capture(spark, str(tmp_path / "two.pcapng"), rangeBytes=700, numbers=(60, 62)).collect()] == [60, 61, 62]
+    assert spark.read.format("capture").load(str(tmp_path / "two.pcapng")).where("number >= 99").count() == 2
+    for cut in (3, 40):
+        (tmp_path / "torn.pcapng").write_bytes(data[:-cut])
+        with pytest.raises(Exception):
+            captures.read_capture(spark, str(tmp_path / "torn.pcapng")).collect()
+    (tmp_path / "small.pcapng").write_bytes(data + struct.pack(">II", 6, 8))
+    with pytest.raises(Exception):
+        captures.read_capture(spark, str(tmp_path / "small.pcapng")).collect()
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "x.pcap").write_bytes(pcap([]))
+    assert captures.read_capture(spark, str(tmp_path / "empty")).count() == 0
+
+
+def six(next_header: int, src: str, dst: str, body: bytes) -> bytes:
+    import ipaddress
+
+    head = struct.pack(">IHBB", 6 << 28, len(body), next_header, 64) + ipaddress.IPv6Address(src).packed + ipaddress.IPv6Address(dst).packed
+    return bytes.fromhex("020000000001020000000002") + b"\x86\xdd" + head + body
+
+
+def answer(name: bytes, kind: int, data: bytes) -> bytes:
+    return name + struct.pack(">HHIH", kind, 1, 300, len(data)) + data
+
+
+TALK = [
+    frame("TCP", "10.0.0.1", "10.0.0.2", 5000, 80, b"GET / HTTP/1.1\r\nHost: x\r\n\r\n"),
+    frame("TCP", "10.0.0.9", "10.0.0.2", 5001, 80),
+    frame("TCP", "10.0.0.2", "10.0.0.1", 80, 5000, b"HTTP/1.1 200 OK\x00\n"),
+    frame("UDP", "10.0.0.2", "10.0.0.3", 53, 5999, struct.pack(">HHHHHH", 7, 0x8003, 2, 3, 0, 0) + b"\x01a\x03com\x00" + struct.pack(">HH", 1, 1) + b"\x01b\xc0\x0e" + struct.pack(">HH", 28, 1) + answer(b"\xc0\x0c", 1, bytes([1, 2, 3, 4])) + answer(b"\xc0\x0c", 5, b"\x01c\xc0\x0e") + answer(b"\xc0\x0c", 28, bytes(15) + b"\x01")),
+    six(0, "2001:db8::1", "2001:db8::2", bytes([44, 0]) + bytes(6) + bytes([17, 0]) + struct.pack(">HI", 0, 1) + struct.pack(">HHHH", 1000, 2000, 9, 0) + b"x"),
+    six(44, "2001:db8::1", "2001:db8::2", bytes([17, 0]) + struct.pack(">HI", 8 << 3, 1) + b"middle of a datagram"),
+    MIXED[0][:12] + b"\x81\x00" + struct.pack(">H", 0x2005) + MIXED[0][12:],
+]
+
+
+@pytest.fixture(scope="module")
+def talk(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("cap") / "talk.pcap"
+    path.write_bytes(pcap(TALK))
+    return follow.with_stream_ids(decode.with_labels(decode.decode(captures.read_capture(spark, str(path))))).cache()
+
+
+def test_decoded_streams_and_payload(talk):
+    assert {r.number: r.stream_id for r in talk.collect()} == {1: 0, 2: 1, 3: 0, 4: None, 5: None, 6: None, 7: 0}
+    assert [r.number for r in talk.where(P.field_eq("tcp.stream_id", 0)).orderBy("number").collect()] == [1, 3, 7]
+    lines = follow.payload_lines(follow.follow(talk, "tcp:0")).orderBy("number", "line_number").collect()
+    assert [(r.number, r.from_client, r.line) for r in lines] == [(1, True, "GET / HTTP/1.1"), (1, True, "Host: x"), (1, True, ""), (3, False, "HTTP/1.1 200 OK.")]
+    got = {r.stream_id: (r.src, r.src_port, r.dst, r.dst_port, r.packets) for r in stats.tcp_streams(talk).collect()}
+    assert got == {0: ("10.0.0.1", 5000, "10.0.0.2", 80, 3), 1: ("10.0.0.9", 5001, "10.0.0.2", 80, 1)}
+
+
+def test_decoded_layers_and_labels(talk):
+    rows = {r.number: r for r in talk.collect()}
+    assert rows[5].stack == "Ethernet:IPv6:UDP" and (rows[5].src, rows[5].src_port, rows[5].dst_port, bytes(rows[5].payload)) == ("2001:db8::1", 1000, 2000, b"x")
+    assert rows[6].stack == "Ethernet:IPv6" and rows[6].transport is None and rows[6].decode_error is None
+    assert [f.num for f in rows[7].layers[0].fields if f.path == "vlan_id"] == [5]
+    dns = [(f.path, f.elem, f.num if f.num is not None else f.str, f.name) for f in rows[4].layers[3].fields]
+    assert [x[2] for x in dns if x[0] == "questions.name"] == ["a.com", "b.com"] and [x[2] for x in dns if x[0] == "answers.rdata"] == ["1.2.3.4", "c.com", "::1"]
+    assert ("rcode", [], 3, "NXDomain") in dns and [x[3] for x in dns if x[0] == "questions.type"] == ["A", "AAAA"]
+    info = {r.number: r.info for r in project.summarise(talk).collect()}
+    assert info[2] == "5001 → 80 [PSH, ACK]" and info[4] == "Response a.com"
+    names = {(r.metric, r.name): r["count"] for r in stats.frequencies(talk, ["dns"]).collect()}
+    assert names == {("total_responses", None): 1, ("rcode_distribution", "NXDomain"): 1}
+
+
+def test_late_ports(spark):
+    tcp = lambda sp, dp: layer(0, "TCP", field("stream_id", "u32", F.lit(4)), field("src_port", "u16", sp), field("dst_port", "u16", dp))
+    sets = [[(None, 7), (0, 8), (None, None)], [(None, 7), (5, None), (None, 9)], [(None, 7), (5, 6), (0, 9)], [(None, None), (3, 4), (5, 6)]]
+    rows = [(f"c{c}", n + 1, sp, dp) for c, packets in enumerate(sets) for n, (sp, dp) in enumerate(packets)]
+    df = spark.createDataFrame(rows, "capture_id string, number long, sp int, dp int").withColumn("original_length", F.lit(1)).withColumn("layers", F.array(tcp(F.col("sp"), F.col("dp"))))
+    got = {r.capture_id: (r.src_port, r.dst_port) for r in stats.tcp_streams(as_packets(df), by=["capture_id"]).collect()}
+    assert got == {"c0": (0, 8), "c1": (5, 7), "c2": (5, 6), "c3": (3, 4)}
+
+
+def test_records_keep_their_shape(spark, tmp_path):
+    shapes = [{"a": {"b": [1, 2]}}, {"a": [{"b": 1}, {"b": 2}]}, {"x": [[1, 2], [3]]}, {"t": True, "f": False}, {"e": [], "o": {}, "l": [[], [1]]}, {"q": [{"n": "a", "t": 1, "t_name": "A"}, {"n": "b", "t": 2}]}, {"p": 1.5, "neg": -3, "big": 2**64 - 1}, {"d": {"e": {"f": [{"g": [1]}]}}}]
+    lines = [json.dumps({"number": k + 1, "timestamp": "1970-01-01T00:00:01.000500Z", "length": 1, "original_length": 1, "stack": "P", "layers": [{"protocol": "P", "fields": s}]}, separators=(",", ":")) for k, s in enumerate(shapes)]
+    (tmp_path / "in.jsonl").write_text("\n".join(lines))
+    back = records.to_records(records.read_records(spark, str(tmp_path / "in.jsonl"))).collect()
+    assert sorted(r.value for r in back) == sorted(lines)
+
+
+def test_pages_far_down_and_flags(spark):
+    df = spark.createDataFrame([(c, n) for c in "ab" for n in range(1, 400)], "capture_id string, number long").repartition(5)
+    want = [(c, n) for c in "ab" for n in range(1, 400)]
+    assert [tuple(r) for r in select.page(df, offset=390, count=None).collect()] == want[390:]
+    held, select.HELD = select.HELD, 10
+    try:
+        assert [tuple(r) for r in select.page(df, offset=397, count=5).collect()] == want[397:402]
+    finally:
+        select.HELD = held
+    plan = select.page(df, offset=390, count=None)._jdf.queryExecution().executedPlan().toString()
+    assert "CollectLimit" not in plan and "TakeOrdered" not in plan
+    assert select.truncated(df, count=797).first().truncated and not select.truncated(df, count=798).first().truncated
+
+
+def test_dns_pairs_over_many_buckets(spark):
+    r = random.Random(11)
+    rows, us = [], 0
+    for n in range(1, 900):
+        us += r.randrange(0, 3_000_000)
+        rows.append((n, None if r.random() < 0.02 else us, int(r.random() < 0.3), 0, 0))  # one key has all
+    df = spark.createDataFrame(rows, "number long, ts_us long, qr int, id int, client int").repartition(6)
+    ask, mine, theirs = F.col("qr") == 0, F.lit("10.0.0.1"), F.lit("10.9.9.9")
+    ends = layer(0, "IPv4", field("src", "ipv4addr", F.when(ask, mine).otherwise(theirs)), field("dst", "ipv4addr", F.when(ask, theirs).otherwise(mine)))
+    udp = layer(1, "UDP", field("src_port", "u16", F.when(ask, 999).otherwise(53)), field("dst_port", "u16", F.when(ask, 53).otherwise(999)))
+    packets = as_packets(df.select(F.lit("c").alias("capture_id"), "number", "ts_us", F.array(ends, udp, layer(2, "DNS", field("qr", "u8", F.col("qr")), field("id", "u16", F.col("id")))).alias("layers")))
+    for bucket in (7, 64, 1 << 16):
+        got = sorted((x.query_number, x.response_number, x.rtt) for x in correlate.dns_pairs(packets, tick=9, timeout_s=6.0, bucket=bucket).collect())
+        assert got == fold(rows, 9, 6_000_000) and len(got) > 50
+
+
+def test_document(spark, mixed):
+    got = json.loads(stats.document(mixed).first().stats)
+    assert got["total_packets"] == 5 and got["duration_secs"] == 4.0 and {x["name"]: x["count"] for x in got["protocols"]} == {"Ethernet": 5, "IPv4": 5, "TCP": 3, "UDP": 2, "DNS": 1}
+    assert got["top_talkers"][0] == {"src": "10.0.0.1", "dst": "10.0.0.2", "packets": 2, "bytes": 128} and "tcp_streams" not in got and "dns_response_time" not in got
+    assert {(x["protocol"], x["metric"]): x["count"] for x in got["tables"] if x["metric"].startswith("total")} == {("dns", "total_queries"): 1}
+    part = json.loads(stats.document(mixed, ["dhcp"], talkers=False).first().stats)
+    assert set(part) == {"total_packets", "start_time", "end_time", "duration_secs", "protocols"}
+
+
+def test_live_tables_and_streams(spark, talk, tmp_path):
+    from tidewire.streaming import live
+
+    packets = as_packets(talk)
+    packets.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = live.tail(spark, str(tmp_path / "in"), 1)
+    streams = stats.tcp_streams(packets, None, ["capture_id"])
+    overview = packets.groupBy("capture_id").agg(F.count("*").alias("n"), F.min("ts_us"), F.max("ts_us"))
+    for name, df, batch in (("tables", live.live_frequencies(stream), stats.name_counts(packets)), ("streams", live.live_streams(stream), streams), ("overview", live.live_overview(stream), overview)):
+        q = df.writeStream.format("memory").queryName(name).outputMode("complete").start()
+        q.processAllAvailable()
+        q.stop()
+        assert sorted(map(str, map(tuple, spark.table(name).collect()))) == sorted(map(str, map(tuple, batch.collect()))) and batch.count()
+
+
+def test_plans_read_once(spark):
+    """Headline plans scan the packet table once for each pass and never rebuild layers."""
+    from tidewire.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+
+    def plan(name):
+        df = registry.queries()[name](spark, sf)
+        df._jdf.collectToPython()
+        return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+    for name, scans in (("a01_overview", 1), ("a03_top_talkers", 1), ("a05_dns", 1), ("freq_all", 2)):
+        assert plan(name).count("FileScan parquet") == scans, name
+    talkers = plan("a03_top_talkers")
+    assert "layers" not in talkers and "PushedFilters: [IsNull(decode_error), IsNotNull(src), IsNotNull(dst)]" in talkers
+
+
+def test_visibility_from_a_file(tmp_path):
+    (tmp_path / "shown.toml").write_text('[UDP]\nfields = ["src_port"]\n["NAS-5G"]\nfields = ["a.*", "b"]\n')
+    assert project.load_visibility(str(tmp_path / "shown.toml")) == {"UDP": ["src_port"], "NAS-5G": ["a.*", "b"]}
+    (tmp_path / "bad.toml").write_text('[UDP]\nfields = ["a*b"]\n')
+    with pytest.raises(ValueError):
+        project.load_visibility(str(tmp_path / "bad.toml"))

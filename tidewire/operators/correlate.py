@@ -71,8 +71,8 @@ def dns_pairs(packets: DataFrame, tick: int = TICK, timeout_s: float = TIMEOUT_S
     inside = Window.partitionBy(*key, "_b").orderBy("number")
     last_ask, last_tick = F.lag("ask").over(inside), F.lag("tick_with").over(inside)
     answers = F.sum((~F.col("ask")).cast("int")).over(inside)
-    # the first query of a turn between two ticks, and any tick; every response that may end a turn
-    first = last_ask.isNull() | ~last_ask | F.col("is_tick") | ~last_tick.eqNullSafe(F.col("tick_with"))
+    # the first query of a turn between two ticks, any tick and what follows it; every response that may end a turn
+    first = last_ask.isNull() | ~last_ask | F.col("is_tick") | F.lag("is_tick").over(inside) | ~last_tick.eqNullSafe(F.col("tick_with"))
     numbered = keyed.withColumn("_answers", answers).withColumn("_keep", F.when(F.col("ask"), first).otherwise(F.coalesce(last_ask, F.lit(True))))
     answered = numbered.groupBy(*key, "_b").agg(F.max("_answers").alias("_n"))
     before = answered.select(*key, "_b", (F.sum("_n").over(Window.partitionBy(*key).orderBy("_b")) - F.col("_n")).alias("_turns"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tomllib
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -148,6 +149,12 @@ def check_pattern(pattern: str) -> str:
     return pattern
 
 
+def load_visibility(path: str) -> dict[str, list[str]]:
+    """A visibility table from a TOML file: a section a protocol, its patterns under ``fields``."""
+    with open(path, "rb") as f:
+        return {protocol: [check_pattern(p) for p in part["fields"]] for protocol, part in tomllib.load(f).items()}
+
+
 def _matches(name: Column, pattern: str) -> Column:
     if pattern == "*":
         return F.lit(True)

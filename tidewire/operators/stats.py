@@ -382,20 +382,20 @@ def name_counts(packets: DataFrame, protocols: Iterable[str] | None = None) -> D
 
 
 def frequencies(packets: DataFrame, protocols: Iterable[str] | None = None, n: int | None = 10) -> DataFrame:
-    """``protocol, metric, group, name, count`` of all requested tables, in one shuffle.
+    """``protocol, metric, group, name, count`` of all requested tables, from one shuffle of counts.
 
     Totals and distinct counts have a null name. Each list is cut to its first ``n`` names by
     falling count, then name. Unknown protocols are ignored.
     """
-    keys, counts = _chosen(protocols), name_counts(packets, protocols)
-    single = F.col("metric").isin(*DISTINCT)
-    # conditions on the counts, not on their keys: so both parts read one shuffle
-    listed = top_n(counts, n, within=("protocol", "metric", "group")).withColumn("count", F.when(~single, F.col("count"))).where("count is not null")
+    counts = name_counts(packets, protocols)
+    listed = top_n(counts.where(~F.col("metric").isin(*DISTINCT)), n, within=("protocol", "metric", "group"))
     listed = listed.withColumn("name", F.when(~F.startswith("metric", F.lit("total_")), F.col("name")))
-    if not any(m.metric in DISTINCT for k in keys for m in SPEC[k].metrics):
+    few = [k for k in _chosen(protocols) if any(m.metric in DISTINCT for m in SPEC[k].metrics)]
+    if not few:
         return listed
-    unique = counts.groupBy("protocol", "metric").agg(F.count("count").alias("n")).withColumn("count", F.when(single, F.col("n"))).where("count is not null")
+    # a pass of its own over the few messages that have such metrics
     none = F.lit(None).cast("string")
+    unique = name_counts(packets, few).where(F.col("metric").isin(*DISTINCT)).groupBy("protocol", "metric").agg(F.count("*").alias("count"))
     return listed.unionByName(unique.select("protocol", "metric", none.alias("group"), none.alias("name"), "count"))
 
 
