@@ -62,26 +62,43 @@ def _shard(sent, learn, turn: int):
     return run
 
 
+def _moves(sent):
+    """The sum of what the shards' states moved from the joint one, in one row."""
+
+    def run(batches):
+        before = np.concatenate(sent.value).astype(np.float64)
+        moved = np.zeros(len(before))
+        n = 0
+        for batch in batches:
+            for state in batch.column(0).to_pylist():
+                moved += np.frombuffer(state, "<f4") - before
+                n += 1
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([moved.astype("<f4").tobytes()], pa.binary())], ["moved"])
+
+    return run
+
+
 def mix(sample: DataFrame, start: list[np.ndarray], learn: Callable[[list[np.ndarray], np.ndarray, pa.Array, int], list[np.ndarray]], rounds: int, gain: float = 0.25) -> list[np.ndarray]:
     """Iterative parameter mixing: every round, each shard learns on from the joint state.
 
     The joint state moves by ``gain`` times the sum of what the shards' states moved: 1 is as if
     all steps had been taken in turn, 1 / SHARDS is the mean.
 
-    A state is a fixed number of vectors of fixed length, and there are ``SHARDS`` shards, so
-    what reaches the driver has one size whatever the corpus. A lost shard is learnt again from
-    the round's start.
+    A state is a fixed number of vectors of fixed length, and there are ``SHARDS`` shards; their
+    moves are summed in one task, so what reaches the driver is one state, whatever the corpus. A
+    lost shard is learnt again from the round's start.
     """
     spark = sample.sparkSession
     state = [np.asarray(x, np.float32) for x in start]
+    cuts = np.cumsum([len(x) for x in state])[:-1]
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast(state)
-        got = sample.groupBy("shard").applyInArrow(_shard(sent, learn, turn), "state binary").collect()
+        states = sample.groupBy("shard").applyInArrow(_shard(sent, learn, turn), "state binary")
+        got = states.repartition(1).mapInArrow(_moves(sent), "moved binary").collect()
         if not got:
             return state
-        before = np.concatenate(state).astype(np.float64)
-        flat = before + gain * sum(np.frombuffer(r["state"], "<f4") - before for r in got)
-        cuts = np.cumsum([len(x) for x in state])[:-1]
+        flat = np.concatenate(state) + np.float32(gain) * np.frombuffer(got[0]["moved"], "<f4")
         state = [x.astype(np.float32) for x in np.split(flat, cuts)]
         sent.destroy()
     return state
