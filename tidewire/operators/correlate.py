@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import decoded, first_field, first_layer, holds
+from ..sources.store import written
 from .project import with_flow
 from .select import BUCKET
 
@@ -26,7 +27,6 @@ def _ticked(rows: DataFrame, tick: int, bucket: int) -> DataFrame:
     of ``number``; what came before a bucket is one row a bucket: the count of messages, then the
     latest tick time.
     """
-    rows = rows.withColumn("_b", F.floor(F.col("number") / bucket))
     within, captures = Window.partitionBy("capture_id", "_b").orderBy("number"), Window.partitionBy("capture_id").orderBy("_b")
     sizes = rows.groupBy("capture_id", "_b").agg(F.count("*").alias("_n"))
     before = sizes.select("capture_id", "_b", (F.sum("_n").over(captures) - F.col("_n")).alias("_before"))
@@ -58,9 +58,17 @@ def dns_pairs(packets: DataFrame, tick: int = TICK, timeout_s: float = TIMEOUT_S
     only within buckets of ``number``, cut to such queries and the responses after one, and put
     to their turns by the counts of responses before each bucket. What is then folded, turn by
     turn, has at most one query for each tick: a flow that holds most of a capture is never one
-    group.
+    group. The few columns that this needs are written first, as they are read several times.
     """
-    rows = _ticked(dns_messages(packets).where("qr is not null and id is not null"), tick, bucket).where("ts_us is not null and src is not null and transport is not null")
+    rows = written(dns_messages(packets).where("qr is not null and id is not null").withColumn("_b", F.floor(F.col("number") / bucket)), "dns-messages")
+    sizes = rows.groupBy("capture_id").agg(F.count("*").alias("n"), (F.max("_b") - F.min("_b")).alias("buckets"))
+    most, spread = sizes.agg(F.max("n"), F.max("buckets")).first()
+    if (most or 0) >= tick:
+        rows = _ticked(rows, tick, bucket)
+    else:  # no capture has a tick
+        none = F.lit(None).cast("long")
+        rows = rows.withColumns({"tick_before": none, "tick_with": none, "is_tick": F.lit(False)})
+    rows = rows.where("ts_us is not null and src is not null and transport is not null")
     ask = F.col("qr") == 0
     end = lambda a, p: F.struct(F.col(a).alias("a"), F.col(p).alias("p"))
     key = ["capture_id", "transport", "id", "client", "server"]
@@ -74,9 +82,14 @@ def dns_pairs(packets: DataFrame, tick: int = TICK, timeout_s: float = TIMEOUT_S
     # the first query of a turn between two ticks, any tick and what follows it; every response that may end a turn
     first = last_ask.isNull() | ~last_ask | F.col("is_tick") | F.lag("is_tick").over(inside) | ~last_tick.eqNullSafe(F.col("tick_with"))
     numbered = keyed.withColumn("_answers", answers).withColumn("_keep", F.when(F.col("ask"), first).otherwise(F.coalesce(last_ask, F.lit(True))))
-    answered = numbered.groupBy(*key, "_b").agg(F.max("_answers").alias("_n"))
-    before = answered.select(*key, "_b", (F.sum("_n").over(Window.partitionBy(*key).orderBy("_b")) - F.col("_n")).alias("_turns"))
-    return _folded(numbered.where("_keep").join(before, [*key, "_b"]), key, int(timeout_s * 1e6))
+    kept = numbered.where("_keep")
+    if spread:
+        answered = numbered.groupBy(*key, "_b").agg(F.max("_answers").alias("_n"))
+        before = answered.select(*key, "_b", (F.sum("_n").over(Window.partitionBy(*key).orderBy("_b")) - F.col("_n")).alias("_turns"))
+        kept = kept.join(before, [*key, "_b"])
+    else:  # every capture is in one bucket
+        kept = kept.withColumn("_turns", F.lit(0))
+    return _folded(kept, key, int(timeout_s * 1e6))
 
 
 def _folded(rows: DataFrame, key: list[str], limit: int) -> DataFrame:

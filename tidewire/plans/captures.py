@@ -26,9 +26,14 @@ def signalling_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, "lineitem", sf_dir, lambda: build_signalling_packets(spark, sf_dir))
 
 
+def _spread(rows: DataFrame, *order: str) -> DataFrame:
+    """Plain rows in order, over at least as many tasks as there are cores, before layers are built of them."""
+    return rows.repartitionByRange(max(rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()), *order).sortWithinPartitions(*order)
+
+
 def build_event_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as packets: clicks are HTTP, views TLS, purchases DNS, signups DHCP, errors ICMP."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    events = _spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     k, user, n, kind = F.col("k"), F.col("user_id"), F.col("event_id"), F.col("event_type")
     source, target = _text("10.0.", F.floor(user / 256), ".", user % 256), _text("10.1.0.", k)
     answer = n % 2 == 1
@@ -100,7 +105,7 @@ BASE_SQL = f"SELECT l_partkey % 8 AS a, l_suppkey % 16 AS b, (l_orderkey + l_lin
 
 def build_signalling_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` as packets of the other protocols, one message each."""
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    items = _spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"), "l_orderkey", "l_linenumber")
     rows = items.select(F.expr("l_partkey % 8").alias("a"), F.expr("l_suppkey % 16").alias("b"), F.expr(f"(l_orderkey + l_linenumber) % {len(SIGNALLING)}").alias("p"), "l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
     cases = None
     for k, (name, parts) in enumerate(SIGNALLING.items()):

@@ -37,6 +37,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written to the shared folder now and read from there, for a table that is read several times."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def once(spark: SparkSession, name: str, source: str, build) -> DataFrame:
     """The packet table that ``build()`` makes of ``source``, written by the first who asks in this application."""
     key = (spark.sparkContext.applicationId, name, source)
