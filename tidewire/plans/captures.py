@@ -67,7 +67,27 @@ def build_event_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.array(*plain, icmp))
     )
     size = (64 + F.floor("value")).cast("int")
-    return as_packets(events.select(_text("c", F.floor(n / CAPTURE)).alias("capture_id"), (n % CAPTURE + 1).alias("number"), F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.least(size, F.lit(256)).alias("length"), size.alias("original_length"), F.lit(1).alias("link_type"), layers.alias("layers")))
+    sent = F.when(kind == "click", F.concat(F.lit("GET /p/"), k.cast("string"), F.lit("\r\nHost: "), target, F.lit("\r\n")).cast("binary"))
+    return as_packets(events.select(_text("c", F.floor(n / CAPTURE)).alias("capture_id"), (n % CAPTURE + 1).alias("number"), F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.least(size, F.lit(256)).alias("length"), size.alias("original_length"), F.lit(1).alias("link_type"), layers.alias("layers"), sent.alias("payload")))
+
+
+def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as link-layer frames of headers alone, as a capture file has them."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    k, user, n, kind = F.col("k"), F.col("user_id"), F.col("event_id"), F.col("event_type")
+    octets = lambda value, size: F.lpad(F.hex(value.cast("long") if isinstance(value, Column) else F.lit(value)), 2 * size, "0")
+    dns, answer = kind == "purchase", n % 2 == 1
+    client, server = F.concat(F.lit("0A0000"), octets(user % 16, 1)), F.lit("0A010035")
+    source = F.when(dns, F.when(answer, server).otherwise(client)).otherwise(F.concat(F.lit("0A00"), octets(F.floor(user / 256), 1), octets(user % 256, 1)))
+    target = F.when(dns, F.when(answer, client).otherwise(server)).otherwise(F.concat(F.lit("0A0100"), octets(k, 1)))
+    own = F.when(dns, F.when(answer, F.lit(53)).otherwise(1024 + user % 16)).otherwise(1024 + n % 1000)
+    other = F.when(dns, F.when(answer, 1024 + user % 16).otherwise(F.lit(53))).when(kind == "click", F.lit(80)).when(kind == "view", F.lit(443)).otherwise(F.lit(67))
+    ports = F.concat(octets(own, 2), octets(other, 2))
+    proto = F.when(kind == "error", F.lit(1)).when(kind.isin("click", "view"), F.lit(6)).otherwise(F.lit(17))
+    segment = F.when(proto == 6, F.concat(ports, octets(n, 4), F.lit("00000000" + "5018" + "000000000000"))).when(proto == 17, F.concat(ports, F.lit("00080000"))).otherwise(F.concat(octets(k % 8, 1), octets(k % 4, 1), F.lit("0000")))
+    head = F.concat(F.lit("020000000101" + "0200000000"), octets(user % 256, 1), F.lit("0800" + "4500"), octets(20 + F.length(segment) / 2, 2), F.lit("00000000"), octets(64 + k % 64, 1), octets(proto, 1), F.lit("0000"), source, target)
+    raw = F.unhex(F.concat(head, segment))
+    return events.select(_text("c", F.floor(n / CAPTURE)).alias("capture_id"), (n % CAPTURE + 1).alias("number"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.octet_length(raw).alias("length"), (64 + F.floor("value")).cast("int").alias("original_length"), F.lit(1).alias("link_type"), raw.alias("raw"))
 
 
 #: One message of each further protocol, from ``lineitem``: path, kind, value and label, as SQL

@@ -13,9 +13,9 @@ from ..functions.labels import IGMP_TYPE, IGMP_VERSION, LLDP_TLV, NAS_DISCRIMINA
 from ..functions.scalars import iso_time
 from ..model import decoded, endpoints, flat_fields, transport, warnings
 from ..operators import catalog, correlate, follow, project, select, stats
-from ..sources import records
+from ..sources import captures, decode, records
 from ..sources.store import shared_folder
-from .captures import BASE_SQL, CAPTURE, SIGNALLING, event_packets, signalling_packets
+from .captures import BASE_SQL, CAPTURE, SIGNALLING, event_frames, event_packets, signalling_packets
 
 _FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -321,9 +321,7 @@ _add("w03_direction", _STREAMS + "SELECT capture_id, number, stream_key, src = f
 
 @_add("w04_payload_lines", _STREAMS + ", t AS (SELECT capture_id, stream_key, number, 'GET /p/' || CAST(k AS VARCHAR) AS one, 'Host: ' || dst AS two FROM k2 WHERE event_type = 'click') SELECT capture_id, stream_key, number, CAST(0 AS BIGINT) AS line_number, one AS line FROM t UNION ALL SELECT capture_id, stream_key, number, CAST(1 AS BIGINT), two FROM t")
 def _payload(packets: DataFrame) -> DataFrame:
-    http = follow.with_stream(packets.where(P.has_layer("http")))
-    sent = project.with_flow(http).withColumn("payload", F.concat(F.lit("GET /p/"), F.regexp_extract("dst", r"([0-9]+)$", 1), F.lit("\r\nHost: "), F.col("dst"), F.lit("\r\n")).cast("binary"))
-    return follow.payload_lines(sent).select("capture_id", "stream_key", "number", F.col("line_number").cast("long"), "line")
+    return follow.payload_lines(follow.with_stream(packets)).select("capture_id", "stream_key", "number", F.col("line_number").cast("long"), "line")
 
 
 # ---------------------------------------------------------------- catalog
@@ -405,3 +403,28 @@ def _records_back(packets: DataFrame) -> DataFrame:
     kinds = [(r.protocol, r.path, r.kind) for r in catalog.fields(packets).collect()]
     wanted = F.concat_ws(".", "proto_norm", "path").isin("ethernet.ethertype", "ipv4.ttl", "ipv4.src", "tcp.dst_port", "tcp.stream_id", "dns.questions.type", "tls.extensions.server_name", "icmp.code")
     return flat_fields(records.read_records(spark, path, kinds)).where(wanted).groupBy("protocol", "path", "kind").agg(F.count("*").alias("count"), F.sum("num").cast("long").alias("total"))
+
+
+# ---------------------------------------------------------------- capture files
+
+_HEADERS = _select("""SELECT ts_us, CAST(original_length AS BIGINT) AS original_length, src, dst, transport, CAST(sport AS BIGINT) AS src_port, CAST(dport AS BIGINT) AS dst_port, CAST(ttl AS BIGINT) AS ttl,
+ 'Ethernet:IPv4:' || coalesce(upper(transport), 'ICMP') AS stack FROM pk""")
+
+
+def _headers(packets: DataFrame) -> DataFrame:
+    ttl = project.first_field(project.first_layer("IPv4"), "ttl")["num"].cast("long")
+    return packets.select("ts_us", F.col("original_length").cast("long"), "src", "dst", "transport", F.col("src_port").cast("long"), F.col("dst_port").cast("long"), ttl.alias("ttl"), "stack")
+
+
+@_add("s03_decode", _HEADERS, event_frames)
+def _decoded(frames: DataFrame) -> DataFrame:
+    return _headers(decode.decode(frames))
+
+
+@_add("s02_s07_capture_files", _HEADERS, event_frames)
+def _round_trip(frames: DataFrame) -> DataFrame:
+    """Exports all frames as capture files, reads these in ranges and decodes them."""
+    spark = frames.sparkSession
+    path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    captures.write_capture(frames, path)
+    return _headers(decode.decode(captures.read_capture(spark, path)))
