@@ -1,7 +1,8 @@
 """A training corpus from ``documents``, in five stages.
 
 Each stage works on all rows that its predecessor kept, which are written as Parquet and read
-again. All but the last return the columns of ``documents``.
+again. All but the last return the columns of ``documents``. Every stage takes null, empty and
+very long texts, null and repeated ids, and empty tables: see the operator that it calls.
 """
 
 from __future__ import annotations
@@ -14,13 +15,19 @@ from tidewire.llm.common import fold, materialise, read
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the classifier scores under 0.3; fit to the labels outside its held-out fold."""
+    """Drops what the classifier scores under 0.3; fit to the labels outside its held-out fold.
+
+    Without a usable label every score is 0.5, and all rows stay.
+    """
     weights = quality.fit(docs, read(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
     return quality.keep_good(docs, weights)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each component of texts with a 5-word Jaccard similarity of 0.8 or more."""
+    """Keeps one row, that of the smallest id, of each component of texts with a 5-word Jaccard similarity of 0.8 or more.
+
+    Texts without a word are one component.
+    """
     return near_copies.keep_one(docs)
 
 
@@ -30,12 +37,12 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks secrets in the texts; no document goes."""
+    """Masks secrets in the texts; no document goes, null texts stay null."""
     return secrets.redact(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the texts into sequences of 2048 tokens: a row for each piece."""
+    """Packs the texts into sequences of 2048 tokens: a row for each piece, at least one a document."""
     return packing.pack(docs)
 
 

@@ -247,8 +247,8 @@ def score(docs: DataFrame, held_out: Column, *, prior: float = 200.0, block_toke
     some 1.5 million contexts of one word, so about one pair of them may merge with another.
 
     Null or empty text: the end alone. No training text: known is 0 and the chances are even.
-    Repeated and null ids keep a row each; further columns are ignored; an empty table gives no
-    rows.
+    Repeated and null ids keep a row each, and equal texts score alike; further columns are
+    ignored; an empty table gives no rows. A very long text is a block of its own.
     """
     spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), held_out.alias("held_out"))

@@ -99,15 +99,21 @@ def _score(handle, step: int = 1 << 21):
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """``doc_id, score`` of every whole text: the sparse dot product's logistic value.
 
-    Null and empty texts score by the intercept alone. Repeated and null ids keep a row each;
-    further columns are ignored; an empty table gives no rows. The weights have a fixed size.
+    Null and empty texts score by the intercept alone. Repeated and null ids keep a row each, and
+    equal texts score alike; further columns are ignored; an empty table gives no rows. A very
+    long text is one row of features, with memory that grows with its length. The weights have a
+    fixed size.
     """
     handle = docs.sparkSession.sparkContext.broadcast(weights)
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(_score(handle), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, weights: np.ndarray, least: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score ``least`` or more, with their own columns."""
+    """The rows of ``docs`` that score ``least`` or more, with their own columns, whatever their names.
+
+    Null and empty texts go by the intercept alone. Repeated rows and ids all stay or all go, as
+    equal texts score alike. An empty table gives no rows.
+    """
     handle = docs.sparkSession.sparkContext.broadcast(weights)
     at = docs.columns.index("text")
 

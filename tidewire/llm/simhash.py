@@ -246,7 +246,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, most_bits: int = 3) ->
     Equal fingerprints are one node from the start, so copies are never compared or paired.
     Null or empty text: fingerprint zero, linked like any other. Repeated ``doc_id`` rows keep
     a row each; a null ``doc_id`` is never the smallest of a component, which is null only if all
-    its ids are. Further columns are ignored; an empty table gives no rows.
+    its ids are. A tie of votes leaves a bit 0. A very long text is counted 65,536 shingles at a
+    time. Further columns are ignored; an empty table gives no rows.
     """
     marks, roots = _classes(docs, shingle, most_bits)
     placed = marks.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

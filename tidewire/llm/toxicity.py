@@ -133,8 +133,10 @@ def score(docs: DataFrame, weights: np.ndarray, least: float = 0.3) -> DataFrame
     """``doc_id, score, sentences``: the noisy-or of the whole text, and its offending sentences.
 
     ``sentences`` has each one whose own chance is ``least`` or more, in code points. Null and
-    empty texts score 0. Repeated and null ids keep a row each; further columns are ignored; an
-    empty table gives no rows. The weights have a fixed size.
+    empty texts score 0, as do texts without a letter. Repeated and null ids keep a row each, and
+    equal texts score alike; further columns are ignored; an empty table gives no rows. A very
+    long text is many sentences, with memory that grows with its length. The weights have a fixed
+    size.
     """
     handle = docs.sparkSession.sparkContext.broadcast(weights)
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(_score(handle, least), f"doc_id long, score double, sentences {SENTENCES}")
