@@ -480,3 +480,29 @@ def test_visibility_from_a_file(tmp_path):
     (tmp_path / "bad.toml").write_text('[UDP]\nfields = ["a*b"]\n')
     with pytest.raises(ValueError):
         project.load_visibility(str(tmp_path / "bad.toml"))
+
+
+def test_bytes_as_text(spark):
+    names = ["c3a9", "41ff42", "", None, "41ff42"]
+    rows = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "number long, hex string")
+    dhcp = layer(0, "DHCP", field("dhcp_message_type", "u8", F.lit(1)), field("hostname", "bytes", F.col("hex")))
+    packets = as_packets(rows.select(F.lit("c").alias("capture_id"), "number", F.array(dhcp).alias("layers")))
+    got = {r.name: r["count"] for r in stats.frequencies(packets, ["dhcp"]).collect() if r.metric == "top_hostnames"}
+    assert got == {"é": 1, "A\ufffdB": 2}
+    assert packets.where(P.field_eq("dhcp.hostname", "c3a9") | P.field_ne("dhcp.hostname", "x")).count() == 0  # bytes compare to nothing
+
+
+def test_frequency_roles_and_parts(spark):
+    """Messages by role, sibling values and second-choice layers, on hand-made packets."""
+    gtp = layer(0, "GTPv2-C", field("message_type", "u8", F.lit(33), F.lit("Create Session Response")), field("teid", "u32", F.col("number")), field("ies.type", "u32", F.lit(1), elem=(0,)), field("ies.value", "str", F.lit("99970"), elem=(0,)), field("ies.type", "u32", F.lit(2), elem=(1,)), field("ies.value.cause_value", "u8", F.lit(16), F.lit("Accepted"), elem=(1,)), field("ies.type", "u32", F.lit(83), elem=(2,)), field("ies.value.mcc", "str", F.lit("999"), elem=(2,)), field("ies.value.mnc", "str", F.lit("70"), elem=(2,)))
+    lldp = layer(1, "LLDP", field("tlvs.type", "u8", F.lit(5), elem=(0,)), field("tlvs.value", "str", F.lit(" sw "), elem=(0,)), field("tlvs.type", "u8", F.lit(99), elem=(1,)))
+    three, two = layer(2, "OSPFv3", field("msg_type", "u8", F.lit(1))), layer(3, "OSPFv2", field("msg_type", "u8", F.lit(2)))
+    diameter = layer(4, "Diameter", field("is_request", "u8", F.lit(0)), field("avps.code", "u32", F.lit(263), elem=(0,)), field("avps.value", "u32", F.lit(1), elem=(0,)), field("avps.code", "u32", F.lit(298), elem=(1,)), field("avps.value", "u32", F.lit(5001), elem=(1,)))
+    packets = as_packets(spark.range(1, 4).select(F.lit("c").alias("capture_id"), F.col("id").alias("number")).withColumn("layers", F.array(gtp, lldp, three, two, diameter, diameter)))
+    got = {(r.protocol, r.metric, r.group, r.name): r["count"] for r in stats.frequencies(packets).collect()}
+    assert got == {
+        ("gtpv2c", "total_messages", None, None): 3, ("gtpv2c", "message_type_distribution", None, "Create Session Response"): 3, ("gtpv2c", "unique_imsi_count", None, None): 1, ("gtpv2c", "unique_teid_count", None, None): 3,
+        ("gtpv2c", "cause_per_message_type", "Create Session Response", "Accepted"): 3, ("gtpv2c", "plmn_distribution", None, "999-70"): 3, ("lldp", "total_packets", None, None): 3, ("lldp", "tlv_type_distribution", None, "System Name"): 3,
+        ("lldp", "tlv_type_distribution", None, "Reserved"): 3, ("lldp", "top_system_names", None, "sw"): 3, ("ospf", "total_packets", None, None): 3, ("ospf", "packet_type_distribution", None, "2"): 3, ("ospf", "version_distribution", None, "v2"): 3,
+        ("diameter", "total_messages", None, None): 3, ("diameter", "total_answers", None, None): 3, ("diameter", "result_code_distribution", None, "5001"): 3,
+    }

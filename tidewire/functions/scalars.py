@@ -46,7 +46,8 @@ def bytes_hex(raw: Column) -> Column:
 
 
 def utf8_lossy(hex_text: Column) -> Column:
-    return F.decode(F.unhex(hex_text), "UTF-8")
+    """Text of bytes given in hexadecimal; what is not UTF-8 becomes U+FFFD."""
+    return F.make_valid_utf8(F.unhex(hex_text).cast("string"))
 
 
 def printable(raw: Column) -> Column:
