@@ -11,6 +11,9 @@ from .common import Spans, buffer_of, lowered, materialise, mixed, slices, text_
 from .elias_fano import KEY_BITS, Trie
 
 _MASK = np.uint64((1 << 62) - 1)
+#: Words that are split at most: their table, 16 bytes each, is sent to the executors. Which words are
+#: split decides where pairs are counted, not what comes out.
+MOST_HOT = 1 << 20
 #: Keys of the end of a text (a token) and of its beginning (a context only).
 END, BEGIN = np.uint64(1), np.uint64(2)
 
@@ -240,8 +243,8 @@ def score(docs: DataFrame, held_out: Column, *, prior: float = 200.0, block_toke
     predicted word. A word whose pairs would fill over a quarter of a shard is hot and dealt by
     word and context instead; its count is known from the first pass. Each shard counts the
     training pairs, builds its part of the trie from them, looks up all its pairs and returns
-    one sum for each document. Nothing but the hot words' table (at most four a shard) reaches
-    the driver.
+    one sum for each document. Nothing but the hot words' table (at most four a shard, and the
+    ``MOST_HOT`` hottest are kept) reaches the driver.
 
     Words are told apart by 62-bit hashes, contexts under a word by 40 bits: a shard has at most
     some 1.5 million contexts of one word, so about one pair of them may merge with another.
@@ -261,9 +264,10 @@ def score(docs: DataFrame, held_out: Column, *, prior: float = 200.0, block_toke
     total = words.agg(F.sum("tokens"), F.sum("distinct"), F.sum("texts")).first()
     tokens, distinct, texts = (x or 0 for x in total)
     often = words.where(F.octet_length("hot") > 0).select("hot", "hot_counts").collect()
-    keys = np.frombuffer(b"".join(bytes(r[0]) for r in often), np.uint64)
-    order = np.argsort(keys)
-    handle = spark.sparkContext.broadcast((keys[order], np.frombuffer(b"".join(bytes(r[1]) for r in often), np.int64)[order], tokens, distinct))
+    keys, counts = (np.frombuffer(b"".join(bytes(r[k]) for r in often), kind) for k, kind in ((0, np.uint64), (1, np.int64)))
+    hottest = np.argsort(-counts, kind="stable")[:MOST_HOT]
+    order = hottest[np.argsort(keys[hottest])]
+    handle = spark.sparkContext.broadcast((keys[order], counts[order], tokens, distinct))
     replies = text.mapInArrow(_pair_messages(shards, handle, block_tokens), _MESSAGE_SQL).groupBy("shard").applyInArrow(_shard_scores(handle, prior), _REPLY_SQL)
     sums = replies.groupBy("block").applyInArrow(_block_sums, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
     return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(tokens + 0.5 * (distinct + 1))))).alias("base_score"), (F.col("score") - F.lit(float(np.log10(texts + prior)))).alias("score"))
