@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,8 +125,8 @@ def stack() -> Column:
 def holds(*protocols: str) -> Column:
     """Whether a packet has a layer of one of exactly these names; cheaper than looking inside layers."""
     names = F.col("layers.protocol")
-    found = [F.array_contains(names, p) for p in protocols]
-    return F.coalesce(reduce(lambda a, b: a | b, found), F.lit(False))
+    found = F.array_contains(names, protocols[0]) if len(protocols) == 1 else F.arrays_overlap(names, F.array(*map(F.lit, protocols)))
+    return F.coalesce(found, F.lit(False))
 
 
 def first_layer(protocol: str, layers: Column | str = "layers") -> Column:
