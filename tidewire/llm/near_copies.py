@@ -135,9 +135,9 @@ def _anchor_rows_of(nodes: DataFrame, only=None, tables: int = TABLES) -> DataFr
 
 
 def _compare(rows: dict, most: int, budget: int = 1 << 20):
-    """Pairs of a home and any row of its key; each home's first ``most`` near rows.
+    """Pairs of a home and any row of its key; each home's first ``most`` near rows of other components.
 
-    Adds to ``seen`` how many near rows each home has met so far. An anchor is marked where pairs
+    Adds to ``seen`` how many of these each home has met so far. An anchor is marked where pairs
     of unlike components are left.
     """
     keys, home, old, seen, fps, comp = (rows[k] for k in ("key", "home", "old", "seen", "fps", "comp"))
@@ -159,17 +159,17 @@ def _compare(rows: dict, most: int, budget: int = 1 << 20):
         apart = np.zeros(len(a), np.uint8)
         for f in fps:
             apart += np.bitwise_count((f[a] ^ f[b]).view(np.uint64))
-        a, b = a[apart <= CARRIED_BITS], b[apart <= CARRIED_BITS]
+        near = (apart <= CARRIED_BITS) & (comp[a] != comp[b])
+        a, b = a[near], b[near]
         if len(a):
             first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
             runs = np.diff(np.append(first, len(a)))
             place = seen[a] + np.arange(len(a)) - np.repeat(first, runs)
             seen[a[first]] += runs
-            unlike = comp[a] != comp[b]
-            use = unlike & (place < most)
+            use = place < most
             us.append(rows["node"][a[use]])
             vs.append(rows["node"][b[use]])
-            more.append(np.unique(rows["anchor"][a[unlike & (place >= most)]]))
+            more.append(np.unique(rows["anchor"][a[~use]]))
         i = j
     left = np.unique(np.concatenate(more)) if more else np.zeros(0, np.int64)
     u, v = np.concatenate([*us, left]), np.concatenate([*vs, left])
