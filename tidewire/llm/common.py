@@ -110,11 +110,15 @@ def lowered(data: np.ndarray) -> np.ndarray:
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and the number of words before each row (one more than rows)."""
-    inside = ~_SPACE[data]
+    return runs_of(~_SPACE[data], offsets)
+
+
+def runs_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each run of bytes that are ``inside``, and the number of runs before each row; no run crosses rows."""
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     cuts = offsets[1:-1]
-    cuts = cuts[cuts < len(data)]
+    cuts = cuts[cuts < len(inside)]
     first[cuts] = inside[cuts]
     starts = np.flatnonzero(first)
     last = inside.copy()

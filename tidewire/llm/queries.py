@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_model, line_rules, pii, quality, secrets, toxicity
+from . import filter_audit, language_model, line_rules, neighbours, pii, quality, secrets, source_audit, toxicity
 from .common import fold, read
 from .decontaminate import locate
 from .packing import pack
@@ -61,9 +61,22 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(read(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 1)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(read(spark, sf_dir, "documents"))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_line_rules, op4_secrets, op5_quality, op6_token_files, op7_best_two_fit, op8_decontaminate, op9_pii, op10_language_model)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_line_rules, op4_secrets, op5_quality, op6_token_files, op7_best_two_fit, op8_decontaminate, op9_pii, op10_language_model, op11_filter_audit, op12_source_divergence, op13_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_rules": line_rules.SQL}
+    return {"op3_line_rules": line_rules.SQL, "op11_filter_audit": filter_audit.SQL, "op12_source_divergence": source_audit.SQL}
