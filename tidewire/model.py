@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 
 NUMERIC_KINDS = ("u8", "u16", "u32", "u64", "i32")
 
+#: Protocols with a flag of their own in ``has``, by normalised name.
+KNOWN = ("ethernet", "arp", "ipv4", "ipv6", "icmp", "icmpv6", "igmp", "tcp", "udp", "sctp", "dns", "mdns", "dhcp", "dhcpv6", "http", "http2", "tls", "sip", "diameter", "radius", "gtpv1u", "gtpv2c", "pfcp", "ngap", "nas5g", "rtp", "stun", "ntp", "bgp", "ospfv2", "ospfv3", "lldp", "vxlan", "geneve", "gre")
+
 FIELD = T.StructType(
     [
         T.StructField("pos", T.IntegerType()),
@@ -54,9 +57,24 @@ PACKETS = T.StructType(
         T.StructField("dst_port", T.IntegerType()),
         T.StructField("stream_id", T.LongType()),
         T.StructField("payload", T.BinaryType()),
+        # what filters ask for, see ``with_facts``
+        T.StructField("protocols", T.ArrayType(T.StringType())),
+        T.StructField("has", T.StructType([T.StructField(p, T.BooleanType()) for p in KNOWN])),
+        T.StructField("nested", T.BooleanType()),
+        T.StructField("further", T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("num", T.DecimalType(20, 0)), T.StructField("str", T.StringType())]))),
     ]
 )
 FLOW = ("src", "dst", "transport", "src_port", "dst_port", "stream_id")
+FACTS = ("protocols", "has", "nested", "further")
+#: The columns that readers and decoders make themselves.
+DECODED = T.StructType([f for f in PACKETS if f.name not in FACTS])
+#: Fields that filters find in plain columns: their kind in a packet that has one value of each.
+KEYS = {
+    "ipv4": {"src": "ipv4addr", "dst": "ipv4addr"},
+    "ipv6": {"src": "ipv6addr", "dst": "ipv6addr"},
+    "tcp": {"src_port": "u16", "dst_port": "u16", "stream_id": "u32"},
+    "udp": {"src_port": "u16", "dst_port": "u16"},
+}
 
 
 def normalised(name: str) -> str:
@@ -93,12 +111,14 @@ def layer(idx: int, protocol: str, *fields: Column, label: str | None = None) ->
 def as_packets(df: DataFrame) -> DataFrame:
     """``df`` with all packet columns, in order.
 
-    Those that it lacks are null, but for ``stack`` and the flow columns, which follow the layers.
+    Those that it lacks are null, but for ``stack``, the flow columns and the facts, which follow the layers.
     """
     if "layers" in df.columns and "stack" not in df.columns:
         df = df.withColumn("stack", stack())
     if "layers" in df.columns and not set(FLOW) <= set(df.columns):
         df = with_flow_columns(df)
+    if "layers" in df.columns and not set(FACTS) <= set(df.columns):
+        df = with_facts(df)
     return df.select(*(F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in PACKETS))
 
 
@@ -109,6 +129,43 @@ def with_flow_columns(df: DataFrame) -> DataFrame:
     return found.select(*kept, "_e.src", "_e.dst", "_t.transport", "_t.src_port", "_t.dst_port", "stream_id")
 
 
+def with_facts(df: DataFrame) -> DataFrame:
+    """Adds or replaces what filters ask for: ``protocols, has, nested, further``.
+
+    ``protocols`` are the layers' normalised names, ``has`` a flag for each of ``KNOWN``. The flow
+    columns hold all that a filter on one of ``KEYS`` can see in most packets. Where they don't
+    (tunnels, several transports, values of another kind), ``nested`` is true and ``further`` has
+    every value of those fields; so no filter on them needs the layers.
+    """
+    kept = [F.col(c) for c in df.columns if c not in FACTS]
+    named = df.select(*kept, F.coalesce(F.transform("layers", lambda x: x["proto_norm"]), F.array().cast("array<string>")).alias("protocols"))
+    found = named.withColumn("has", F.struct(*(F.array_contains("protocols", p).alias(p) for p in KNOWN)))
+    value = lambda key, kind, num, text: F.struct(F.lit(key).alias("key"), kind.alias("kind"), num.cast("decimal(20,0)").alias("num"), text.cast("string").alias("str"))
+
+    def seen(layer_: Column, protocol: str, path: str) -> Column:
+        single = F.slice(F.filter(layer_["fields"], lambda f: (f["path"] == path) & (F.size(f["elem"]) == 0)), 1, 1)
+        parts = F.filter(layer_["fields"], lambda f: ((f["path"] == path) & (F.size(f["elem"]) > 0)) | F.startswith(f["path"], F.lit(path + ".")))
+        return F.transform(F.concat(single, parts), lambda f: value(f"{protocol}.{path}", f["kind"], f["num"], f["str"]))
+
+    def told(protocol: str, path: str, kind: str) -> Column:
+        none, column = F.lit(None), F.col(path)
+        if kind.endswith("addr"):
+            own = F.col("has.ipv4") if protocol == "ipv4" else ~F.col("has.ipv4")
+            return F.when(own & column.isNotNull(), value(f"{protocol}.{path}", F.lit(kind), none, column))
+        own = column.isNotNull() if path == "stream_id" else column.isNotNull() & (F.col("transport") == protocol)
+        return F.when(own, value(f"{protocol}.{path}", F.lit(kind), column, none))
+
+    def all_seen(protocol: str) -> Column:
+        own = F.filter("layers", lambda x: x["proto_norm"] == protocol)
+        return F.flatten(F.transform(own, lambda x: F.concat(*(seen(x, protocol, path) for path in KEYS[protocol]))))
+
+    in_layers = F.concat(*map(all_seen, KEYS))
+    in_columns = F.array_compact(F.array(*(told(p, path, kind) for p in KEYS for path, kind in KEYS[p].items())))
+    found = found.withColumn("further", F.coalesce(in_layers, F.array().cast(PACKETS["further"].dataType)).cast(PACKETS["further"].dataType))
+    found = found.withColumn("nested", ~F.col("further").eqNullSafe(in_columns.cast(PACKETS["further"].dataType)))
+    return found.withColumn("further", F.when(F.col("nested"), F.col("further"))).select(*kept, *FACTS)
+
+
 # ---------------------------------------------------------------- looking
 
 
@@ -129,6 +186,14 @@ def holds(*protocols: str) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
+def flagged(protocol: str) -> Column:
+    """Whether a packet has a layer of that normalised name, from plain columns; sources prune by the flags of ``KNOWN``."""
+    name = normalised(protocol)
+    if name in KNOWN:
+        return F.col(f"has.{name}").eqNullSafe(F.lit(True))
+    return F.coalesce(F.array_contains("protocols", name), F.lit(False))
+
+
 def first_layer(protocol: str, layers: Column | str = "layers") -> Column:
     """The first layer of exactly that name, or null."""
     return F.get(F.filter(layers, lambda x: x["protocol"] == protocol), 0)

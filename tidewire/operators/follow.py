@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import printable
-from ..model import bind, decoded, first_field, first_layer, holds
+from ..model import FACTS, bind, decoded, first_field, first_layer, holds, with_facts
 from .project import with_flow
 from .select import ordinal
 
@@ -92,4 +92,5 @@ def with_stream_ids(packets: DataFrame) -> DataFrame:
 
     add = F.col("_id").isNotNull() & F.col("stream_id").isNull()
     layers = F.when(add, F.transform("layers", lambda x: F.when(x["protocol"] == "TCP", numbered(x)).otherwise(x))).otherwise(F.col("layers"))
-    return rows.withColumn("layers", layers).withColumn("stream_id", number).select(*packets.columns)
+    numbered_rows = rows.withColumn("layers", layers).withColumn("stream_id", number)
+    return (with_facts(numbered_rows) if set(FACTS) & set(packets.columns) else numbered_rows).select(*packets.columns)

@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import iso_time, media_type
-from ..model import FLOW, all_fields, bind, first_field, first_layer, label_text, stack, with_flow_columns
+from ..model import FACTS, FLOW, all_fields, bind, first_field, first_layer, label_text, stack, with_facts, with_flow_columns
 
 
 def with_flow(packets: DataFrame) -> DataFrame:
-    """Makes sure of ``src, dst, transport, src_port, dst_port``: plain columns of a packet table."""
-    return packets if set(FLOW) <= set(packets.columns) else with_flow_columns(packets)
+    """Makes sure of the plain columns of a packet table: flow columns and facts."""
+    flows = packets if set(FLOW) <= set(packets.columns) else with_flow_columns(packets)
+    return flows if set(FACTS) <= set(flows.columns) else with_facts(flows)
 
 
 # ---------------------------------------------------------------- times

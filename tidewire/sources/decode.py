@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..model import PACKETS, normalised
+from ..model import DECODED, as_packets, normalised
 
 #: Well-known ports of the protocols that are named; DNS and mDNS are decoded further.
 PORTS = {("udp", 53): "DNS", ("tcp", 53): "DNS", ("udp", 5353): "mDNS", ("tcp", 80): "HTTP", ("tcp", 443): "TLS"}
@@ -292,7 +292,7 @@ def decode(packets: DataFrame, overrides: Iterable[tuple[str, int, str]] = ()) -
     codes are ``with_labels``.
     """
     named = PORTS | check_overrides(overrides)
-    schema = to_arrow_schema(PACKETS)
+    schema = to_arrow_schema(DECODED)
     wanted = ["capture_id", "number", "ts_us", "length", "original_length", "link_type", "raw"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +307,7 @@ def decode(packets: DataFrame, overrides: Iterable[tuple[str, int, str]] = ()) -
                 columns = [made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type) for f in schema]
                 yield pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return packets.select(*wanted).mapInArrow(run, PACKETS)
+    return as_packets(packets.select(*wanted).mapInArrow(run, DECODED))
 
 
 # ---------------------------------------------------------------- labels

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.scalars import bytes_hex, iso_time
-from ..model import PACKETS, normalised
+from ..model import DECODED, as_packets, normalised
 
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
@@ -86,7 +86,7 @@ def read_records(spark: SparkSession, path: str, catalog: list[tuple[str, str, s
     from decimal import Decimal
 
     kinds = {(normalised(p), path): kind for p, path, kind in catalog or []}
-    schema = to_arrow_schema(PACKETS)
+    schema = to_arrow_schema(DECODED)
 
     def run(batches):
         for batch in batches:
@@ -98,7 +98,7 @@ def read_records(spark: SparkSession, path: str, catalog: list[tuple[str, str, s
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     lines = spark.read.text(path).select("value", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("capture_id")).where(F.trim("value") != "")
-    return lines.mapInArrow(run, PACKETS)
+    return as_packets(lines.mapInArrow(run, DECODED))
 
 
 def _put(top: dict, steps: list[str], depth: list[int], elem: list[int], value: object) -> dict:

@@ -15,12 +15,14 @@ _WRITTEN: dict[tuple, str] = {}
 def write_packets(packets: DataFrame, path: str, ordered: bool = False) -> None:
     """Writes packets by capture and number, so that ranges of both prune row groups.
 
+    Addresses, ports and stream ids have Bloom filters, as sorting by number spreads them over all.
     ``ordered``: the rows come in that order already, and are not shuffled.
     """
     rows = as_packets(packets)
     if not ordered:
         rows = rows.repartitionByRange("capture_id", "number").sortWithinPartitions("capture_id", "number")
-    rows.write.option("compression", "zstd").parquet(path)
+    blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in ("src", "dst", "src_port", "dst_port", "stream_id")}
+    rows.write.options(compression="zstd", **blooms, **{"parquet.bloom.filter.adaptive.enabled": "true"}).parquet(path)
 
 
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
