@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.scalars import bytes_hex, iso_time
 from ..model import DECODED, as_packets, normalised
+from .captures import root_of
 
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
@@ -97,7 +98,10 @@ def read_records(spark: SparkSession, path: str, catalog: list[tuple[str, str, s
                         f["num"] = None if f["num"] is None else Decimal(f["num"])
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    lines = spark.read.text(path).select("value", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("capture_id")).where(F.trim("value") != "")
+    # a file's path from the folder that was asked for names the capture
+    file, root = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))), root_of(path)
+    name = F.substr(file, F.instr(file, root) + len(root)) if root else F.element_at(F.split(file, "/"), -1)
+    lines = spark.read.text(path).select("value", name.alias("capture_id")).where(F.trim("value") != "")
     return as_packets(lines.mapInArrow(run, DECODED))
 
 

@@ -12,6 +12,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..model import PACKETS, decoded
 from ..operators.correlate import dns_messages
 from ..operators.stats import name_counts, tcp_ports
+from ..sources.captures import register
+from ..sources.decode import decode, with_labels
 
 
 def tail(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
@@ -19,6 +21,16 @@ def tail(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFr
     return spark.readStream.schema(PACKETS).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
+def tail_captures(spark: SparkSession, path: str, overrides: Iterable[tuple[str, int, str]] = (), **options: object) -> DataFrame:
+    """Decoded packets of capture files while they grow; see ``captures.GrowingReader`` for the options.
+
+    Whoever captures writes to a file (``tee`` does for a pipe); packets come as they are whole.
+    """
+    register(spark)
+    stream = spark.readStream.format("capture").options(**{k: str(v) for k, v in options.items()}).load(path)
+    return with_labels(decode(stream, overrides))
+
+
 def live_filter(packets: DataFrame, condition: Column) -> DataFrame:
     """Append: each arriving packet that matches."""
     return packets.where(condition)
