@@ -306,17 +306,17 @@ def _chosen(protocols: Iterable[str] | None) -> list[str]:
     return [k for k in SPEC if wanted is None or k in wanted]
 
 
-def _messages(packets: DataFrame, keys: list[str]) -> DataFrame:
-    """``key, message``: of each packet the first layer of each protocol's name."""
+def _messages(packets: DataFrame, keys: list[str], by: Iterable[str] = ()) -> DataFrame:
+    """``key, message`` and columns ``by``: of each packet the first layer of each protocol's name."""
     first_names = {name: (key, SPEC[key].layers[:k]) for key in keys for k, name in enumerate(SPEC[key].layers)}
-    rows = decoded(packets).where(holds(*first_names)).select(F.col("layers.protocol").alias("names"), F.posexplode("layers").alias("at", "message"))
+    rows = decoded(packets).where(holds(*first_names)).select(*by, F.col("layers.protocol").alias("names"), F.posexplode("layers").alias("at", "message"))
     name = F.col("message.protocol")
     first = F.array_position("names", name) == F.col("at") + 1
     for own, (_, better) in first_names.items():
         if better:  # a packet's message of another name counts instead
             first = first & ~((name == own) & F.arrays_overlap("names", F.array(*map(F.lit, better))))
     key = F.create_map(*(F.lit(x) for own, (k, _) in first_names.items() for x in (own, k)))
-    return rows.where(name.isin(*first_names) & first).select(F.try_element_at(key, name).alias("key"), "message")
+    return rows.where(name.isin(*first_names) & first).select(*by, F.try_element_at(key, name).alias("key"), "message")
 
 
 def _part(path: str) -> Callable[[Column], Column]:
@@ -327,8 +327,8 @@ def _part(path: str) -> Callable[[Column], Column]:
     return of
 
 
-def _values(messages: DataFrame, keys: list[str]) -> DataFrame:
-    """``key, role, path, first, f``: every field of every message, and the parts that no field has."""
+def _values(messages: DataFrame, keys: list[str], by: Iterable[str] = ()) -> DataFrame:
+    """``by, key, role, path, first, f``: every field of every message, and the parts that no field has."""
     x, key = F.col("message"), F.col("key")
     kind = T.ArrayType(FIELD)
     role, parts = F.when(F.lit(False), ""), F.when(F.lit(False), F.array().cast(kind))
@@ -343,25 +343,25 @@ def _values(messages: DataFrame, keys: list[str]) -> DataFrame:
             parts = parts.when(key == k, F.concat(*made))
     parts = parts.otherwise(F.array().cast(kind))
     one = F.array(_part(MESSAGE)(F.struct(F.lit("").alias("name"), F.lit(None).cast("string").alias("group")))).cast(kind)
-    rows = messages.select("key", role.alias("role"), F.concat(one, parts, x["fields"]).alias("fields"))
-    rows = rows.select("key", "role", F.col("fields.path").alias("paths"), F.posexplode("fields").alias("at", "f"))
-    return rows.select("key", "role", F.col("f.path").alias("path"), (F.array_position("paths", F.col("f.path")) == F.col("at") + 1).alias("first"), "f")
+    rows = messages.select(*by, "key", role.alias("role"), F.concat(one, parts, x["fields"]).alias("fields"))
+    rows = rows.select(*by, "key", "role", F.col("fields.path").alias("paths"), F.posexplode("fields").alias("at", "f"))
+    return rows.select(*by, "key", "role", F.col("f.path").alias("path"), (F.array_position("paths", F.col("f.path")) == F.col("at") + 1).alias("first"), "f")
 
 
-def name_counts(packets: DataFrame, protocols: Iterable[str] | None = None) -> DataFrame:
-    """``protocol, metric, group, name, count`` of every name, uncut; also over a stream.
+def name_counts(packets: DataFrame, protocols: Iterable[str] | None = None, by: Iterable[str] = ()) -> DataFrame:
+    """``protocol, metric, group, name, count`` of every name, uncut, for each value of ``by``; also over a stream.
 
     Every value of every message meets the rows of ``SPEC`` by protocol and path, and those of
     the code tables by code; both are constants and are sent to the executors. Counts are partial
     before the shuffle, so a name that most packets have is no hot spot.
     """
-    spark, keys = packets.sparkSession, _chosen(protocols)
+    spark, keys, by = packets.sparkSession, _chosen(protocols), list(by)
     rows = [(k, m.path, m.metric, m.how, m.arg, m.role, m.every, m.other) for k in keys for m in SPEC[k].metrics]
     spec = F.broadcast(labels.constant(spark, rows, "key string, path string, metric string, how string, arg string, wanted string, every boolean, other string"))
     codes = F.broadcast(labels.code_rows(spark))
     if not keys:
         return spec.limit(0).select(F.col("key").alias("protocol"), "metric", F.lit(None).cast("string").alias("group"), F.lit(None).cast("string").alias("name"), F.lit(0).cast("long").alias("count"))
-    met = _values(_messages(packets, keys), keys).join(spec, ["key", "path"]).where((F.col("wanted").isNull() | (F.col("wanted") == F.col("role"))) & (F.col("every") | F.col("first")))
+    met = _values(_messages(packets, keys, by), keys, by).join(spec, ["key", "path"]).where((F.col("wanted").isNull() | (F.col("wanted") == F.col("role"))) & (F.col("every") | F.col("first")))
     number = F.col("f.num").cast("long")
     met = met.withColumn("code", F.when(F.col("how").isin("code", "rtp"), number)).join(codes.withColumnRenamed("table", "arg"), ["arg", "code"], "left")
     f, how = F.col("f"), F.col("how")
@@ -377,8 +377,8 @@ def name_counts(packets: DataFrame, protocols: Iterable[str] | None = None) -> D
         .when(how == "raw", F.when(F.col("arg").isNull() | ((f["kind"] == F.col("arg")) & (value != "")), value))
         .otherwise(f["str"])
     )
-    named = met.select(F.col("key").alias("protocol"), "metric", F.when(how == "grouped", f["name"]).alias("group"), name.alias("name")).where("name is not null")
-    return named.groupBy("protocol", "metric", "group", "name").count()
+    named = met.select(*by, F.col("key").alias("protocol"), "metric", F.when(how == "grouped", f["name"]).alias("group"), name.alias("name")).where("name is not null")
+    return named.groupBy(*by, "protocol", "metric", "group", "name").count()
 
 
 def frequencies(packets: DataFrame, protocols: Iterable[str] | None = None, n: int | None = 10) -> DataFrame:

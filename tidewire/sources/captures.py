@@ -154,7 +154,7 @@ def _next(data: bytes, at: int, blocks: bool, order: str, units: int) -> int | N
     return at + size if struct.unpack_from(order + "I", data, at + size - 4)[0] == size else None
 
 
-def _guess(f, blocks: bool, orders: str, nano: bool, start: int, end: int, window: int = 1 << 20) -> Iterator[tuple[int, str]]:
+def _guess(f, blocks: bool, orders: str, nano: bool, start: int, end: int, size: int, window: int = 1 << 20) -> Iterator[tuple[int, str]]:
     """Places from which a chain of headers goes on, with their byte order; payloads may hold such chains too."""
     units = 1_000_000_000 if nano else 1_000_000
     for low in range(start, end, window):
@@ -170,9 +170,10 @@ def _guess(f, blocks: bool, orders: str, nano: bool, start: int, end: int, windo
                 likely = (word(4) < units) & (word(8) <= _MOST_KEPT) & (word(8) <= word(12)) & (word(8) > 0)
             for at in np.flatnonzero(likely).tolist():
                 there, n = at, 0
-                while there is not None and 0 <= there and n < _CHAIN:
+                while there is not None and 0 <= there < len(data) and n < _CHAIN:
                     there, n = _next(data, there, blocks, order, units), n + 1
-                if there is not None and (n > 1 or there == -1):
+                # all of a chain, or one up to the end of the file, or more than chance gives
+                if there is not None and (n == _CHAIN or (there == len(data) and low + there == size) or n > 4):
                     yield low + at, order
                     break
 
@@ -186,7 +187,7 @@ def _walked(r: dict, entry: int | None = None, order: str | None = None) -> dict
             entry, order = f.tell(), state.order
         if entry is not None:
             return out | _walk(f, State(state.blocks, order, state.nano, [] if state.blocks else state.links), entry, r["end"])
-        for entry, order in _guess(f, state.blocks, "<>" if state.blocks else state.order, state.nano, r["start"], r["end"]):
+        for entry, order in _guess(f, state.blocks, "<>" if state.blocks else state.order, state.nano, r["start"], r["end"], r["size"]):
             try:
                 return out | _walk(f, State(state.blocks, order, state.nano, [] if state.blocks else state.links), entry, r["end"])
             except (ValueError, struct.error):  # the guess was wrong
@@ -197,10 +198,12 @@ def _walked(r: dict, entry: int | None = None, order: str | None = None) -> dict
 def _stitch(table: pa.Table) -> pa.Table:
     """Numbers the ranges of one file where each begins where the one before ended; others are to be walked again from there.
 
-    Such a range's end is taken for right meanwhile, as chains that begin apart soon meet; so one
-    pass finds most that are wrong. What it says is only used once no range is left to walk again.
+    Such a range's end is taken for right meanwhile if another range begins there, as chains that
+    begin apart soon meet, else the next guess; so one pass finds most that are wrong. What it says
+    is only used once no range is left to walk again.
     """
     rows, out = sorted(table.to_pylist(), key=lambda r: r["k"]), []
+    entries = {r["entry"] for r in rows} - {None}
     at, first, order, links = rows[0]["entry"], 1, rows[0]["order"], []
     for k, r in enumerate(rows):
         common = {c: r[c] for c in ("path", "k", "blocks", "nano", "size")} | {"range_start": r["start"], "range_end": r["end"], "first": first, "order": order, "links": links if r["blocks"] else r["links"]}
@@ -213,7 +216,7 @@ def _stitch(table: pa.Table) -> pa.Table:
         else:
             out.append(common | {"start": at, "end": at, "count": 0, "again": True})
             following = next((x for x in rows[k + 1 :] if x["entry"] is not None), None)
-            if r["entry"] is not None:
+            if r["exit"] in entries:
                 at, order = r["exit"], r["order_after"]
             else:
                 at, order = (r["size"], order) if following is None else (following["entry"], following["order"])
