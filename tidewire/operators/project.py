@@ -28,13 +28,17 @@ def with_relative_time(packets: DataFrame, name: str = "relative_s") -> DataFram
 
 
 def with_delta_time(packets: DataFrame, name: str = "delta_s", bucket: int = 1 << 16) -> DataFrame:
-    """Seconds since the packet before (0 for the first), in buckets of ``number``; a bucket's first row looks at the last before it."""
+    """Seconds since the packet before, 0 for a capture's first; null where either time is unknown.
+
+    Worked out in buckets of ``number``; a bucket's first row looks at the last one before it.
+    """
+    time = F.struct("ts_us")  # a known packet, also where its time is not
     keyed = packets.withColumn("_b", F.floor(F.col("number") / bucket))
-    last = keyed.groupBy("capture_id", "_b").agg(F.max_by("ts_us", "number").alias("_last"))
+    last = keyed.groupBy("capture_id", "_b").agg(F.max_by(time, "number").alias("_last"))
     edge = last.select("capture_id", "_b", F.lag("_last").over(Window.partitionBy("capture_id").orderBy("_b")).alias("_edge"))
-    before = F.lag("ts_us").over(Window.partitionBy("capture_id", "_b").orderBy("number"))
+    before = F.lag(time).over(Window.partitionBy("capture_id", "_b").orderBy("number"))
     rows = keyed.withColumn("_before", before).join(edge, ["capture_id", "_b"])
-    return rows.withColumn(name, F.round((F.col("ts_us") - F.coalesce("_before", "_edge", "ts_us")) / 1e6, 6)).select(*packets.columns, name)
+    return rows.withColumn(name, F.round((F.col("ts_us") - F.coalesce("_before", "_edge", time)["ts_us"]) / 1e6, 6)).select(*packets.columns, name)
 
 
 # ---------------------------------------------------------------- summaries

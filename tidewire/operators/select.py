@@ -23,13 +23,33 @@ def ordinal(df: DataFrame, name: str = "ordinal", bucket: int = BUCKET) -> DataF
     return keyed.withColumn("_rank", inside).join(before, ["capture_id", "_bucket"]).withColumn(name, F.col("_before") + F.col("_rank")).select(*df.columns, name)
 
 
+def fetch(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``capture_id, number`` is among ``keys``.
+
+    The keys become bits, 4 KB for each 32 768 numbers of a capture that has any. That is small
+    enough to be sent to the rows for captures of very many packets (Spark checks the size), so
+    whole rows are read where they lie, and only keys were sorted.
+    """
+    bits = keys.groupBy("capture_id", F.bitmap_bucket_number("number").alias("_word")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("_bits"))
+    held = F.expr("shiftright(cast(conv(hex(substring(_bits, cast(bitmap_bit_position(number) div 8 as int) + 1, 1)), 16, 10) as int), cast(bitmap_bit_position(number) % 8 as int)) & 1 = 1")
+    return df.withColumn("_word", F.bitmap_bucket_number("number")).join(bits, ["capture_id", "_word"]).where(held).select(*df.columns)
+
+
+def _keys(df: DataFrame) -> DataFrame:
+    return df.select("capture_id", "number")
+
+
 def sample_every(df: DataFrame, n: int, bucket: int = BUCKET) -> DataFrame:
-    """The 1st, (n+1)th, (2n+1)th ... row of each capture's rows."""
+    """The 1st, (n+1)th, (2n+1)th ... row of each capture's rows. Numbers are a capture's own."""
     if n < 1:
         raise ValueError("the sampling step is at least 1")
     if n == 1:
         return df
-    return ordinal(df, "_ordinal", bucket).where((F.col("_ordinal") - 1) % n == 0).drop("_ordinal")
+    return fetch(df, _sampled(_keys(df), n, bucket))
+
+
+def _sampled(keys: DataFrame, n: int, bucket: int = BUCKET) -> DataFrame:
+    return ordinal(keys, "_ordinal", bucket).where((F.col("_ordinal") - 1) % n == 0).drop("_ordinal")
 
 
 def in_order(df: DataFrame) -> DataFrame:
@@ -50,23 +70,28 @@ HELD = 100_000
 def page(df: DataFrame, *, sample: int = 1, offset: int = 0, count: int | None = 1000) -> DataFrame:
     """Sample, then skip, then limit, in packet order; ``count=None`` is no limit.
 
-    A page near the start is a limit on the sorted rows. One that begins far down, or has no end,
-    is a range of the rows' ordinals, so that no task holds all rows before it.
+    A page near the start is a limit on the sorted keys; one that begins far down, or has no end,
+    is a range of their ordinals, so that no task holds all keys before it. Whole rows are only
+    fetched for the page.
     """
     if offset < 0 or (count is not None and count < 0):
         raise ValueError("offset and count are not negative")
-    rows = sample_every(df, sample)
+    if sample < 1:
+        raise ValueError("the sampling step is at least 1")
+    if sample == 1 and not offset and count is None:
+        return in_order(df)
+    keys = _keys(df) if sample == 1 else _sampled(_keys(df), sample)
     if count is not None and offset + count <= HELD:
-        rows = in_order(rows)
-        return (rows.offset(offset) if offset else rows).limit(count)
-    if offset or count is not None:
-        rows = overall_ordinal(rows, "_place").where((F.col("_place") > offset) & (F.lit(True) if count is None else F.col("_place") <= offset + count)).drop("_place")
-    return in_order(rows)
+        keys = in_order(keys)
+        keys = (keys.offset(offset) if offset else keys).limit(count)
+    elif offset or count is not None:
+        keys = overall_ordinal(keys, "_place").where((F.col("_place") > offset) & (F.lit(True) if count is None else F.col("_place") <= offset + count)).drop("_place")
+    return in_order(fetch(df, keys))
 
 
 def truncated(df: DataFrame, *, sample: int = 1, offset: int = 0, count: int = 1000) -> DataFrame:
     """One row ``truncated``: whether a page's limit leaves rows out (not if it is met exactly)."""
-    return page(df, sample=sample, offset=offset + count, count=1).agg((F.count("*") > 0).alias("truncated"))
+    return page(_keys(df), sample=sample, offset=offset + count, count=1).agg((F.count("*") > 0).alias("truncated"))
 
 
 def page_with_more(df: DataFrame, *, sample: int = 1, offset: int = 0, count: int = 1000) -> tuple[DataFrame, bool]:

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -402,11 +402,49 @@ def frequencies(packets: DataFrame, protocols: Iterable[str] | None = None, n: i
 # ---------------------------------------------------------------- times, document
 
 
-def response_summary(pairs: DataFrame, value: str = "rtt", by: Iterable[str] = ()) -> DataFrame:
-    """Count, extremes, mean and interpolated percentiles; no row when there are no values."""
-    rows = pairs.where(F.col(value).isNotNull())
-    parts = rows.groupBy(*by).agg(F.count("*").alias("count"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p"))
-    return parts.where("count > 0").select(*by, "count", "min", "max", "mean", F.get("p", 0).alias("median"), F.get("p", 1).alias("p95"), F.get("p", 2).alias("p99"))
+#: The percentiles of a summary.
+PERCENTILES = {"median": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+def _of_group(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """``left`` with the columns of its group's row in ``right``; null is a group too. Without ``by``, ``right`` is one row."""
+    if not by:
+        return left.join(F.broadcast(right))
+    same = reduce(lambda x, y: x & y, (F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by))
+    return left.alias("l").join(right.alias("r"), same).select("l.*", *(f"r.{c}" for c in right.columns if c not in by))
+
+
+def response_summary(pairs: DataFrame, value: str = "rtt", by: Iterable[str] = (), cuts: int = 256) -> DataFrame:
+    """Count, extremes, mean and interpolated percentiles, exact; no row when there are no values.
+
+    Values are counted, and put to parts between rough percentiles, which a sketch of fixed size
+    gives. The parts' sizes tell which few of them hold the ranks that are asked for; only those
+    are ordered. So no task holds all distinct values.
+    """
+    by = list(by)
+    rows = pairs.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    places = F.array(*(F.lit(k / cuts) for k in range(cuts + 1)))
+    base = rows.groupBy(*by).agg(F.count("*").alias("count"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.avg("_v").alias("mean"), F.percentile_approx("_v", places, 4 * cuts).alias("_cuts")).where("count > 0")
+    counted = rows.groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+    placed = _of_group(counted, base.select(*by, "_cuts"), by).withColumn("_part", F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))).drop("_cuts")
+    sizes = placed.groupBy(*by, "_part").agg(F.sum("_n").alias("_size"))
+    before = sizes.withColumn("_before", F.sum("_size").over(Window.partitionBy(*by).orderBy("_part")) - F.col("_size"))
+    at = lambda p, f: f((F.col("count") - 1) * p).cast("long")
+    ranks = F.array_distinct(F.array(*(at(p, f) for p in PERCENTILES.values() for f in (F.floor, F.ceil))))
+    asked = _of_group(before, base.select(*by, ranks.alias("_ranks")), by)
+    asked = asked.withColumn("_ranks", F.filter("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_size")))).where(F.size("_ranks") > 0)
+    found = _of_group(placed, asked.select(*by, "_part", "_before", "_ranks"), [*by, "_part"])
+    until = F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, "_part").orderBy("_v"))
+    held = found.withColumn("_until", until).withColumn("_rank", F.explode(F.filter("_ranks", lambda r: (r < F.col("_until")) & (r >= F.col("_until") - F.col("_n")))))
+    values = held.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
+
+    def percentile(p: float) -> Column:
+        place = (F.col("count") - 1) * F.lit(p)
+        low, high = F.try_element_at("_at", at(p, F.floor)), F.try_element_at("_at", at(p, F.ceil))
+        return F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+    summed = _of_group(base.drop("_cuts"), values, by)
+    return summed.select(*by, "count", "min", "max", "mean", *(percentile(p).alias(name) for name, p in PERCENTILES.items()))
 
 
 def document(packets: DataFrame, protocols: Iterable[str] | None = None, n: int = 10, talkers: bool = True, streams: bool = True) -> DataFrame:
