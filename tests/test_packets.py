@@ -468,7 +468,7 @@ def test_plans_read_once(spark):
         df._jdf.collectToPython()
         return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
-    for name, scans in (("a01_overview", 1), ("a03_top_talkers", 1), ("a05_dns", 1), ("freq_all", 2)):
+    for name, scans in (("a01_overview", 1), ("a03_top_talkers", 1), ("a05_dns", 1), ("freq_all", 1)):
         assert plan(name).count("FileScan parquet") == scans, name
     talkers = plan("a03_top_talkers")
     assert "layers" not in talkers and "PushedFilters: [IsNull(decode_error), IsNotNull(src), IsNotNull(dst)]" in talkers

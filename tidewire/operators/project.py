@@ -222,7 +222,8 @@ def _one_argument(f):
     return lambda x: f(x)
 
 
-# The fields shown by default for the protocols that are decoded here.
+# The fields shown by default, for protocols that are decoded, counted or told apart
+# here. The rest of a longer list comes from a file, see ``load_visibility``.
 DEFAULT_FIELDS = {
     "Ethernet": ["dst", "src", "vlan_id", "ethertype", "ethertype_name", "length", "llc_dsap", "llc_ssap", "llc_control"],
     "ARP": ["oper", "oper_name", "sha", "spa", "tha", "tpa"],
@@ -230,9 +231,26 @@ DEFAULT_FIELDS = {
     "IPv6": ["next_header", "hop_limit", "src", "dst"],
     "TCP": ["src_port", "dst_port", "seq", "ack", "flags", "flags_name", "stream_id", "reassembly_in_progress", "segment_count"],
     "UDP": ["src_port", "dst_port"],
+    "ICMP": ["type", "code", "identifier", "sequence_number", "next_hop_mtu", "length", "num_addrs", "addr_entry_size", "lifetime", "entries", "invoking_packet", "*_timestamp", "address_mask", "subtype", "local", "state", "active", "ipv4", "ipv6"],
+    "ICMPv6": ["type", "code", "identifier", "sequence_number", "length", "max_response_delay", "multicast_address", "s_flag", "qrv", "qqic", "num_sources", "sources", "cur_hop_limit", "flags", "router_lifetime", "reachable_time", "retrans_timer", "target_address", "destination_address", "options", "num_records", "records", "home_agent_addresses", "query_interval", "robustness_variable", "options.type", "options.prefix_length", "options.prefix", "options.valid_lifetime", "options.preferred_lifetime", "options.link_layer_address", "options.mtu"],
     "DNS": ["id", "qr", "opcode", "rcode", "questions", "answers", "questions.name", "questions.type", "questions.class", "answers.name", "answers.type", "answers.class", "answers.ttl", "answers.rdata", "answers.rdata_*", "reassembly_in_progress", "segment_count"],
+    "DHCP": ["xid", "yiaddr", "chaddr", "dhcp_message_type", "server_identifier", "requested_ip", "hostname", "domain_name", "subnet_mask", "router", "dns_server", "lease_time", "renewal_time", "rebinding_time"],
+    "DHCPv6": ["msg_type", "transaction_id", "options"],
+    "SCTP": ["src_port", "dst_port"],
     "HTTP": ["method", "uri", "version", "status_code", "reason_phrase", "headers", "content_length", "reassembly_in_progress", "segment_count"],
+    "GENEVE": ["protocol_type", "vni"],
+    "GRE": ["protocol_type", "key"],
+    "VXLAN": ["vni"],
+    "GTPv1-U": ["teid", "message_type", "sequence_number", "n_pdu_number", "next_extension_header_type", "extension_headers"],
+    "GTPv2-C": ["message_type", "teid", "sequence_number", "ies", "ies.type_name", "ies.instance", "ies.value"],
+    "PFCP": ["message_type", "seid", "sequence_number", "ies", "ies.type_name", "ies.value"],
+    "TLS": ["content_type_name", "version_name", "handshake_type_name", "handshake_version_name", "cipher_suites", "cipher_suite", "cipher_suite_name", "extensions", "extensions.type_name", "extensions.server_name", "alert_level_name", "alert_description_name"],
+    "RTP": ["payload_type", "sequence_number", "timestamp", "ssrc", "marker", "csrc_list"],
+    "NGAP": ["pdu_type", "pdu_type_name", "procedure_code", "procedure_code_name", "ies", "ies.id_name", "ies.value"],
+    "STUN": ["message_class", "message_class_name", "message_method", "message_method_name", "message_length", "transaction_id", "attributes"],
 }
+# Multicast DNS is the same but for what comes from reassembly over TCP.
+DEFAULT_FIELDS["mDNS"] = [f for f in DEFAULT_FIELDS["DNS"] if f not in ("reassembly_in_progress", "segment_count")]
 
 
 def with_stack(packets: DataFrame) -> DataFrame:

@@ -328,7 +328,7 @@ def _part(path: str) -> Callable[[Column], Column]:
 
 
 def _values(messages: DataFrame, keys: list[str], by: Iterable[str] = ()) -> DataFrame:
-    """``by, key, role, path, first, f``: every field of every message, and the parts that no field has."""
+    """``by, key, role, path, first, f``: every field of every message that some table counts, and the parts that no field has."""
     x, key = F.col("message"), F.col("key")
     kind = T.ArrayType(FIELD)
     role, parts = F.when(F.lit(False), ""), F.when(F.lit(False), F.array().cast(kind))
@@ -343,7 +343,9 @@ def _values(messages: DataFrame, keys: list[str], by: Iterable[str] = ()) -> Dat
             parts = parts.when(key == k, F.concat(*made))
     parts = parts.otherwise(F.array().cast(kind))
     one = F.array(_part(MESSAGE)(F.struct(F.lit("").alias("name"), F.lit(None).cast("string").alias("group")))).cast(kind)
-    rows = messages.select(*by, "key", role.alias("role"), F.concat(one, parts, x["fields"]).alias("fields"))
+    asked = F.create_map(*(c for k in keys for c in (F.lit(k), F.array(*map(F.lit, sorted({m.path for m in SPEC[k].metrics}))))))
+    counted = bind(F.try_element_at(asked, key), lambda paths: F.filter(x["fields"], lambda f: F.array_contains(paths, f["path"])))
+    rows = messages.select(*by, "key", role.alias("role"), F.concat(one, parts, counted).alias("fields"))
     rows = rows.select(*by, "key", "role", F.col("fields.path").alias("paths"), F.posexplode("fields").alias("at", "f"))
     return rows.select(*by, "key", "role", F.col("f.path").alias("path"), (F.array_position("paths", F.col("f.path")) == F.col("at") + 1).alias("first"), "f")
 
@@ -388,15 +390,10 @@ def frequencies(packets: DataFrame, protocols: Iterable[str] | None = None, n: i
     falling count, then name. Unknown protocols are ignored.
     """
     counts = name_counts(packets, protocols)
-    listed = top_n(counts.where(~F.col("metric").isin(*DISTINCT)), n, within=("protocol", "metric", "group"))
-    listed = listed.withColumn("name", F.when(~F.startswith("metric", F.lit("total_")), F.col("name")))
-    few = [k for k in _chosen(protocols) if any(m.metric in DISTINCT for m in SPEC[k].metrics)]
-    if not few:
-        return listed
-    # a pass of its own over the few messages that have such metrics
-    none = F.lit(None).cast("string")
-    unique = name_counts(packets, few).where(F.col("metric").isin(*DISTINCT)).groupBy("protocol", "metric").agg(F.count("*").alias("count"))
-    return listed.unionByName(unique.select("protocol", "metric", none.alias("group"), none.alias("name"), "count"))
+    # a distinct count is how many names there are: they are added up before anything is ranked
+    distinct = F.col("metric").isin(*DISTINCT)
+    whole = counts.groupBy("protocol", "metric", "group", F.when(~distinct & ~F.startswith("metric", F.lit("total_")), F.col("name")).alias("name")).agg(F.sum(F.when(distinct, 1).otherwise(F.col("count"))).alias("count"))
+    return top_n(whole, n, within=("protocol", "metric", "group"))
 
 
 # ---------------------------------------------------------------- times, document

@@ -330,6 +330,19 @@ _add("c01_protocols", _select("SELECT DISTINCT unnest(string_split(stack, ':'))
 _add("c02_fields", _select("SELECT * FROM (VALUES ('http.method', 'HTTP', 'method', 'str', true), ('http.uri', 'HTTP', 'uri', 'str', true), ('http.status_code', 'HTTP', 'status_code', 'u16', true), ('http.reason_phrase', 'HTTP', 'reason_phrase', 'str', true)) t(qualified_name, protocol, path, kind, optional)"))(
     lambda p: catalog.fields(p, "http")
 )
+def _descriptor(path: str, kind: str, optional: str = "false", children: str = "") -> str:
+    """SQL for the JSON text of a DNS field."""
+    name = path.rsplit(".", 1)[-1].title()
+    return f"""'{{"qualified_name":"dns.{path}","display_name":"{name}","type":"{kind}","optional":' || {optional} || ',"protocol":"DNS"' || {children or "''"} || '}}'"""
+
+
+_QUESTIONS = "',\"children\":[' || " + _descriptor("questions.name", "str") + " || ',' || " + _descriptor("questions.type", "u16") + " || ']'"
+_TREES = {"id": _descriptor("id", "u16"), "qr": _descriptor("qr", "u8"), "questions": _descriptor("questions", "object", "'false'", _QUESTIONS), "rcode": _descriptor("rcode", "u8")}
+_add("c02_field_trees", _select(" UNION ".join(f"SELECT DISTINCT 'DNS' AS protocol, 'dns.{path}' AS qualified_name, {text} AS descriptor FROM pk WHERE event_type = 'purchase'" for path, text in _TREES.items()).replace("|| false ||", "|| 'false' ||")))(lambda p: catalog.field_trees(p, "dns"))
+_add(
+    "c02_field_nodes",
+    _select("""SELECT 'TLS' AS protocol, path, kind, parent, optional FROM (VALUES ('content_type', 'u8', NULL, false), ('version', 'u16', NULL, false), ('extensions', 'object', NULL, true), ('extensions.server_name', 'str', 'extensions', false)) t(path, kind, parent, optional)"""),
+)(lambda p: catalog.field_nodes(p, "tls"))
 _PATHS = {
     "true": "ethernet.src ethernet.dst ethernet.ethertype ipv4.ttl ipv4.src ipv4.dst",
     "event_type = 'click'": "tcp.src_port tcp.dst_port tcp.stream_id tcp.flags",
@@ -348,6 +361,30 @@ _add("c05_field_values", _select("SELECT DISTINCT CAST(1 + k % 3 AS VARCHAR) AS
 _add("s09_warnings", _select("SELECT capture_id, number, 'no dissector' AS decode_error FROM pk WHERE event_type = 'error'"))(
     lambda p: warnings(p.withColumn("decode_error", F.when(P.has_layer("icmp"), F.lit("no dissector"))))
 )
+@_add(
+    "s09_torn_frames",
+    _select("""SELECT capture_id, number, CASE WHEN event_id % 5 = 0 THEN 'unknown link type' WHEN event_id % 5 = 1 THEN 'truncated frame' ELSE 'truncated packet' END AS decode_error FROM pk WHERE event_id % 5 < 3"""),
+    event_frames,
+)
+def _torn(frames: DataFrame) -> DataFrame:
+    """Frames of another link type, cut within the link header, and cut within the network header."""
+    number = F.conv(F.substring("capture_id", 2, 20), 10, 10).cast("long") * CAPTURE + F.col("number") - 1
+    kept = F.when(number % 5 == 1, 10).when(number % 5 == 2, 30).otherwise(F.octet_length("raw"))
+    torn = frames.withColumn("link_type", F.when(number % 5 == 0, 113).otherwise(1)).withColumn("raw", F.substring(F.col("raw"), F.lit(1), kept))
+    return warnings(decode.decode(torn))
+
+
+@_add("s04_decode_as", _select("SELECT capture_id, number, CASE event_type WHEN 'view' THEN 'Ethernet:IPv4:TCP:tunnel' WHEN 'signup' THEN 'Ethernet:IPv4:UDP:boot' ELSE 'Ethernet:IPv4:TCP:HTTP' END AS stack FROM pk WHERE event_type IN ('click', 'view', 'signup')"), event_frames)
+def _decode_as(frames: DataFrame) -> DataFrame:
+    """Protocols above ports: two by override, one by the known port."""
+    carried = frames.withColumn("raw", F.concat("raw", F.lit(b"x")))
+    named = decode.decode(carried, [("tcp.port", 443, "tunnel"), ("udp.port", 67, "first"), ("udp.port", 67, "Boot")])
+    return named.where(F.col("dst_port").isin(80, 443, 67)).select("capture_id", "number", "stack")
+
+
+_add("s06_raw_hex", _select("SELECT capture_id, number, lower(hex('GET /p/' || CAST(k AS VARCHAR) || chr(13) || chr(10) || 'Host: ' || dst || chr(13) || chr(10))) AS raw_bytes FROM pk WHERE event_type = 'click'"))(
+    lambda p: p.where(P.has_layer("http") & F.col("payload").isNotNull()).withColumn("raw", F.col("payload")).select("capture_id", "number", records.raw_hex().alias("raw_bytes"))
+)
 _add("s01_flat_fields", _select("SELECT 'TCP' AS protocol, 'dst_port' AS path, CAST(dport AS BIGINT) AS num, count(*) AS count FROM pk WHERE transport = 'tcp' GROUP BY dport"))(
     lambda p: flat_fields(decoded(p)).where("protocol = 'TCP' and path = 'dst_port'").groupBy("protocol", "path", F.col("num").cast("long").alias("num")).count()
 )
