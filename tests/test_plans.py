@@ -77,3 +77,40 @@ def test_only_keys_are_sorted_and_shuffled(spark, packets, tmp_path):
     assert sum("layers" in s for s in scans) == 1
     page = plan(select.page(stored, sample=3, offset=200, count=5))
     assert sum("layers" in s for s in re.findall(r"ReadSchema: (.*)", page)) == 1
+
+
+def test_document_parts_equal_their_operators_and_read_the_table_twice(spark):
+    """Every part of the document is the operator's own list, from one scan; DNS times take a second."""
+    import json
+
+    from tidewire.operators import correlate
+    from tidewire.plans.captures import event_packets, signalling_packets
+
+    sf = "/root/testdata/sf0.001"
+    for source in (event_packets, signalling_packets):
+        packets = source(spark, sf)
+        df = stats.document(packets, n=5)
+        got = json.loads(df.first().stats)
+        rows = lambda df: [{k: v for k, v in r.asDict().items() if v is not None} for r in df.collect()]
+        over = rows(stats.overview(packets))[0]
+        assert {k: got[k] for k in over} == pytest.approx(over)
+        assert got["protocols"] == rows(select.top_n(stats.protocol_counts(packets), None).orderBy(F.desc("count"), "name"))
+        key = lambda r: [str(r.get(c)) for c in ("protocol", "metric", "group", "name")]
+        assert sorted(got["tables"], key=key) == sorted(rows(stats.frequencies(packets, n=5)), key=key)
+        talkers, streams = rows(stats.top_talkers(packets, 5)), rows(stats.tcp_streams(packets, 5, ["capture_id"]))
+        assert got.get("top_talkers", []) == talkers
+        assert got.get("tcp_streams", []) == streams
+        assert got.get("dns_response_time", []) == rows(stats.response_summary(correlate.dns_pairs(packets)))
+    text = plan(stats.document(packets, n=5))
+    scans = [s for s in re.findall(r"ReadSchema: (.*)", text) if "layers" in s]
+    assert len(scans) == 1
+
+
+def test_document_of_nothing(spark):
+    import json
+
+    from tidewire.plans.captures import event_packets
+
+    packets = event_packets(spark, "/root/testdata/sf0.001")
+    assert json.loads(stats.document(packets.where("number < 0")).first().stats) == {"total_packets": 0, "duration_secs": 0.0}
+    assert set(json.loads(stats.document(packets, ["dhcp"], talkers=False).first().stats)) == {"total_packets", "start_time", "end_time", "duration_secs", "protocols", "tables"}

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import labels
 from ..functions.scalars import utf8_lossy
-from ..model import FIELD, all_fields, bind, decoded, first_field, first_layer, holds, label_text, normalised, raw_text
+from ..model import FIELD, LAYER, all_fields, bind, decoded, first_field, first_layer, holds, label_text, normalised, raw_text
 from .project import diameter_result, with_flow
 from .select import top_n
 
@@ -297,13 +297,16 @@ SPEC: dict[str, Protocol] = {
     "gre": _simple("GRE", "total_packets", *_labels(protocol_type="protocol_type"), Metric("top_keys", "key")),
 }
 
+#: Parts of a document that are no protocol's table: a message each.
+_PARTS = ("@packets", "@layers", "@talkers", "@streams")
+SPEC |= {p: Protocol((), (Metric(p, MESSAGE, "total"),)) for p in _PARTS}
 #: Metrics that count distinct names instead of listing them.
 DISTINCT = ("unique_imsi_count", "unique_teid_count")
 
 
 def _chosen(protocols: Iterable[str] | None) -> list[str]:
     wanted = None if protocols is None else {normalised(p) for p in protocols}
-    return [k for k in SPEC if wanted is None or k in wanted]
+    return [k for k in SPEC if k not in _PARTS and (wanted is None or k in wanted)]
 
 
 def _messages(packets: DataFrame, keys: list[str], by: Iterable[str] = ()) -> DataFrame:
@@ -345,7 +348,7 @@ def _values(messages: DataFrame, keys: list[str], by: Iterable[str] = ()) -> Dat
     one = F.array(_part(MESSAGE)(F.struct(F.lit("").alias("name"), F.lit(None).cast("string").alias("group")))).cast(kind)
     asked = F.create_map(*(c for k in keys for c in (F.lit(k), F.array(*map(F.lit, sorted({m.path for m in SPEC[k].metrics}))))))
     counted = bind(F.try_element_at(asked, key), lambda paths: F.filter(x["fields"], lambda f: F.array_contains(paths, f["path"])))
-    rows = messages.select(*by, "key", role.alias("role"), F.concat(one, parts, counted).alias("fields"))
+    rows = messages.select(*by, "key", role.alias("role"), F.concat(one, parts, F.coalesce(counted, F.array().cast(kind))).alias("fields"))
     rows = rows.select(*by, "key", "role", F.col("fields.path").alias("paths"), F.posexplode("fields").alias("at", "f"))
     return rows.select(*by, "key", "role", F.col("f.path").alias("path"), (F.array_position("paths", F.col("f.path")) == F.col("at") + 1).alias("first"), "f")
 
@@ -357,13 +360,19 @@ def name_counts(packets: DataFrame, protocols: Iterable[str] | None = None, by:
     the code tables by code; both are constants and are sent to the executors. Counts are partial
     before the shuffle, so a name that most packets have is no hot spot.
     """
-    spark, keys, by = packets.sparkSession, _chosen(protocols), list(by)
+    keys, by = _chosen(protocols), list(by)
+    if not keys:
+        return packets.select(*by).limit(0).select(*by, *(F.lit(None).cast("string").alias(c) for c in ("protocol", "metric", "group", "name")), F.lit(0).cast("long").alias("count"))
+    return _named(_messages(packets, keys, by), keys, by).groupBy(*by, "protocol", "metric", "group", "name").count()
+
+
+def _named(messages: DataFrame, keys: list[str], by: Iterable[str] = ()) -> DataFrame:
+    """``by, protocol, metric, group, name``: a row for each value that a table counts."""
+    spark = messages.sparkSession
     rows = [(k, m.path, m.metric, m.how, m.arg, m.role, m.every, m.other) for k in keys for m in SPEC[k].metrics]
     spec = F.broadcast(labels.constant(spark, rows, "key string, path string, metric string, how string, arg string, wanted string, every boolean, other string"))
     codes = F.broadcast(labels.code_rows(spark))
-    if not keys:
-        return spec.limit(0).select(F.col("key").alias("protocol"), "metric", F.lit(None).cast("string").alias("group"), F.lit(None).cast("string").alias("name"), F.lit(0).cast("long").alias("count"))
-    met = _values(_messages(packets, keys, by), keys, by).join(spec, ["key", "path"]).where((F.col("wanted").isNull() | (F.col("wanted") == F.col("role"))) & (F.col("every") | F.col("first")))
+    met = _values(messages, keys, by).join(spec, ["key", "path"]).where((F.col("wanted").isNull() | (F.col("wanted") == F.col("role"))) & (F.col("every") | F.col("first")))
     number = F.col("f.num").cast("long")
     met = met.withColumn("code", F.when(F.col("how").isin("code", "rtp"), number)).join(codes.withColumnRenamed("table", "arg"), ["arg", "code"], "left")
     f, how = F.col("f"), F.col("how")
@@ -379,8 +388,7 @@ def name_counts(packets: DataFrame, protocols: Iterable[str] | None = None, by:
         .when(how == "raw", F.when(F.col("arg").isNull() | ((f["kind"] == F.col("arg")) & (value != "")), value))
         .otherwise(f["str"])
     )
-    named = met.select(*by, F.col("key").alias("protocol"), "metric", F.when(how == "grouped", f["name"]).alias("group"), name.alias("name")).where("name is not null")
-    return named.groupBy(*by, "protocol", "metric", "group", "name").count()
+    return met.select(*by, F.col("key").alias("protocol"), "metric", F.when(how == "grouped", f["name"]).alias("group"), name.alias("name")).where("name is not null")
 
 
 def frequencies(packets: DataFrame, protocols: Iterable[str] | None = None, n: int | None = 10) -> DataFrame:
@@ -444,22 +452,94 @@ def response_summary(pairs: DataFrame, value: str = "rtt", by: Iterable[str] = (
     return summed.select(*by, "count", "min", "max", "mean", *(percentile(p).alias(name) for name, p in PERCENTILES.items()))
 
 
+#: What a document counts besides tables, as metrics of messages that no layer is.
+_PACKETS, _LAYERS, _TALKERS, _STREAMS = _PARTS
+#: Names that a list of a document may have before it is cut to what is asked for.
+_MOST_NAMES = 4096
+
+
+def _tagged(packets: DataFrame, keys: list[str], talkers: bool, streams: bool) -> DataFrame:
+    """One row for each part of a document that a packet feeds: its message of each protocol, and what ``_PACKETS`` and the others name."""
+    first_names = {name: (key, SPEC[key].layers[:k]) for key in keys for k, name in enumerate(SPEC[key].layers)}
+    good = F.col("decode_error").isNull()
+    tag = lambda key, name, group, message: F.struct(F.lit(key).alias("key") if isinstance(key, str) else key.alias("key"), name.cast("string").alias("tag"), group.cast("string").alias("tag_group"), message.cast(LAYER).alias("message"))
+    none, layers = F.lit(None), F.coalesce(F.col("layers"), F.array().cast(T.ArrayType(LAYER)))
+    names = F.transform(layers, lambda x: x["protocol"])
+
+    def counts(x: Column, at: Column) -> Column:
+        first = F.array_position(names, x["protocol"]) == at + 1
+        for own, (_, better) in first_names.items():
+            if better:
+                first = first & ~((x["protocol"] == own) & F.arrays_overlap(names, F.array(*map(F.lit, better))))
+        return x["protocol"].isin(*first_names) & first
+
+    parts = [F.array(tag(_PACKETS, none, none, none)), F.when(good, F.transform(layers, lambda x: tag(_LAYERS, x["protocol"], none, none)))]
+    if first_names:
+        key = F.create_map(*(F.lit(x) for own, (k, _) in first_names.items() for x in (own, k)))
+        parts.append(F.when(good, F.transform(F.filter(layers, counts), lambda x: tag(F.try_element_at(key, x["protocol"]), none, none, x))))
+    if talkers:
+        parts.append(F.when(good & F.col("src").isNotNull() & F.col("dst").isNotNull(), F.array(tag(_TALKERS, F.col("src"), F.col("dst"), none))))
+    if streams:
+        parts.append(F.when(good & F.col("stream_id").isNotNull(), F.array(tag(_STREAMS, F.col("stream_id"), F.col("capture_id"), none))))
+    sp, dp = tcp_ports()
+    empty = F.array().cast("array<struct<key:string,tag:string,tag_group:string,message:" + LAYER.simpleString() + ">>")
+    carried = ["capture_id", "number", "ts_us", "original_length", "src", "dst"]
+    rows = packets.select(*carried, sp.alias("sp"), dp.alias("dp"), F.explode(F.concat(*(F.coalesce(p, empty) for p in parts))).alias("t"))
+    return rows.select(*carried, "sp", "dp", "t.*")
+
+
 def document(packets: DataFrame, protocols: Iterable[str] | None = None, n: int = 10, talkers: bool = True, streams: bool = True) -> DataFrame:
-    """One row, one JSON text: the enabled parts, each a bounded list; parts without content are left out."""
+    """One row, one JSON text: the enabled parts, each a bounded list; parts without content are left out.
+
+    The packet table is read once for all parts but the DNS times: a packet becomes a row for each
+    part that it feeds, these are counted and summed by part and name in one partial aggregation,
+    and what is left is ranked within its list. Pairs of DNS messages are a pass of their own.
+    """
     from .correlate import dns_pairs
 
     wanted = None if protocols is None else {normalised(p) for p in protocols}
-    listing = lambda df, name, order: df.agg(F.sort_array(F.collect_list(F.struct(*order, F.struct(*(c for c in df.columns if c[0] != "_")).alias("_row")))).alias("_s")).select(F.transform("_s", lambda s: s["_row"]).alias(name))
-    out = overview(packets)
-    parts = [listing(protocol_counts(packets).withColumn("_c", -F.col("count")).select("_c", "name", "count"), "protocols", ["_c", "name"])]
-    parts.append(listing(frequencies(packets, wanted, n), "tables", ["protocol", "metric", "group", "name"]))
+    keys = _chosen(wanted)
+    carried = ["number", "ts_us", "original_length", "src", "dst", "sp", "dp", "tag", "tag_group"]
+    named = _named(_tagged(with_flow(packets), keys, talkers, streams and (wanted is None or "tcp" in wanted)), [*keys, *_PARTS], carried)
+    part = F.col("protocol")
+    own, distinct = part.isin(*_PARTS), F.col("metric").isin(*DISTINCT)
+    in_part = lambda p, c: F.when(part.isin(*p), c)
+    known = F.coalesce("sp", F.lit(0)) != 0
+    sums = named.groupBy("protocol", "metric", F.when(own, F.col("tag_group")).otherwise(F.col("group")).alias("group"), F.when(own, F.col("tag")).otherwise(F.col("name")).alias("name")).agg(
+        F.count("*").alias("count"),
+        F.sum(in_part([_TALKERS, _STREAMS], F.col("original_length"))).alias("bytes"),
+        F.min(in_part([_PACKETS, _STREAMS], F.col("ts_us"))).alias("first"),
+        F.max(in_part([_PACKETS, _STREAMS], F.col("ts_us"))).alias("last"),
+        F.min_by(F.struct("src", "dst"), in_part([_STREAMS], F.when(F.col("src").isNotNull() & F.col("dst").isNotNull(), F.col("number")))).alias("e"),
+        F.min_by(F.struct("number", "sp", "dp"), in_part([_STREAMS], F.when(known, F.col("number")))).alias("p"),
+        F.collect_list(in_part([_STREAMS], F.when(~known & F.col("dp").isNotNull(), F.struct("number", "dp")))).alias("vague"),
+    )
+    # distinct counts are numbers of names; totals have no name
+    shown = F.when(~distinct & ~F.startswith("metric", F.lit("total_")), F.col("name"))
+    first = lambda c: F.max(c).alias(c)  # noqa: E731  one row a name, but for distinct counts
+    whole = sums.groupBy("protocol", "metric", "group", F.when(own, F.col("name")).otherwise(shown).alias("name")).agg(F.sum(F.when(distinct, 1).otherwise(F.col("count"))).alias("count"), *map(first, ("bytes", "first", "last", "e", "p", "vague")))
+    stream = F.when(part == _STREAMS, F.col("name").cast("long"))
+    # of parts, the group is no list of its own
+    order = [F.desc_nulls_last("bytes"), stream.asc_nulls_last(), F.desc("count"), F.asc("name"), F.asc("group")]
+    rank = F.row_number().over(Window.partitionBy("protocol", "metric", F.when(~own, F.col("group"))).orderBy(*order))
+    ranked = whole.withColumn("_rank", rank).where(F.col("_rank") <= max(n, _MOST_NAMES)).where((part == _LAYERS) | (F.col("_rank") <= n))
+    late = F.array_max(F.filter("vague", lambda v: F.col("p.number").isNull() | (v["number"] < F.col("p.number"))))["dp"]
+    seconds = F.coalesce(F.round((F.col("last") - F.col("first")) / 1e6, 3), F.lit(0.0))
+    listed = lambda p, *shape: F.transform(F.sort_array(F.collect_list(F.when(p, F.struct("_rank", F.struct(*shape).alias("row"))))), lambda x: x["row"])
+    table = F.struct("protocol", "metric", "group", "name", "count")
+    out = ranked.agg(
+        F.coalesce(F.max(in_part([_PACKETS], F.col("count"))), F.lit(0)).alias("total_packets"),
+        F.max(in_part([_PACKETS], F.col("first") / 1e6)).alias("start_time"),
+        F.max(in_part([_PACKETS], F.col("last") / 1e6)).alias("end_time"),
+        F.coalesce(F.max(in_part([_PACKETS], seconds)), F.lit(0.0)).alias("duration_secs"),
+        listed(part == _LAYERS, "name", "count").alias("protocols"),
+        F.sort_array(F.collect_list(F.when(~own, table))).alias("tables"),
+        listed(part == _TALKERS, F.col("name").alias("src"), F.col("group").alias("dst"), F.col("count").alias("packets"), "bytes").alias("top_talkers"),
+        listed(part == _STREAMS, F.col("name").cast("long").alias("stream_id"), F.col("group").alias("capture_id"), F.coalesce("e.src", F.lit("unknown")).alias("src"), F.coalesce("p.sp", F.lit(0)).alias("src_port"), F.coalesce("e.dst", F.lit("unknown")).alias("dst"), F.coalesce("p.dp", late, F.lit(0)).alias("dst_port"), F.col("count").alias("packets"), "bytes", seconds.alias("duration_secs")).alias("tcp_streams"),
+    )
     if wanted is None or "dns" in wanted:
-        parts.append(listing(response_summary(dns_pairs(packets)), "dns_response_time", ["count"]))
-    if talkers:
-        parts.append(listing(top_talkers(packets, n).withColumn("_b", -F.col("bytes")).select("_b", "src", "dst", "packets", "bytes"), "top_talkers", ["_b", "src", "dst"]))
-    if streams and (wanted is None or "tcp" in wanted):
-        parts.append(listing(tcp_streams(packets, n, ["capture_id"]).withColumn("_b", -F.col("bytes")).select("_b", "stream_id", "capture_id", "src", "src_port", "dst", "dst_port", "packets", "bytes", "duration_secs"), "tcp_streams", ["_b", "stream_id", "capture_id"]))
-    for part in parts:  # one row each
-        name = part.columns[0]
-        out = out.join(part.select(F.when(F.size(name) > 0, F.col(name)).alias(name)))
-    return out.select(F.to_json(F.struct(*out.columns), {"ignoreNullFields": "true"}).alias("stats"))
+        times = response_summary(dns_pairs(packets))
+        out = out.join(F.broadcast(times.agg(F.collect_list(F.struct(*times.columns)).alias("dns_response_time"))))
+    names = ["total_packets", "start_time", "end_time", "duration_secs", "protocols", "tables", "dns_response_time", "top_talkers", "tcp_streams"]
+    full = [F.when(F.size(c) > 0, F.col(c)).alias(c) if k > 3 else F.col(c) for k, c in enumerate(names) if c in out.columns]
+    return out.select(F.to_json(F.struct(*full), {"ignoreNullFields": "true"}).alias("stats"))
