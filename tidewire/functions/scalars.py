@@ -12,22 +12,6 @@ def normalised_name(name: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(name, "[^ -~]", "")), "[^a-z0-9]", "")
 
 
-def byte_at(raw: Column, offset: Column | int) -> Column:
-    return big_endian(raw, offset, 1)
-
-
-def big_endian(raw: Column, offset: Column | int, size: int) -> Column:
-    """An unsigned big-endian number; null where the bytes are not all there."""
-    offset = F.lit(offset) if isinstance(offset, int) else offset
-    part = F.hex(F.substring(raw, offset + 1, F.lit(size)))
-    return F.when(F.length(part) == 2 * size, F.conv(part, 16, 10).cast("decimal(20,0)" if size > 7 else "long"))
-
-
-def ipv4_text(raw: Column, offset: Column | int) -> Column:
-    offset = F.lit(offset) if isinstance(offset, int) else offset
-    return F.when(F.octet_length(raw) >= offset + 4, F.concat_ws(".", *(byte_at(raw, offset + k).cast("string") for k in range(4))))
-
-
 def mac_text(raw: Column, offset: Column | int) -> Column:
     offset = F.lit(offset) if isinstance(offset, int) else offset
     return F.when(F.octet_length(raw) >= offset + 6, F.regexp_replace(F.lower(F.hex(F.substring(raw, offset + 1, F.lit(6)))), "(..)(?!$)", "$1:"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import iso_time, media_type
-from ..model import FACTS, FLOW, all_fields, bind, first_field, first_layer, label_text, stack, with_facts, with_flow_columns
+from ..model import FACTS, FLOW, all_fields, bind, first_field, first_layer, label_text, with_facts, with_flow_columns
 
 
 def with_flow(packets: DataFrame) -> DataFrame:
@@ -251,7 +251,3 @@ DEFAULT_FIELDS = {
 }
 # Multicast DNS is the same but for what comes from reassembly over TCP.
 DEFAULT_FIELDS["mDNS"] = [f for f in DEFAULT_FIELDS["DNS"] if f not in ("reassembly_in_progress", "segment_count")]
-
-
-def with_stack(packets: DataFrame) -> DataFrame:
-    return packets.withColumn("stack", stack())

@@ -46,9 +46,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Size and last change of a table's files."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = found.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = [f for f in files.listStatus(found)]
+    return sum(f.getLen() for f in held), max((f.getModificationTime() for f in held), default=0)
+
+
 def once(spark: SparkSession, name: str, source: str, build) -> DataFrame:
-    """The packet table that ``build()`` makes of ``source``, written by the first who asks in this application."""
-    key = (spark.sparkContext.applicationId, name, source)
+    """The packet table that ``build()`` makes of the table ``name`` in ``source``, written by the first who asks in this application.
+
+    It is made anew where the table's files have changed since.
+    """
+    key = (spark.sparkContext.applicationId, name, source, _stamp(spark, f"{source}/{name}.parquet"))
     if key not in _WRITTEN:
         path = f"{shared_folder(spark)}/packets-{name}-{uuid.uuid4().hex}"
         write_packets(build(), path, ordered=True)
