@@ -57,3 +57,15 @@ def test_entry_with_the_pipeline_alone(tmp_path):
 def test_entry_does_not_hide_other_missing_modules(tmp_path):
     if (ROOT / "tidewire/llm").exists():
         assert entry_in(tmp_path, broken=True).returncode != 0
+
+
+def test_packet_tables_follow_their_source_and_can_be_removed(spark, tmp_path):
+    from tidewire.sources import store
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.limit(5).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    assert event_packets(spark, str(tmp_path)).count() == 5
+    events.limit(9).coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "events.parquet"))
+    assert event_packets(spark, str(tmp_path)).count() == 9
+    assert store.clean(spark) >= 2 and store.clean(spark) == 0
+    assert event_packets(spark, str(tmp_path)).count() == 9

@@ -62,10 +62,12 @@ PACKETS = T.StructType(
         T.StructField("has", T.StructType([T.StructField(p, T.BooleanType()) for p in KNOWN])),
         T.StructField("nested", T.BooleanType()),
         T.StructField("further", T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("num", T.DecimalType(20, 0)), T.StructField("str", T.StringType())]))),
+        # of the first layer named DNS; null without one
+        T.StructField("dns", T.StructType([T.StructField("qr", T.IntegerType()), T.StructField("id", T.IntegerType())])),
     ]
 )
 FLOW = ("src", "dst", "transport", "src_port", "dst_port", "stream_id")
-FACTS = ("protocols", "has", "nested", "further")
+FACTS = ("protocols", "has", "nested", "further", "dns")
 #: The columns that readers and decoders make themselves.
 DECODED = T.StructType([f for f in PACKETS if f.name not in FACTS])
 #: Fields that filters find in plain columns: their kind in a packet that has one value of each.
@@ -130,12 +132,13 @@ def with_flow_columns(df: DataFrame) -> DataFrame:
 
 
 def with_facts(df: DataFrame) -> DataFrame:
-    """Adds or replaces what filters ask for: ``protocols, has, nested, further``.
+    """Adds or replaces what filters and pairs ask for: ``protocols, has, nested, further, dns``.
 
     ``protocols`` are the layers' normalised names, ``has`` a flag for each of ``KNOWN``. The flow
     columns hold all that a filter on one of ``KEYS`` can see in most packets. Where they don't
     (tunnels, several transports, values of another kind), ``nested`` is true and ``further`` has
-    every value of those fields; so no filter on them needs the layers.
+    every value of those fields; so no filter on them needs the layers. ``dns`` has the direction
+    and id of a DNS message.
     """
     kept = [F.col(c) for c in df.columns if c not in FACTS]
     named = df.select(*kept, F.coalesce(F.transform("layers", lambda x: x["proto_norm"]), F.array().cast("array<string>")).alias("protocols"))
@@ -163,6 +166,8 @@ def with_facts(df: DataFrame) -> DataFrame:
     in_columns = F.array_compact(F.array(*(told(p, path, kind) for p in KEYS for path, kind in KEYS[p].items())))
     found = found.withColumn("further", F.coalesce(in_layers, F.array().cast(PACKETS["further"].dataType)).cast(PACKETS["further"].dataType))
     found = found.withColumn("nested", ~F.col("further").eqNullSafe(in_columns.cast(PACKETS["further"].dataType)))
+    message = lambda x: F.struct(*(first_field(x, p)["num"].cast("int").alias(p) for p in ("qr", "id")))
+    found = found.withColumn("dns", F.when(F.col("has.dns"), bind(first_layer("DNS"), lambda x: F.when(x.isNotNull(), message(x)))))
     return found.withColumn("further", F.when(F.col("nested"), F.col("further"))).select(*kept, *FACTS)
 
 

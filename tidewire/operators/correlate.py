@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import decoded, first_field, first_layer, flagged, holds
+from ..model import decoded, flagged
 from ..sources.store import written
 from .project import with_flow
 from .select import BUCKET
@@ -14,10 +14,9 @@ TIMEOUT_S, TICK = 30.0, 1000
 
 
 def dns_messages(packets: DataFrame) -> DataFrame:
-    """DNS messages with direction, id and flow."""
-    rows = decoded(with_flow(packets)).where(flagged("dns") & holds("DNS")).withColumn("_dns", first_layer("DNS"))
-    value = lambda path: first_field(F.col("_dns"), path)["num"].cast("int").alias(path)
-    return rows.select("capture_id", "number", "ts_us", value("qr"), value("id"), "src", "dst", "transport", "src_port", "dst_port")
+    """DNS messages with direction, id and flow, from plain columns."""
+    rows = decoded(with_flow(packets)).where(flagged("dns") & F.col("dns").isNotNull())
+    return rows.select("capture_id", "number", "ts_us", "dns.qr", "dns.id", "src", "dst", "transport", "src_port", "dst_port")
 
 
 def _ticked(rows: DataFrame, tick: int, bucket: int) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..model import PACKETS, as_packets
 
 _WRITTEN: dict[tuple, str] = {}
+#: Folders of intermediate tables, by application.
+_MADE: dict[str, list[str]] = {}
 
 
 def write_packets(packets: DataFrame, path: str, ordered: bool = False) -> None:
@@ -43,6 +45,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df``, written to the shared folder now and read from there, for a table that is read several times."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _MADE.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -64,4 +67,17 @@ def once(spark: SparkSession, name: str, source: str, build) -> DataFrame:
         path = f"{shared_folder(spark)}/packets-{name}-{uuid.uuid4().hex}"
         write_packets(build(), path, ordered=True)
         _WRITTEN[key] = path
+        _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
     return read_packets(spark, _WRITTEN[key])
+
+
+def clean(spark: SparkSession) -> int:
+    """Removes the intermediate tables of this application; results that still read them must be written before. Returns how many."""
+    app = spark.sparkContext.applicationId
+    paths = _MADE.pop(app, [])
+    for key in [k for k, v in _WRITTEN.items() if v in paths]:
+        del _WRITTEN[key]
+    for path in paths:
+        found = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+    return len(paths)
