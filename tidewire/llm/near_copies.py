@@ -61,15 +61,41 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(4 * ones + 2 * tie > 2 * len(hashes) + 1, bitorder="little").view("<i8")
 
 
+#: Bits of a set's occupancy map.
+MAP_BITS = 2048
+
+
+def occupancy(hashes: np.ndarray) -> bytes:
+    """Which remainders of ``MAP_BITS`` a set has. Two maps differ in no more bits than their sets in elements."""
+    held = np.zeros(MAP_BITS, np.uint8)
+    held[(hashes >> np.uint64(20)) % np.uint64(MAP_BITS)] = 1
+    return np.packbits(held, bitorder="little").tobytes()
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, maps: np.ndarray, size: np.ndarray, least: float, step: int = 1 << 15) -> np.ndarray:
+    """False only where sets ``a`` and ``b`` can't reach a Jaccard similarity of ``least``.
+
+    Sets that do differ in (1 - least) / (1 + least) of their sizes' sum of elements at most.
+    """
+    out = np.empty(len(a), bool)
+    for i in range(0, len(a), step):
+        x, y = a[i : i + step], b[i : i + step]
+        apart = np.bitwise_count(maps[x] ^ maps[y]).sum(axis=1, dtype=np.int64)
+        out[i : i + step] = np.maximum(apart, np.abs(size[x] - size[y])) * (1 + least) <= (1 - least) * (size[x] + size[y]) + 1e-6
+    return out
+
+
 def _sketches(size: int):
     def run(batches):
         for batch in batches:
-            nodes, fps = [], []
+            nodes, fps, sizes, maps = [], [], [], []
             for hashes in shingle_sets(batch.column(2), size):
                 nodes.append(int(mixed(hashes).sum(dtype=np.uint64)))
                 fps.append(wide_fingerprint(hashes))
+                sizes.append(len(hashes))
+                maps.append(occupancy(hashes))
             fps = np.array(fps, np.int64).reshape(-1, len(LANES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), *(pa.array(fps[:, k].copy()) for k in range(len(LANES)))], ["doc_id", "row_key", "node", *LANES])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), *(pa.array(fps[:, k].copy()) for k in range(len(LANES))), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary())], ["doc_id", "row_key", "node", *LANES, "size", "map"])
 
     return run
 
@@ -80,8 +106,8 @@ def row_key() -> Column:
 
 
 def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """``doc_id, row_key, node, f0..f3``: hashes of the row and of its shingle set, and the fingerprint."""
-    kind = "doc_id long, row_key long, node long, " + ", ".join(f"{f} long" for f in LANES)
+    """``doc_id, row_key, node, f0..f3, size, map``: hashes of the row and of its shingle set, the fingerprint, and the set's size and occupancy."""
+    kind = "doc_id long, row_key long, node long, " + ", ".join(f"{f} long" for f in LANES) + ", size long, map binary"
     return docs.select(F.col("doc_id").cast("long"), row_key().alias("row_key"), text_of().alias("text")).mapInArrow(_sketches(shingle), kind)
 
 
@@ -117,7 +143,8 @@ def _anchor_rows(only, tables: int, step: int = 1 << 12):
         leader = Anchors().leader
         wanted = None if only is None else np.unpackbits(only.value, bitorder="little").astype(bool)
         for batch in batches:
-            cols = [c.to_numpy() for c in batch.columns]
+            names = batch.schema.names
+            cols = [c.to_numpy() for c in batch.columns[: 2 + len(LANES)]]
             for i in range(0, len(cols[0]), step):
                 part = [c[i : i + step] for c in cols]
                 anchor = anchors_of(np.stack(part[2:], axis=1), leader, tables).ravel()
@@ -125,16 +152,20 @@ def _anchor_rows(only, tables: int, step: int = 1 << 12):
                 if wanted is not None:
                     keep = wanted[anchor]
                     anchor, row = anchor[keep], row[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), *(pa.array(c[row]) for c in part[: 2 + CARRIED])], ["anchor", "node", "comp", *LANES[:CARRIED]])
+                more = [batch.column(k).take(pa.array(i + row)) for k in range(2 + len(LANES), len(names))]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), *(pa.array(c[row]) for c in part[: 2 + CARRIED]), *more], ["anchor", "node", "comp", *LANES[:CARRIED], *names[2 + len(LANES) :]])
 
     return run
 
 
-def _anchor_rows_of(nodes: DataFrame, only=None, tables: int = TABLES) -> DataFrame:
-    return nodes.select("node", "comp", *LANES).mapInArrow(_anchor_rows(only, tables), "anchor int, node long, comp long, " + ", ".join(f"{f} long" for f in LANES[:CARRIED]))
+def _anchor_rows_of(nodes: DataFrame, only=None, tables: int = TABLES, more: str = "") -> DataFrame:
+    """``more``: further columns that go along."""
+    extra = [c.split()[0] for c in more.split(", ")] if more else []
+    kind = "anchor int, node long, comp long, " + ", ".join(f"{f} long" for f in LANES[:CARRIED])
+    return nodes.select("node", "comp", *LANES, *extra).mapInArrow(_anchor_rows(only, tables), f"{kind}, {more}" if more else kind)
 
 
-def _compare(rows: dict, most: int, budget: int = 1 << 20):
+def _compare(rows: dict, most: int, least: float, budget: int = 1 << 20):
     """Pairs of a home and any row of its key; each home's first ``most`` near rows of other components.
 
     Adds to ``seen`` how many of these each home has met so far. An anchor is marked where pairs
@@ -161,6 +192,9 @@ def _compare(rows: dict, most: int, budget: int = 1 << 20):
             apart += np.bitwise_count((f[a] ^ f[b]).view(np.uint64))
         near = (apart <= CARRIED_BITS) & (comp[a] != comp[b])
         a, b = a[near], b[near]
+        if "map" in rows:
+            near = may_be_similar(a, b, rows["map"], rows["size"], least)
+            a, b = a[near], b[near]
         if len(a):
             first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
             runs = np.diff(np.append(first, len(a)))
@@ -177,42 +211,45 @@ def _compare(rows: dict, most: int, budget: int = 1 << 20):
     return pa.RecordBatch.from_arrays([pa.array(np.where(flag, u, np.minimum(u, v))), pa.array(np.where(flag, v, np.maximum(u, v))), pa.array(flag)], ["u", "v", "more"])
 
 
-def _candidates(most: int, most_rows: int = 1 << 18):
+def _candidates(most: int, least: float, most_rows: int = 1 << 18):
     """Over rows sorted by anchor, block and home first; a long group's homes stay while it streams."""
 
     def run(batches):
         rest: dict | None = None
         pick = lambda rows, at: {k: [f[at] for f in x] if k == "fps" else x[at] for k, x in rows.items()}
         for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[: 5 + CARRIED]]
             n = len(cols[0])
             if not n:
                 continue
             anchor = cols[0].astype(np.int64)
             rows = {"anchor": anchor, "key": (anchor << 32) | cols[1], "home": cols[2], "node": cols[3], "comp": cols[4], "old": np.zeros(n, bool), "seen": np.zeros(n, np.int64), "fps": cols[5:]}
+            if "map" in batch.schema.names:
+                rows["size"] = batch.column("size").to_numpy()
+                rows["map"] = np.frombuffer(b"".join(batch.column("map").to_pylist()), "<u8").reshape(n, -1)
             if rest is not None:
                 rows = {k: [np.concatenate([p, q]) for p, q in zip(rest[k], x)] if k == "fps" else np.concatenate([rest[k], x]) for k, x in rows.items()}
             start = int(np.searchsorted(rows["key"], rows["key"][-1]))
             if start:
-                yield _compare(pick(rows, slice(0, start)), most)
+                yield _compare(pick(rows, slice(0, start)), most, least)
             rest = pick(rows, slice(start, None))
             if len(rest["key"]) > most_rows and not rest["home"][-1]:
-                yield _compare(rest, most)
+                yield _compare(rest, most, least)
                 rest = pick(rest, rest["home"])
                 rest["old"] = np.ones(len(rest["key"]), bool)
         if rest is not None:
-            yield _compare(rest, most)
+            yield _compare(rest, most, least)
 
     return run
 
 
-def _pairs(rows: DataFrame, most: int) -> DataFrame:
-    """``u, v, more`` of rows ``anchor, block, home, node, comp`` and the carried fingerprint."""
-    dealt = rows.select("anchor", "block", "home", "node", "comp", *LANES[:CARRIED]).repartition("anchor", "block").sortWithinPartitions("anchor", "block", F.desc("home"), "node")
-    return dealt.mapInArrow(_candidates(most), "u long, v long, more boolean").distinct()
+def _pairs(rows: DataFrame, most: int, least: float) -> DataFrame:
+    """``u, v, more`` of rows ``anchor, block, home, node, comp``, the carried fingerprint and, where they are there, ``size, map``."""
+    dealt = rows.select("anchor", "block", "home", "node", "comp", *LANES[:CARRIED], *(c for c in ("size", "map") if c in rows.columns)).repartition("anchor", "block").sortWithinPartitions("anchor", "block", F.desc("home"), "node")
+    return dealt.mapInArrow(_candidates(most, least), "u long, v long, more boolean").distinct()
 
 
-def _first_pairs(nodes: DataFrame, tables: int, most_homes: int) -> DataFrame:
+def _first_pairs(nodes: DataFrame, tables: int, most_homes: int, least: float) -> DataFrame:
     """Each node with the first near one of each of its anchors, where that is of another component.
 
     The loads of anchors are taken from an eighth of the nodes, to deal rows out: a hot anchor's
@@ -224,31 +261,34 @@ def _first_pairs(nodes: DataFrame, tables: int, most_homes: int) -> DataFrame:
     hot = materialise(load, "hot-anchors")
     rows = _anchor_rows_of(nodes, None, tables)
     if hot.isEmpty():
-        return _pairs(rows.withColumns({"block": F.lit(0), "home": F.lit(True)}), 1)
+        return _pairs(rows.withColumns({"block": F.lit(0), "home": F.lit(True)}), 1, least)
     rows = rows.join(hot, "anchor", "left")
     blocks = F.coalesce(F.ceil(F.col("load") / most_homes).cast("int"), F.lit(1))
     leads = F.pmod(F.xxhash64("node", F.lit(5)), F.col("load")) < LEADERS
     own = F.pmod(F.xxhash64("node", F.lit(4)), blocks).cast("int")
     rows = rows.withColumn("home", F.lit(True)).withColumn("block", F.explode(F.when(leads, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))))
     marks = hot.select(F.col("anchor").cast("long").alias("u"), F.col("anchor").cast("long").alias("v"), F.lit(True).alias("more"))
-    return _pairs(rows, 1).unionByName(marks).distinct()
+    return _pairs(rows, 1, least).unionByName(marks).distinct()
+
 
+def _further_pairs(nodes: DataFrame, only, most_homes: int, least: float) -> DataFrame:
+    """All near pairs of unlike components at the marked anchors whose sizes and occupancy maps allow that they are similar.
 
-def _further_pairs(nodes: DataFrame, only, most_homes: int) -> DataFrame:
-    """All near pairs of unlike components at the marked anchors.
+    Those two tests lose no similar pair, and leave few others where sets are not much larger than
+    their maps; so a large group that is near by fingerprints, but not similar, gives few pairs.
 
     At each anchor the rows of its most common component are no homes: their pairs with others
     are found from the others. The homes are split into blocks of ``most_homes``, and every
     block meets all rows.
     """
-    rows = _anchor_rows_of(nodes, only)
-    each = rows.groupBy("anchor", "comp").agg(F.count("*").alias("n"))
+    rows = _anchor_rows_of(nodes, only, more="size long, map binary")
+    each = _anchor_rows_of(nodes, only).groupBy("anchor", "comp").agg(F.count("*").alias("n"))
     common = each.groupBy("anchor").agg(F.max_by("comp", F.struct("n", "comp")).alias("common"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
     rows = rows.join(common, "anchor")
     blocks = F.ceil(F.col("others") / most_homes).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(4)), blocks).cast("int")
     rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("home", (F.col("comp") != F.col("common")) & (F.col("block") == own))
-    return _pairs(rows, 1 << 62)
+    return _pairs(rows, 1 << 62, least)
 
 
 # ---------------------------------------------------------------- deciding
@@ -332,11 +372,11 @@ def classes(docs: DataFrame, *, shingle: int = 5, least: float = 0.8, most_bits:
     """``doc_id, row_key, root``: a row for each row of ``docs``, with its component."""
     spark = docs.sparkSession
     marks = materialise(sketches(docs, shingle), "sketches")
-    nodes = materialise(marks.groupBy("node").agg(F.min_by("row_key", F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("row_key"), *(F.min(c).alias(c) for c in LANES)), "distinct-sketches")
+    nodes = materialise(marks.groupBy("node").agg(F.min_by("row_key", F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("row_key"), *(F.min(c).alias(c) for c in (*LANES, "size", "map"))), "distinct-sketches")
     roots = only = None
     for tables in (FIRST_TABLES, TABLES, None):
         placed = nodes.withColumn("comp", F.col("node")) if roots is None else nodes.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-        pairs = _first_pairs(placed, tables, most_homes) if tables else _further_pairs(placed, only, most_homes)
+        pairs = _first_pairs(placed, tables, most_homes, least) if tables else _further_pairs(placed, only, most_homes, least)
         pairs = materialise(pairs, "pairs")
         links = _similar(pairs.where(~F.col("more")).select("u", "v"), nodes, docs, shingle, least, most_bits)
         roots = _joined_roots(roots, links)
@@ -358,7 +398,8 @@ def near_copies(docs: DataFrame, **options) -> DataFrame:
     of 64 tables and differ in at most ``most_bits`` of 256 bits are candidates; their shingle sets
     decide. First each node is tested with one near node an anchor, in a few of the tables and
     then, where that is of another component, in all; then, at the anchors where that left some
-    apart, with all others that are not in its component yet. So a large group of near copies is joined without all its pairs, and every candidate is tested or
+    apart, with all others that are not in its component yet and may be similar by their sizes and
+    occupancy. So a large group of near copies is joined without all its pairs, and every candidate is tested or
     joined. Candidates are probable, not certain: at a similarity of 0.8 a pair shares no anchor
     with a chance of 3 %, at 0.87 of 0.01 %.
 
