@@ -240,3 +240,27 @@ def test_the_stopping_test_ends_searches():
 @pytest.mark.parametrize("dims, chance, value", [(8, 0.95, 15.507), (1, 0.5, 0.4549), (7, 0.99, 18.475), (16, 0.9, 23.542)])
 def test_chi_square_quantiles(dims, chance, value):
     assert neighbours.chi_square_quantile(chance, dims) == pytest.approx(value, rel=1e-3)
+
+
+# ---------------------------------------------------------------- near copies
+
+
+def test_occupancy_maps_lose_no_similar_pair():
+    from tidewire.llm.near_copies import MAP_BITS, may_be_similar, occupancy
+
+    r = np.random.default_rng(9)
+    sets = []
+    for n in (0, 1, 5, 40, 150, 600, 5000):
+        base = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        for change in (0, 0.05, 0.1, 0.12, 0.3, 0.6):
+            keep = base[r.random(len(base)) >= change]
+            sets.append(np.unique(np.concatenate([keep, r.integers(0, 2**63, int(change * n * r.random())).astype(np.uint64)])))
+    maps = np.stack([np.frombuffer(occupancy(s), "<u8") for s in sets])
+    assert maps.shape[1] == MAP_BITS // 64
+    size = np.array([len(s) for s in sets])
+    a, b = np.triu_indices(len(sets), 1)
+    jaccard = np.array([len(np.intersect1d(sets[i], sets[j])) / max(1, len(np.union1d(sets[i], sets[j]))) for i, j in zip(a, b)])
+    may = may_be_similar(a, b, maps, size, 0.8, step=50)
+    assert may[jaccard >= 0.8].all() and (jaccard >= 0.8).sum() > 20
+    small = np.maximum(size[a], size[b]) < 700
+    assert may[small & (jaccard < 0.6) & (jaccard > 0)].mean() < 0.05
