@@ -264,3 +264,35 @@ def test_occupancy_maps_lose_no_similar_pair():
     assert may[jaccard >= 0.8].all() and (jaccard >= 0.8).sum() > 20
     small = np.maximum(size[a], size[b]) < 700
     assert may[small & (jaccard < 0.6) & (jaccard > 0)].mean() < 0.05
+
+
+# ---------------------------------------------------------------- queries
+
+KINDS = {
+    "op11_filter_audit": "part string, filter_order string, step int, kept bigint, removed bigint, redundant bigint, unique_fails bigint, good_lost bigint, toxic_lost bigint, shapley bigint",
+    "op12_source_divergence": "lang string, source string, part string, item string, value bigint, rank int",
+    "op13_neighbours": "query_id bigint, rank int, vec_id bigint, score double",
+}
+
+
+@pytest.mark.parametrize("name", KINDS)
+def test_queries_over_whole_tables(spark, name):
+    """Columns of the contracts; rows as the SQL gives them, or all queries with all ranks."""
+    import duckdb
+
+    from tidewire.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    df = queries.queries()[name](spark, sf)
+    assert {c: k for c, k in (x.split(" ") for x in KINDS[name].split(", "))}.items() <= dict(df.dtypes).items()
+    rows = [tuple(r) for r in df.collect()]
+    if name in queries.oracle_sql():
+        db = duckdb.connect()
+        for table in ("documents", "labels"):
+            db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+        columns = ", ".join(df.columns)
+        want = db.execute(f"SELECT {columns} FROM ({queries.oracle_sql()[name]})").fetchall()
+        assert len(rows) == len(want) and set(rows) == set(want)
+    else:
+        ids = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect() if r.vec_id % 20 == 0}
+        assert sorted((r[0], r[1]) for r in rows) == [(i, k) for i in sorted(ids) for k in range(1, 21)]
