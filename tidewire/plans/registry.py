@@ -330,15 +330,15 @@ _add("c01_protocols", _select("SELECT DISTINCT unnest(string_split(stack, ':'))
 _add("c02_fields", _select("SELECT * FROM (VALUES ('http.method', 'HTTP', 'method', 'str', true), ('http.uri', 'HTTP', 'uri', 'str', true), ('http.status_code', 'HTTP', 'status_code', 'u16', true), ('http.reason_phrase', 'HTTP', 'reason_phrase', 'str', true)) t(qualified_name, protocol, path, kind, optional)"))(
     lambda p: catalog.fields(p, "http")
 )
-def _descriptor(path: str, kind: str, optional: str = "false", children: str = "") -> str:
+def _descriptor(path: str, kind: str, children: str = "''") -> str:
     """SQL for the JSON text of a DNS field."""
     name = path.rsplit(".", 1)[-1].title()
-    return f"""'{{"qualified_name":"dns.{path}","display_name":"{name}","type":"{kind}","optional":' || {optional} || ',"protocol":"DNS"' || {children or "''"} || '}}'"""
+    return f"""'{{"qualified_name":"dns.{path}","display_name":"{name}","type":"{kind}","optional":false,"protocol":"DNS"' || {children} || '}}'"""
 
 
 _QUESTIONS = "',\"children\":[' || " + _descriptor("questions.name", "str") + " || ',' || " + _descriptor("questions.type", "u16") + " || ']'"
-_TREES = {"id": _descriptor("id", "u16"), "qr": _descriptor("qr", "u8"), "questions": _descriptor("questions", "object", "'false'", _QUESTIONS), "rcode": _descriptor("rcode", "u8")}
-_add("c02_field_trees", _select(" UNION ".join(f"SELECT DISTINCT 'DNS' AS protocol, 'dns.{path}' AS qualified_name, {text} AS descriptor FROM pk WHERE event_type = 'purchase'" for path, text in _TREES.items()).replace("|| false ||", "|| 'false' ||")))(lambda p: catalog.field_trees(p, "dns"))
+_TREES = {"id": _descriptor("id", "u16"), "qr": _descriptor("qr", "u8"), "questions": _descriptor("questions", "object", _QUESTIONS), "rcode": _descriptor("rcode", "u8")}
+_add("c02_field_trees", _select(" UNION ".join(f"SELECT DISTINCT 'DNS' AS protocol, 'dns.{path}' AS qualified_name, {text} AS descriptor FROM pk WHERE event_type = 'purchase'" for path, text in _TREES.items())))(lambda p: catalog.field_trees(p, "dns"))
 _add(
     "c02_field_nodes",
     _select("""SELECT 'TLS' AS protocol, path, kind, parent, optional FROM (VALUES ('content_type', 'u8', NULL, false), ('version', 'u16', NULL, false), ('extensions', 'object', NULL, true), ('extensions.server_name', 'str', 'extensions', false)) t(path, kind, parent, optional)"""),
