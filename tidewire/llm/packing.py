@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffer_of, slices
+from .common import buffer_of, materialise, slices
 from .tokens import held, word_vocabulary
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -112,21 +112,28 @@ def _packed(capacity: int):
 def pack(docs: DataFrame, *, capacity: int = 2048, vocabulary: str | None = None, end_id: int = 0, rows_per_shard: int = 8192) -> DataFrame:
     """Packs every document's ids, cut only where longer than ``capacity``.
 
-    Pieces (lengths and checksums, no ids) are dealt evenly by a hash to shards of about
-    ``rows_per_shard`` documents, so every shard sees the same mix of lengths and wastes at most
-    about one sequence. Equal pieces of one id travel as one with a count, and go to many shards
-    where there are many of them, so no key can be hot. Shards are packed independently.
+    Pieces (lengths and checksums, no ids) are written once. Whole ones fill a sequence each and
+    never meet another piece. Of the others a document has one at most; they are dealt evenly by a
+    hash to shards of about ``rows_per_shard`` pieces, whatever the lengths of the documents, so
+    every shard sees the same mix of lengths and wastes at most about one sequence. Equal pieces of
+    one id travel as one with a count, and go to many shards where there are many of them, so no
+    key can be hot. Shards are packed independently.
 
     Null or empty text: a piece of the end id alone. Null and repeated ``doc_id`` are kept as
     rows of their own. A very long text is as many pieces as it fills. Of pieces of one length
-    any may be taken first. Further columns are ignored. An empty table gives no rows.
+    any may be taken first. Sequences of whole pieces have negative numbers. Further columns are
+    ignored. An empty table gives no rows.
     """
-    shards = max(1, -(-docs.count() // rows_per_shard))
-    pieces = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(vocabulary or word_vocabulary(), end_id, capacity), PIECE)
+    job = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(vocabulary or word_vocabulary(), end_id, capacity), PIECE)
+    pieces = materialise(job, "pieces")
     names = pieces.columns
+    whole = pieces.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    open_ones = pieces.where(F.col("length") < capacity)
+    shards = max(1, -(-open_ones.count() // rows_per_shard))
     most = max(1, rows_per_shard // 8)
-    counted = pieces.groupBy(*names).agg(F.count("*").alias("n"))
+    counted = open_ones.groupBy(*names).agg(F.count("*").alias("n"))
     part = F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / most).cast("int")))
     dealt = counted.select(*names, "n", part.alias("part")).withColumn("copies", F.least(F.lit(most), F.col("n") - F.col("part") * most))
     shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "part"), F.lit(shards)).cast("long")
-    return dealt.select(*names, "copies", shard.alias("shard")).groupBy("shard").applyInArrow(_packed(capacity), PIECE + ", sequence_id long, offset long")
+    packed = dealt.select(*names, "copies", shard.alias("shard")).groupBy("shard").applyInArrow(_packed(capacity), PIECE + ", sequence_id long, offset long")
+    return packed.unionByName(whole)
