@@ -7,12 +7,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, buffer_of, lowered, materialise, mixed, slices, text_of, words_of
+from .common import Spans, buffer_of, discard, lowered, materialise, mixed, slices, text_of, words_of
 from .elias_fano import KEY_BITS, Trie
 
 _MASK = np.uint64((1 << 62) - 1)
-#: Words that are split at most: their table, 16 bytes each, is sent to the executors. Which words are
-#: split decides where pairs are counted, not what comes out.
+#: Words, and pairs, that are split at most: their tables, 16 bytes each, are sent to the executors.
+#: What is split decides where pairs are counted, not what comes out.
 MOST_HOT = 1 << 20
 #: Keys of the end of a text (a token) and of its beginning (a context only).
 END, BEGIN = np.uint64(1), np.uint64(2)
@@ -59,47 +59,87 @@ def _binary(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
-# ---------------------------------------------------------------- words
+def _contexts(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """40 bits of the token before each token."""
+    before = np.empty_like(keys)
+    before[1:] = keys[:-1]
+    before[at[:-1]] = BEGIN
+    return np.where(before == BEGIN, BEGIN, mixed(before)) & np.uint64((1 << KEY_BITS) - 1)
 
 
-def _word_messages(shards: int, most_tokens: int):
+def _pair_keys(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    return mixed(words ^ mixed(contexts + np.uint64(1)))
+
+
+def _among(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is in an ascending table, and where."""
+    if not len(table):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return table[at] == keys, at
+
+
+# ---------------------------------------------------------------- counts of words and of hot words' pairs
+
+_COUNTS_SQL = "shard int, keys binary, counts binary, train binary, texts long"
+
+
+def _count_messages(shards: int, most_tokens: int, hot=None):
+    """Each block's counts by key, of training texts and of the others, one row a shard.
+
+    Keys are the words, or the pairs of the ``hot`` words alone.
+    """
+
     def run(batches):
         for _, held_out, keys, at in _blocks(batches, most_tokens):
             train = np.repeat(~held_out, np.diff(at))
-            words, count = np.unique(keys[train], return_counts=True)
-            shard = (mixed(words) % np.uint64(shards)).astype(np.int32)
+            if hot is not None:
+                some = np.flatnonzero(_among(keys, hot.value)[0])
+                keys, train = _pair_keys(keys[some], _contexts(keys, at)[some]), train[some]
+            parts = [np.unique(keys[part], return_counts=True) for part in (train, ~train)]
+            taught = np.repeat(np.array([1, 0], np.uint8), [len(x[0]) for x in parts])
+            key, count = (np.concatenate(x) for x in zip(*parts))
+            shard = (mixed(key) % np.uint64(shards)).astype(np.int32)
             order = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[order], np.arange(shards + 1))
             some = np.flatnonzero(np.diff(cuts))
-            words, count = words[order], count[order].astype(np.uint32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(some.astype(np.int32)), pa.array([_binary(words[cuts[s] : cuts[s + 1]]) for s in some], pa.binary()), pa.array([_binary(count[cuts[s] : cuts[s + 1]]) for s in some], pa.binary()), pa.array(np.where(np.arange(len(some)) == 0, int((~held_out).sum()), 0).astype(np.int64))],
-                ["shard", "words", "counts", "texts"],
-            )
+            key, count, taught = key[order], count[order].astype(np.uint32), taught[order]
+            cut = lambda x: pa.array([_binary(x[cuts[s] : cuts[s + 1]]) for s in some], pa.binary())
+            texts = np.where(np.arange(len(some)) == 0, int((~held_out).sum()), 0).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), cut(key), cut(count), cut(taught), pa.array(texts)], ["shard", "keys", "counts", "train", "texts"])
 
     return run
 
 
-def _word_counts(hot: int):
+_TOTALS_SQL = "tokens long, distinct long, texts long, hot binary, hot_counts binary, hot_totals binary"
+
+
+def _totals(hot: int):
+    """A shard's sums, and its keys that occur ``hot`` times or more in all texts: in training texts, in all."""
+
     def run(table: pa.Table) -> pa.Table:
-        words = np.frombuffer(b"".join(table.column("words").to_pylist()), np.uint64)
-        count = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)
-        words, place = np.unique(words, return_inverse=True)
-        count = np.bincount(place, count, len(words)).astype(np.int64)
-        often = count >= hot
-        return pa.table(
-            {
-                "tokens": pa.array([int(count.sum())], pa.int64()),
-                "distinct": pa.array([len(words)], pa.int64()),
-                "texts": pa.array([int(np.sum(table.column("texts").to_numpy()))], pa.int64()),
-                "hot": pa.array([_binary(words[often])], pa.binary()),
-                "hot_counts": pa.array([_binary(count[often])], pa.binary()),
-            }
-        )
+        joined = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+        keys, place = np.unique(joined("keys", np.uint64), return_inverse=True)
+        every = joined("counts", np.uint32)
+        total = np.bincount(place, every, len(keys)).astype(np.int64)
+        count = np.bincount(place, every * joined("train", np.uint8), len(keys)).astype(np.int64)
+        often = total >= hot
+        binary = lambda x: pa.array([_binary(x[often])], pa.binary())
+        whole = lambda x: pa.array([int(x)], pa.int64())
+        return pa.table({"tokens": whole(count.sum()), "distinct": whole((count > 0).sum()), "texts": whole(np.sum(table.column("texts").to_numpy())), "hot": binary(keys), "hot_counts": binary(count), "hot_totals": binary(total)})
 
     return run
 
 
+def _hottest(totals: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending keys and training counts of the hottest keys."""
+    often = totals.where(F.octet_length("hot") > 0).select("hot", "hot_counts", "hot_totals").collect()
+    keys, counts, every = (np.frombuffer(b"".join(bytes(r[k]) for r in often), kind) for k, kind in enumerate((np.uint64, np.int64, np.int64)))
+    hottest = np.argsort(-every, kind="stable")[:MOST_HOT]
+    order = hottest[np.argsort(keys[hottest])]
+    return keys[order], counts[order]
+
+
 # ---------------------------------------------------------------- pairs
 
 
@@ -109,21 +149,20 @@ def _pair_messages(shards: int, handle, most_tokens: int):
     def run(batches):
         from pyspark import TaskContext
 
-        hot, part, number = handle.value[0], TaskContext.get().partitionId(), 0
+        hot, hot_pairs, part, number = handle.value[0], handle.value[2], TaskContext.get().partitionId(), 0
         for ids, held_out, keys, at in _blocks(batches, most_tokens):
             block = part << 32 | number
             number += 1
-            before = np.empty_like(keys)
-            before[1:] = keys[:-1]
-            before[at[:-1]] = BEGIN
             words, word = np.unique(keys, return_inverse=True)
-            context = np.where(before == BEGIN, BEGIN, mixed(before)) & np.uint64((1 << KEY_BITS) - 1)
+            context = _contexts(keys, at)
             doc = np.repeat(np.arange(len(ids)), np.diff(at))
-            # a hot word's pairs are dealt by word and context, any other's by the word
-            split = np.isin(words, hot)
+            # a hot word's pairs are dealt by word and context, hot pairs by the block too, any other's by the word
             shard = (mixed(words) % np.uint64(shards)).astype(np.int64)[word]
-            apart = split[word]
-            shard[apart] = (mixed(keys[apart] ^ mixed(context[apart] + np.uint64(1))) % np.uint64(shards)).astype(np.int64)
+            apart = np.flatnonzero(_among(words, hot)[0][word])
+            pair = _pair_keys(keys[apart], context[apart])
+            often = _among(pair, hot_pairs)[0]
+            pair[often] = mixed(pair[often] + np.uint64(block))
+            shard[apart] = (pair % np.uint64(shards)).astype(np.int64)
             order = np.lexsort((doc, context, word, shard))
             shard, word, context, doc = shard[order], word[order], context[order], doc[order]
             new = np.ones(len(order), bool)
@@ -161,7 +200,7 @@ def _shard_scores(handle, prior: float):
     """
 
     def run(table: pa.Table) -> pa.Table:
-        hot, hot_counts, tokens, distinct = handle.value
+        hot, hot_counts, hot_pairs, pair_counts, tokens, distinct = handle.value
         total = tokens + 0.5 * (distinct + 1)
         meta = table.filter(pa.compute.is_valid(table.column("doc_ids")))
         rows = table.filter(pa.compute.is_valid(table.column("words"))).to_pylist()
@@ -186,9 +225,8 @@ def _shard_scores(handle, prior: float):
             words, number = np.unique(word, return_inverse=True)
             del word
             c = np.bincount(number, count * train, len(words))
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
-                c = np.where(hot[at] == words, hot_counts[at], c)
+            split, at = _among(words, hot)
+            c[split] = hot_counts[at[split]]
             own = np.log10(prior * (c + 0.5) / total)
             # distinct pairs; those of the training texts make the trie
             order = np.lexsort((context, number))
@@ -199,6 +237,8 @@ def _shard_scores(handle, prior: float):
             head = order[new]
             seen = np.bincount(pair, count * train, len(head))
             owner, under = number[head], context[head]
+            split, at = _among(_pair_keys(words[owner], under), hot_pairs)
+            seen[split] = pair_counts[at[split]]
             kept = seen > 0
             trie = Trie(words, own, owner[kept], under[kept], np.log10(seen[kept] + prior * (c[owner[kept]] + 0.5) / total))
             value = np.concatenate([trie.find(words[owner[i : i + (1 << 19)]], under[i : i + (1 << 19)]) for i in range(0, len(head), 1 << 19)])
@@ -234,17 +274,18 @@ def _block_sums(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(meta["doc_ids"], pa.int64()), "held_out": pa.array(meta["held"], pa.bool_()), "n_tokens": pa.array(meta["lengths"], pa.int64()), "n_known": pa.array(known), "base": pa.array(base), "score": pa.array(score)})
 
 
-def score(docs: DataFrame, held_out: Column, *, prior: float = 200.0, block_tokens: int = 1 << 20, shard_tokens: int = 3 << 19) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, *, prior: float = 200.0, block_tokens: int = 1 << 20, shard_tokens: int = 3 << 19, hot: int = 1000) -> DataFrame:
     """Scores every whole text under the model of those that are not ``held_out``.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``. Tokens are
-    words in lower case (A-Z) and an end. The corpus is read twice: for the words' counts, and
-    for their pairs, which blocks of documents send in packed columns to shards, dealt by the
-    predicted word. A word whose pairs would fill over a quarter of a shard is hot and dealt by
-    word and context instead; its count is known from the first pass. Each shard counts the
-    training pairs, builds its part of the trie from them, looks up all its pairs and returns
-    one sum for each document. Nothing but the hot words' table (at most four a shard, and the
-    ``MOST_HOT`` hottest are kept) reaches the driver.
+    words in lower case (A-Z) and an end. The corpus is read for the words' counts, for those of
+    the hot words' pairs, and for all pairs, which blocks of documents send in packed columns to
+    shards, dealt by the predicted word. A word whose pairs would fill over a quarter of a shard is
+    hot and dealt by word and context instead; a pair that would is hot too and dealt by the block
+    of its documents as well. Both are told by all texts, held out or not, and their counts are
+    known before. Each shard counts the other training pairs, builds its part of the trie, looks up
+    all its pairs and returns one sum for each document. Nothing but the tables of hot words and
+    pairs (at most four a shard each, and the ``MOST_HOT`` hottest are kept) reaches the driver.
 
     Words are told apart by 62-bit hashes, contexts under a word by 40 bits: a shard has at most
     some 1.5 million contexts of one word, so about one pair of them may merge with another.
@@ -258,16 +299,24 @@ def score(docs: DataFrame, held_out: Column, *, prior: float = 200.0, block_toke
     size = text.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     tokens_about = (size[0] or 0) // 5 + size[1]
     shards = max(8, -(-tokens_about // shard_tokens))
-    hot = max(1000, shard_tokens // 4)
-    messages = text.mapInArrow(_word_messages(shards, block_tokens), "shard int, words binary, counts binary, texts long")
-    words = materialise(messages.groupBy("shard").applyInArrow(_word_counts(hot), "tokens long, distinct long, texts long, hot binary, hot_counts binary"), "word-counts")
-    total = words.agg(F.sum("tokens"), F.sum("distinct"), F.sum("texts")).first()
-    tokens, distinct, texts = (x or 0 for x in total)
-    often = words.where(F.octet_length("hot") > 0).select("hot", "hot_counts").collect()
-    keys, counts = (np.frombuffer(b"".join(bytes(r[k]) for r in often), kind) for k, kind in ((0, np.uint64), (1, np.int64)))
-    hottest = np.argsort(-counts, kind="stable")[:MOST_HOT]
-    order = hottest[np.argsort(keys[hottest])]
-    handle = spark.sparkContext.broadcast((keys[order], counts[order], tokens, distinct))
+    often = max(hot, shard_tokens // 4)
+
+    def counted(name: str, words=None) -> DataFrame:
+        messages = text.mapInArrow(_count_messages(shards, block_tokens, words), _COUNTS_SQL)
+        return materialise(messages.groupBy("shard").applyInArrow(_totals(often), _TOTALS_SQL), name)
+
+    words = counted("word-counts")
+    tokens, distinct, texts = (x or 0 for x in words.agg(F.sum("tokens"), F.sum("distinct"), F.sum("texts")).first())
+    keys, counts = _hottest(words)
+    discard(words)
+    pair_keys, pair_counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if len(keys):
+        sent = spark.sparkContext.broadcast(keys)
+        pairs = counted("pair-counts", sent)
+        pair_keys, pair_counts = _hottest(pairs)
+        discard(pairs)
+        sent.destroy()
+    handle = spark.sparkContext.broadcast((keys, counts, pair_keys, pair_counts, tokens, distinct))
     replies = text.mapInArrow(_pair_messages(shards, handle, block_tokens), _MESSAGE_SQL).groupBy("shard").applyInArrow(_shard_scores(handle, prior), _REPLY_SQL)
     sums = replies.groupBy("block").applyInArrow(_block_sums, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
     return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(tokens + 0.5 * (distinct + 1))))).alias("base_score"), (F.col("score") - F.lit(float(np.log10(texts + prior)))).alias("score"))
