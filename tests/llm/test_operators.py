@@ -337,6 +337,17 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_whole_pieces_pass_by_the_shards(spark):
+    """Few very long texts: pieces of the full length have sequences of their own, one rest a text is packed."""
+    long = " ".join(f"w{k % 997}" for k in range(60_000))
+    df = spark.createDataFrame([(i, long if i % 2 else f"short {i}", "x") for i in range(40)], "doc_id long, text string, offset string")
+    got = packing.pack(df, rows_per_shard=10)
+    used = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("k"), F.max("length").alias("most"))
+    assert used.where("n > 2048 or (sequence_id < 0 and (k > 1 or n < 2048)) or (sequence_id >= 0 and most = 2048)").count() == 0
+    assert got.where("sequence_id < 0").count() > 20 * 20 and got.where("sequence_id >= 0").count() == 40
+    assert got.where("sequence_id >= 0").select((F.col("sequence_id") / 2**40).cast("int")).distinct().count() > 1
+
+
 def test_best_two_fit_is_tight():
     r = np.random.default_rng(2)
     lengths = np.minimum(2048, r.exponential(500, 3000).astype(np.int64) + 1)
@@ -566,3 +577,25 @@ def test_language_model(docs, empty, sizes):
     for a, b in zip(sorted(map(tuple, got), key=key), sorted(brute_model(texts(), 20.0), key=key), strict=True):
         assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-6 and abs(a[6] - b[6]) < 2e-3 * b[2], (a, b)
     assert language_model.score(empty, F.lit(False)).count() == 0
+
+
+def test_hot_pairs_are_split(spark):
+    """One pair in every text, in and out of the training texts: the same scores, and no shard has most of it."""
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("of the "), F.col("id") % 7, F.when(F.col("id") % 3 == 0, F.lit(" late pair")).otherwise(F.lit(""))).alias("text")).repartition(6)
+    held_out = F.col("doc_id") % 3 == 0
+    got = {r.doc_id: r for r in language_model.score(rows, held_out, block_tokens=200, shard_tokens=500, hot=100).collect()}
+    want = {r.doc_id: r for r in language_model.score(rows, held_out).collect()}
+    assert got.keys() == want.keys() and all(a[:6] == want[i][:6] or abs(a[5] - want[i][5]) < 1e-6 for i, a in got.items())
+    assert all(abs(a.score - want[i].score) < 1e-3 for i, a in got.items())
+    keys, at = language_model._keys(np.frombuffer(b"of the", np.uint8), np.array([0, 6]))
+    pair = language_model._pair_keys(keys, language_model._contexts(keys, at))[1:2]
+
+    class Handle:
+        value = (np.sort(keys), np.zeros(3, np.int64), pair)
+
+    entries = Counter()
+    texts = rows.select("doc_id", "text", held_out.alias("held_out")).repartition(24).mapInArrow(language_model._pair_messages(16, Handle, 200), language_model._MESSAGE_SQL)
+    for r in texts.where("words is not null").collect():
+        for w, n in zip(np.frombuffer(r["words"], np.uint64), np.frombuffer(r["runs"], np.uint32)):
+            entries[r["shard"]] += int(n) * int(w == keys[1])
+    assert sum(entries.values()) == 3000 and max(entries.values()) < 900
