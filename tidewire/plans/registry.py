@@ -444,7 +444,9 @@ def _records_back(packets: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- capture files
 
-_HEADERS = _select("""SELECT ts_us, CAST(original_length AS BIGINT) AS original_length, src, dst, transport, CAST(sport AS BIGINT) AS src_port, CAST(dport AS BIGINT) AS dst_port, CAST(ttl AS BIGINT) AS ttl,
+# an address has four octets of 8 bits: 10 and the low 24 bits of a user's id, also where there are more users than two octets hold
+_HEADERS = _select("""SELECT ts_us, CAST(original_length AS BIGINT) AS original_length,
+ CASE WHEN event_type <> 'purchase' THEN '10.' || CAST(user_id // 65536 % 256 AS VARCHAR) || '.' || CAST(user_id // 256 % 256 AS VARCHAR) || '.' || CAST(user_id % 256 AS VARCHAR) ELSE src END AS src, dst, transport, CAST(sport AS BIGINT) AS src_port, CAST(dport AS BIGINT) AS dst_port, CAST(ttl AS BIGINT) AS ttl,
  'Ethernet:IPv4:' || coalesce(upper(transport), 'ICMP') AS stack FROM pk""")
 
 
