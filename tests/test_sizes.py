@@ -56,3 +56,25 @@ def test_larger_tables_are_built_by_more_tasks(spark, many_users, monkeypatch):
     assert captures.build_event_packets(spark, many_users).rdd.getNumPartitions() == 20
     monkeypatch.setattr(captures, "ROWS", 10**6)
     assert captures.build_event_packets(spark, many_users).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_plain_layers_are_not_walked(spark, many_users, monkeypatch):
+    """Records of plain layers go through flat columns both ways; the objects of the others stay as they were."""
+    import json
+
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    from tidewire.model import DECODED
+    from tidewire.sources import records
+
+    record = lambda fields: json.dumps({"number": 1, "timestamp": "1970-01-01T00:00:01.000500Z", "length": 1, "original_length": 1, "stack": "P", "layers": [{"protocol": "P", "fields": fields}]}, separators=(",", ":"), ensure_ascii=False)
+    plain = record({"a": 1, "a_name": "\"é\n", "b": "x", "c": -3, "big": 2**64 - 1, "e_name": "", "e": 0})
+    shaped = record({"a": 2**64, "b": None, "c": [{"d": 1}], "t": True})
+    monkeypatch.setattr(records, "_flatten", None)
+    monkeypatch.setattr(records, "_nested", None)
+    held = records._columns([plain], pa.array(["f"]), {}, to_arrow_schema(DECODED))
+    as_written = pa.RecordBatch.from_arrays([held.column("number"), pa.array(["1970-01-01T00:00:01.000500Z"]), *(held.column(c) for c in ("length", "original_length", "stack", "layers")), pa.nulls(1, pa.string())], ["number", "timestamp", "length", "original_length", "stack", "layers", "raw_bytes"])
+    assert records._texts(as_written) == [plain]
+    with pytest.raises(TypeError):
+        records._columns([shaped], pa.array(["f"]), {}, to_arrow_schema(DECODED))
