@@ -78,3 +78,18 @@ def test_plain_layers_are_not_walked(spark, many_users, monkeypatch):
     assert records._texts(as_written) == [plain]
     with pytest.raises(TypeError):
         records._columns([shaped], pa.array(["f"]), {}, to_arrow_schema(DECODED))
+
+
+def test_visibility_splits_paths_only_for_dotted_patterns(spark):
+    from pyspark.sql import functions as F
+
+    from tidewire.model import as_packets, field, layer
+    from tidewire.operators import project
+
+    made = layer(0, "P", field("a", "u8", F.lit(1), F.lit("A")), field("a.b", "u8", F.lit(2)), field("bc.d.e", "u8", F.lit(3)), field("xa", "u8", F.lit(4)))
+    packets = as_packets(spark.range(2).select(F.lit("c").alias("capture_id"), F.col("id").alias("number"), F.array(made).alias("layers")))
+    seen = lambda patterns: [f.path + ("+" if f.name else "") for f in project.visible_fields(packets, {"P": patterns}).first().layers[0].fields]
+    assert seen(["a"]) == ["a", "a.b"] and seen(["a*"]) == ["a+", "a.b"] and seen(["*a", "bc"]) == ["a", "a.b", "bc.d.e", "xa"] and seen([]) == []
+    assert seen(["bc.d"]) == ["bc.d.e"] and seen(["bc.x"]) == []
+    text = lambda patterns: project.visible_fields(packets, {"P": patterns})._jdf.queryExecution().analyzed().toString()
+    assert "forall" not in text(["a", "b*"]) and "forall" in text(["a.b"])

@@ -171,9 +171,11 @@ def _matches(name: Column, pattern: str) -> Column:
 
 
 def _any(name: Column, patterns: Sequence[str]) -> Column:
-    out = F.lit(False)
+    exact = [p for p in patterns if "*" not in p]
+    out = name.isin(exact) if exact else F.lit(False)
     for p in patterns:
-        out = out | _matches(name, p)
+        if "*" in p:
+            out = out | _matches(name, p)
     return out
 
 
@@ -187,10 +189,12 @@ def visible_fields(packets: DataFrame, config: Mapping[str, Sequence[str]]) -> D
     checked = {protocol: [check_pattern(p) for p in patterns] for protocol, patterns in config.items()}
 
     def shown(path: Column, patterns: Sequence[str]) -> Column:
-        steps = F.split(path, r"\.")
         dotted = [p.split(".") for p in patterns if "." in p]
         top = [p for p in patterns if "." not in p] + [a for a, _ in dotted]
-        out = _any(F.get(steps, 0), top)
+        out = _any(F.substring_index(path, ".", 1), top)
+        if not dotted:  # no child is told apart
+            return out
+        steps = F.split(path, r"\.")
 
         def child_ok(i: Column) -> Column:
             parent, leaf, listed, allowed = F.get(steps, i - 1), F.get(steps, i), F.lit(False), F.lit(False)
