@@ -2,10 +2,13 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from tidewire.llm import filter_audit, neighbours, source_audit
@@ -130,6 +133,24 @@ def test_source_audit_against_brute_force(docs, least_docs):
     assert any(r[2] == "pair" and r[4] == 0 for r in got) or least_docs == 2
 
 
+def test_terms_are_counted_in_little_memory():
+    """Texts of a full Arrow batch, of many terms: what a task holds beside them does not grow with the batch."""
+    draw = np.random.default_rng(5)
+    words = np.array([f"w{''.join(chr(97 + int(c)) for c in str(k))}" for k in range(50_000)])
+    texts = pa.array([" ".join(words[draw.integers(0, len(words), 600)]) for _ in range(4_000)])
+    same = pa.array(["x"] * len(texts))
+    batch = pa.RecordBatch.from_arrays([same, same, texts], ["lang", "source", "text"])
+    assert texts.nbytes > 14 << 20
+    tracemalloc.start()
+    try:
+        found = sum(pc.sum(b.column("n")).as_py() for b in source_audit._term_counts(source_audit.MOST_BYTES)(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == 600 * len(texts) and most < 160 << 20
+
+
+
 def test_source_audit_of_empty_table(docs):
     assert source_audit.audit(docs.limit(0)).count() == 0
 

@@ -15,6 +15,8 @@ _TERM = np.zeros(256, dtype=bool)
 _TERM[65:91] = _TERM[97:123] = _TERM[128:] = True
 
 ONE = 1_000_000_000
+#: Bytes of texts that are counted at a time; a slice's arrays take some 20 times as much.
+MOST_BYTES = 4 << 20
 
 
 # ---------------------------------------------------------------- counts
@@ -62,7 +64,7 @@ def _term_counts(most_bytes: int):
     return run
 
 
-def kept_terms(docs: DataFrame, *, least_docs: int = 10, most_bytes: int = 16 << 20) -> DataFrame:
+def kept_terms(docs: DataFrame, *, least_docs: int = 10, most_bytes: int = MOST_BYTES) -> DataFrame:
     """``lang, source, term, n, lang_n, head`` for terms that at least ``least_docs`` documents of a language hold.
 
     ``n`` and ``lang_n`` are occurrences in the source and in the language; ``head`` is 1 on one row
