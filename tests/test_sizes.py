@@ -93,3 +93,31 @@ def test_visibility_splits_paths_only_for_dotted_patterns(spark):
     assert seen(["bc.d"]) == ["bc.d.e"] and seen(["bc.x"]) == []
     text = lambda patterns: project.visible_fields(packets, {"P": patterns})._jdf.queryExecution().analyzed().toString()
     assert "forall" not in text(["a", "b*"]) and "forall" in text(["a.b"])
+
+
+def test_lists_of_a_document_do_not_come_together_whole(spark):
+    """Sums are kept by hash, and of very many talkers only the first of each lot meet in the task that ranks them."""
+    from pyspark.sql import functions as F
+
+    from tidewire.model import as_packets, field, layer
+    from tidewire.operators import stats
+
+    made = spark.range(20_000).select(F.lit("c").alias("capture_id"), F.col("id").alias("number"), (F.col("id") % 7919).cast("int").alias("original_length"), F.array(layer(0, "IPv4", field("src", "ipv4addr", F.col("id")), field("dst", "ipv4addr", F.lit("d")))).alias("layers"))
+    sums = stats._sums(stats._tagged(as_packets(made), ["dns"], True), ["dns"])
+    text = sums._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in text and text.count("HashAggregate(") >= 4 and "ObjectHashAggregate" not in text and "SortAggregate" not in text
+    kept = stats._ranked(sums, 10)
+    assert kept.where("protocol = '@talkers'").orderBy("_rank").select("bytes").toPandas()["bytes"].tolist() == [7918, 7918, 7917, 7917, 7916, 7916, 7915, 7915, 7914, 7914]
+    assert sums.count() > 20_000 and _rows_before_windows(kept)[-1] <= 64 * 10 + 3
+
+
+def _rows_before_windows(df) -> list[int]:
+    """Rows that each window of a plan reads, the first window first."""
+    plans, counts = [df._jdf.queryExecution().optimizedPlan()], []
+    while plans:
+        at = plans.pop()
+        if at.nodeName() == "Window":
+            counts.append(at)
+        plans.extend(at.children().apply(k) for k in range(at.children().size()))
+    dataset = df.sparkSession._jvm.org.apache.spark.sql.classic.Dataset
+    return [dataset.ofRows(df._jdf.sparkSession(), w.children().apply(0)).count() for w in reversed(counts)]

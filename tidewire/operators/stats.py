@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions import labels
 from ..functions.scalars import utf8_lossy
 from ..model import FIELD, LAYER, all_fields, bind, decoded, first_field, first_layer, holds, label_text, normalised, raw_text
+from ..sources.store import written
 from .project import diameter_result, with_flow
 from .select import top_n
 
@@ -298,7 +299,7 @@ SPEC: dict[str, Protocol] = {
 }
 
 #: Parts of a document that are no protocol's table: a message each.
-_PARTS = ("@packets", "@layers", "@talkers", "@streams")
+_PARTS = ("@packets", "@layers", "@talkers")
 SPEC |= {p: Protocol((), (Metric(p, MESSAGE, "total"),)) for p in _PARTS}
 #: Metrics that count distinct names instead of listing them.
 DISTINCT = ("unique_imsi_count", "unique_teid_count")
@@ -453,12 +454,12 @@ def response_summary(pairs: DataFrame, value: str = "rtt", by: Iterable[str] = (
 
 
 #: What a document counts besides tables, as metrics of messages that no layer is.
-_PACKETS, _LAYERS, _TALKERS, _STREAMS = _PARTS
+_PACKETS, _LAYERS, _TALKERS = _PARTS
 #: Names that a list of a document may have before it is cut to what is asked for.
 _MOST_NAMES = 4096
 
 
-def _tagged(packets: DataFrame, keys: list[str], talkers: bool, streams: bool) -> DataFrame:
+def _tagged(packets: DataFrame, keys: list[str], talkers: bool) -> DataFrame:
     """One row for each part of a document that a packet feeds: its message of each protocol, and what ``_PACKETS`` and the others name."""
     first_names = {name: (key, SPEC[key].layers[:k]) for key in keys for k, name in enumerate(SPEC[key].layers)}
     good = F.col("decode_error").isNull()
@@ -479,64 +480,101 @@ def _tagged(packets: DataFrame, keys: list[str], talkers: bool, streams: bool) -
         parts.append(F.when(good, F.transform(F.filter(layers, counts), lambda x: tag(F.try_element_at(key, x["protocol"]), none, none, x))))
     if talkers:
         parts.append(F.when(good & F.col("src").isNotNull() & F.col("dst").isNotNull(), F.array(tag(_TALKERS, F.col("src"), F.col("dst"), none))))
-    if streams:
-        parts.append(F.when(good & F.col("stream_id").isNotNull(), F.array(tag(_STREAMS, F.col("stream_id"), F.col("capture_id"), none))))
-    sp, dp = tcp_ports()
     empty = F.array().cast("array<struct<key:string,tag:string,tag_group:string,message:" + LAYER.simpleString() + ">>")
-    carried = ["capture_id", "number", "ts_us", "original_length", "src", "dst"]
-    rows = packets.select(*carried, sp.alias("sp"), dp.alias("dp"), F.explode(F.concat(*(F.coalesce(p, empty) for p in parts))).alias("t"))
-    return rows.select(*carried, "sp", "dp", "t.*")
+    rows = packets.select("ts_us", "original_length", F.explode(F.concat(*(F.coalesce(p, empty) for p in parts))).alias("t"))
+    return rows.select("ts_us", "original_length", "t.*")
 
 
-def document(packets: DataFrame, protocols: Iterable[str] | None = None, n: int = 10, talkers: bool = True, streams: bool = True) -> DataFrame:
-    """One row, one JSON text: the enabled parts, each a bounded list; parts without content are left out.
+def _sums(tagged: DataFrame, keys: list[str]) -> DataFrame:
+    """``protocol, metric, group, name, count, bytes, first, last`` of every name of a document, uncut.
 
-    The packet table is read once for all parts but the DNS times: a packet becomes a row for each
-    part that it feeds, these are counted and summed by part and name in one partial aggregation,
-    and what is left is ranked within its list. Pairs of DNS messages are a pass of their own.
+    All sums are plain numbers, so they are kept by hash and spill; nothing is collected for a name.
     """
-    from .correlate import dns_pairs
-
-    wanted = None if protocols is None else {normalised(p) for p in protocols}
-    keys = _chosen(wanted)
-    carried = ["number", "ts_us", "original_length", "src", "dst", "sp", "dp", "tag", "tag_group"]
-    named = _named(_tagged(with_flow(packets), keys, talkers, streams and (wanted is None or "tcp" in wanted)), [*keys, *_PARTS], carried)
+    named = _named(tagged, [*keys, *_PARTS], ["ts_us", "original_length", "tag", "tag_group"])
     part = F.col("protocol")
     own, distinct = part.isin(*_PARTS), F.col("metric").isin(*DISTINCT)
-    in_part = lambda p, c: F.when(part.isin(*p), c)
-    known = F.coalesce("sp", F.lit(0)) != 0
+    in_part = lambda p, c: F.when(part.isin(*p), F.col(c))
     sums = named.groupBy("protocol", "metric", F.when(own, F.col("tag_group")).otherwise(F.col("group")).alias("group"), F.when(own, F.col("tag")).otherwise(F.col("name")).alias("name")).agg(
-        F.count("*").alias("count"),
-        F.sum(in_part([_TALKERS, _STREAMS], F.col("original_length"))).alias("bytes"),
-        F.min(in_part([_PACKETS, _STREAMS], F.col("ts_us"))).alias("first"),
-        F.max(in_part([_PACKETS, _STREAMS], F.col("ts_us"))).alias("last"),
-        F.min_by(F.struct("src", "dst"), in_part([_STREAMS], F.when(F.col("src").isNotNull() & F.col("dst").isNotNull(), F.col("number")))).alias("e"),
-        F.min_by(F.struct("number", "sp", "dp"), in_part([_STREAMS], F.when(known, F.col("number")))).alias("p"),
-        F.collect_list(in_part([_STREAMS], F.when(~known & F.col("dp").isNotNull(), F.struct("number", "dp")))).alias("vague"),
+        F.count("*").alias("count"), F.sum(in_part([_TALKERS], "original_length")).alias("bytes"), F.min(in_part([_PACKETS], "ts_us")).alias("first"), F.max(in_part([_PACKETS], "ts_us")).alias("last")
     )
     # distinct counts are numbers of names; totals have no name
     shown = F.when(~distinct & ~F.startswith("metric", F.lit("total_")), F.col("name"))
     first = lambda c: F.max(c).alias(c)  # noqa: E731  one row a name, but for distinct counts
-    whole = sums.groupBy("protocol", "metric", "group", F.when(own, F.col("name")).otherwise(shown).alias("name")).agg(F.sum(F.when(distinct, 1).otherwise(F.col("count"))).alias("count"), *map(first, ("bytes", "first", "last", "e", "p", "vague")))
-    stream = F.when(part == _STREAMS, F.col("name").cast("long"))
+    return sums.groupBy("protocol", "metric", "group", F.when(own, F.col("name")).otherwise(shown).alias("name")).agg(F.sum(F.when(distinct, 1).otherwise(F.col("count"))).alias("count"), *map(first, ("bytes", "first", "last")))
+
+
+def _ranked(sums: DataFrame, n: int, lots: int = 64) -> DataFrame:
+    """``sums`` and ``_rank`` of the first ``n`` of each list (``_MOST_NAMES`` layers).
+
+    A list may have as many names as there are packets: each is ranked in ``lots`` parts first,
+    and only what these leave comes together.
+    """
+    part = F.col("protocol")
     # of parts, the group is no list of its own
-    order = [F.desc_nulls_last("bytes"), stream.asc_nulls_last(), F.desc("count"), F.asc("name"), F.asc("group")]
-    rank = F.row_number().over(Window.partitionBy("protocol", "metric", F.when(~own, F.col("group"))).orderBy(*order))
-    ranked = whole.withColumn("_rank", rank).where(F.col("_rank") <= max(n, _MOST_NAMES)).where((part == _LAYERS) | (F.col("_rank") <= n))
-    late = F.array_max(F.filter("vague", lambda v: F.col("p.number").isNull() | (v["number"] < F.col("p.number"))))["dp"]
-    seconds = F.coalesce(F.round((F.col("last") - F.col("first")) / 1e6, 3), F.lit(0.0))
+    order = [F.desc_nulls_last("bytes"), F.desc("count"), F.asc("name"), F.asc("group")]
+    within = ["protocol", "metric", F.when(~part.isin(*_PARTS), F.col("group"))]
+    rank = lambda *lot: F.row_number().over(Window.partitionBy(*within, *lot).orderBy(*order))
+    lot = F.when(part == _LAYERS, F.xxhash64("name")).otherwise(F.pmod(F.xxhash64("name", "group"), F.lit(lots)))  # a layer alone
+    left = sums.withColumn("_rank", rank(lot)).where(F.col("_rank") <= max(n, 1))
+    return left.withColumn("_rank", rank()).where(F.col("_rank") <= max(n, _MOST_NAMES)).where((part == _LAYERS) | (F.col("_rank") <= n))
+
+
+def _listed_streams(packets: DataFrame, n: int) -> DataFrame:
+    """One row, the list of the first ``n`` streams: sums of all by plain columns, ends among the packets of these alone."""
+    sent = decoded(with_flow(packets)).where("stream_id is not null")
+    sums = sent.groupBy("capture_id", "stream_id").agg(F.count("*").alias("count"), F.sum("original_length").alias("bytes"), F.min("ts_us").alias("first"), F.max("ts_us").alias("last"))
+    order = [F.desc("bytes"), F.asc("stream_id"), F.desc("count"), F.asc("capture_id")]
+    chosen = written(sums.orderBy(*order).limit(n).withColumn("_rank", F.row_number().over(Window.orderBy(*order))), "document-streams")
+    sp, dp = tcp_ports()
+    own = sent.alias("p").join(F.broadcast(chosen.select("_rank", "stream_id", "capture_id").alias("c")), (F.col("p.stream_id") == F.col("c.stream_id")) & F.col("p.capture_id").eqNullSafe(F.col("c.capture_id")))
+    rows = written(own.select("_rank", "number", "src", "dst", sp.alias("sp"), dp.alias("dp")), "document-stream-packets")
+    known = F.coalesce("sp", F.lit(0)) != 0
+    ends = rows.groupBy("_rank").agg(
+        F.min_by(F.struct("src", "dst"), F.when(F.col("src").isNotNull() & F.col("dst").isNotNull(), F.col("number"))).alias("e"), F.min_by(F.struct("number", "sp", "dp"), F.when(known, F.col("number"))).alias("p")
+    )
+    # packets without a source port, until one has it
+    vague = rows.where(~known & F.col("dp").isNotNull()).select("_rank", "number", "dp").join(F.broadcast(ends.select("_rank", F.col("p.number").alias("until"))), "_rank")
+    late = vague.where("until is null or number < until").groupBy("_rank").agg(F.max(F.struct("number", "dp"))["dp"].alias("late"))
+    whole = chosen.join(F.broadcast(ends), "_rank", "left").join(F.broadcast(late), "_rank", "left")
+    row = F.struct(
+        "stream_id", "capture_id", F.coalesce("e.src", F.lit("unknown")).alias("src"), F.coalesce("p.sp", F.lit(0)).alias("src_port"), F.coalesce("e.dst", F.lit("unknown")).alias("dst"), F.coalesce("p.dp", "late", F.lit(0)).alias("dst_port"),
+        F.col("count").alias("packets"), "bytes", _seconds().alias("duration_secs"),
+    )
+    return whole.agg(F.transform(F.sort_array(F.collect_list(F.struct("_rank", row.alias("row")))), lambda x: x["row"]).alias("tcp_streams"))
+
+
+def _seconds() -> Column:
+    return F.coalesce(F.round((F.col("last") - F.col("first")) / 1e6, 3), F.lit(0.0))
+
+
+def document(packets: DataFrame, protocols: Iterable[str] | None = None, n: int = 10, talkers: bool = True, streams: bool = True) -> DataFrame:
+    """One row, one JSON text: the enabled parts, each a bounded list; parts without content are left out.
+
+    The packet table is read once for all parts but the DNS times and the streams: a packet becomes a
+    row for each part that it feeds, these are counted and summed by part and name in one partial
+    aggregation, and what is left is ranked within its list, in parts first. Pairs of DNS messages
+    are a pass of their own, as are streams, of which only those listed are looked into.
+    """
+    from .correlate import dns_pairs
+
+    wanted = None if protocols is None else {normalised(p) for p in protocols}
+    keys, streams = _chosen(wanted), streams and (wanted is None or "tcp" in wanted)
+    ranked = _ranked(_sums(_tagged(with_flow(packets), keys, talkers), keys), n)
+    part = F.col("protocol")
+    in_part = lambda p, c: F.when(part.isin(*p), c)
     listed = lambda p, *shape: F.transform(F.sort_array(F.collect_list(F.when(p, F.struct("_rank", F.struct(*shape).alias("row"))))), lambda x: x["row"])
     table = F.struct("protocol", "metric", "group", "name", "count")
     out = ranked.agg(
         F.coalesce(F.max(in_part([_PACKETS], F.col("count"))), F.lit(0)).alias("total_packets"),
         F.max(in_part([_PACKETS], F.col("first") / 1e6)).alias("start_time"),
         F.max(in_part([_PACKETS], F.col("last") / 1e6)).alias("end_time"),
-        F.coalesce(F.max(in_part([_PACKETS], seconds)), F.lit(0.0)).alias("duration_secs"),
+        F.coalesce(F.max(in_part([_PACKETS], _seconds())), F.lit(0.0)).alias("duration_secs"),
         listed(part == _LAYERS, "name", "count").alias("protocols"),
-        F.sort_array(F.collect_list(F.when(~own, table))).alias("tables"),
+        F.sort_array(F.collect_list(F.when(~part.isin(*_PARTS), table))).alias("tables"),
         listed(part == _TALKERS, F.col("name").alias("src"), F.col("group").alias("dst"), F.col("count").alias("packets"), "bytes").alias("top_talkers"),
-        listed(part == _STREAMS, F.col("name").cast("long").alias("stream_id"), F.col("group").alias("capture_id"), F.coalesce("e.src", F.lit("unknown")).alias("src"), F.coalesce("p.sp", F.lit(0)).alias("src_port"), F.coalesce("e.dst", F.lit("unknown")).alias("dst"), F.coalesce("p.dp", late, F.lit(0)).alias("dst_port"), F.col("count").alias("packets"), "bytes", seconds.alias("duration_secs")).alias("tcp_streams"),
     )
+    if streams:
+        out = out.join(F.broadcast(_listed_streams(packets, n)))
     if wanted is None or "dns" in wanted:
         times = response_summary(dns_pairs(packets))
         out = out.join(F.broadcast(times.agg(F.collect_list(F.struct(*times.columns)).alias("dns_response_time"))))
