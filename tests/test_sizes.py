@@ -121,3 +121,23 @@ def _rows_before_windows(df) -> list[int]:
         plans.extend(at.children().apply(k) for k in range(at.children().size()))
     dataset = df.sparkSession._jvm.org.apache.spark.sql.classic.Dataset
     return [dataset.ofRows(df._jdf.sparkSession(), w.children().apply(0)).count() for w in reversed(counts)]
+
+
+def test_equal_messages_are_looked_into_once(spark, monkeypatch):
+    """Tables count equal messages first; packets of one pass are made once, after they are dealt out, and not stored."""
+    from pyspark.sql import functions as F
+
+    from tidewire.model import as_packets, field, layer
+    from tidewire.operators import stats
+
+    made = layer(0, "SIP", field("method", "str", F.concat(F.lit("M"), F.col("id") % 3)), field("status_code", "u16", F.lit(200)))
+    packets = as_packets(spark.range(300).select(F.lit("c").alias("capture_id"), F.col("id").alias("number"), F.array(made).alias("layers")))
+    seen, named = [], stats._named
+    monkeypatch.setattr(stats, "_named", lambda messages, *more: (seen.append(messages.count()), named(messages, *more))[1])
+    got = {(r.metric, r.name): r["count"] for r in stats.frequencies(packets).collect()}
+    assert got == {("total_requests", None): 300, ("method_distribution", "M0"): 100, ("method_distribution", "M1"): 100, ("method_distribution", "M2"): 100}
+    assert seen == [3]
+    monkeypatch.undo()
+    text = registry.queries()["freq_all"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    below = text[text.index("Repartition ") :]
+    assert "mDNS" in text and "mDNS" not in below and "lineitem" not in below.split("Relation")[0]

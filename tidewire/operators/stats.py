@@ -313,9 +313,12 @@ def _chosen(protocols: Iterable[str] | None) -> list[str]:
 def _messages(packets: DataFrame, keys: list[str], by: Iterable[str] = ()) -> DataFrame:
     """``key, message`` and columns ``by``: of each packet the first layer of each protocol's name."""
     first_names = {name: (key, SPEC[key].layers[:k]) for key in keys for k, name in enumerate(SPEC[key].layers)}
-    rows = decoded(packets).where(holds(*first_names)).select(*by, F.col("layers.protocol").alias("names"), F.posexplode("layers").alias("at", "message"))
+    rows = decoded(packets)
+    if set(keys) != set(SPEC) - set(_PARTS):  # else few packets have none, and layers that are made as they are read would be made again for the filter
+        rows = rows.where(holds(*first_names))
+    rows = rows.select(*by, F.col("layers.protocol").alias("names"), F.posexplode_outer("layers").alias("at", "message"))
     name = F.col("message.protocol")
-    first = F.array_position("names", name) == F.col("at") + 1
+    first = F.coalesce(F.array_position("names", name), F.lit(0)) == F.col("at") + 1
     for own, (_, better) in first_names.items():
         if better:  # a packet's message of another name counts instead
             first = first & ~((name == own) & F.arrays_overlap("names", F.array(*map(F.lit, better))))
@@ -396,9 +399,15 @@ def frequencies(packets: DataFrame, protocols: Iterable[str] | None = None, n: i
     """``protocol, metric, group, name, count`` of all requested tables, from one shuffle of counts.
 
     Totals and distinct counts have a null name. Each list is cut to its first ``n`` names by
-    falling count, then name. Unknown protocols are ignored.
+    falling count, then name. Unknown protocols are ignored. Equal messages are counted before
+    their fields are looked into; where all differ, each is shuffled once.
     """
-    counts = name_counts(packets, protocols)
+    keys = _chosen(protocols)
+    if keys:
+        alike = _messages(packets, keys).groupBy("key", "message").agg(F.count("*").alias("alike"))
+        counts = _named(alike, keys, ["alike"]).groupBy("protocol", "metric", "group", "name").agg(F.sum("alike").alias("count"))
+    else:
+        counts = name_counts(packets, protocols)
     # a distinct count is how many names there are: they are added up before anything is ranked
     distinct = F.col("metric").isin(*DISTINCT)
     whole = counts.groupBy("protocol", "metric", "group", F.when(~distinct & ~F.startswith("metric", F.lit("total_")), F.col("name")).alias("name")).agg(F.sum(F.when(distinct, 1).otherwise(F.col("count"))).alias("count"))

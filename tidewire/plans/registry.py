@@ -15,7 +15,7 @@ from ..model import decoded, endpoints, flat_fields, transport, warnings
 from ..operators import catalog, correlate, follow, project, select, stats
 from ..sources import captures, decode, records
 from ..sources.store import shared_folder
-from .captures import BASE_SQL, CAPTURE, SIGNALLING, event_frames, event_packets, signalling_packets
+from .captures import BASE_SQL, CAPTURE, SIGNALLING, event_frames, event_packets, passing_signalling_packets, signalling_packets
 
 _FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -293,7 +293,7 @@ def _frequencies(protocols: list[str] | None):
 
 
 _SIGNAL_ROWS = _signalling_rows()
-_add("freq_all", _frequency_sql(_SIGNAL_ROWS, f"s AS ({BASE_SQL})", "s"), signalling_packets)(_frequencies(None))
+_add("freq_all", _frequency_sql(_SIGNAL_ROWS, f"s AS ({BASE_SQL})", "s"), passing_signalling_packets)(_frequencies(None))
 _add("freq_events", _frequency_sql(_EVENT_ROWS, PACKETS, "pk"))(_frequencies(None))
 _IDS = dict(zip("dns mdns http http2 tls sip diameter gtpv1u gtpv2c pfcp ngap nas5g radius dhcp dhcpv6 rtp stun icmp icmpv6 arp igmp lldp ntp bgp ospf sctp vxlan geneve gre".split(), range(5, 34)))
 for _key, _n in _IDS.items():
