@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tidewire.llm import decontaminate, language_model, line_rules, packing, pii, quality, secrets, simhash, token_files, toxicity
 from tidewire.llm.common import buffer_of, fold, words_of
 from tidewire.llm.elias_fano import EliasFano, Trie
-from tidewire.llm.tokens import held, word_vocabulary
+from tidewire.llm.tokens import ChunkTokenizer, held, word_vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -237,6 +238,32 @@ def test_token_files_round_trip(spark, docs, empty):
     assert token_files.token_index(spark, token_files.write_token_files(empty)).count() == 0
 
 
+def encoded(tokenizer: ChunkTokenizer, rows: list[str | None]) -> list[list[int]]:
+    ids, at = tokenizer.encode(*buffer_of(pa.array(rows, pa.string())), 2)
+    return [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+
+
+def test_words_met_again_are_tokenized_once():
+    """However many other words come between, and whatever signs follow; the rest is forgotten in time."""
+    tokenizer, learned = ChunkTokenizer(word_vocabulary(), most=400), Counter()
+    learn = tokenizer._learn
+    tokenizer._learn = lambda chunks: (learned.update(chunks), learn(chunks))[1]
+    for k in range(30):
+        new = [f"often{'abcdefghij'[k // 10]}{'abcdefghij'[k % 10]}{a}{b}" for a in "abcdefg" for b in "klmnopq"]
+        rows = [" ".join(["often", *new]), f"Often, {new[0]}. {new[1]}!", "étés, ÉTÉS"]
+        assert encoded(tokenizer, rows) == [tokenizer.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in rows]
+    assert set(learned.values()) == {1} and len(learned) == 30 * 49 + 6
+    assert len(tokenizer.ids) + len(tokenizer.older) <= 600
+
+
+def test_chunks_of_odd_texts():
+    """Signs, contractions, marks, cases and spaces beyond ASCII next to each other, against the whole tokenizer."""
+    r, tokenizer = random.Random(11), ChunkTokenizer(word_vocabulary(), most=1000)
+    odd = [*"abstmdABST'\"!#.,-=<>|/_~^@019 \t\n\x0b\x0c\r\x00\x1c\x7féÉßÿÀÞ×÷ªµº½²İΣσςŁǅж你한ﬁ€—😀Å", "\x85", "\xa0", "\xad", "\u0301", "\u0338", "\u1100", "\u1161", "\u200d", "\u2028", "\u212b", "'s", "'ll", "<|endoftext|>", "<|"]
+    rows = [None, "", " ", "A" * 5000 + " b.", *("".join(r.choice(odd) for _ in range(r.randint(1, 12))) for _ in range(4000)), *(f"x{chr(c)}y{chr(c)}. {chr(c)}" for c in range(1, 0x500))]
+    assert encoded(tokenizer, rows) == [tokenizer.tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in rows]
+
+
 def scanned_rows(df) -> int:
     """Rows that the file scan of a collected DataFrame gave."""
     df._jdf.collectToPython()
