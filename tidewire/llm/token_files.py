@@ -40,6 +40,7 @@ def _batches(path: str, end_id: int, step: int = 1 << 21):
                     ["doc_id", "shard", "shard_start", "n_tokens", "token_ids"],
                 )
                 done += len(ids)
+            del batch, data  # some 30 MB, else held while the next are read
 
     return run
 

@@ -52,7 +52,7 @@ class ChunkTokenizer:
     may hold a special token's string, which is matched before lower-casing; it is encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 640_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
